@@ -8,19 +8,27 @@ matching DuckDB statements are in ``logloom.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom import schemas
 from logloom.operators import parse as parse_ops
 from logloom.operators import summaries as Q
-from logloom.sources.events import event_access_lines, event_logs, read_events
+from logloom.plans import pipelines, tables
+from logloom.plans import script as script_ops
+from logloom.session import shared_dir
+from logloom.sources.events import event_access_lines, event_json_lines, event_logs, read_events
+from logloom.sources.files import read_json_logs, read_lake, read_logs, read_table
+from logloom.streaming import ingest as stream_ops
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values of the check: the "today" of relative-date queries, and the ingestion time.
 AS_OF = "2024-01-30"
 INGEST_TS = "2024-01-31 00:00:00"
+BATCH_ID = "batch-0001"
 # ---------------------------------------------------------------------------------------------
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,4 +116,206 @@ def queries() -> dict[str, Query]:
         "parse_access_lines_dash_size": access_logs_dash_size,
         "access_quarantine_dash_size": access_quarantine_dash_size,
         "access_table": access_table,
+        **write_queries(),
+    }
+
+
+# --- Queries that write and read back (sources, sinks, jobs, streams) ---------------------------
+# They write below the cluster's shared checkpoint folder (``spark.checkpoint.dir``), each
+# call in a fresh folder, and return the data read back.
+
+ACCESS_SUBDIR_GLOB = "access/*.txt"
+JSON_SUBDIR_GLOB = "json/*.txt"
+STREAM_COLUMNS = ("timestamp", "level", "message", "logger", "thread", "partition_date")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return shared_dir(spark, "logloom-contract", name)
+
+
+def _write_raw(spark: SparkSession, sf_dir: str, json_only: bool = False) -> str:
+    """Raw access lines and JSON lines derived from ``events``, written as text files."""
+    prefix = _scratch(spark, "raw")
+    events = read_events(spark, sf_dir)
+    if not json_only:
+        event_access_lines(events).write.text(f"{prefix}/access")
+    event_json_lines(events).write.text(f"{prefix}/json")
+    return prefix
+
+
+def _json_parsed(spark: SparkSession, sf_dir: str):
+    prefix = _write_raw(spark, sf_dir, json_only=True)
+    return parse_ops.parse_json_logs(read_json_logs(spark, prefix, JSON_SUBDIR_GLOB), ingest_ts=INGEST_TS)
+
+
+def json_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-lines files -> permissive reader -> ``LOGS_APP`` rows."""
+    return _json_parsed(spark, sf_dir)[0]
+
+
+def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-lines files -> the lines that are not JSON objects."""
+    return _json_parsed(spark, sf_dir)[1]
+
+
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON text column (no files) -> ``from_json`` -> ``LOGS_APP`` rows."""
+    values = event_json_lines(read_events(spark, sf_dir))
+    return parse_ops.parse_json_logs(parse_ops.parse_json_values(values), ingest_ts=INGEST_TS)[0]
+
+
+def mixed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with both kinds of files -> both parsed and unioned."""
+    prefix = _write_raw(spark, sf_dir)
+    good, _ = read_logs(spark, prefix, ingest_ts=INGEST_TS, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB)
+    return good
+
+
+def mixed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = _write_raw(spark, sf_dir)
+    _, bad = read_logs(spark, prefix, ingest_ts=INGEST_TS, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB)
+    return bad
+
+
+def _database(spark: SparkSession) -> str:
+    name = "logloom_" + uuid.uuid4().hex[:12]
+    tables.create_database(spark, name, location=_scratch(spark, name))
+    return name
+
+
+def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch ingest job into a new partitioned table, then the table read back."""
+    prefix = _write_raw(spark, sf_dir)
+    table = f"{_database(spark)}.logs"
+    _ingest_into(spark, prefix, table)
+    return read_table(spark, table).select(*[f.name for f in schemas.LOGS_APP.fields])
+
+
+def _ingest_into(spark: SparkSession, prefix: str, table: str) -> None:
+    from logloom.sources import files
+
+    tables.create_table(spark, table, schemas.LOGS_APP, partition_by=[schemas.LOGS_APP_PARTITION])
+    good, _ = files.read_logs(
+        spark, prefix, ingest_ts=INGEST_TS, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB
+    )
+    tables.append(good, table, partition_by=[schemas.LOGS_APP_PARTITION])
+
+
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File-stream ingest with an availableNow trigger, run twice (the second run finds
+    nothing new), then the sink read back. ``ingestion_timestamp`` (the batch time) is left
+    out."""
+    prefix = _write_raw(spark, sf_dir)
+    sink, ck = _scratch(spark, "sink"), _scratch(spark, "checkpoint")
+    for _ in range(2):
+        stream_ops.incremental_ingest(
+            spark, prefix, sink, ck, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB
+        )
+    cols = [f.name for f in schemas.LOGS_APP.fields if f.name != "ingestion_timestamp"]
+    return spark.read.parquet(sink).select(*cols)
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values from a file stream -> ``from_json`` -> watermark -> partitioned Parquet
+    sink, run to the end of the input; then the sink read back."""
+    prefix = _write_raw(spark, sf_dir, json_only=True)
+    sink, ck = _scratch(spark, "stream-sink"), _scratch(spark, "stream-checkpoint")
+    values = stream_ops.stream_source(spark, f"{prefix}/{JSON_SUBDIR_GLOB}")
+    for q in stream_ops.streaming_ingest(values, sink, ck, trigger="availableNow"):
+        q.awaitTermination()
+    return spark.read.parquet(sink).select(*STREAM_COLUMNS)
+
+
+def _service_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived logs in the ``LOGS_SERVICE`` shape (fixed ingest time and batch id)."""
+    df = logs(spark, sf_dir).withColumns(
+        {"ingested_at": F.lit(INGEST_TS).cast("timestamp_ntz"), "batch_id": F.lit(BATCH_ID)}
+    )
+    return df.select(*[f.name for f in schemas.LOGS_SERVICE.fields])
+
+
+def service_lake_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Service logs written to a date-partitioned folder, read back for the last 7 days
+    (only those partitions are listed and read)."""
+    path = _scratch(spark, "service-lake")
+    tables.overwrite_path(_service_logs(spark, sf_dir), path, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    return read_lake(spark, path, date_column=schemas.LOGS_SERVICE_PARTITION, days=7, as_of=AS_OF)
+
+
+def _service_source(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    db = _database(spark)
+    source = f"{db}.logs"
+    tables.append(_service_logs(spark, sf_dir), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    return db, source
+
+
+def aggregation_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary job over a service-log table: all service summaries (full refresh), then the
+    row count of every table but the source."""
+    db, source = _service_source(spark, sf_dir)
+    result = pipelines.run_aggregation(spark, source, db, kind="service")
+    if not result.success:
+        raise RuntimeError("aggregation failed")
+    return tables.table_row_counts(spark, db, exclude=("logs",))
+
+
+def aggregation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary job with neither script nor kind: error summary and daily counts, created
+    only if absent (the job runs twice; the second run leaves them as they are)."""
+    db, source = _service_source(spark, sf_dir)
+    for _ in range(2):
+        pipelines.run_aggregation(spark, source, db)
+    return tables.table_row_counts(spark, db, exclude=("logs",))
+
+
+def app_summary_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application-log table -> the application summaries as tables -> their row counts."""
+    db = _database(spark)
+    source = f"{db}.logs"
+    app = logs(spark, sf_dir).select(
+        "timestamp", "level", "message", "logger", "exception_class", "exception_message", "partition_date"
+    )
+    tables.append(app, source, partition_by=[schemas.LOGS_APP_PARTITION])
+    result = pipelines.run_aggregation(spark, source, db, kind="app")
+    if not result.success:
+        raise RuntimeError("aggregation failed")
+    return tables.table_row_counts(spark, db, exclude=("logs",))
+
+
+# Statements of the script check. The third one fails (unknown table); the rest succeed.
+SCRIPT = """
+-- error rows of the derived logs
+CREATE OR REPLACE TEMPORARY VIEW {errors} AS
+SELECT * FROM {logs} WHERE level IN ('ERROR', 'WARN');
+SELECT level, logger, message, COUNT(*) AS error_count FROM {errors} GROUP BY level, logger, message;
+SELECT * FROM {missing};
+/* loggers; a ';' inside a comment or 'a string;' does not split */
+SELECT logger, COUNT(*) AS n, 'x;y' AS s FROM {logs} GROUP BY logger;
+"""
+
+
+def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL script over the derived logs, run statement by statement -> per-statement report."""
+    suffix = uuid.uuid4().hex[:8]
+    names = {"logs": f"logs_{suffix}", "errors": f"errors_{suffix}", "missing": f"missing_{suffix}"}
+    logs(spark, sf_dir).createOrReplaceTempView(names["logs"])
+    results = script_ops.run_statements(spark, SCRIPT.format(**names))
+    return script_ops.report_frame(spark, results).select("statement_index", "row_count", "success")
+
+
+def write_queries() -> dict[str, Query]:
+    return {
+        "json_logs": json_logs,
+        "json_quarantine": json_quarantine,
+        "json_values": json_values,
+        "mixed_logs": mixed_logs,
+        "mixed_quarantine": mixed_quarantine,
+        "ingest_job": ingest_job,
+        "incremental_ingest": incremental_ingest,
+        "stream_ingest": stream_ingest,
+        "service_lake_recent": service_lake_recent,
+        "aggregation_service": aggregation_service,
+        "aggregation_fallback": aggregation_fallback,
+        "app_summary_tables": app_summary_tables,
+        "sql_script": sql_script,
     }

@@ -7,7 +7,7 @@ to HUGEINT). Orderings repeat the Spark tie-breaks, with explicit NULL placement
 
 from __future__ import annotations
 
-from logloom.contract import AS_OF, INGEST_TS
+from logloom.contract import AS_OF, BATCH_ID, INGEST_TS
 from logloom.functions.access import (
     ACCESS_LINE_PATTERN,
     ACCESS_LINE_PATTERN_DASH_SIZE,
@@ -40,10 +40,39 @@ logs AS (
          CASE WHEN eid % 20 <> 0 THEN 'user_' || CAST(uid AS VARCHAR) END AS user_id,
          CAST(uid AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
          CASE WHEN eid % 25 <> 0
-              THEN '10.0.' || CAST(uid % 16 AS VARCHAR) || '.' || CAST(uid % 251 AS VARCHAR) END AS ip_address
+              THEN '10.0.' || CAST(uid % 16 AS VARCHAR) || '.' || CAST(uid % 251 AS VARCHAR) END AS ip_address,
+         eid
   FROM ev
 )"""
 
+# Application-log records of the JSON lines (every 50th line is not JSON).
+JSON_CTES = LOGS_CTE + f""",
+json_logs AS (
+  SELECT date_trunc('millisecond', "timestamp") AS "timestamp",
+         COALESCE(level, 'INFO') AS level,
+         COALESCE(message, '') AS message,
+         COALESCE(logger, 'unknown') AS logger,
+         COALESCE('worker-' || source, 'main') AS thread,
+         COALESCE(source || '.py', '') AS source_file,
+         COALESCE(CAST(length(message) AS INTEGER), 0) AS line_number,
+         exception_class, exception_message,
+         TIMESTAMP '{INGEST_TS}' AS ingestion_timestamp,
+         CAST("timestamp" AS DATE) AS partition_date,
+         CAST(NULL AS VARCHAR) AS ip_address, CAST(NULL AS VARCHAR) AS http_method,
+         CAST(NULL AS VARCHAR) AS http_path, CAST(0 AS INTEGER) AS http_status,
+         CAST(0 AS INTEGER) AS response_size, CAST(NULL AS VARCHAR) AS referer,
+         CAST(NULL AS VARCHAR) AS user_agent
+  FROM logs WHERE eid % 50 <> 0
+),
+json_bad AS (
+  SELECT 'json' AS format, 'garbage line' AS value, 'corrupt_json' AS reason FROM logs WHERE eid % 50 = 0
+),
+stream_logs AS (
+  SELECT date_trunc('millisecond', "timestamp") AS "timestamp", level, message, logger,
+         'worker-' || source AS thread, CAST("timestamp" AS DATE) AS partition_date
+  FROM logs WHERE eid % 50 <> 0
+)"""
+
 LINES_CTE = EVENTS_CTE + """,
 lines AS (
   SELECT CASE WHEN eid % 50 = 0 THEN 'garbage line' ELSE
@@ -97,6 +126,8 @@ access_bad AS (
 
 
 ACCESS_CTES = _access_ctes(ACCESS_LINE_PATTERN)
+# JSON and access CTEs together (the events CTE once).
+MIXED_CTES = JSON_CTES + "," + ACCESS_CTES.removeprefix(EVENTS_CTE + ",")
 ACCESS_CTES_DASH = _access_ctes(ACCESS_LINE_PATTERN_DASH_SIZE)
 
 _LOG_COLS = '"timestamp", level, message, logger, source, user_id, session_id, ip_address'
@@ -121,6 +152,20 @@ SELECT t AS "timestamp", ip AS remote_ip, NULLIF(usr, '-') AS remote_user, metho
 FROM a1 WHERE t IS NOT NULL AND st IS NOT NULL AND sz IS NOT NULL"""
 
 
+def _counts(parts: dict[str, str]) -> str:
+    """(table_name, row_count) of the given named queries."""
+    return "\nUNION ALL ".join(
+        f"SELECT '{name}' AS table_name, (SELECT count(*) FROM ({sql}) q) AS row_count" for name, sql in parts.items()
+    )
+
+
+_APP_COLS = (
+    '"timestamp", level, message, logger, thread, source_file, line_number, exception_class, exception_message, '
+    "ingestion_timestamp, partition_date, ip_address, http_method, http_path, http_status, response_size, referer, "
+    "user_agent"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     L = f"WITH {LOGS_CTE}\n"
     A = f"WITH {ACCESS_CTES}\n"
@@ -213,4 +258,55 @@ ORDER BY request_count DESC, http_path ASC NULLS FIRST LIMIT 100""",
         "parse_access_lines_dash_size": AD + "SELECT * FROM access_logs",
         "access_quarantine_dash_size": AD + "SELECT * FROM access_bad",
         "access_table": _access_table_sql(),
+        **_write_oracles(),
+    }
+
+
+def _write_oracles() -> dict[str, str]:
+    J = f"WITH {JSON_CTES}\n"
+    M = f"WITH {MIXED_CTES}\n"
+    mixed = f"SELECT {_APP_COLS} FROM access_logs UNION ALL SELECT {_APP_COLS} FROM json_logs"
+    no_ingest = _APP_COLS.replace("ingestion_timestamp, ", "")
+    L = f"WITH {LOGS_CTE}\n"
+    service = {
+        "top_errors_by_count": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY level, source, message LIMIT 100",
+        "daily_log_summary": "SELECT 1 FROM logs GROUP BY date_partition, level",
+        "hourly_error_trends": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN', 'FATAL') "
+        "GROUP BY strftime(\"timestamp\", '%Y-%m-%d %H'), level",
+        "source_activity_summary": "SELECT 1 FROM logs GROUP BY source",
+        "user_activity_summary": "SELECT 1 FROM logs WHERE user_id IS NOT NULL GROUP BY user_id LIMIT 1000",
+        "ip_address_analysis": "SELECT 1 FROM logs WHERE ip_address IS NOT NULL GROUP BY ip_address LIMIT 500",
+    }
+    app = {
+        "daily_log_summary": "SELECT 1 FROM logs GROUP BY partition_date, level",
+        "exception_summary": "SELECT 1 FROM logs WHERE level = 'ERROR' GROUP BY exception_class, exception_message LIMIT 50",
+        "hourly_error_trends": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN', 'FATAL') "
+        "GROUP BY strftime(\"timestamp\", '%Y-%m-%d %H'), level",
+        "logger_activity_summary": "SELECT 1 FROM logs GROUP BY logger",
+        "top_errors_by_count": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY level, logger, message LIMIT 100",
+    }
+    fallback = {
+        "daily_summary": "SELECT 1 FROM logs GROUP BY date_partition, level",
+        "error_summary": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY level, source",
+    }
+    return {
+        "json_logs": J + f"SELECT {_APP_COLS} FROM json_logs",
+        "json_quarantine": J + "SELECT * FROM json_bad",
+        "json_values": J + f"SELECT {_APP_COLS} FROM json_logs",
+        "mixed_logs": M + mixed,
+        "mixed_quarantine": M + "SELECT * FROM access_bad UNION ALL SELECT * FROM json_bad",
+        "ingest_job": M + mixed,
+        "incremental_ingest": M + f"SELECT {no_ingest} FROM ({mixed})",
+        "stream_ingest": J + "SELECT * FROM stream_logs",
+        "service_lake_recent": L + f"""SELECT "timestamp", level, message, source, user_id, session_id, ip_address,
+  TIMESTAMP '{INGEST_TS}' AS ingested_at, '{BATCH_ID}' AS batch_id, date_partition
+FROM logs WHERE date_partition >= DATE '{AS_OF}' - 7""",
+        "aggregation_service": L + _counts(service),
+        "aggregation_fallback": L + _counts(fallback),
+        "app_summary_tables": L + _counts(app),
+        "sql_script": L + """SELECT 1 AS statement_index, CAST(0 AS BIGINT) AS row_count, true AS success
+UNION ALL SELECT 2, (SELECT count(*) FROM (SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN')
+                                           GROUP BY level, logger, message) q), true
+UNION ALL SELECT 3, 0, false
+UNION ALL SELECT 4, (SELECT count(*) FROM (SELECT 1 FROM logs GROUP BY logger) q), true""",
     }

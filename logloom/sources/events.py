@@ -51,11 +51,12 @@ def _k() -> Column:
     return _k_text().try_cast("int")
 
 
-def event_logs(events: DataFrame) -> DataFrame:
+def event_logs(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One log row per event, carrying the columns of both curated log shapes.
 
     Columns: timestamp, partition_date, date_partition, level, message, logger, source,
-    exception_class, exception_message, user_id, session_id, ip_address.
+    exception_class, exception_message, user_id, session_id, ip_address, then the ``keep``
+    columns of ``events`` as they are.
     """
     eid, uid, etype = F.col("event_id"), F.col("user_id"), F.col("event_type")
     is_error = etype == "error"
@@ -82,6 +83,7 @@ def event_logs(events: DataFrame) -> DataFrame:
         F.when(eid % 25 != 0, F.concat(F.lit("10.0."), _text(uid % 16), F.lit("."), _text(uid % 251))).alias(
             "ip_address"
         ),
+        *keep,
     )
 
 
@@ -103,14 +105,15 @@ def event_access_lines(events: DataFrame) -> DataFrame:
 
 
 def event_app_records(events: DataFrame) -> DataFrame:
-    """Application-log records (the JSON-line fields) derived from events.
+    """Application-log records (the JSON-line fields) derived from events, plus ``event_id``.
 
-    ``timestamp`` is ISO-8601 text with milliseconds and ``Z``; fields that a JSON line would
-    not carry are NULL.
+    ``timestamp`` is ISO-8601 text with milliseconds and ``Z``; thread is ``'worker-' ||
+    source``, source_file ``source || '.py'``, line_number the length of the message.
     """
-    logs = event_logs(events)
+    logs = event_logs(events.withColumn("_eid", F.col("event_id")), keep=("_eid",))
     iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return logs.select(
+        F.col("_eid").alias("event_id"),
         iso.alias("timestamp"),
         "level",
         "message",
@@ -124,7 +127,9 @@ def event_app_records(events: DataFrame) -> DataFrame:
 
 
 def event_json_lines(events: DataFrame) -> DataFrame:
-    """One JSON text line per event (``value``), as an application would write it. Absent
-    fields are left out of the object."""
+    """One JSON text line per event (``value``), as an application would write it: absent
+    fields are left out of the object, and every 50th event is ``garbage line``."""
     recs = event_app_records(events)
-    return recs.select(F.to_json(F.struct(*recs.columns)).alias("value"))
+    fields = [c for c in recs.columns if c != "event_id"]
+    line = F.when(F.col("event_id") % 50 == 0, F.lit(GARBAGE_LINE)).otherwise(F.to_json(F.struct(*fields)))
+    return recs.select(line.alias("value"))
