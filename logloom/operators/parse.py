@@ -31,6 +31,22 @@ FORMAT_JSON = "json"
 # ---------------------------------------------------------------------------------------------
 
 
+def spread(lines: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the input over ``min_partitions`` tasks (default: the cluster's default
+    parallelism) when the scan yields fewer, so that the CPU-heavy parse uses every core.
+
+    This happens with unsplittable input (a few large ``.gz`` log files) or a single small
+    file. Input that already has enough splits, the normal case for a large folder, is left
+    alone, so it costs no shuffle. Streams and ``min_partitions=0`` are left alone too.
+    """
+    if lines.isStreaming or min_partitions == 0:
+        return lines
+    target = min_partitions or lines.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() >= target:
+        return lines
+    return lines.repartition(target)
+
+
 def access_records(lines: DataFrame, *, allow_dash_size: bool = False, column: str = "value") -> DataFrame:
     """Combined-format lines to parsed records (``timestamp`` already UTC ``timestamp_ntz``).
 
@@ -96,8 +112,10 @@ def json_records(raw: DataFrame, ingest_ts: Column) -> DataFrame:
     )
 
 
-def parse_json_values(values: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text column to ``PARSED_WITH_CORRUPT`` columns, like the permissive JSON reader."""
+def parse_json_values(values: DataFrame, column: str = "value", min_partitions: int | None = None) -> DataFrame:
+    """JSON text column to ``PARSED_WITH_CORRUPT`` columns, like the permissive JSON reader.
+    Under-partitioned input is spread first (see ``spread``)."""
+    values = spread(values, min_partitions)
     parsed = F.from_json(
         F.col(column),
         schemas.PARSED_WITH_CORRUPT,
@@ -148,8 +166,11 @@ def parse_access_logs(
     allow_dash_size: bool = False,
     ingest_ts: dt.datetime | str | None = None,
     column: str = "value",
+    min_partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Access lines to (``LOGS_APP`` rows, quarantine)."""
+    """Access lines to (``LOGS_APP`` rows, quarantine). Under-partitioned input is spread
+    over the cluster first (see ``spread``)."""
+    lines = spread(lines, min_partitions)
     good, bad = split_quarantine(access_records(lines, allow_dash_size=allow_dash_size, column=column), FORMAT_ACCESS)
     return to_logs_app(good, ingest_time(ingest_ts)), bad
 
@@ -161,9 +182,10 @@ def parse_json_logs(raw: DataFrame, *, ingest_ts: dt.datetime | str | None = Non
     return to_logs_app(good, ingest), bad
 
 
-def access_table(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+def access_table(lines: DataFrame, column: str = "value", min_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Access lines to the ``ACCESS_LOGS`` table shape (ident/user/protocol kept, calendar
     partition columns filled), and the quarantine."""
+    lines = spread(lines, min_partitions)
     names = A.ACCESS_TABLE_GROUPS
     m = A.capture_groups(lines.select(F.col(column).alias(RAW)), RAW, A.ACCESS_TABLE_PATTERN, names)
 

@@ -61,14 +61,24 @@ def recreate_table(
     writer.saveAsTable(table)
 
 
-def append(df: DataFrame, table: str, *, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
+def append(
+    df: DataFrame,
+    table: str,
+    *,
+    partition_by: Sequence[str] = (),
+    fmt: str = "parquet",
+    max_records_per_file: int | None = None,
+) -> None:
     """Append to a table (created on first write), partitioned by date.
 
     No shuffle: each task writes the dates its input split holds (the writer sorts a task's
     rows by the partition columns, so one file is open at a time). Clustering by date first
     would send a whole day to one task, the worst case when one day holds most rows.
+    ``max_records_per_file`` caps file size for tasks holding much of one day.
     """
     writer = df.write.mode("append").format(fmt).option("compression", "snappy")
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", str(max_records_per_file))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(table)

@@ -125,6 +125,7 @@ def incremental_ingest(
     json_glob: str = JSON_GLOB,
     fmt: str = "parquet",
     quarantine_path: str | None = None,
+    max_files_per_trigger: int | None = None,
     wait: bool = True,
 ) -> list[StreamingQuery]:
     """Ingest the raw files under ``raw_prefix`` that no earlier run has seen.
@@ -134,10 +135,14 @@ def incremental_ingest(
     partitioned by ``partition_date``) with an ``availableNow`` trigger: each run processes
     what is new, in as many micro-batches as needed, and stops. A second run over the same
     files adds nothing. ``ingestion_timestamp`` is the micro-batch time.
+    ``max_files_per_trigger`` bounds one micro-batch when a large backlog has accumulated.
     """
     base = raw_prefix.rstrip("/")
-    lines = spark.readStream.text(f"{base}/{access_glob}")
-    raw_json = parse_ops.parse_json_values(spark.readStream.text(f"{base}/{json_glob}"))
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    lines = reader.text(f"{base}/{access_glob}")
+    raw_json = parse_ops.parse_json_values(reader.text(f"{base}/{json_glob}"))
     good_a, bad_a = parse_ops.parse_access_logs(lines, allow_dash_size=allow_dash_size)
     good_j, bad_j = parse_ops.parse_json_logs(raw_json)
     good, bad = good_a.unionByName(good_j), bad_a.unionByName(bad_j)
