@@ -17,9 +17,12 @@ def ingest_time(ingest_ts: dt.datetime | str | None = None) -> Column:
     """The ingestion time as UTC ``timestamp_ntz``: a fixed value, or the query start time."""
     if ingest_ts is None:
         return utc_wall_clock(F.current_timestamp())
-    if isinstance(ingest_ts, dt.datetime) and ingest_ts.tzinfo is not None:
-        ingest_ts = ingest_ts.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return F.lit(ingest_ts).cast("timestamp_ntz") if isinstance(ingest_ts, str) else F.lit(ingest_ts)
+    if isinstance(ingest_ts, dt.datetime):
+        if ingest_ts.tzinfo is not None:
+            ingest_ts = ingest_ts.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        ingest_ts = ingest_ts.isoformat(sep=" ")
+    # Text, not a Python datetime literal: that would be read in the session time zone.
+    return F.lit(ingest_ts).cast("timestamp_ntz")
 
 
 def day_literal(as_of: dt.date | str | None) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.sources.files import spread_scan
+
 # ---------------------------------------------------------------------------------------------
 # The derivation rules of the test logs.
 #   k                  number in props, '"k": ([0-9]+)'
@@ -35,8 +37,10 @@ ACCESS_LINE_TIME = "dd/MMM/yyyy:HH:mm:ss"
 # ---------------------------------------------------------------------------------------------
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+def read_events(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
+    """The ``events`` table; a file with fewer splits than the cluster has cores is spread
+    over the cores before the per-row derivations (see ``spread_scan``)."""
+    return spread_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"), min_partitions)
 
 
 def _text(c: Column) -> Column:

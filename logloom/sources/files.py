@@ -20,13 +20,35 @@ def _join(prefix: str, glob: str) -> str:
     return prefix if not glob else prefix.rstrip("/") + "/" + glob
 
 
-def read_access_lines(spark: SparkSession, prefix: str, glob: str = ACCESS_GLOB) -> DataFrame:
+def spread_scan(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows of a fresh file scan over ``min_partitions`` tasks (default: the
+    cluster's default parallelism) when the scan yields fewer splits, so the per-row parsing
+    that follows uses every core.
+
+    Few splits come from unsplittable input (a handful of large ``.gz`` logs) or a single
+    small file. A large folder already has enough splits and is left alone: no shuffle.
+    Counting the splits of a plain scan plans it without running anything; call this only
+    on a scan, not on a DataFrame with a shuffle in it. Streams and ``min_partitions=0``
+    are returned unchanged.
+    """
+    if scan.isStreaming or min_partitions == 0:
+        return scan
+    target = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= target:
+        return scan
+    return scan.repartition(target)
+
+
+def read_access_lines(
+    spark: SparkSession, prefix: str, glob: str = ACCESS_GLOB, min_partitions: int | None = None
+) -> DataFrame:
     """Raw text lines (one ``value`` per line) of the files matching ``prefix/glob``.
 
     Not recursive. Files are split into ``spark.sql.files.maxPartitionBytes`` chunks, so one
-    large log file is read by many tasks (uncompressed or splittable codecs).
+    large log file is read by many tasks (uncompressed or splittable codecs); input with too
+    few splits is spread (``spread_scan``).
     """
-    return spark.read.text(_join(prefix, glob))
+    return spread_scan(spark.read.text(_join(prefix, glob)), min_partitions)
 
 
 def read_json_logs(spark: SparkSession, prefix: str, glob: str = JSON_GLOB) -> DataFrame:
