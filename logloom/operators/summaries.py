@@ -92,11 +92,14 @@ def daily_summary_sources_users(logs: DataFrame, *, approximate: bool = False, s
 
 
 def _hourly(logs, key: str, alias: str, levels, approximate, stamp) -> DataFrame:
+    # Group on the truncated timestamp (8 bytes, no per-row string formatting) and format
+    # only the aggregated rows; ordering by it equals ordering by the formatted text.
     out = (
         logs.where(P.level_in(levels))
-        .groupBy(hour_bucket(F.col("timestamp")).alias("hour"), "level")
+        .groupBy(F.date_trunc("hour", F.col("timestamp")).alias("_hour"), "level")
         .agg(G.row_count("error_count"), G.distinct_count(key, alias, approximate))
-        .orderBy(_desc("hour"), _asc("level"))
+        .orderBy(_desc("_hour"), _asc("level"))
+        .select(hour_bucket(F.col("_hour")).alias("hour"), "level", "error_count", alias)
     )
     return _stamped(out, stamp)
 

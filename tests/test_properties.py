@@ -60,3 +60,26 @@ def test_good_plus_quarantine_equals_input(spark, lines):
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     good, bad = P.parse_access_logs(df, ingest_ts="2031-01-01 00:00:00")
     assert good.count() + bad.count() == len(lines)
+
+
+LEVELS = ["INFO", "WARN", "ERROR", "DEBUG", "FATAL", None]
+log_row = st.tuples(
+    st.datetimes(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)),
+    st.sampled_from(LEVELS),
+    st.sampled_from(["a", "b", "c"]),
+    st.sampled_from(["s1", "s2"]),
+)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(log_row, min_size=1, max_size=40))
+def test_level_counts_never_exceed_totals(spark, rows):
+    from logloom.operators import summaries as Q
+
+    logs = spark.createDataFrame(rows, "timestamp timestamp_ntz, level string, logger string, source string")
+    for r in Q.logger_activity_summary(logs).collect():
+        assert r["error_count"] + r["warn_count"] + r["info_count"] <= r["total_logs"]
+    for r in Q.source_activity_summary(logs).collect():
+        assert r["error_count"] + r["warn_count"] + r["info_count"] + r["debug_count"] <= r["total_logs"]
+    assert sum(r["count"] for r in Q.level_distribution(logs).collect()) == len(rows)
+    assert Q.total_count(logs).collect()[0]["total_records"] == len(rows)
