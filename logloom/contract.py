@@ -318,4 +318,20 @@ def write_queries() -> dict[str, Query]:
         "aggregation_fallback": aggregation_fallback,
         "app_summary_tables": app_summary_tables,
         "sql_script": sql_script,
+        "daily_refresh": daily_refresh,
     }
+
+
+def daily_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily summaries built from the logs before 2024-01-20, then the rest of the logs
+    appended and only the days from 2024-01-19 on recomputed (dynamic partition overwrite);
+    the table read back equals a full rebuild."""
+    db = _database(spark)
+    source = f"{db}.logs"
+    service = _service_logs(spark, sf_dir)
+    cut = F.col("date_partition") < F.lit("2024-01-20").cast("date")
+    tables.append(service.where(cut), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    pipelines.refresh_daily_summaries(spark, source, db, days=10_000, as_of="2024-01-19")
+    tables.append(service.where(~cut), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    pipelines.refresh_daily_summaries(spark, source, db, days=11, as_of="2024-01-30")
+    return spark.table(f"{db}.daily_log_summary")

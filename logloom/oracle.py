@@ -304,6 +304,9 @@ FROM logs WHERE date_partition >= DATE '{AS_OF}' - 7""",
         "aggregation_service": L + _counts(service),
         "aggregation_fallback": L + _counts(fallback),
         "app_summary_tables": L + _counts(app),
+        "daily_refresh": L + """SELECT date_partition, level, count(*) AS log_count,
+  count(DISTINCT source) AS unique_sources, count(DISTINCT user_id) AS unique_users
+FROM logs GROUP BY date_partition, level""",
         "sql_script": L + """SELECT 1 AS statement_index, CAST(0 AS BIGINT) AS row_count, true AS success
 UNION ALL SELECT 2, (SELECT count(*) FROM (SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN')
                                            GROUP BY level, logger, message) q), true

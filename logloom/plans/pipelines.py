@@ -149,6 +149,44 @@ def run_aggregation(
     return result
 
 
+# Date-grouped summaries that can be refreshed day by day: name -> (query, date column).
+DAILY_SUMMARIES = {
+    "app": {"daily_log_summary": (Q.daily_summary_loggers, schemas.LOGS_APP_PARTITION)},
+    "service": {
+        "daily_log_summary": (Q.daily_summary_sources_users, schemas.LOGS_SERVICE_PARTITION),
+        "daily_summary": (Q.daily_level_counts, schemas.LOGS_SERVICE_PARTITION),
+    },
+}
+
+
+def refresh_daily_summaries(
+    spark: SparkSession,
+    source_table: str,
+    database: str,
+    *,
+    kind: str = "service",
+    days: int = 1,
+    as_of: dt.date | str | None = None,
+    fmt: str = "parquet",
+) -> list[str]:
+    """Recompute the date-grouped summaries for the last ``days`` days (up to ``as_of``) and
+    replace only those date partitions of the summary tables.
+
+    The source is read with a partition filter, so a daily run reads one or two days of logs
+    instead of the whole history; older summary partitions are kept as they are. A first
+    run should cover all days (or use ``run_aggregation``), since absent days are not built.
+    """
+    from logloom.functions.predicates import within_days
+
+    T.create_database(spark, database)
+    written = []
+    for name, (query, date_column) in DAILY_SUMMARIES[kind].items():
+        recent = spark.table(source_table).where(within_days(date_column, days, as_of))
+        T.overwrite_partitions(query(recent), f"{database}.{name}", partition_by=[date_column], fmt=fmt)
+        written.append(f"{database}.{name}")
+    return written
+
+
 def table_report(spark: SparkSession, table: str, n: int = 10) -> dict[str, DataFrame]:
     """The frames of a table check: tables of its database, its columns, row count, sample
     rows and level distribution. Nothing runs until a frame is used."""

@@ -102,6 +102,27 @@ def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_
     writer2.createOrReplace()
 
 
+def overwrite_partitions(df: DataFrame, table: str, *, partition_by: Sequence[str], fmt: str = "parquet") -> None:
+    """Replace only the partitions of ``table`` that ``df`` has rows for (dynamic partition
+    overwrite); other partitions stay as they are. The table is created, partitioned by
+    ``partition_by``, on first use. ``df`` must not read ``table`` itself."""
+    spark = df.sparkSession
+    if not table_exists(spark, table):
+        df.write.format(fmt).partitionBy(*partition_by).saveAsTable(table)
+        return
+    ordered = df.select(*spark.table(table).columns)  # insertInto matches columns by position
+    key = "spark.sql.sources.partitionOverwriteMode"
+    previous = spark.conf.get(key, None)
+    spark.conf.set(key, "dynamic")  # insertInto reads the mode from the session, not the writer
+    try:
+        ordered.write.insertInto(table, overwrite=True)
+    finally:
+        if previous is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, previous)
+
+
 def table_exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 

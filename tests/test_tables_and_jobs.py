@@ -162,3 +162,32 @@ def test_table_report(spark):
     assert rep["sample"].count() == 5
     assert sum(r["count"] for r in rep["levels"].collect()) == 50
     assert rep["tables"].where("NOT isTemporary").count() == 1 and rep["schema"].count() >= 10
+
+
+def test_overwrite_partitions_keeps_other_days(spark):
+    db = _db()
+    T.create_database(spark, db)
+    rows = [(dt.date(2024, 1, d), "INFO", d) for d in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "date_partition date, level string, log_count int")
+    T.overwrite_partitions(df, f"{db}.s", partition_by=["date_partition"])
+    T.overwrite_partitions(df.where("date_partition = date'2024-01-03'").selectExpr("date_partition", "level", "99 AS log_count"),
+                           f"{db}.s", partition_by=["date_partition"])
+    got = {r["date_partition"].day: r["log_count"] for r in spark.table(f"{db}.s").collect()}
+    assert got == {1: 1, 2: 2, 3: 99}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "STATIC"
+
+
+def test_refresh_daily_summaries_equals_full_build(spark):
+    db = _db()
+    src = f"{db}.logs"
+    early = generate_service_logs(spark, 400, seed=5, now="2024-01-10 12:00:00", batch_id="a")
+    late = generate_service_logs(spark, 400, seed=6, now="2024-01-11 12:00:00", batch_id="b")
+    T.create_database(spark, db)
+    T.append(early, src, partition_by=["date_partition"])
+    J.refresh_daily_summaries(spark, src, db, days=365, as_of="2024-01-11")
+    T.append(late, src, partition_by=["date_partition"])
+    J.refresh_daily_summaries(spark, src, db, days=1, as_of="2024-01-11")
+    full = Q.daily_level_counts(spark.table(src))
+    assert sorted(map(tuple, spark.table(f"{db}.daily_summary").select(*full.columns).collect())) == sorted(
+        map(tuple, full.collect())
+    )
