@@ -239,7 +239,9 @@ def service_lake_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     (only those partitions are listed and read)."""
     path = _scratch(spark, "service-lake")
     tables.overwrite_path(_service_logs(spark, sf_dir), path, partition_by=[schemas.LOGS_SERVICE_PARTITION])
-    return read_lake(spark, path, date_column=schemas.LOGS_SERVICE_PARTITION, days=7, as_of=AS_OF)
+    return read_lake(
+        spark, path, date_column=schemas.LOGS_SERVICE_PARTITION, days=7, as_of=AS_OF, schema=schemas.LOGS_SERVICE
+    )
 
 
 def _service_source(spark: SparkSession, sf_dir: str) -> tuple[str, str]:

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logloom import schemas
 from logloom.functions.timeutil import day_literal
@@ -119,10 +120,15 @@ def read_lake(
     days: int | None = None,
     as_of: dt.date | str | None = None,
     fmt: str = "parquet",
+    schema: StructType | str | None = None,
 ) -> DataFrame:
     """A partitioned table read straight from its folder. With ``days``, only the partitions
-    of the last ``days`` days (up to ``as_of``) are listed and read (partition pruning)."""
-    df = spark.read.format(fmt).load(path)
+    of the last ``days`` days (up to ``as_of``) are listed and read (partition pruning).
+    A declared ``schema`` (including the partition column) saves the schema-inference job."""
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.load(path)
     if days is not None:
         df = df.where(F.col(date_column) >= F.date_sub(day_literal(as_of), days))
     return df
