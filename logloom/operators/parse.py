@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logloom import schemas
@@ -19,6 +19,7 @@ from logloom.functions.timeutil import ingest_time
 
 REASON = "_reason"
 RAW = "_raw"
+FORMAT = "_format"
 
 # ---------------------------------------------------------------------------------------------
 # Quarantine reasons and reader names.
@@ -120,28 +121,40 @@ def to_logs_app(records: DataFrame, ingest_ts: Column) -> DataFrame:
     return records.select(*cols)
 
 
-def split_quarantine(records: DataFrame, fmt: str) -> tuple[DataFrame, DataFrame]:
+def split_quarantine(records: DataFrame, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(good records without the helper columns, quarantined ``(format, value, reason)``).
 
+    ``fmt`` names the input format; without it, each record's ``_format`` column is used.
     Each side keeps its rows with ``inline`` of a zero-or-one element array rather than a
     ``where``: a filter on ``_reason`` would be pushed below the parsing projection with the
     whole parse inlined into it, so every line would be parsed twice. A generator's output
     cannot be pushed through, so the parse runs once per line for each side.
     """
-    fields = [c for c in records.columns if c not in (REASON, RAW)]
+    fields = [c for c in records.columns if c not in (REASON, RAW, FORMAT)]
     keep = F.col(REASON).isNull()
+    fmt_col = F.lit(fmt) if fmt is not None else F.col(FORMAT)
     good = records.select(F.inline(F.when(keep, F.array(F.struct(*fields)))))
     bad = records.select(
         F.inline(
             F.when(
                 ~keep,
-                F.array(F.struct(F.lit(fmt).alias("format"), F.col(RAW).alias("value"), F.col(REASON).alias("reason"))),
+                F.array(F.struct(fmt_col.alias("format"), F.col(RAW).alias("value"), F.col(REASON).alias("reason"))),
             )
         )
     )
     return good, bad
 
 
+def count_lines(records: DataFrame, observation: Observation) -> DataFrame:
+    """Attach counts of all lines and of quarantined lines to the parsed records; they are
+    filled by whichever job first runs a plan built on the result (no extra pass)."""
+    return records.observe(
+        observation,
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col(REASON).isNotNull()).alias("quarantined"),
+    )
+
+
 def parse_access_logs(
     lines: DataFrame,
     *,

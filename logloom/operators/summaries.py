@@ -35,11 +35,11 @@ def _asc(name: str) -> Column:
     return F.col(name).asc_nulls_first()
 
 
-def _stamped(df: DataFrame, stamp: Stamp) -> DataFrame:
+def _stamped(df: DataFrame, stamp: Stamp, name: str = "aggregation_timestamp") -> DataFrame:
     if stamp is None:
         return df
     value = ingest_time(None if stamp == "now" else stamp)
-    return df.withColumn("aggregation_timestamp", value)
+    return df.withColumn(name, value)
 
 
 def _top_errors(logs, key: str, limit: int, levels: Sequence[str], stamp: Stamp) -> DataFrame:
@@ -202,24 +202,24 @@ def ip_address_analysis(logs: DataFrame, *, limit: int = 500, approximate: bool
 
 
 def error_summary(logs: DataFrame, *, levels: Sequence[str] = P.ERROR_WARN, stamp: Stamp = None) -> DataFrame:
-    """Q12: error-ish rows per (level, source): count and latest."""
+    """Q12: error-ish rows per (level, source): count and latest (stamp column ``created_at``)."""
     out = (
         logs.where(P.level_in(levels))
         .groupBy("level", "source")
         .agg(G.row_count("error_count"), G.latest("timestamp", "latest_occurrence"))
         .orderBy(_desc("error_count"), _asc("level"), _asc("source"))
     )
-    return _stamped(out, stamp)
+    return _stamped(out, stamp, "created_at")
 
 
 def daily_level_counts(logs: DataFrame, *, date_column: str = "date_partition", stamp: Stamp = None) -> DataFrame:
-    """Q13: rows per (day, level)."""
+    """Q13: rows per (day, level) (stamp column ``created_at``)."""
     out = (
         logs.groupBy(date_column, "level")
         .agg(G.row_count("log_count"))
         .orderBy(_desc(date_column), _asc("level"))
     )
-    return _stamped(out, stamp)
+    return _stamped(out, stamp, "created_at")
 
 
 def level_distribution(logs: DataFrame) -> DataFrame:

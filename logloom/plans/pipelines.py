@@ -41,21 +41,24 @@ def ingest_logs(
     """Parse the access and JSON logs under ``raw_prefix`` and append them to ``table``
     (``LOGS_APP``, partitioned by ``partition_date``), creating database and table if needed.
 
-    The good rows are written by one job and counted on the way with ``observe`` (no extra
-    count pass). With ``quarantine_table``, the set-aside lines are appended there by a
-    second job. Missing input raises; nothing is invented.
+    One job reads, parses and writes the good rows, and counts all lines and the quarantined
+    ones on the way (``observe``: no extra count pass). With ``quarantine_table``, the
+    set-aside lines are appended there by a second pass over the input, which runs only when
+    the first job found any. Missing input raises; nothing is invented.
     """
     if "." in table:
         T.create_database(spark, table.rsplit(".", 1)[0])
     T.create_table(spark, table, schemas.LOGS_APP, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt)
-    good, bad = read_logs(spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts)
-    good, seen = _counted(good, "ingest")
+    seen = Observation("ingest")
+    good, bad = read_logs(
+        spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts, observation=seen
+    )
     T.append(good, table, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt)
-    result = IngestResult(int(seen.get["rows"]))
-    if quarantine_table:
-        bad, seen_bad = _counted(bad, "quarantine")
+    counts = seen.get
+    quarantined = int(counts["quarantined"])
+    result = IngestResult(int(counts["lines"]) - quarantined, quarantined)
+    if quarantine_table and quarantined:
         T.append(bad, quarantine_table, fmt=fmt)
-        result.rows_quarantined = int(seen_bad.get["rows"])
     return result
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from logloom import schemas
-from logloom.functions.timeutil import day_literal
+from logloom.functions.timeutil import day_literal, ingest_time
 from logloom.operators import parse as parse_ops
 
 ACCESS_GLOB = "*.log"
@@ -81,30 +82,37 @@ def read_logs(
     ingest_ts: dt.datetime | str | None = None,
     access_glob: str = ACCESS_GLOB,
     json_glob: str = JSON_GLOB,
+    observation: Observation | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Access lines and JSON lines under ``prefix`` to (``LOGS_APP`` rows, quarantine).
 
     ``prefer="both"`` (default) parses both kinds and unions them. ``prefer="apache"`` keeps
     the older rule: JSON files are read only when there is no access line at all (this costs
-    one small job to look for a first line). Raises when neither kind of file exists.
+    one small job to look for a first line). Raises when neither kind of file exists. With
+    ``observation``, the first job that runs either output also counts all input lines
+    (``lines``) and the quarantined ones (``quarantined``).
     """
     lines = _or_none(lambda: read_access_lines(spark, prefix, access_glob))
-    records = _or_none(lambda: read_json_logs(spark, prefix, json_glob))
+    values = _or_none(lambda: read_access_lines(spark, prefix, json_glob))
     if prefer == "apache" and lines is not None and not lines.isEmpty():
-        records = None
+        values = None
     elif prefer not in ("both", "apache"):
         raise ValueError(f"prefer must be 'both' or 'apache', not {prefer!r}")
+    ingest = ingest_time(ingest_ts)
     parts = []
     if lines is not None:
-        parts.append(parse_ops.parse_access_logs(lines, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts))
-    if records is not None:
-        parts.append(parse_ops.parse_json_logs(records, ingest_ts=ingest_ts))
+        recs = parse_ops.access_records(lines, allow_dash_size=allow_dash_size)
+        parts.append(recs.withColumn(parse_ops.FORMAT, F.lit(parse_ops.FORMAT_ACCESS)))
+    if values is not None:
+        recs = parse_ops.json_records(parse_ops.parse_json_values(values), ingest)
+        parts.append(recs.withColumn(parse_ops.FORMAT, F.lit(parse_ops.FORMAT_JSON)))
     if not parts:
         raise FileNotFoundError(f"no {access_glob} or {json_glob} files under {prefix}")
-    good, bad = parts[0]
-    for g, b in parts[1:]:
-        good, bad = good.unionByName(g), bad.unionByName(b)
-    return good, bad
+    records = reduce(DataFrame.unionByName, parts)
+    if observation is not None:
+        records = parse_ops.count_lines(records, observation)
+    good, bad = parse_ops.split_quarantine(records)
+    return parse_ops.to_logs_app(good, ingest), bad
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

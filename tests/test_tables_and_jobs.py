@@ -93,7 +93,7 @@ def test_build_tables_skip_keeps_existing(spark):
     written = T.build_tables(spark, logs, db, {"error_summary": Q.error_summary}, if_exists="skip")
     assert written == [f"{db}.error_summary"]
     assert T.build_tables(spark, logs, db, {"error_summary": Q.error_summary}, if_exists="skip") == []
-    assert "aggregation_timestamp" in spark.table(f"{db}.error_summary").columns
+    assert "created_at" in spark.table(f"{db}.error_summary").columns
 
 
 def test_generator_is_deterministic_and_distributed(spark):
@@ -191,3 +191,15 @@ def test_refresh_daily_summaries_equals_full_build(spark):
     assert sorted(map(tuple, spark.table(f"{db}.daily_summary").select(*full.columns).collect())) == sorted(
         map(tuple, full.collect())
     )
+
+
+def test_clean_input_needs_no_quarantine_pass(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.log").write_text("\n".join(ACCESS.format(i=i, status=200) for i in range(1, 4)) + "\n")
+    db = _db()
+    sc = spark.sparkContext
+    sc.setJobGroup("clean-ingest", "clean")
+    res = J.ingest_logs(spark, str(raw), f"{db}.logs", ingest_ts="2025-09-01 00:00:00", quarantine_table=f"{db}.rejects")
+    assert (res.rows_written, res.rows_quarantined) == (3, 0)
+    assert not T.table_exists(spark, f"{db}.rejects")
