@@ -24,11 +24,12 @@ def _join(prefix: str, glob: str) -> str:
 
 def spread_scan(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin the rows of a fresh file scan over ``min_partitions`` tasks (default: the
-    cluster's default parallelism) when the scan yields fewer splits, so the per-row parsing
-    that follows uses every core.
+    cluster's default parallelism) when the scan would keep fewer than a quarter of them
+    busy, so the per-row parsing that follows uses the cluster.
 
     Few splits come from unsplittable input (a handful of large ``.gz`` logs) or a single
-    small file. A large folder already has enough splits and is left alone: no shuffle.
+    small file. An input with enough splits to occupy a good part of the cluster is left
+    alone: there the shuffle of raw text would cost more than the extra parallelism gains.
     Counting the splits of a plain scan plans it without running anything; call this only
     on a scan, not on a DataFrame with a shuffle in it. Streams and ``min_partitions=0``
     are returned unchanged.
@@ -36,7 +37,7 @@ def spread_scan(scan: DataFrame, min_partitions: int | None = None) -> DataFrame
     if scan.isStreaming or min_partitions == 0:
         return scan
     target = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= target:
+    if scan.rdd.getNumPartitions() * 4 >= target:
         return scan
     return scan.repartition(target)
 

@@ -108,3 +108,13 @@ def test_read_logs_union_and_prefer(spark, tmp_path):
 def test_read_logs_without_input_raises(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_logs(spark, str(tmp_path))
+
+
+def test_spread_scan_only_for_few_splits(spark, tmp_path):
+    (tmp_path / "one.log").write_text("a\nb\n")
+    scan = spark.read.text(str(tmp_path / "one.log"))
+    spread = files.spread_scan(scan, min_partitions=8)
+    assert spread.rdd.getNumPartitions() == 8
+    assert files.spread_scan(scan, min_partitions=4).rdd.getNumPartitions() == 1  # 1 split keeps 1/4 busy
+    assert files.spread_scan(scan, min_partitions=0) is scan
+    assert sorted(r[0] for r in spread.collect()) == ["a", "b"]
