@@ -20,7 +20,13 @@ from logloom.operators import summaries as Q
 from logloom.plans import pipelines, tables
 from logloom.plans import script as script_ops
 from logloom.session import shared_dir
-from logloom.sources.events import event_access_lines, event_json_lines, event_logs, read_events
+from logloom.sources.events import (
+    event_access_lines,
+    event_json_lines,
+    event_logs,
+    event_simple_records,
+    read_events,
+)
 from logloom.sources.files import read_json_logs, read_lake, read_logs, read_table
 from logloom.streaming import ingest as stream_ops
 
@@ -305,6 +311,15 @@ def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script_ops.report_frame(spark, results).select("statement_index", "row_count", "success")
 
 
+def simple_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple-log rows with text times -> parsed -> a replaced (create-or-replace) table,
+    read back."""
+    table = f"{_database(spark)}.simple_logs"
+    rows = parse_ops.to_logs_simple(event_simple_records(read_events(spark, sf_dir)), ingest_ts=INGEST_TS)
+    tables.replace_table(rows, table)
+    return read_table(spark, table)
+
+
 def write_queries() -> dict[str, Query]:
     return {
         "json_logs": json_logs,
@@ -321,6 +336,7 @@ def write_queries() -> dict[str, Query]:
         "app_summary_tables": app_summary_tables,
         "sql_script": sql_script,
         "daily_refresh": daily_refresh,
+        "simple_logs": simple_logs,
     }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logloom import schemas
 from logloom.functions import access as A
-from logloom.functions.normalize import calendar_columns, day_of, record_time, with_default
+from logloom.functions.normalize import calendar_columns, day_of, record_time, simple_time, with_default
 from logloom.functions.timeutil import ingest_time
 
 REASON = "_reason"
@@ -212,3 +212,23 @@ def access_table(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Da
         reason.alias(REASON),
     )
     return split_quarantine(records, FORMAT_ACCESS)
+
+
+def to_logs_simple(
+    records: DataFrame,
+    *,
+    time_column: str = "timestamp_str",
+    fmt: str = "yyyy-MM-dd HH:mm:ss",
+    ingest_ts: dt.datetime | str | None = None,
+) -> DataFrame:
+    """Rows with a text time (``time_column``), level, service, message and metadata to the
+    ``LOGS_SIMPLE`` shape: the text is parsed (NULL when unreadable) and dropped, and the
+    ingestion time is added. ``metadata`` stays JSON text."""
+    return records.select(
+        simple_time(F.col(time_column), fmt).alias("timestamp"),
+        "level",
+        "service",
+        "message",
+        "metadata",
+        ingest_time(ingest_ts).alias("ingestion_time"),
+    )

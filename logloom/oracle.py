@@ -15,7 +15,7 @@ from logloom.functions.access import (
 )
 
 EVENTS_CTE = """ev AS (
-  SELECT event_id AS eid, user_id AS uid, event_type, ts,
+  SELECT event_id AS eid, user_id AS uid, event_type, ts, props,
          regexp_extract(props, '"k": ([0-9]+)', 1) AS k
   FROM events
 )"""
@@ -41,7 +41,7 @@ logs AS (
          CAST(uid AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
          CASE WHEN eid % 25 <> 0
               THEN '10.0.' || CAST(uid % 16 AS VARCHAR) || '.' || CAST(uid % 251 AS VARCHAR) END AS ip_address,
-         eid
+         eid, props
   FROM ev
 )"""
 
@@ -304,6 +304,9 @@ FROM logs WHERE date_partition >= DATE '{AS_OF}' - 7""",
         "aggregation_service": L + _counts(service),
         "aggregation_fallback": L + _counts(fallback),
         "app_summary_tables": L + _counts(app),
+        "simple_logs": L + f"""SELECT date_trunc('second', "timestamp") AS "timestamp",
+  level, source AS service, message, props AS metadata, TIMESTAMP '{INGEST_TS}' AS ingestion_time
+FROM logs""",
         "daily_refresh": L + """SELECT date_partition, level, count(*) AS log_count,
   count(DISTINCT source) AS unique_sources, count(DISTINCT user_id) AS unique_users
 FROM logs GROUP BY date_partition, level""",

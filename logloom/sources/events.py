@@ -142,3 +142,16 @@ def event_json_lines(events: DataFrame) -> DataFrame:
     fields = [c for c in recs.columns if c != "event_id"]
     line = F.when(F.col("event_id") % 50 == 0, F.lit(GARBAGE_LINE)).otherwise(F.to_json(F.struct(*fields)))
     return recs.select(line.alias("value"))
+
+
+def event_simple_records(events: DataFrame) -> DataFrame:
+    """Simple-log input rows: ``timestamp_str`` as ``yyyy-MM-dd HH:mm:ss`` text, level,
+    service (the source), message and metadata (the ``props`` JSON text)."""
+    logs = event_logs(events, keep=("props",))
+    return logs.select(
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp_str"),
+        "level",
+        F.col("source").alias("service"),
+        "message",
+        F.col("props").alias("metadata"),
+    )
