@@ -68,6 +68,8 @@ def append(
     partition_by: Sequence[str] = (),
     fmt: str = "parquet",
     max_records_per_file: int | None = None,
+    sort_within: Sequence[str] = (),
+    rebalance: bool = False,
 ) -> None:
     """Append to a table (created on first write), partitioned by date.
 
@@ -75,7 +77,19 @@ def append(
     rows by the partition columns, so one file is open at a time). Clustering by date first
     would send a whole day to one task, the worst case when one day holds most rows.
     ``max_records_per_file`` caps file size for tasks holding much of one day.
+    ``sort_within`` extends that per-task sort (no shuffle) with more columns, e.g.
+    ``level``: row groups then hold few levels, and level filters skip row groups by their
+    min/max statistics.
+
+    ``rebalance=True`` trades one shuffle for fewer, fuller files: rows are regrouped by the
+    partition columns with an AQE rebalance, which targets
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` per task and splits a skewed (hot)
+    date over several tasks instead of sending it to one.
     """
+    if rebalance and partition_by:
+        df = df.hint("rebalance", *partition_by)
+    if sort_within:
+        df = df.sortWithinPartitions(*partition_by, *sort_within)
     writer = df.write.mode("append").format(fmt).option("compression", "snappy")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", str(max_records_per_file))

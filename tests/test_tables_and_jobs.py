@@ -203,3 +203,15 @@ def test_clean_input_needs_no_quarantine_pass(spark, tmp_path):
     res = J.ingest_logs(spark, str(raw), f"{db}.logs", ingest_ts="2025-09-01 00:00:00", quarantine_table=f"{db}.rejects")
     assert (res.rows_written, res.rows_quarantined) == (3, 0)
     assert not T.table_exists(spark, f"{db}.rejects")
+
+
+def test_append_rebalance_and_sorted_layout(spark, tmp_path):
+    db = _db()
+    T.create_database(spark, db, location=str(tmp_path / "db"))
+    logs = generate_service_logs(spark, 2000, seed=9, now="2024-01-30 12:00:00", batch_id="b", partitions=8)
+    T.append(logs, f"{db}.plain", partition_by=["date_partition"], sort_within=["level"])
+    T.append(logs, f"{db}.packed", partition_by=["date_partition"], sort_within=["level"], rebalance=True)
+    files = lambda t: len(list((tmp_path / "db" / t).glob("*/*.parquet")))
+    assert files("packed") < files("plain")
+    a = sorted(map(tuple, spark.table(f"{db}.plain").collect()))
+    assert a == sorted(map(tuple, spark.table(f"{db}.packed").collect()))
