@@ -115,7 +115,11 @@ class AggregationResult:
     table_counts: list[tuple[str, int]] = field(default_factory=list)
 
 
-FALLBACK_SUMMARIES = {"error_summary": Q.error_summary, "daily_summary": Q.daily_level_counts}
+# Tables built (only if absent) when neither a script nor a summary kind is given.
+FALLBACK_SUMMARIES = {
+    "service": {"error_summary": Q.error_summary, "daily_summary": Q.daily_level_counts},
+    "app": {"top_errors_by_count": Q.top_errors_by_logger, "daily_log_summary": Q.daily_summary_loggers},
+}
 
 
 def run_aggregation(
@@ -125,6 +129,7 @@ def run_aggregation(
     *,
     script: str | None = None,
     kind: str | None = None,
+    fallback: str = "service",
     min_success_rate: float = 0.5,
     empty_script_ok: bool = False,
     fmt: str = "parquet",
@@ -134,8 +139,8 @@ def run_aggregation(
     Order: check the source (missing: failure; empty: success, nothing done); then run
     ``script`` (SQL, statement by statement; failure when fewer than ``min_success_rate``
     succeed), or build the DataFrame summaries of ``kind`` (``"app"`` or ``"service"``)
-    with full refresh, or, with neither, create the two fallback tables (error summary,
-    daily counts) only if absent. Ends with the row count of every table but the source.
+    with full refresh, or, with neither, create the two ``fallback`` tables only if absent
+    (``"service"``: error summary and daily counts; ``"app"``: top errors and daily summary). Ends with the row count of every table but the source.
     """
     ok, rows = verify_source(spark, source_table)
     if not ok:
@@ -152,7 +157,7 @@ def run_aggregation(
         result.tables_written = T.build_tables(spark, spark.table(source_table), database, summaries, fmt=fmt)
     else:
         result.tables_written = T.build_tables(
-            spark, spark.table(source_table), database, FALLBACK_SUMMARIES, if_exists="skip", fmt=fmt
+            spark, spark.table(source_table), database, FALLBACK_SUMMARIES[fallback], if_exists="skip", fmt=fmt
         )
     source_name = source_table.rsplit(".", 1)[-1]
     counts = T.table_row_counts(spark, database, exclude=(source_name,)).collect()  # one row per table

@@ -196,6 +196,11 @@ def current_database(spark: SparkSession) -> str:
     return spark.catalog.currentDatabase()
 
 
+def use_database(spark: SparkSession, name: str) -> None:
+    """Make ``name`` the current database (``USE``)."""
+    spark.catalog.setCurrentDatabase(name)
+
+
 def table_row_counts(spark: SparkSession, database: str, exclude: Iterable[str] = ("logs",)) -> DataFrame:
     """(table_name, row_count) of every table of ``database`` except ``exclude``, as one job.
 

@@ -215,3 +215,19 @@ def test_append_rebalance_and_sorted_layout(spark, tmp_path):
     assert files("packed") < files("plain")
     a = sorted(map(tuple, spark.table(f"{db}.plain").collect()))
     assert a == sorted(map(tuple, spark.table(f"{db}.packed").collect()))
+
+
+def test_app_fallback_tables_and_use_database(spark):
+    db = _db()
+    T.create_database(spark, db)
+    rows = [(dt.datetime(2024, 1, 1, h), lvl, "m", f"lg{h % 2}", dt.date(2024, 1, 1)) for h, lvl in enumerate(["ERROR", "WARN", "INFO"] * 3)]
+    logs = spark.createDataFrame(rows, "timestamp timestamp_ntz, level string, message string, logger string, partition_date date")
+    T.append(logs, f"{db}.logs", partition_by=["partition_date"])
+    out = J.run_aggregation(spark, f"{db}.logs", db, fallback="app")
+    assert out.success and sorted(n for n, _ in out.table_counts) == ["daily_log_summary", "top_errors_by_count"]
+    before = T.current_database(spark)
+    T.use_database(spark, db)
+    try:
+        assert T.current_database(spark) == db and spark.table("top_errors_by_count").count() == 4
+    finally:
+        T.use_database(spark, before)
