@@ -4,7 +4,7 @@
     python -m logloom incremental RAW_PREFIX SINK_PATH CHECKPOINT [--quarantine PATH]
     python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"]
     python -m logloom generate analytics.service_logs [--rows 1000]
-    python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service]
+    python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service | --fallback app|service]
     python -m logloom report analytics.logs
 
 Exit status is 0 on success and 1 on failure. Cluster settings come from spark-submit.
@@ -58,6 +58,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("database")
     a.add_argument("--script", help="SQL file run statement by statement")
     a.add_argument("--kind", choices=["app", "service"])
+    a.add_argument("--fallback", choices=["app", "service"], default="service",
+                   help="tables built (if absent) when neither --script nor --kind is given")
 
     a = sub.add_parser("report", help="print a table check")
     a.add_argument("table")
@@ -101,7 +103,9 @@ def main(argv: list[str] | None = None) -> int:
         from logloom.plans.pipelines import run_aggregation
 
         script = Path(args.script).read_text() if args.script else None
-        res = run_aggregation(spark, args.source_table, args.database, script=script, kind=args.kind)
+        res = run_aggregation(
+            spark, args.source_table, args.database, script=script, kind=args.kind, fallback=args.fallback
+        )
         ok = res.success
         print(json.dumps({
             "success": res.success, "source_rows": res.source_rows, "tables": res.table_counts,
