@@ -61,3 +61,18 @@ def test_watermark_is_declared(spark, tmp_path):
     good, _ = S.parse_stream_values(S.stream_source(spark, str(tmp_path)))
     assert good.isStreaming
     assert "EventTimeWatermark" in good._jdf.queryExecution().logical().toString()
+
+
+def test_processing_time_trigger_picks_up_new_files(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text(json.dumps(REC) + "\n")
+    sink, ck = str(tmp_path / "sink"), str(tmp_path / "ck")
+    (query,) = S.streaming_ingest(S.stream_source(spark, str(src)), sink, ck, trigger="1 second")
+    try:
+        query.processAllAvailable()
+        (src / "b.txt").write_text(json.dumps({**REC, "level": "INFO"}) + "\n")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r["level"] for r in spark.read.parquet(sink).collect()) == ["ERROR", "INFO"]

@@ -231,3 +231,13 @@ def test_app_fallback_tables_and_use_database(spark):
         assert T.current_database(spark) == db and spark.table("top_errors_by_count").count() == 4
     finally:
         T.use_database(spark, before)
+
+
+def test_scale_conf():
+    from logloom.session import scale_conf
+
+    big = scale_conf(100 << 40, 8000)  # 100 TB on 8000 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    small = scale_conf(10 << 20, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert int(scale_conf(1 << 40, 1000)["spark.sql.shuffle.partitions"]) == 4096
