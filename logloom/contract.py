@@ -190,21 +190,15 @@ def _database(spark: SparkSession) -> str:
 
 
 def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch ingest job into a new partitioned table, then the table read back."""
+    """Batch ingest job into a new partitioned table (rejects to a second table), then the
+    table read back."""
     prefix = _write_raw(spark, sf_dir)
-    table = f"{_database(spark)}.logs"
-    _ingest_into(spark, prefix, table)
-    return read_table(spark, table).select(*[f.name for f in schemas.LOGS_APP.fields])
-
-
-def _ingest_into(spark: SparkSession, prefix: str, table: str) -> None:
-    from logloom.sources import files
-
-    tables.create_table(spark, table, schemas.LOGS_APP, partition_by=[schemas.LOGS_APP_PARTITION])
-    good, _ = files.read_logs(
-        spark, prefix, ingest_ts=INGEST_TS, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB
+    db = _database(spark)
+    pipelines.ingest_logs(
+        spark, prefix, f"{db}.logs", ingest_ts=INGEST_TS, quarantine_table=f"{db}.rejects",
+        access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB,
     )
-    tables.append(good, table, partition_by=[schemas.LOGS_APP_PARTITION])
+    return read_table(spark, f"{db}.logs").select(*[f.name for f in schemas.LOGS_APP.fields])
 
 
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from logloom import schemas
 from logloom.operators import summaries as Q
 from logloom.plans import script as S
 from logloom.plans import tables as T
-from logloom.sources.files import read_logs
+from logloom.sources.files import ACCESS_GLOB, JSON_GLOB, read_logs
 from logloom.sources.generate import generate_service_logs
 
 
@@ -43,6 +43,8 @@ def ingest_logs(
     fmt: str = "parquet",
     quarantine_table: str | None = None,
     rebalance: bool = False,
+    access_glob: str = ACCESS_GLOB,
+    json_glob: str = JSON_GLOB,
 ) -> IngestResult:
     """Parse the access and JSON logs under ``raw_prefix`` and append them to ``table``
     (``LOGS_APP``, partitioned by ``partition_date``), creating database and table if needed.
@@ -59,7 +61,8 @@ def ingest_logs(
     T.create_table(spark, table, schemas.LOGS_APP, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt)
     seen = Observation("ingest")
     good, bad = read_logs(
-        spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts, observation=seen
+        spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts, observation=seen,
+        access_glob=access_glob, json_glob=json_glob,
     )
     T.append(good, table, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt, sort_within=LAYOUT_SORT, rebalance=rebalance)
     counts = seen.get
