@@ -5,6 +5,7 @@
     python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"]
     python -m logloom generate analytics.service_logs [--rows 1000]
     python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service | --fallback app|service]
+    python -m logloom refresh analytics.logs analytics [--kind app|service] [--days 1]
     python -m logloom report analytics.logs
 
 Exit status is 0 on success and 1 on failure. Cluster settings come from spark-submit.
@@ -61,6 +62,12 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--fallback", choices=["app", "service"], default="service",
                    help="tables built (if absent) when neither --script nor --kind is given")
 
+    a = sub.add_parser("refresh", help="recompute the date-grouped summaries of the last days")
+    a.add_argument("source_table")
+    a.add_argument("database")
+    a.add_argument("--kind", choices=["app", "service"], default="service")
+    a.add_argument("--days", type=int, default=1)
+
     a = sub.add_parser("report", help="print a table check")
     a.add_argument("table")
     return p
@@ -111,6 +118,12 @@ def main(argv: list[str] | None = None) -> int:
             "success": res.success, "source_rows": res.source_rows, "tables": res.table_counts,
             "failed_statements": [s.statement_index for s in res.statements if not s.success],
         }))
+    elif args.command == "refresh":
+        from logloom.plans.pipelines import refresh_daily_summaries
+
+        print(json.dumps({"tables": refresh_daily_summaries(
+            spark, args.source_table, args.database, kind=args.kind, days=args.days
+        )}))
     elif args.command == "report":
         from logloom.plans.pipelines import table_report
 
