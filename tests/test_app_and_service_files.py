@@ -1,4 +1,4 @@
-"""End to end on JSON files shaped like the application and service mock logs (15 rows each:
+"""End to end on JSON files of the application-log and service-log shape (15 rows each:
 application INFO 7, WARN 3, ERROR 3, DEBUG 1, FATAL 1; service INFO 7, WARN 3, ERROR 3, DEBUG 2),
 written here with new content."""
 
@@ -40,8 +40,8 @@ def _lines(levels, hour, logger_prefix):
 @pytest.fixture(scope="module")
 def table(spark, tmp_path_factory):
     raw = tmp_path_factory.mktemp("mock")
-    (raw / "app_logs_20250825.json").write_text("\n".join(_lines(APP_LEVELS, 6, "com.shop")) + "\n")
-    (raw / "service_logs_20250825.json").write_text("\n".join(_lines(SERVICE_LEVELS, 7, "com.svc")) + "\n")
+    (raw / "application.json").write_text("\n".join(_lines(APP_LEVELS, 6, "com.shop")) + "\n")
+    (raw / "service.json").write_text("\n".join(_lines(SERVICE_LEVELS, 7, "com.svc")) + "\n")
     name = f"mock_{uuid.uuid4().hex[:8]}.logs"
     res = J.ingest_logs(spark, str(raw), name, ingest_ts="2025-08-26 00:00:00", quarantine_table=name + "_rejects")
     assert (res.rows_written, res.rows_quarantined) == (30, 0)
