@@ -78,16 +78,16 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     neither is configured; on a cluster a missing setting is an error, because a
     machine-local folder would not be visible to the executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            base = current
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not _is_local(spark):
             raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+        try:
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:  # a core setting; the SparkContext checkpoint dir now holds it
+            pass
+    elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
