@@ -40,9 +40,20 @@ def record_time(text: Column, ingest_ts: Column) -> Column:
     return F.when(text.isNull(), ingest_ts).otherwise(iso_time(text))
 
 
-def simple_time(text: Column, fmt: str = SIMPLE_TIME_FORMAT) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` text (session time zone) to UTC ``timestamp_ntz``; NULL when unparsable."""
-    return utc_wall_clock(F.try_to_timestamp(text, F.lit(fmt)))
+def simple_time(text: Column, fmt: str = SIMPLE_TIME_FORMAT, zone: str | None = "UTC") -> Column:
+    """Zone-less time text (``fmt``, default ``yyyy-MM-dd HH:mm:ss``) to UTC ``timestamp_ntz``;
+    NULL when unparsable.
+
+    The text is the wall-clock time in ``zone`` (default UTC), whatever the session time zone:
+    it is parsed with an explicit ``+0000`` offset, which is exact on every date (no daylight-
+    saving gap of the session zone can move it), then moved from ``zone`` to UTC.
+    ``zone=None`` reads the text in the session time zone instead, as ``to_timestamp`` does.
+    ``fmt`` must not contain a zone or offset field itself.
+    """
+    if zone is None:
+        return utc_wall_clock(F.try_to_timestamp(text, F.lit(fmt)))
+    wall = utc_wall_clock(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt + " Z")))
+    return wall if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
 
 
 def with_default(column: str) -> Column:

@@ -220,12 +220,14 @@ def to_logs_simple(
     time_column: str = "timestamp_str",
     fmt: str = "yyyy-MM-dd HH:mm:ss",
     ingest_ts: dt.datetime | str | None = None,
+    zone: str | None = "UTC",
 ) -> DataFrame:
     """Rows with a text time (``time_column``), level, service, message and metadata to the
-    ``LOGS_SIMPLE`` shape: the text is parsed (NULL when unreadable) and dropped, and the
-    ingestion time is added. ``metadata`` stays JSON text."""
+    ``LOGS_SIMPLE`` shape: the text is parsed (NULL when unreadable) as wall-clock time in
+    ``zone`` (``None``: the session zone; see ``simple_time``) and dropped, and the ingestion
+    time is added. ``metadata`` stays JSON text."""
     return records.select(
-        simple_time(F.col(time_column), fmt).alias("timestamp"),
+        simple_time(F.col(time_column), fmt, zone).alias("timestamp"),
         "level",
         "service",
         "message",
