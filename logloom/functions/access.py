@@ -45,6 +45,11 @@ ACCESS_TABLE_GROUPS = (
 # groups happen to contain it is recognised (wrong number of parts) and re-extracted group
 # by group, so the result is exact for every input.
 _GROUP_SEPARATOR = "\u0001"
+# Every line is prefixed with _LINE_MARK before the rewrite, and a matching line is rewritten to
+# start with _MATCH_MARK. An unmatched line comes out unchanged, still starting with _LINE_MARK
+# whatever its own text, so the rewrite alone tells matched from unmatched lines.
+_LINE_MARK = "\u0002"
+_MATCH_MARK = "\u0003"
 
 
 def anchored(pattern: str) -> str:
@@ -56,23 +61,27 @@ def capture_groups(lines: DataFrame, column: str, pattern: str, names: tuple[str
     """Add ``out``: the array of the capture groups of ``pattern`` matched at the start of the
     line, NULL when the line does not match. Group ``names[i]`` is ``out[i]``.
 
-    One ``regexp_replace`` rewrites a matching line into its groups joined by a separator and
-    one ``split`` cuts them apart: one regex pass instead of one ``regexp_extract`` per group.
-    The two steps are separate projections so that each stays a small generated method.
+    The regex runs once per line: one ``regexp_replace`` rewrites a (marked) matching line
+    into a match mark and its groups joined by a separator, and one ``split`` cuts them
+    apart; an unmatched line keeps its line mark. There is no separate match test and no
+    ``regexp_extract`` per group. The steps are separate projections, each referenced more
+    than once, so the optimizer keeps the rewrite computed once and each generated method
+    small.
     """
     n = len(names)
-    head = anchored(pattern)
     line = F.col(column)
-    template = _GROUP_SEPARATOR.join(f"${i}" for i in range(1, n + 1))
-    staged = lines.withColumns(
-        {
-            "_ok": line.rlike(head),
-            "_parts": F.split(F.regexp_replace(line, "(?s)" + head + ".*", template), _GROUP_SEPARATOR),
-        }
+    template = _MATCH_MARK + _GROUP_SEPARATOR.join(f"${i}" for i in range(1, n + 1))
+    rewritten = lines.withColumn(
+        "_rw", F.regexp_replace(F.concat(F.lit(_LINE_MARK), line), "(?s)^" + _LINE_MARK + pattern + ".*", template)
+    )
+    rw = F.col("_rw")
+    staged = rewritten.withColumns(
+        {"_ok": rw.startswith(_MATCH_MARK), "_parts": F.split(F.substring(rw, 2, 2**31 - 1), _GROUP_SEPARATOR)}
     )
+    head = anchored(pattern)
     exact = F.array(*[F.regexp_extract(line, head, i + 1) for i in range(n)])
     groups = F.when(~F.col("_ok"), F.lit(None)).when(F.size("_parts") == n, F.col("_parts")).otherwise(exact)
-    return staged.withColumn(out, groups).drop("_ok", "_parts")
+    return staged.withColumn(out, groups).drop("_rw", "_ok", "_parts")
 
 
 def group(m: str, names: tuple[str, ...], name: str) -> Column:
