@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import re
 import sys
-import tempfile
 from contextlib import redirect_stdout
 from pathlib import Path
 
@@ -29,12 +28,12 @@ def key_lines(df) -> list[str]:
 def main() -> None:
     from logloom import contract
     from logloom.operators import summaries as Q
-    from logloom.session import build_session
+    from logloom.session import build_session, shared_dir
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
-    folder = tempfile.mkdtemp(prefix="logloom-plans-")
+    folder = shared_dir(spark, "logloom-plans")
     contract.logs(spark, sf_dir).write.partitionBy("partition_date").parquet(folder + "/app")
     contract.access_logs(spark, sf_dir).write.partitionBy("partition_date").parquet(folder + "/access")
     logs = spark.read.parquet(folder + "/app")
