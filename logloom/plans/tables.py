@@ -98,22 +98,34 @@ def append(
     writer.saveAsTable(table)
 
 
+STAGED_SUFFIX = "__staged"
+
+
 def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """Create or replace a table from a DataFrame (full refresh).
 
-    Iceberg-style catalogs replace atomically (``createOrReplace``); a Parquet table is
-    overwritten in place, so ``df`` must not read ``table`` itself.
+    Iceberg-style catalogs replace atomically (``createOrReplace``). A Parquet table is not
+    overwritten in place (Spark would delete the old files before the job runs, so a failed
+    job would leave the table empty): the rows are written to a staged table first, and only
+    when that job has succeeded is the old table dropped and the staged one renamed to its
+    name. A failure while writing leaves the old table as it was, and ``df`` may read
+    ``table`` itself.
     """
-    if fmt == "parquet":
-        writer = df.write.mode("overwrite").format(fmt)
+    if fmt != "parquet":
+        writer2 = df.writeTo(table).using(fmt)
         if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.saveAsTable(table)
+            writer2 = writer2.partitionedBy(*[F.col(p) for p in partition_by])
+        writer2.createOrReplace()
         return
-    writer2 = df.writeTo(table).using(fmt)
+    spark = df.sparkSession
+    staged = table + STAGED_SUFFIX
+    spark.sql(f"DROP TABLE IF EXISTS {_quote(staged)}")  # left over from a failed run
+    writer = df.write.mode("overwrite").format(fmt)
     if partition_by:
-        writer2 = writer2.partitionedBy(*[F.col(p) for p in partition_by])
-    writer2.createOrReplace()
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(staged)
+    spark.sql(f"DROP TABLE IF EXISTS {_quote(table)}")
+    spark.sql(f"ALTER TABLE {_quote(staged)} RENAME TO {_quote(table)}")
 
 
 def overwrite_partitions(df: DataFrame, table: str, *, partition_by: Sequence[str], fmt: str = "parquet") -> None:

@@ -241,3 +241,21 @@ def test_scale_conf():
     small = scale_conf(10 << 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert int(scale_conf(1 << 40, 1000)["spark.sql.shuffle.partitions"]) == 4096
+
+
+def test_replace_table_is_safe(spark):
+    """A full refresh may read the table it replaces, and a failed refresh leaves the old
+    table as it was."""
+    db = _db()
+    T.create_database(spark, db)
+    table = f"{db}.numbers"
+    T.replace_table(spark.range(5).withColumnRenamed("id", "n"), table)
+    T.replace_table(spark.table(table).select((F.col("n") * 10).alias("n")), table)  # reads itself
+    assert sorted(r["n"] for r in spark.table(table).collect()) == [0, 10, 20, 30, 40]
+    failing = spark.table(table).select(F.when(F.col("n") > 20, F.raise_error(F.lit("boom"))).otherwise(F.col("n")).alias("n"))
+    with pytest.raises(Exception):
+        T.replace_table(failing, table)
+    assert sorted(r["n"] for r in spark.table(table).collect()) == [0, 10, 20, 30, 40]
+    T.replace_table(spark.range(2).withColumnRenamed("id", "n"), table)  # a left-over staged table is no obstacle
+    assert spark.table(table).count() == 2
+    assert [t.name for t in spark.catalog.listTables(db) if not t.isTemporary] == ["numbers"]
