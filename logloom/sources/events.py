@@ -7,7 +7,7 @@ it runs where the ``events`` partitions are, with the columns pruned to those us
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.sources.files import spread_scan
@@ -48,16 +48,36 @@ def read_events(spark: SparkSession, sf_dir: str, min_partitions: int | None = N
     return spread_scan(scan, min_partitions)
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _k_text() -> Column:
-    return F.regexp_extract("props", K_PATTERN, 1)
-
-
-def _k() -> Column:
-    return _k_text().try_cast("int")
+# The derivations as Spark SQL expressions (one ``selectExpr`` each: the rules read as stated
+# above, and a query plan is built with a handful of calls instead of hundreds).
+_K = f"regexp_extract(props, '{K_PATTERN}', 1)"
+_K_INT = f"try_cast({_K} AS INT)"
+_DAY = "CAST(ts AS DATE)"
+LOG_EXPRESSIONS = {
+    "timestamp": "ts",
+    "partition_date": _DAY,
+    "date_partition": _DAY,
+    "level": "CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'FATAL' WHEN event_type = 'error' THEN 'ERROR'"
+    " WHEN event_type = 'signup' THEN 'WARN' WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END",
+    "message": f"event_type || ' k=' || {_K}",
+    "logger": "'svc.' || event_type || '.' || CAST(user_id % 7 AS STRING)",
+    "source": "'svc-' || CAST(user_id % 7 AS STRING)",
+    "exception_class": f"CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN 'Err' || CAST({_K_INT} % 5 AS STRING) END",
+    "exception_message": f"CASE WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'code ' || CAST({_K_INT} % 4 AS STRING) END",
+    "user_id": "CASE WHEN event_id % 20 <> 0 THEN 'user_' || CAST(user_id AS STRING) END",
+    "session_id": f"CAST(user_id AS STRING) || '-' || CAST({_DAY} AS STRING)",
+    "ip_address": "CASE WHEN event_id % 25 <> 0"
+    " THEN '10.0.' || CAST(user_id % 16 AS STRING) || '.' || CAST(user_id % 251 AS STRING) END",
+}
+ACCESS_LINE_EXPRESSION = (
+    f"CASE WHEN event_id % 50 = 0 THEN '{GARBAGE_LINE}' ELSE"
+    " '10.0.0.' || CAST(user_id % 251 AS STRING) || ' - - [' || date_format(ts, '" + ACCESS_LINE_TIME + "')"
+    " || ' +0000] \"' || CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END"
+    f" || ' /' || event_type || '/' || {_K} || ' HTTP/1.1\" '"
+    " || CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN '500' WHEN event_type = 'error' THEN '404' ELSE '200' END"
+    f" || ' ' || CASE WHEN event_id % 30 = 1 THEN '-' ELSE CAST({_K_INT} * 17 AS STRING) END"
+    f" || ' \"-\" \"ua/' || {_K} || '\"' END"
+)
 
 
 def event_logs(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -67,50 +87,12 @@ def event_logs(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     exception_class, exception_message, user_id, session_id, ip_address, then the ``keep``
     columns of ``events`` as they are.
     """
-    eid, uid, etype = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    is_error = etype == "error"
-    day = F.col("ts").cast("date")
-    level = (
-        F.when(is_error & (eid % 10 == 0), "FATAL")
-        .when(is_error, "ERROR")
-        .when(etype == "signup", "WARN")
-        .when(etype == "view", "DEBUG")
-        .otherwise("INFO")
-    )
-    return events.select(
-        F.col("ts").alias("timestamp"),
-        day.alias("partition_date"),
-        day.alias("date_partition"),
-        level.alias("level"),
-        F.concat(etype, F.lit(" k="), _k_text()).alias("message"),
-        F.concat(F.lit("svc."), etype, F.lit("."), _text(uid % 7)).alias("logger"),
-        F.concat(F.lit("svc-"), _text(uid % 7)).alias("source"),
-        F.when(is_error & (eid % 3 != 0), F.concat(F.lit("Err"), _text(_k() % 5))).alias("exception_class"),
-        F.when(is_error & (eid % 3 == 1), F.concat(F.lit("code "), _text(_k() % 4))).alias("exception_message"),
-        F.when(eid % 20 != 0, F.concat(F.lit("user_"), _text(uid))).alias("user_id"),
-        F.concat(_text(uid), F.lit("-"), _text(day)).alias("session_id"),
-        F.when(eid % 25 != 0, F.concat(F.lit("10.0."), _text(uid % 16), F.lit("."), _text(uid % 251))).alias(
-            "ip_address"
-        ),
-        *keep,
-    )
+    return events.selectExpr(*[f"{sql} AS `{name}`" for name, sql in LOG_EXPRESSIONS.items()], *keep)
 
 
 def event_access_lines(events: DataFrame) -> DataFrame:
     """One raw combined-format access line per event (``value`` column)."""
-    eid, uid, etype = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    k = _k_text()
-    method = F.when(etype.isin("signup", "purchase"), "POST").otherwise("GET")
-    status = F.when((etype == "error") & (eid % 2 == 0), "500").when(etype == "error", "404").otherwise("200")
-    size = F.when(eid % 30 == 1, "-").otherwise(_text(_k() * 17))
-    line = F.concat(
-        F.lit("10.0.0."), _text(uid % 251),
-        F.lit(" - - ["), F.date_format("ts", ACCESS_LINE_TIME), F.lit(" +0000] \""),
-        method, F.lit(" /"), etype, F.lit("/"), k, F.lit(" HTTP/1.1\" "),
-        status, F.lit(" "), size,
-        F.lit(" \"-\" \"ua/"), k, F.lit("\""),
-    )
-    return events.select(F.when(eid % 50 == 0, F.lit(GARBAGE_LINE)).otherwise(line).alias("value"))
+    return events.selectExpr(f"{ACCESS_LINE_EXPRESSION} AS value")
 
 
 def event_app_records(events: DataFrame) -> DataFrame:
