@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.parquet.compression.codec": "snappy",
+    # Without this, every Column function captures the Python call stack and sends it to the
+    # JVM (a few ms per call, hundreds of calls per parse plan) only to name the Python line in
+    # error messages. Set it to "true" through ``conf`` when debugging a failing expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
