@@ -201,6 +201,29 @@ def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, f"{db}.logs").select(*[f.name for f in schemas.LOGS_APP.fields])
 
 
+def _single_pass(spark: SparkSession, sf_dir: str) -> str:
+    """Batch ingest in one pass into a log table and a quarantine table stored side by side."""
+    prefix = _write_raw(spark, sf_dir)
+    db = _database(spark)
+    pipelines.ingest_logs_single_pass(
+        spark, prefix, f"{db}.logs", f"{db}.rejects", _scratch(spark, "lake"), ingest_ts=INGEST_TS,
+        access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB,
+    )
+    return db
+
+
+def ingest_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-pass ingest job, then the log table read back."""
+    db = _single_pass(spark, sf_dir)
+    return read_table(spark, f"{db}.logs").select(*[f.name for f in schemas.LOGS_APP.fields])
+
+
+def ingest_single_pass_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-pass ingest job, then the quarantine table read back (its ingestion-day column left out)."""
+    db = _single_pass(spark, sf_dir)
+    return read_table(spark, f"{db}.rejects").select(*[f.name for f in schemas.QUARANTINE.fields])
+
+
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File-stream ingest with an availableNow trigger, run twice (the second run finds
     nothing new), then the sink read back. ``ingestion_timestamp`` (the batch time) is left
@@ -322,6 +345,8 @@ def write_queries() -> dict[str, Query]:
         "mixed_logs": mixed_logs,
         "mixed_quarantine": mixed_quarantine,
         "ingest_job": ingest_job,
+        "ingest_single_pass": ingest_single_pass,
+        "ingest_single_pass_rejects": ingest_single_pass_rejects,
         "incremental_ingest": incremental_ingest,
         "stream_ingest": stream_ingest,
         "service_lake_recent": service_lake_recent,

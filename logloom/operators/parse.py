@@ -107,8 +107,9 @@ def parse_json_values(values: DataFrame, column: str = "value") -> DataFrame:
     return values.select(parsed.alias("r")).select("r.*")
 
 
-def to_logs_app(records: DataFrame, ingest_ts: Column) -> DataFrame:
-    """Parsed records to the ``LOGS_APP`` columns: defaults, ingestion time, partition date."""
+def to_logs_app(records: DataFrame, ingest_ts: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed records to the ``LOGS_APP`` columns: defaults, ingestion time, partition date;
+    then the ``keep`` columns of ``records`` as they are."""
     cols = []
     for field in schemas.LOGS_APP.fields:
         name = field.name
@@ -118,7 +119,7 @@ def to_logs_app(records: DataFrame, ingest_ts: Column) -> DataFrame:
             cols.append(day_of(F.col("timestamp"), ingest_ts).alias(name))
         else:
             cols.append(with_default(name).cast(field.dataType).alias(name))
-    return records.select(*cols)
+    return records.select(*cols, *keep)
 
 
 def split_quarantine(records: DataFrame, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -296,6 +296,8 @@ def _write_oracles() -> dict[str, str]:
         "mixed_logs": M + mixed,
         "mixed_quarantine": M + "SELECT * FROM access_bad UNION ALL SELECT * FROM json_bad",
         "ingest_job": M + mixed,
+        "ingest_single_pass": M + mixed,
+        "ingest_single_pass_rejects": M + "SELECT * FROM access_bad UNION ALL SELECT * FROM json_bad",
         "incremental_ingest": M + f"SELECT {no_ingest} FROM ({mixed})",
         "stream_ingest": J + "SELECT * FROM stream_logs",
         "service_lake_recent": L + f"""SELECT "timestamp", level, message, source, user_id, session_id, ip_address,

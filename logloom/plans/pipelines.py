@@ -12,7 +12,8 @@ from logloom import schemas
 from logloom.operators import summaries as Q
 from logloom.plans import script as S
 from logloom.plans import tables as T
-from logloom.sources.files import ACCESS_GLOB, JSON_GLOB, read_logs
+from logloom.operators import parse as parse_ops
+from logloom.sources.files import ACCESS_GLOB, JSON_GLOB, read_logs, read_records
 from logloom.sources.generate import generate_service_logs
 
 
@@ -73,6 +74,86 @@ def ingest_logs(
     return result
 
 
+# Single-pass ingest layout: one folder holds the log table and the quarantine table, as
+# the two values of a leading ``outcome`` partition column.
+OUTCOME = "outcome"
+OUTCOME_LOGS = "logs"
+OUTCOME_REJECTS = "rejects"
+
+
+def _path(location: str) -> str:
+    """A folder name without a ``file:`` scheme and trailing slash, for comparisons."""
+    if location.startswith("file:"):
+        location = "/" + location[len("file:"):].lstrip("/")
+    return location.rstrip("/")
+
+
+def ingest_logs_single_pass(
+    spark: SparkSession,
+    raw_prefix: str,
+    table: str,
+    quarantine_table: str,
+    root: str,
+    *,
+    prefer: str = "both",
+    allow_dash_size: bool = False,
+    ingest_ts: dt.datetime | str | None = None,
+    rebalance: bool = False,
+    access_glob: str = ACCESS_GLOB,
+    json_glob: str = JSON_GLOB,
+) -> IngestResult:
+    """Batch ingest that stores the good rows and the quarantined lines in one pass over the
+    input: one job reads, parses and writes both.
+
+    Both tables live under ``root``: ``table`` (``LOGS_APP``) at ``root/outcome=logs`` and
+    ``quarantine_table`` (``QUARANTINE_BY_DATE``: format, value, reason and the ingestion day
+    as ``partition_date``) at ``root/outcome=rejects``; they are created there if absent and
+    must be there if present. Every parsed line becomes one row of a single DataFrame carrying
+    the columns of both shapes and an ``outcome`` column, written to ``root`` partitioned by
+    ``outcome`` and ``partition_date``. Each table reads only its own columns from its files.
+    The one job commits both outputs together (a failed job commits neither, so no input is
+    read twice and nothing is half-written); the new date folders are then registered in both
+    tables (``recover_partitions``), and a run stopped before that has its folders registered
+    by the next run. Parquet only.
+    """
+    for name, schema, folder in (
+        (table, schemas.LOGS_APP, OUTCOME_LOGS),
+        (quarantine_table, schemas.QUARANTINE_BY_DATE, OUTCOME_REJECTS),
+    ):
+        location = f"{root.rstrip('/')}/{OUTCOME}={folder}"
+        if "." in name:
+            T.create_database(spark, name.rsplit(".", 1)[0])
+        if T.table_exists(spark, name):
+            if _path(T.table_location(spark, name)) != _path(location):
+                raise ValueError(f"{name} is not stored at {location}")
+        else:
+            T.create_table(spark, name, schema, partition_by=[schemas.LOGS_APP_PARTITION], location=location)
+    seen = Observation("ingest")
+    records, ingest = read_records(
+        spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts,
+        access_glob=access_glob, json_glob=json_glob, observation=seen,
+    )
+    keep = F.col(parse_ops.REASON).isNull()
+    rows = parse_ops.to_logs_app(records, ingest, keep=(parse_ops.REASON, parse_ops.RAW, parse_ops.FORMAT)).select(
+        *[F.when(keep, F.col(f.name)).alias(f.name) for f in schemas.LOGS_APP.fields if f.name != schemas.LOGS_APP_PARTITION],
+        F.when(keep, F.col(schemas.LOGS_APP_PARTITION)).otherwise(F.to_date(ingest)).alias(schemas.LOGS_APP_PARTITION),
+        F.when(~keep, F.col(parse_ops.FORMAT)).alias("format"),
+        F.when(~keep, F.col(parse_ops.RAW)).alias("value"),
+        F.col(parse_ops.REASON).alias("reason"),
+        F.when(keep, F.lit(OUTCOME_LOGS)).otherwise(F.lit(OUTCOME_REJECTS)).alias(OUTCOME),
+    )
+    parts = (OUTCOME, schemas.LOGS_APP_PARTITION)
+    if rebalance:
+        rows = rows.hint("rebalance", *parts)
+    rows = rows.sortWithinPartitions(*parts, *LAYOUT_SORT)
+    rows.write.mode("append").option("compression", "snappy").partitionBy(*parts).parquet(root)
+    for name in (table, quarantine_table):
+        T.recover_partitions(spark, name)
+    counts = seen.get
+    quarantined = int(counts["quarantined"])
+    return IngestResult(int(counts["lines"]) - quarantined, quarantined)
+
+
 @dataclass
 class ServiceIngestReport:
     rows_written: int

@@ -153,6 +153,25 @@ def table_exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 
 
+def table_location(spark: SparkSession, table: str) -> str:
+    """The folder of a table, as the catalog records it (``DESCRIBE TABLE EXTENDED``)."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {_quote(table)}").where(F.col("col_name") == "Location").collect()
+    if not rows:
+        raise ValueError(f"{table} has no location")
+    return rows[0]["data_type"]
+
+
+def recover_partitions(spark: SparkSession, table: str, missing_ok: bool = True) -> None:
+    """Register the partition folders found under a table's location (``MSCK REPAIR TABLE``):
+    needed after files were written to the folder directly rather than through the table.
+    With ``missing_ok``, a location that does not exist yet (nothing written) is no error."""
+    try:
+        spark.catalog.recoverPartitions(table)
+    except Exception as exc:
+        if not (missing_ok and "FileNotFoundException" in str(exc)):
+            raise
+
+
 def build_tables(
     spark: SparkSession,
     logs: DataFrame,

@@ -128,3 +128,7 @@ STREAM_VALUE = _schema(
 
 # Quarantined input: the raw text, which reader saw it, and why it was set aside.
 QUARANTINE = _schema(("format", StringType()), ("value", StringType()), ("reason", StringType()))
+
+# Quarantine rows stored next to the log table by the single-pass ingest, partitioned like it
+# (by the ingestion day).
+QUARANTINE_BY_DATE = StructType([*QUARANTINE.fields, StructField(LOGS_APP_PARTITION, DateType(), True)])

@@ -74,7 +74,7 @@ def _or_none(read) -> DataFrame | None:
         raise
 
 
-def read_logs(
+def read_records(
     spark: SparkSession,
     prefix: str,
     *,
@@ -84,14 +84,16 @@ def read_logs(
     access_glob: str = ACCESS_GLOB,
     json_glob: str = JSON_GLOB,
     observation: Observation | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Access lines and JSON lines under ``prefix`` to (``LOGS_APP`` rows, quarantine).
+):
+    """Access lines and JSON lines under ``prefix`` to parsed records, one per input line,
+    with ``_reason`` (NULL for a good record), ``_raw`` and ``_format``; and the ingestion-time
+    column. ``read_logs`` splits them into the two outputs.
 
     ``prefer="both"`` (default) parses both kinds and unions them. ``prefer="apache"`` keeps
     the older rule: JSON files are read only when there is no access line at all (this costs
     one small job to look for a first line). Raises when neither kind of file exists. With
-    ``observation``, the first job that runs either output also counts all input lines
-    (``lines``) and the quarantined ones (``quarantined``).
+    ``observation``, the first job that runs a plan built on the records also counts all
+    input lines (``lines``) and the quarantined ones (``quarantined``).
     """
     lines = _or_none(lambda: read_access_lines(spark, prefix, access_glob))
     values = _or_none(lambda: read_access_lines(spark, prefix, json_glob))
@@ -112,6 +114,26 @@ def read_logs(
     records = reduce(DataFrame.unionByName, parts)
     if observation is not None:
         records = parse_ops.count_lines(records, observation)
+    return records, ingest
+
+
+def read_logs(
+    spark: SparkSession,
+    prefix: str,
+    *,
+    prefer: str = "both",
+    allow_dash_size: bool = False,
+    ingest_ts: dt.datetime | str | None = None,
+    access_glob: str = ACCESS_GLOB,
+    json_glob: str = JSON_GLOB,
+    observation: Observation | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Access lines and JSON lines under ``prefix`` to (``LOGS_APP`` rows, quarantine); see
+    ``read_records`` for the options."""
+    records, ingest = read_records(
+        spark, prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts,
+        access_glob=access_glob, json_glob=json_glob, observation=observation,
+    )
     good, bad = parse_ops.split_quarantine(records)
     return parse_ops.to_logs_app(good, ingest), bad
 

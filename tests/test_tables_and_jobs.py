@@ -259,3 +259,49 @@ def test_replace_table_is_safe(spark):
     T.replace_table(spark.range(2).withColumnRenamed("id", "n"), table)  # a left-over staged table is no obstacle
     assert spark.table(table).count() == 2
     assert [t.name for t in spark.catalog.listTables(db) if not t.isTemporary] == ["numbers"]
+
+
+def test_single_pass_ingest_equals_two_pass(spark, tmp_path):
+    """Good rows and rejects from one job equal those of the two-pass ingest; a second run
+    appends; the parse runs once; tables elsewhere are refused."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.log").write_text("\n".join(ACCESS.format(i=i, status=200 + 100 * (i % 4)) for i in range(1, 8)) + "\nnot a line\n")
+    (raw / "b.json").write_text('{"timestamp": "2025-08-25T06:00:00.000Z", "level": "ERROR", "message": "x"}\n{oops\n')
+    db = _db()
+    ts = "2025-09-01 00:00:00"
+    two = J.ingest_logs(spark, str(raw), f"{db}.logs2", ingest_ts=ts, quarantine_table=f"{db}.rejects2")
+    root = str(tmp_path / "lake")
+    one = J.ingest_logs_single_pass(spark, str(raw), f"{db}.logs", f"{db}.rejects", root, ingest_ts=ts)
+    assert (one.rows_written, one.rows_quarantined) == (two.rows_written, two.rows_quarantined) == (8, 2)
+    logs, logs2 = spark.table(f"{db}.logs"), spark.table(f"{db}.logs2")
+    assert logs.columns == logs2.columns
+    assert sorted(logs.collect()) == sorted(logs2.collect())
+    rejects = spark.table(f"{db}.rejects")
+    assert rejects.columns == ["format", "value", "reason", "partition_date"]
+    assert sorted(rejects.drop("partition_date").collect()) == sorted(spark.table(f"{db}.rejects2").collect())
+    assert {r["partition_date"] for r in rejects.collect()} == {dt.date(2025, 9, 1)}
+    assert {r["partition_date"] for r in logs.collect()} == {dt.date(2025, 8, 25)}
+    J.ingest_logs_single_pass(spark, str(raw), f"{db}.logs", f"{db}.rejects", root, ingest_ts=ts)
+    assert spark.table(f"{db}.logs").count() == 16 and spark.table(f"{db}.rejects").count() == 4
+    with pytest.raises(ValueError):
+        J.ingest_logs_single_pass(spark, str(raw), f"{db}.logs", f"{db}.rejects", str(tmp_path / "elsewhere"), ingest_ts=ts)
+
+
+def test_single_pass_ingest_parses_once(spark, tmp_path, monkeypatch):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.log").write_text(ACCESS.format(i=1, status=200) + "\n")
+    plans = []
+    from pyspark.sql import DataFrameWriter
+
+    original = DataFrameWriter.parquet
+
+    def spy(self, path, *a, **k):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return original(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    db = _db()
+    J.ingest_logs_single_pass(spark, str(raw), f"{db}.logs", f"{db}.rejects", str(tmp_path / "lake"))
+    assert len(plans) == 1 and plans[0].count("regexp_replace") == 1
