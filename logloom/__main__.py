@@ -1,6 +1,7 @@
 """Command-line jobs, for ``spark-submit`` or ``python -m logloom``.
 
     python -m logloom ingest RAW_PREFIX analytics.logs [--quarantine analytics.rejects] [--prefer both|apache]
+    python -m logloom ingest RAW_PREFIX analytics.logs --quarantine analytics.rejects --single-pass ROOT
     python -m logloom incremental RAW_PREFIX SINK_PATH CHECKPOINT [--quarantine PATH]
     python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"]
     python -m logloom generate analytics.service_logs [--rows 1000]
@@ -32,6 +33,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--quarantine")
     a.add_argument("--prefer", default="both", choices=["both", "apache"])
     a.add_argument("--allow-dash-size", action="store_true")
+    a.add_argument("--single-pass", metavar="ROOT",
+                   help="write both tables in one pass, stored side by side under ROOT (needs --quarantine)")
 
     a = sub.add_parser("incremental", help="ingest only raw files not seen by an earlier run")
     a.add_argument("raw_prefix")
@@ -79,12 +82,20 @@ def main(argv: list[str] | None = None) -> int:
     start = time.time()
     ok = True
     if args.command == "ingest":
-        from logloom.plans.pipelines import ingest_logs
-
-        res = ingest_logs(
-            spark, args.raw_prefix, args.table, prefer=args.prefer, allow_dash_size=args.allow_dash_size,
-            quarantine_table=args.quarantine,
-        )
+        from logloom.plans.pipelines import ingest_logs, ingest_logs_single_pass
+
+        if args.single_pass:
+            if not args.quarantine:
+                raise SystemExit("--single-pass needs --quarantine")
+            res = ingest_logs_single_pass(
+                spark, args.raw_prefix, args.table, args.quarantine, args.single_pass, prefer=args.prefer,
+                allow_dash_size=args.allow_dash_size,
+            )
+        else:
+            res = ingest_logs(
+                spark, args.raw_prefix, args.table, prefer=args.prefer, allow_dash_size=args.allow_dash_size,
+                quarantine_table=args.quarantine,
+            )
         print(json.dumps({"rows_written": res.rows_written, "rows_quarantined": res.rows_quarantined}))
     elif args.command == "incremental":
         from logloom.streaming.ingest import incremental_ingest
