@@ -27,7 +27,7 @@ from logloom.sources.events import (
     event_simple_records,
     read_events,
 )
-from logloom.sources.files import read_json_logs, read_lake, read_logs, read_table
+from logloom.sources.files import read_json_logs, read_lake, read_logs, read_outcome, read_table
 from logloom.streaming import ingest as stream_ops
 
 # ---------------------------------------------------------------------------------------------
@@ -238,6 +238,30 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select(*cols)
 
 
+def _incremental_single_pass(spark: SparkSession, sf_dir: str) -> str:
+    """File-stream ingest of both outputs in one query (run twice; the second finds nothing)."""
+    prefix = _write_raw(spark, sf_dir)
+    sink, ck = _scratch(spark, "single-pass-sink"), _scratch(spark, "single-pass-checkpoint")
+    for _ in range(2):
+        stream_ops.incremental_ingest(
+            spark, prefix, sink, ck, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB, single_pass=True
+        )
+    return sink
+
+
+def incremental_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-query incremental ingest, the log side read back (batch time left out)."""
+    sink = _incremental_single_pass(spark, sf_dir)
+    cols = [f.name for f in schemas.LOGS_APP.fields if f.name != "ingestion_timestamp"]
+    return read_outcome(spark, sink, parse_ops.OUTCOME_LOGS).select(*cols)
+
+
+def incremental_single_pass_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-query incremental ingest, the quarantine side read back (its day left out)."""
+    sink = _incremental_single_pass(spark, sf_dir)
+    return read_outcome(spark, sink, parse_ops.OUTCOME_REJECTS).select(*[f.name for f in schemas.QUARANTINE.fields])
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON values from a file stream -> ``from_json`` -> watermark -> partitioned Parquet
     sink, run to the end of the input; then the sink read back."""
@@ -348,6 +372,8 @@ def write_queries() -> dict[str, Query]:
         "ingest_single_pass": ingest_single_pass,
         "ingest_single_pass_rejects": ingest_single_pass_rejects,
         "incremental_ingest": incremental_ingest,
+        "incremental_single_pass": incremental_single_pass,
+        "incremental_single_pass_rejects": incremental_single_pass_rejects,
         "stream_ingest": stream_ingest,
         "service_lake_recent": service_lake_recent,
         "aggregation_service": aggregation_service,

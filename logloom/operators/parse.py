@@ -146,6 +146,30 @@ def split_quarantine(records: DataFrame, fmt: str | None = None) -> tuple[DataFr
     return good, bad
 
 
+# Single-pass layout: both outputs in one DataFrame (and one folder), told apart by ``outcome``.
+OUTCOME = "outcome"
+OUTCOME_LOGS = "logs"
+OUTCOME_REJECTS = "rejects"
+
+
+def outcome_rows(records: DataFrame, ingest_ts: Column) -> DataFrame:
+    """Parsed records (with ``_reason``, ``_raw``, ``_format``) to one row per input line that
+    carries both outputs' columns: the ``LOGS_APP`` columns (NULL for a rejected line), the
+    quarantine columns ``format``, ``value``, ``reason`` (NULL for a good one), and ``outcome``.
+    ``partition_date`` is the ingestion day for a rejected line. Written partitioned by
+    ``outcome``, it stores the log table and the quarantine in one pass and one job."""
+    keep = F.col(REASON).isNull()
+    day = schemas.LOGS_APP_PARTITION
+    return to_logs_app(records, ingest_ts, keep=(REASON, RAW, FORMAT)).select(
+        *[F.when(keep, F.col(f.name)).alias(f.name) for f in schemas.LOGS_APP.fields if f.name != day],
+        F.when(keep, F.col(day)).otherwise(F.to_date(ingest_ts)).alias(day),
+        F.when(~keep, F.col(FORMAT)).alias("format"),
+        F.when(~keep, F.col(RAW)).alias("value"),
+        F.col(REASON).alias("reason"),
+        F.when(keep, F.lit(OUTCOME_LOGS)).otherwise(F.lit(OUTCOME_REJECTS)).alias(OUTCOME),
+    )
+
+
 def count_lines(records: DataFrame, observation: Observation) -> DataFrame:
     """Attach counts of all lines and of quarantined lines to the parsed records; they are
     filled by whichever job first runs a plan built on the result (no extra pass)."""

@@ -76,9 +76,7 @@ def ingest_logs(
 
 # Single-pass ingest layout: one folder holds the log table and the quarantine table, as
 # the two values of a leading ``outcome`` partition column.
-OUTCOME = "outcome"
-OUTCOME_LOGS = "logs"
-OUTCOME_REJECTS = "rejects"
+OUTCOME, OUTCOME_LOGS, OUTCOME_REJECTS = parse_ops.OUTCOME, parse_ops.OUTCOME_LOGS, parse_ops.OUTCOME_REJECTS
 
 
 def _path(location: str) -> str:
@@ -133,15 +131,7 @@ def ingest_logs_single_pass(
         spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts,
         access_glob=access_glob, json_glob=json_glob, observation=seen,
     )
-    keep = F.col(parse_ops.REASON).isNull()
-    rows = parse_ops.to_logs_app(records, ingest, keep=(parse_ops.REASON, parse_ops.RAW, parse_ops.FORMAT)).select(
-        *[F.when(keep, F.col(f.name)).alias(f.name) for f in schemas.LOGS_APP.fields if f.name != schemas.LOGS_APP_PARTITION],
-        F.when(keep, F.col(schemas.LOGS_APP_PARTITION)).otherwise(F.to_date(ingest)).alias(schemas.LOGS_APP_PARTITION),
-        F.when(~keep, F.col(parse_ops.FORMAT)).alias("format"),
-        F.when(~keep, F.col(parse_ops.RAW)).alias("value"),
-        F.col(parse_ops.REASON).alias("reason"),
-        F.when(keep, F.lit(OUTCOME_LOGS)).otherwise(F.lit(OUTCOME_REJECTS)).alias(OUTCOME),
-    )
+    rows = parse_ops.outcome_rows(records, ingest)
     parts = (OUTCOME, schemas.LOGS_APP_PARTITION)
     if rebalance:
         rows = rows.hint("rebalance", *parts)

@@ -6,9 +6,9 @@ import datetime as dt
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from logloom import schemas
 from logloom.functions.timeutil import day_literal, ingest_time
@@ -101,7 +101,20 @@ def read_records(
         values = None
     elif prefer not in ("both", "apache"):
         raise ValueError(f"prefer must be 'both' or 'apache', not {prefer!r}")
+    if lines is None and values is None:
+        raise FileNotFoundError(f"no {access_glob} or {json_glob} files under {prefix}")
     ingest = ingest_time(ingest_ts)
+    records = tagged_records(lines, values, ingest, allow_dash_size=allow_dash_size)
+    if observation is not None:
+        records = parse_ops.count_lines(records, observation)
+    return records, ingest
+
+
+def tagged_records(
+    lines: DataFrame | None, values: DataFrame | None, ingest: Column, *, allow_dash_size: bool = False
+) -> DataFrame:
+    """Access lines and JSON text lines (either may be None; batch or stream) to the union of
+    their parsed records, each with ``_format`` naming its reader."""
     parts = []
     if lines is not None:
         recs = parse_ops.access_records(lines, allow_dash_size=allow_dash_size)
@@ -109,12 +122,20 @@ def read_records(
     if values is not None:
         recs = parse_ops.json_records(parse_ops.parse_json_values(values), ingest)
         parts.append(recs.withColumn(parse_ops.FORMAT, F.lit(parse_ops.FORMAT_JSON)))
-    if not parts:
-        raise FileNotFoundError(f"no {access_glob} or {json_glob} files under {prefix}")
-    records = reduce(DataFrame.unionByName, parts)
-    if observation is not None:
-        records = parse_ops.count_lines(records, observation)
-    return records, ingest
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_outcome(spark: SparkSession, path: str, outcome: str = parse_ops.OUTCOME_LOGS) -> DataFrame:
+    """One side of a folder written in the single-pass layout (partitioned by ``outcome``): the
+    ``LOGS_APP`` rows (``outcome="logs"``) or the quarantine with its ingestion day
+    (``"rejects"``). Reading the folder itself, not the ``outcome=…`` subfolder, keeps a stream
+    sink's commit log in force, and the ``outcome`` filter prunes to one subfolder."""
+    schema = StructType(
+        [*schemas.LOGS_APP.fields, *schemas.QUARANTINE.fields, StructField(parse_ops.OUTCOME, StringType(), True)]
+    )
+    side = spark.read.schema(schema).parquet(path).where(F.col(parse_ops.OUTCOME) == outcome)
+    shape = schemas.LOGS_APP if outcome == parse_ops.OUTCOME_LOGS else schemas.QUARANTINE_BY_DATE
+    return side.select(*[f.name for f in shape.fields])
 
 
 def read_logs(

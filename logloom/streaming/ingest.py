@@ -15,9 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from logloom import schemas
-from logloom.functions.timeutil import utc_wall_clock
+from logloom.functions.timeutil import ingest_time, utc_wall_clock
 from logloom.operators import parse as parse_ops
-from logloom.sources.files import ACCESS_GLOB, JSON_GLOB
+from logloom.sources.files import ACCESS_GLOB, JSON_GLOB, tagged_records
 
 WATERMARK_DELAY = "10 minutes"
 STREAM_PARTITION = "partition_date"
@@ -127,6 +127,7 @@ def incremental_ingest(
     quarantine_path: str | None = None,
     max_files_per_trigger: int | None = None,
     wait: bool = True,
+    single_pass: bool = False,
 ) -> list[StreamingQuery]:
     """Ingest the raw files under ``raw_prefix`` that no earlier run has seen.
 
@@ -136,17 +137,33 @@ def incremental_ingest(
     what is new, in as many micro-batches as needed, and stops. A second run over the same
     files adds nothing. ``ingestion_timestamp`` is the micro-batch time.
     ``max_files_per_trigger`` bounds one micro-batch when a large backlog has accumulated.
+
+    With ``quarantine_path``, the rejected lines go to a second query over the same files
+    (each file is read and parsed twice). ``single_pass=True`` instead writes both in one
+    query to ``sink_path``, partitioned by ``outcome`` (``logs`` / ``rejects``) and
+    ``partition_date``; the sink's commit log keeps it exactly-once, and
+    ``sources.files.read_outcome`` reads either side.
     """
+    if single_pass and quarantine_path:
+        raise ValueError("single_pass writes the rejects under sink_path; give no quarantine_path")
     base = raw_prefix.rstrip("/")
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.text(f"{base}/{access_glob}")
-    raw_json = parse_ops.parse_json_values(reader.text(f"{base}/{json_glob}"))
+    values = reader.text(f"{base}/{json_glob}")
+    ck = checkpoint.rstrip("/")
+    if single_pass:
+        ingest = ingest_time()
+        rows = parse_ops.outcome_rows(tagged_records(lines, values, ingest, allow_dash_size=allow_dash_size), ingest)
+        parts = (parse_ops.OUTCOME, schemas.LOGS_APP_PARTITION)
+        queries = [_start(rows, sink_path, f"{ck}/all", trigger="availableNow", fmt=fmt, partition_by=parts)]
+        if wait:
+            queries[0].awaitTermination()
+        return queries
     good_a, bad_a = parse_ops.parse_access_logs(lines, allow_dash_size=allow_dash_size)
-    good_j, bad_j = parse_ops.parse_json_logs(raw_json)
+    good_j, bad_j = parse_ops.parse_json_logs(parse_ops.parse_json_values(values))
     good, bad = good_a.unionByName(good_j), bad_a.unionByName(bad_j)
-    ck = checkpoint.rstrip("/")
     queries = [_start(good, sink_path, f"{ck}/logs", trigger="availableNow", fmt=fmt, partition_by=(schemas.LOGS_APP_PARTITION,))]
     if quarantine_path:
         queries.append(_start(bad, quarantine_path, f"{ck}/quarantine", trigger="availableNow", fmt=fmt))

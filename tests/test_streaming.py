@@ -39,6 +39,25 @@ def test_incremental_ingest_equals_batch_and_is_exactly_once(spark, tmp_path):
     assert spark.read.parquet(q).count() == 4
 
 
+def test_single_pass_incremental_ingest(spark, tmp_path):
+    """One query writes both sides; each side equals the batch parse; exactly once per file."""
+    raw, sink, ck = tmp_path / "raw", str(tmp_path / "sink"), str(tmp_path / "ck")
+    _raw(raw, 1, 5)
+    queries = S.incremental_ingest(spark, str(raw), sink, ck, single_pass=True)
+    assert len(queries) == 1
+    batch_good, batch_bad = files.read_logs(spark, str(raw))
+    good, bad = files.read_outcome(spark, sink, P.OUTCOME_LOGS), files.read_outcome(spark, sink, P.OUTCOME_REJECTS)
+    assert good.columns == batch_good.columns
+    assert _rows(good) == _rows(batch_good)
+    assert _rows(bad, drop=("partition_date",)) == _rows(batch_bad, drop=())
+    S.incremental_ingest(spark, str(raw), sink, ck, single_pass=True)  # nothing new
+    assert good.count() == 6 and bad.count() == 2
+    _raw(raw, 20, 3)
+    S.incremental_ingest(spark, str(raw), sink, ck, single_pass=True)
+    assert files.read_outcome(spark, sink).count() == 10
+    assert files.read_outcome(spark, sink, P.OUTCOME_REJECTS).count() == 4
+
+
 def test_streaming_ingest_values(spark, tmp_path):
     src = tmp_path / "values"
     src.mkdir()
