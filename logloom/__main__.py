@@ -2,7 +2,7 @@
 
     python -m logloom ingest RAW_PREFIX analytics.logs [--quarantine analytics.rejects] [--prefer both|apache]
     python -m logloom ingest RAW_PREFIX analytics.logs --quarantine analytics.rejects --single-pass ROOT
-    python -m logloom incremental RAW_PREFIX SINK_PATH CHECKPOINT [--quarantine PATH]
+    python -m logloom incremental RAW_PREFIX SINK_PATH CHECKPOINT [--quarantine PATH | --single-pass]
     python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"]
     python -m logloom generate analytics.service_logs [--rows 1000]
     python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service | --fallback app|service]
@@ -42,6 +42,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("checkpoint")
     a.add_argument("--quarantine")
     a.add_argument("--max-files-per-trigger", type=int)
+    a.add_argument("--single-pass", action="store_true",
+                   help="one query writes logs and rejects under SINK_PATH, partitioned by outcome")
 
     a = sub.add_parser("stream", help="continuous ingest of JSON log values")
     a.add_argument("source", nargs="?")
@@ -102,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
 
         incremental_ingest(
             spark, args.raw_prefix, args.sink_path, args.checkpoint, quarantine_path=args.quarantine,
-            max_files_per_trigger=args.max_files_per_trigger,
+            max_files_per_trigger=args.max_files_per_trigger, single_pass=args.single_pass,
         )
     elif args.command == "stream":
         from logloom.streaming.ingest import stream_source, streaming_ingest
