@@ -3,7 +3,7 @@
     python -m logloom ingest RAW_PREFIX analytics.logs [--quarantine analytics.rejects] [--prefer both|apache]
     python -m logloom ingest RAW_PREFIX analytics.logs --quarantine analytics.rejects --single-pass ROOT
     python -m logloom incremental RAW_PREFIX SINK_PATH CHECKPOINT [--quarantine PATH | --single-pass]
-    python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"]
+    python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"] [--quarantine PATH | --single-pass]
     python -m logloom generate analytics.service_logs [--rows 1000]
     python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service | --fallback app|service]
     python -m logloom refresh analytics.logs analytics [--kind app|service] [--days 1]
@@ -53,6 +53,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--option", action="append", default=[], help="source option key=value")
     a.add_argument("--trigger", default="30 seconds")
     a.add_argument("--quarantine")
+    a.add_argument("--single-pass", action="store_true",
+                   help="one query writes logs and rejects under SINK_PATH, partitioned by outcome")
 
     a = sub.add_parser("generate", help="append generated service-log rows and report")
     a.add_argument("table")
@@ -111,7 +113,10 @@ def main(argv: list[str] | None = None) -> int:
 
         options = dict(o.split("=", 1) for o in args.option)
         values = stream_source(spark, args.source, fmt=args.format, options=options)
-        for q in streaming_ingest(values, args.sink_path, args.checkpoint, trigger=args.trigger, quarantine_path=args.quarantine):
+        for q in streaming_ingest(
+            values, args.sink_path, args.checkpoint, trigger=args.trigger, quarantine_path=args.quarantine,
+            single_pass=args.single_pass,
+        ):
             q.awaitTermination()
     elif args.command == "generate":
         from logloom.plans.pipelines import ingest_service_logs

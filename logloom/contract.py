@@ -273,6 +273,29 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select(*STREAM_COLUMNS)
 
 
+def _stream_single_pass(spark: SparkSession, sf_dir: str) -> str:
+    """The value stream with both outputs written by one query, run to the end of the input."""
+    prefix = _write_raw(spark, sf_dir, json_only=True)
+    sink, ck = _scratch(spark, "stream-single-pass"), _scratch(spark, "stream-single-pass-checkpoint")
+    values = stream_ops.stream_source(spark, f"{prefix}/{JSON_SUBDIR_GLOB}")
+    for q in stream_ops.streaming_ingest(values, sink, ck, trigger="availableNow", single_pass=True):
+        q.awaitTermination()
+    return sink
+
+
+def stream_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-query value stream, the log side read back."""
+    sink = _stream_single_pass(spark, sf_dir)
+    return read_outcome(spark, sink, parse_ops.OUTCOME_LOGS, logs_schema=schemas.STREAM_LOGS).select(*STREAM_COLUMNS)
+
+
+def stream_single_pass_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-query value stream, the quarantine side read back (its day left out)."""
+    sink = _stream_single_pass(spark, sf_dir)
+    rejects = read_outcome(spark, sink, parse_ops.OUTCOME_REJECTS, logs_schema=schemas.STREAM_LOGS)
+    return rejects.select(*[f.name for f in schemas.QUARANTINE.fields])
+
+
 def _service_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived logs in the ``LOGS_SERVICE`` shape (fixed ingest time and batch id)."""
     df = logs(spark, sf_dir).withColumns(
@@ -375,6 +398,8 @@ def write_queries() -> dict[str, Query]:
         "incremental_single_pass": incremental_single_pass,
         "incremental_single_pass_rejects": incremental_single_pass_rejects,
         "stream_ingest": stream_ingest,
+        "stream_single_pass": stream_single_pass,
+        "stream_single_pass_rejects": stream_single_pass_rejects,
         "service_lake_recent": service_lake_recent,
         "aggregation_service": aggregation_service,
         "aggregation_fallback": aggregation_fallback,

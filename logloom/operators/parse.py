@@ -152,17 +152,16 @@ OUTCOME_LOGS = "logs"
 OUTCOME_REJECTS = "rejects"
 
 
-def outcome_rows(records: DataFrame, ingest_ts: Column) -> DataFrame:
-    """Parsed records (with ``_reason``, ``_raw``, ``_format``) to one row per input line that
-    carries both outputs' columns: the ``LOGS_APP`` columns (NULL for a rejected line), the
-    quarantine columns ``format``, ``value``, ``reason`` (NULL for a good one), and ``outcome``.
-    ``partition_date`` is the ingestion day for a rejected line. Written partitioned by
-    ``outcome``, it stores the log table and the quarantine in one pass and one job."""
+def with_outcome(records: DataFrame, columns: list[str], day: str, reject_day: Column) -> DataFrame:
+    """Records with ``_reason``, ``_raw`` and ``_format`` to one row per input line that carries
+    both outputs' columns: ``columns`` (NULL for a rejected line, except ``day``, which is
+    ``reject_day`` there), the quarantine columns ``format``, ``value``, ``reason`` (NULL for a
+    good line), and ``outcome``. Written partitioned by ``outcome``, it stores the good rows
+    and the quarantine in one pass and one job."""
     keep = F.col(REASON).isNull()
-    day = schemas.LOGS_APP_PARTITION
-    return to_logs_app(records, ingest_ts, keep=(REASON, RAW, FORMAT)).select(
-        *[F.when(keep, F.col(f.name)).alias(f.name) for f in schemas.LOGS_APP.fields if f.name != day],
-        F.when(keep, F.col(day)).otherwise(F.to_date(ingest_ts)).alias(day),
+    return records.select(
+        *[F.when(keep, F.col(c)).alias(c) for c in columns if c != day],
+        F.when(keep, F.col(day)).otherwise(reject_day).alias(day),
         F.when(~keep, F.col(FORMAT)).alias("format"),
         F.when(~keep, F.col(RAW)).alias("value"),
         F.col(REASON).alias("reason"),
@@ -170,6 +169,14 @@ def outcome_rows(records: DataFrame, ingest_ts: Column) -> DataFrame:
     )
 
 
+def outcome_rows(records: DataFrame, ingest_ts: Column) -> DataFrame:
+    """Parsed records to single-pass rows (``with_outcome``) in the ``LOGS_APP`` shape; a
+    rejected line's ``partition_date`` is the ingestion day."""
+    app = to_logs_app(records, ingest_ts, keep=(REASON, RAW, FORMAT))
+    names = [f.name for f in schemas.LOGS_APP.fields]
+    return with_outcome(app, names, schemas.LOGS_APP_PARTITION, F.to_date(ingest_ts))
+
+
 def count_lines(records: DataFrame, observation: Observation) -> DataFrame:
     """Attach counts of all lines and of quarantined lines to the parsed records; they are
     filled by whichever job first runs a plan built on the result (no extra pass)."""

@@ -302,6 +302,8 @@ def _write_oracles() -> dict[str, str]:
         "incremental_single_pass": M + f"SELECT {no_ingest} FROM ({mixed})",
         "incremental_single_pass_rejects": M + "SELECT * FROM access_bad UNION ALL SELECT * FROM json_bad",
         "stream_ingest": J + "SELECT * FROM stream_logs",
+        "stream_single_pass": J + "SELECT * FROM stream_logs",
+        "stream_single_pass_rejects": J + "SELECT * FROM json_bad",
         "service_lake_recent": L + f"""SELECT "timestamp", level, message, source, user_id, session_id, ip_address,
   TIMESTAMP '{INGEST_TS}' AS ingested_at, '{BATCH_ID}' AS batch_id, date_partition
 FROM logs WHERE date_partition >= DATE '{AS_OF}' - 7""",

@@ -126,6 +126,11 @@ STREAM_VALUE = _schema(
     ("thread", StringType()),
 )
 
+# Stream rows as stored: the event time as UTC ``timestamp_ntz``, like the batch tables.
+STREAM_LOGS = StructType(
+    [StructField("timestamp", TimestampNTZType(), True), *STREAM_VALUE.fields[1:], StructField("partition_date", DateType(), True)]
+)
+
 # Quarantined input: the raw text, which reader saw it, and why it was set aside.
 QUARANTINE = _schema(("format", StringType()), ("value", StringType()), ("reason", StringType()))
 

@@ -125,16 +125,17 @@ def tagged_records(
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_outcome(spark: SparkSession, path: str, outcome: str = parse_ops.OUTCOME_LOGS) -> DataFrame:
+def read_outcome(
+    spark: SparkSession, path: str, outcome: str = parse_ops.OUTCOME_LOGS, logs_schema: StructType = schemas.LOGS_APP
+) -> DataFrame:
     """One side of a folder written in the single-pass layout (partitioned by ``outcome``): the
-    ``LOGS_APP`` rows (``outcome="logs"``) or the quarantine with its ingestion day
-    (``"rejects"``). Reading the folder itself, not the ``outcome=…`` subfolder, keeps a stream
-    sink's commit log in force, and the ``outcome`` filter prunes to one subfolder."""
-    schema = StructType(
-        [*schemas.LOGS_APP.fields, *schemas.QUARANTINE.fields, StructField(parse_ops.OUTCOME, StringType(), True)]
-    )
+    good rows in ``logs_schema`` (``LOGS_APP``, or ``STREAM_LOGS`` for the value stream) for
+    ``outcome="logs"``, or the quarantine with its day (``"rejects"``). Reading the folder
+    itself, not the ``outcome=…`` subfolder, keeps a stream sink's commit log in force, and the
+    ``outcome`` filter prunes to one subfolder."""
+    schema = StructType([*logs_schema.fields, *schemas.QUARANTINE.fields, StructField(parse_ops.OUTCOME, StringType(), True)])
     side = spark.read.schema(schema).parquet(path).where(F.col(parse_ops.OUTCOME) == outcome)
-    shape = schemas.LOGS_APP if outcome == parse_ops.OUTCOME_LOGS else schemas.QUARANTINE_BY_DATE
+    shape = logs_schema if outcome == parse_ops.OUTCOME_LOGS else schemas.QUARANTINE_BY_DATE
     return side.select(*[f.name for f in shape.fields])
 
 

@@ -46,12 +46,19 @@ def stream_source(
 
 
 def parse_stream_values(values: DataFrame, *, watermark: str | None = WATERMARK_DELAY) -> tuple[DataFrame, DataFrame]:
-    """JSON values to (``STREAM_VALUE`` rows + ``partition_date``, quarantine).
+    """JSON values to (``STREAM_LOGS`` rows: ``STREAM_VALUE`` + ``partition_date``, quarantine).
 
     The watermark is declared on the event time (a zoned timestamp, as watermarks need);
     the stored ``timestamp`` is then the UTC wall-clock ``timestamp_ntz`` of the batch
     tables. With no stateful operator after it, the watermark drops nothing.
     """
+    records = stream_records(values, watermark=watermark).drop(parse_ops.FORMAT)
+    return parse_ops.split_quarantine(records, parse_ops.FORMAT_JSON)
+
+
+def stream_records(values: DataFrame, *, watermark: str | None = WATERMARK_DELAY) -> DataFrame:
+    """JSON values to ``STREAM_LOGS`` records, one per value, with ``_raw``, ``_reason`` and
+    ``_format`` (see ``parse_stream_values``)."""
     schema = StructType([*schemas.STREAM_VALUE.fields, StructField(schemas.CORRUPT_COLUMN, StringType(), True)])
     parsed = values.select(
         F.col("value"),
@@ -67,8 +74,9 @@ def parse_stream_values(values: DataFrame, *, watermark: str | None = WATERMARK_
         *[F.col(f.name) for f in schemas.STREAM_VALUE.fields if f.name != "timestamp"],
         F.col("value").alias(parse_ops.RAW),
         F.when(corrupt.isNotNull(), F.lit(parse_ops.CORRUPT_JSON)).alias(parse_ops.REASON),
+        F.lit(parse_ops.FORMAT_JSON).alias(parse_ops.FORMAT),
     ).withColumn(STREAM_PARTITION, F.to_date("timestamp"))
-    return parse_ops.split_quarantine(records, parse_ops.FORMAT_JSON)
+    return records
 
 
 def _start(
@@ -102,15 +110,30 @@ def streaming_ingest(
     fmt: str = "parquet",
     quarantine_path: str | None = None,
     watermark: str | None = WATERMARK_DELAY,
+    single_pass: bool = False,
 ) -> list[StreamingQuery]:
     """Start the stream: JSON values -> parsed rows -> ``sink_path`` partitioned by
     ``partition_date``. ``trigger`` is a processing-time interval, or ``"availableNow"`` /
     None to process what is there and stop. With ``quarantine_path``, corrupt values go to
-    a second query (own checkpoint below ``checkpoint``). Returns the started queries."""
+    a second query (own checkpoint below ``checkpoint``), which reads the source again.
+    ``single_pass=True`` instead writes both sides in one query to ``sink_path``,
+    partitioned by ``outcome`` and ``partition_date`` (a corrupt value's day is the
+    processing day); read a side with ``sources.files.read_outcome(...,
+    logs_schema=schemas.STREAM_LOGS)``. Returns the started queries."""
+    ck = checkpoint.rstrip("/")
+    if single_pass:
+        if quarantine_path:
+            raise ValueError("single_pass writes the rejects under sink_path; give no quarantine_path")
+        names = [f.name for f in schemas.STREAM_LOGS.fields]
+        rows = parse_ops.with_outcome(
+            stream_records(values, watermark=watermark), names, STREAM_PARTITION, F.to_date(ingest_time())
+        )
+        parts = (parse_ops.OUTCOME, STREAM_PARTITION)
+        return [_start(rows, sink_path, f"{ck}/all", trigger=trigger, fmt=fmt, partition_by=parts)]
     good, bad = parse_stream_values(values, watermark=watermark)
-    queries = [_start(good, sink_path, f"{checkpoint.rstrip('/')}/logs", trigger=trigger, fmt=fmt, partition_by=(STREAM_PARTITION,))]
+    queries = [_start(good, sink_path, f"{ck}/logs", trigger=trigger, fmt=fmt, partition_by=(STREAM_PARTITION,))]
     if quarantine_path:
-        queries.append(_start(bad, quarantine_path, f"{checkpoint.rstrip('/')}/quarantine", trigger=trigger, fmt=fmt))
+        queries.append(_start(bad, quarantine_path, f"{ck}/quarantine", trigger=trigger, fmt=fmt))
     return queries
 
 

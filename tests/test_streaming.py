@@ -75,6 +75,28 @@ def test_streaming_ingest_values(spark, tmp_path):
     assert [(r["value"], r["reason"]) for r in bad] == [("not json", P.CORRUPT_JSON)]
 
 
+def test_streaming_ingest_values_single_pass(spark, tmp_path):
+    """One query writes both sides; each equals the two-query output."""
+    from logloom import schemas
+
+    src = tmp_path / "values"
+    src.mkdir()
+    recs = [REC, {**REC, "timestamp": "2025-08-25T07:00:00+05:30", "level": "INFO"}, {"level": "WARN"}]
+    (src / "v.txt").write_text("\n".join(json.dumps(r) for r in recs) + "\nnot json\n")
+    two, ck2, q = str(tmp_path / "two"), str(tmp_path / "ck2"), str(tmp_path / "q")
+    for query in S.streaming_ingest(S.stream_source(spark, str(src)), two, ck2, trigger="availableNow", quarantine_path=q):
+        query.awaitTermination()
+    one, ck1 = str(tmp_path / "one"), str(tmp_path / "ck1")
+    queries = S.streaming_ingest(S.stream_source(spark, str(src)), one, ck1, trigger="availableNow", single_pass=True)
+    assert len(queries) == 1
+    queries[0].awaitTermination()
+    good = files.read_outcome(spark, one, P.OUTCOME_LOGS, logs_schema=schemas.STREAM_LOGS)
+    bad = files.read_outcome(spark, one, P.OUTCOME_REJECTS, logs_schema=schemas.STREAM_LOGS)
+    assert good.columns == [f.name for f in schemas.STREAM_LOGS.fields]
+    assert _rows(good, drop=()) == _rows(spark.read.parquet(two), drop=())
+    assert _rows(bad, drop=("partition_date",)) == _rows(spark.read.parquet(q), drop=())
+
+
 def test_watermark_is_declared(spark, tmp_path):
     (tmp_path / "v.txt").write_text(json.dumps(REC) + "\n")
     good, _ = S.parse_stream_values(S.stream_source(spark, str(tmp_path)))
