@@ -25,6 +25,17 @@ def key_lines(df) -> list[str]:
     return [ln if len(ln) < 240 else ln[:237] + "..." for ln in lines]
 
 
+def _single_pass_rows(spark, sf_dir):
+    from logloom.functions.timeutil import ingest_time
+    from logloom.operators import parse as parse_ops
+    from logloom.sources.events import event_access_lines, read_events
+    from logloom.sources.files import tagged_records
+
+    ingest = ingest_time("2024-01-31 00:00:00")
+    lines = event_access_lines(read_events(spark, sf_dir))
+    return parse_ops.outcome_rows(tagged_records(lines, None, ingest), ingest)
+
+
 def main() -> None:
     from logloom import contract
     from logloom.operators import summaries as Q
@@ -52,6 +63,7 @@ def main() -> None:
         "Q20 http_traffic": Q.http_traffic(access, as_of=as_of),
         "Q22 top_paths": Q.top_paths(access),
         "P1-P15 parse_access_lines (from raw lines)": contract.access_logs(spark, sf_dir),
+        "J1 single pass: logs and rejects as one set of rows (from raw lines)": _single_pass_rows(spark, sf_dir),
     }
     print("# Physical plans (key lines)\n")
     print("Generated by `tools/show_plans.py`: summary queries over a stored Parquet log table partitioned by")
