@@ -109,7 +109,9 @@ def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_
     job would leave the table empty): the rows are written to a staged table first, and only
     when that job has succeeded is the old table dropped and the staged one renamed to its
     name. A failure while writing leaves the old table as it was, and ``df`` may read
-    ``table`` itself.
+    ``table`` itself. The rename moves the managed table's folder, which an object store does
+    by copying: cheap for summary tables; for a large table use a format with an atomic
+    replace (``fmt="iceberg"``).
     """
     if fmt != "parquet":
         writer2 = df.writeTo(table).using(fmt)
