@@ -83,3 +83,35 @@ def test_level_counts_never_exceed_totals(spark, rows):
         assert r["error_count"] + r["warn_count"] + r["info_count"] + r["debug_count"] <= r["total_logs"]
     assert sum(r["count"] for r in Q.level_distribution(logs).collect()) == len(rows)
     assert Q.total_count(logs).collect()[0]["total_records"] == len(rows)
+
+
+# Text built from the characters the single-pass capture uses as marks and separator, plus a few
+# characters of the grammar.
+marks = st.text(st.sampled_from(["\u0001", "\u0002", "\u0003", "a", "/", " ", "-", '"', "["]), max_size=12)
+marked_entry = entry.flatmap(lambda e: marks.map(lambda m: {**e, "path": e["path"] + m.replace('"', "")}))
+noisy_line = st.one_of(
+    entry.map(_format),
+    marked_entry.map(_format),
+    st.tuples(marks, entry.map(_format)).map(lambda t: t[0] + t[1]),
+    st.tuples(entry.map(_format), marks).map(lambda t: t[0] + t[1]),
+    marks,
+)
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(noisy_line, min_size=1, max_size=30))
+def test_single_pass_capture_equals_group_by_group(spark, lines):
+    """The one-regex capture equals a match test plus one regexp_extract per group, also for
+    lines holding the mark and separator characters."""
+    from pyspark.sql import functions as F
+
+    from logloom.functions import access as A
+
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    head = A.anchored(A.ACCESS_LINE_PATTERN)
+    got = A.capture_groups(df, "value", A.ACCESS_LINE_PATTERN, A.ACCESS_GROUPS).select(
+        "m",
+        F.when(F.col("value").rlike(head), F.array(*[F.regexp_extract("value", head, i + 1) for i in range(8)])).alias("e"),
+    )
+    for r in got.collect():
+        assert r["m"] == r["e"]
