@@ -5,7 +5,7 @@
     python -m logloom incremental RAW_PREFIX SINK_PATH CHECKPOINT [--quarantine PATH | --single-pass]
     python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"] [--quarantine PATH | --single-pass]
     python -m logloom generate analytics.service_logs [--rows 1000]
-    python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service | --fallback app|service]
+    python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service [--shared-scan] | --fallback app|service]
     python -m logloom refresh analytics.logs analytics [--kind app|service] [--days 1]
     python -m logloom report analytics.logs
 
@@ -68,6 +68,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--kind", choices=["app", "service"])
     a.add_argument("--fallback", choices=["app", "service"], default="service",
                    help="tables built (if absent) when neither --script nor --kind is given")
+    a.add_argument("--shared-scan", action="store_true",
+                   help="with --kind app: build the daily, hourly and per-logger summaries from one rollup")
 
     a = sub.add_parser("refresh", help="recompute the date-grouped summaries of the last days")
     a.add_argument("source_table")
@@ -129,7 +131,8 @@ def main(argv: list[str] | None = None) -> int:
 
         script = Path(args.script).read_text() if args.script else None
         res = run_aggregation(
-            spark, args.source_table, args.database, script=script, kind=args.kind, fallback=args.fallback
+            spark, args.source_table, args.database, script=script, kind=args.kind, fallback=args.fallback,
+            shared_scan=args.shared_scan,
         )
         ok = res.success
         print(json.dumps({

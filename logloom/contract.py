@@ -59,6 +59,11 @@ def _on_access(fn, **kw) -> Query:
     return lambda spark, sf_dir: fn(access_logs(spark, sf_dir), **kw)
 
 
+def _on_rollup(fn, **kw) -> Query:
+    """A summary built from the hourly rollup of the derived logs (shared-scan form)."""
+    return lambda spark, sf_dir: fn(Q.hourly_logger_rollup(logs(spark, sf_dir)), **kw)
+
+
 def exception_summary_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q9 with the sorted logger array joined by ``|`` (plain values for the hash check)."""
     out = Q.exception_summary(logs(spark, sf_dir))
@@ -116,6 +121,10 @@ def queries() -> dict[str, Query]:
         "top_error_loggers_recent": _on_logs(Q.top_error_loggers_recent, as_of=AS_OF),
         "http_traffic": _on_access(Q.http_traffic, as_of=AS_OF),
         "top_paths": _on_access(Q.top_paths),
+        # Q3, Q5, Q7 from one shared hourly rollup (the summary job's shared_scan=True)
+        "daily_summary_loggers_rollup": _on_rollup(Q.daily_summary_loggers_from_rollup),
+        "hourly_error_trends_loggers_rollup": _on_rollup(Q.hourly_error_trends_loggers_from_rollup),
+        "logger_activity_summary_rollup": _on_rollup(Q.logger_activity_summary_from_rollup),
         # Parsing and normalisation of access lines (P1, P4, P7-P17)
         "parse_access_lines": access_logs,
         "access_quarantine": access_quarantine,

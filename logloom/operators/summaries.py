@@ -290,6 +290,73 @@ def top_paths(logs: DataFrame, *, limit: int = 100) -> DataFrame:
     )
 
 
+# --- Shared pre-aggregate for the application summaries ---------------------------------------
+# Q3, Q5 and Q7 only need, per (day, hour, level, logger), the row count and the first and latest
+# time. One scan of the log table builds that rollup (partial aggregation before its shuffle);
+# its size is bounded by days x 24 x levels x loggers, not by the rows. The three summaries are
+# then aggregates of the rollup, with results equal to the direct queries.
+
+def _rows_sum(alias: str) -> Column:
+    # A group of the rollup has at least one row, so the sum is never NULL; the coalesce gives
+    # it the non-nullable type of the direct ``count``.
+    return F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias(alias)
+
+
+def hourly_logger_rollup(logs: DataFrame) -> DataFrame:
+    """Rows of ``LOGS_APP`` per (partition_date, hour, level, logger): ``rows``, ``first``,
+    ``latest``."""
+    return logs.groupBy(
+        "partition_date", F.date_trunc("hour", F.col("timestamp")).alias("hour_start"), "level", "logger"
+    ).agg(G.row_count("rows"), G.earliest("timestamp", "first"), G.latest("timestamp", "latest"))
+
+
+def daily_summary_loggers_from_rollup(rollup: DataFrame, *, stamp: Stamp = None) -> DataFrame:
+    """Q3 from ``hourly_logger_rollup``."""
+    out = (
+        rollup.groupBy("partition_date", "level")
+        .agg(_rows_sum("log_count"), F.count_distinct(F.col("logger")).alias("unique_loggers"))
+        .orderBy(_desc("partition_date"), _asc("level"))
+    )
+    return _stamped(out, stamp)
+
+
+def hourly_error_trends_loggers_from_rollup(rollup: DataFrame, *, levels: Sequence[str] = P.ERROR_WARN_FATAL, stamp: Stamp = None) -> DataFrame:
+    """Q5 from ``hourly_logger_rollup``."""
+    out = (
+        rollup.where(P.level_in(levels))
+        .groupBy(F.col("hour_start").alias("_hour"), "level")
+        .agg(_rows_sum("error_count"), F.count_distinct(F.col("logger")).alias("unique_loggers"))
+        .orderBy(_desc("_hour"), _asc("level"))
+        .select(hour_bucket(F.col("_hour")).alias("hour"), "level", "error_count", "unique_loggers")
+    )
+    return _stamped(out, stamp)
+
+
+def logger_activity_summary_from_rollup(rollup: DataFrame, *, levels: Sequence[str] = ("ERROR", "WARN", "INFO"), stamp: Stamp = None) -> DataFrame:
+    """Q7 from ``hourly_logger_rollup``: a level's count is the sum of its rollup rows (0 when
+    there are none, as ``count_if`` gives)."""
+    counts = [
+        F.coalesce(F.sum(F.when(F.col("level") == F.lit(level), F.col("rows"))), F.lit(0).cast("bigint")).alias(
+            f"{level.lower()}_count"
+        )
+        for level in levels
+    ]
+    out = (
+        rollup.groupBy("logger")
+        .agg(_rows_sum("total_logs"), *counts, F.max("latest").alias("latest_log"), F.min("first").alias("first_log"))
+        .orderBy(_desc("total_logs"), _asc("logger"))
+    )
+    return _stamped(out, stamp)
+
+
+# Application summaries built from the rollup (same table names as in APP_SUMMARIES).
+APP_ROLLUP_SUMMARIES = {
+    "daily_log_summary": daily_summary_loggers_from_rollup,
+    "hourly_error_trends": hourly_error_trends_loggers_from_rollup,
+    "logger_activity_summary": logger_activity_summary_from_rollup,
+}
+
+
 # Name -> function, for callers that pick summaries by name (e.g. a list of tables to build).
 APP_SUMMARIES = {
     "top_errors_by_count": top_errors_by_logger,

@@ -13,6 +13,7 @@ from logloom.operators import parse as parse_ops
 from logloom.operators import summaries as Q
 from logloom.plans import script as S
 from logloom.plans import tables as T
+from logloom.session import checkpoint_base
 from logloom.sources.files import ACCESS_GLOB, JSON_GLOB, read_logs, read_records
 from logloom.sources.generate import generate_service_logs
 
@@ -207,6 +208,7 @@ def run_aggregation(
     min_success_rate: float = 0.5,
     empty_script_ok: bool = False,
     fmt: str = "parquet",
+    shared_scan: bool = False,
 ) -> AggregationResult:
     """Build the summary tables of ``database`` from ``source_table``.
 
@@ -215,6 +217,10 @@ def run_aggregation(
     succeed), or build the DataFrame summaries of ``kind`` (``"app"`` or ``"service"``)
     with full refresh, or, with neither, create the two ``fallback`` tables only if absent
     (``"service"``: error summary and daily counts; ``"app"``: top errors and daily summary). Ends with the row count of every table but the source.
+
+    ``shared_scan=True`` (``kind="app"``): the daily, hourly and per-logger summaries are built
+    from one hourly rollup of the log table (``Q.hourly_logger_rollup``, checkpointed in the
+    shared checkpoint folder) instead of a scan each; the results are the same.
     """
     ok, rows = verify_source(spark, source_table)
     if not ok:
@@ -226,6 +232,14 @@ def run_aggregation(
     if script is not None:
         result.statements = S.run_statements(spark, script)
         result.success = S.script_passed(result.statements, min_success_rate=min_success_rate, empty_ok=empty_script_ok)
+    elif kind == "app" and shared_scan:
+        logs = spark.table(source_table)
+        checkpoint_base(spark)
+        rollup = Q.hourly_logger_rollup(logs).checkpoint()  # one scan; lineage cut in the shared folder
+        direct = {k: v for k, v in Q.APP_SUMMARIES.items() if k not in Q.APP_ROLLUP_SUMMARIES}
+        result.tables_written = T.build_tables(spark, logs, database, direct, fmt=fmt) + T.build_tables(
+            spark, rollup, database, Q.APP_ROLLUP_SUMMARIES, fmt=fmt
+        )
     elif kind is not None:
         summaries = {"app": Q.APP_SUMMARIES, "service": Q.SERVICE_SUMMARIES}[kind]
         result.tables_written = T.build_tables(spark, spark.table(source_table), database, summaries, fmt=fmt)

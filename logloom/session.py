@@ -74,8 +74,9 @@ def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+def checkpoint_base(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, also set as the SparkContext checkpoint dir so
+    that ``DataFrame.checkpoint()`` writes there.
 
     The base is ``spark.checkpoint.dir`` (or the SparkContext checkpoint dir). Only in local
     mode, where every task runs on this machine, is a private temporary folder set when
@@ -94,4 +95,9 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
             pass
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+    return base
+
+
+def shared_dir(spark: SparkSession, *parts: str) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder (see ``checkpoint_base``)."""
+    return "/".join([checkpoint_base(spark).rstrip("/"), *parts, uuid.uuid4().hex])
