@@ -62,6 +62,7 @@ def main() -> None:
         "Q19 top_error_loggers_recent": Q.top_error_loggers_recent(logs, as_of=as_of),
         "Q20 http_traffic": Q.http_traffic(access, as_of=as_of),
         "Q22 top_paths": Q.top_paths(access),
+        "Q3/Q5/Q7 shared scan: hourly_logger_rollup": Q.hourly_logger_rollup(logs),
         "P1-P15 parse_access_lines (from raw lines)": contract.access_logs(spark, sf_dir),
         "J1 single pass: logs and rejects as one set of rows (from raw lines)": _single_pass_rows(spark, sf_dir),
     }
