@@ -54,7 +54,8 @@ def ingest_logs(
     One job reads, parses and writes the good rows, and counts all lines and the quarantined
     ones on the way (``observe``: no extra count pass). With ``quarantine_table``, the
     set-aside lines are appended there by a second pass over the input, which runs only when
-    the first job found any. ``rebalance`` regroups rows by date before writing (one
+    the first job found any (``ingest_logs_single_pass`` stores both from one pass, with the
+    two tables side by side under one folder). ``rebalance`` regroups rows by date before writing (one
     shuffle, fewer and fuller files; see ``tables.append``). Missing input raises; nothing is
     invented.
     """
