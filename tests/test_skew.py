@@ -71,3 +71,18 @@ def test_plans_aggregate_before_shuffle(skewed):
         plan = q._jdf.queryExecution().executedPlan().toString()
         first_exchange = plan.rfind("Exchange")
         assert "partial_" in plan[first_exchange:], "no map-side partial aggregation below the first shuffle"
+
+
+def test_rollup_forms_exact_under_a_hot_logger(skewed):
+    """A logger with a third of all rows: the shared-scan forms equal the direct queries."""
+    df, _ = skewed
+    logs = df.withColumn("partition_date", F.to_date("timestamp"))
+    rollup = Q.hourly_logger_rollup(logs)
+    for direct, rolled in (
+        (Q.daily_summary_loggers(logs), Q.daily_summary_loggers_from_rollup(rollup)),
+        (Q.hourly_error_trends_loggers(logs), Q.hourly_error_trends_loggers_from_rollup(rollup)),
+        (Q.logger_activity_summary(logs), Q.logger_activity_summary_from_rollup(rollup)),
+    ):
+        assert direct.collect() == rolled.collect()
+    hot = {r["logger"]: r for r in Q.logger_activity_summary_from_rollup(rollup).collect()}["hot.logger"]
+    assert hot["total_logs"] == N // 3 and hot["error_count"] == N // 3
