@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import quality_classifier, quality_rules
-from logloom.llm.shared import TEST_FOLD, fold, stored
+from logloom.llm import mixing, near_dedup, quality_classifier, quality_rules, sentencepieces
+from logloom.llm.shared import TEST_FOLD, fold, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +23,18 @@ def held_out() -> Column:
     return F.coalesce(fold() == TEST_FOLD, F.lit(False)).alias("held_out")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows = mixing.measured(docs)
+    rows = stored(spark, rows.withColumn("row", F.struct("row.doc_id", "row.source", "row.lang")), "mixing_rows")
+    found = mixing.drawn(rows, mixing.cell_probabilities(spark, rows))
+    return found.select("row.doc_id", "row.source", "row.lang", F.expr("substr(c_topic, 2)").alias("topic"), "n_tokens", "weight", "probability", "kept")
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     measured = quality_rules.measure(docs).withColumn("row", F.struct("row.doc_id"))
@@ -30,6 +44,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *[F.col(f"base.{c}").cast("long").alias(c) for c in names], "base_failed", "kept", "failed_rule")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: ids, code points, a digest of the ids and whether decoding them gives the text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = sentencepieces.encode_documents(docs, model, carry=["doc_id", "text"])
+    decoded = sentencepieces.decode_documents(encoded, model, carry=["doc_id", "text", "ids"], text="decoded")
+    same = F.col("decoded") == F.translate("text", sentencepieces.SPACE, " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.length("decoded").cast("long").alias("decoded_chars"), F.xxhash64("ids").alias("ids_hash"), same.alias("restored"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -40,7 +64,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_mixing": op2_mixing,
+        "op3_near_dedup": op3_near_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_sentencepiece": op7_sentencepiece,
         "op10_quality_classifier": op10_quality_classifier,
     }
 

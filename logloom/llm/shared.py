@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,21 @@ TEST_FOLD = 0
 FOLDS = 5
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), so that the functions that run in
+    tasks can be imported there wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_logloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="logloom-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._logloom_shipped = True
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared checkpoint folder and read back: cuts the lineage,
     survives lost executors, and is computed once however often it is used."""
