@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, *, column: str = "quality", max_ro
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", *names])
 
     rows = training_rows(docs, labels, column, max_rows).mapInArrow(sample, ", ".join(["doc_id long", "label double", *[f"{c} double" for c in names]]))
-    table = rows.toPandas().sort_values(["doc_id", *names], kind="stable")
+    table = rows.toArrow().to_pandas().sort_values(["doc_id", *names], kind="stable")
     return fit(table[names].to_numpy(float), (table["label"].to_numpy(float) > 0).astype(float), **options)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import mixing, near_dedup, quality_classifier, quality_rules, sentencepieces
+from logloom.llm import mixing, near_dedup, quality_classifier, quality_rules, sentencepieces, token_files, toxicity
 from logloom.llm.shared import TEST_FOLD, fold, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,18 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = token_files.store_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, path)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_likelihood", "ordinary_likelihood")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     measured = quality_rules.measure(docs).withColumn("row", F.struct("row.doc_id"))
@@ -66,6 +78,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_mixing": op2_mixing,
         "op3_near_dedup": op3_near_dedup,
+        "op4_token_files": op4_token_files,
+        "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
         "op7_sentencepiece": op7_sentencepiece,
         "op10_quality_classifier": op10_quality_classifier,
