@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import mixing, near_dedup, quality_classifier, quality_rules, sentencepieces, token_files, toxicity
+from logloom.llm import chat_format, license_scan, mixing, near_dedup, paragraph_sketch, quality_classifier, quality_rules, sentencepieces, token_files, toxicity
 from logloom.llm.shared import TEST_FOLD, fold, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def held_out() -> Column:
     return F.coalesce(fold() == TEST_FOLD, F.lit(False)).alias("held_out")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_conversations(chat_format.format_conversations(rows.unionByName(extra)))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     rows = mixing.measured(docs)
@@ -66,6 +73,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.length("decoded").cast("long").alias("decoded_chars"), F.xxhash64("ids").alias("ids_hash"), same.alias("restored"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -76,12 +91,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_mixing": op2_mixing,
         "op3_near_dedup": op3_near_dedup,
         "op4_token_files": op4_token_files,
         "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_license_scan": op8_license_scan,
+        "op9_paragraph_sketch": op9_paragraph_sketch,
         "op10_quality_classifier": op10_quality_classifier,
     }
 

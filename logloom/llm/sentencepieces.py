@@ -34,8 +34,8 @@ SPACE = "▁"
 CACHE_UNITS = 500_000
 CACHE_UNIT_CHARS = 200
 #: Characters indexed at once, and units looked up at once.
-BATCH_CHARS = 1 << 19
-GROUP_UNITS = 400_000
+BATCH_CHARS = 1 << 17
+GROUP_UNITS = 200_000
 MAX_DEPTH = 16
 NEVER = np.int64(1) << 40
 

@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 
 from logloom.session import shared_dir
 
+#: Setting, Spark's own default, bound used here.
+ARROW_BOUNDS = [
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),
+]
+
 TEST_FOLD = 0
 FOLDS = 5
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors (once per application), so that the functions that run in
-    tasks can be imported there wherever the driver was started."""
+    tasks can be imported there wherever the driver was started, and bound the Arrow batches (rows and
+    bytes) that one Python worker holds, unless the session sets other bounds."""
+    for key, usual, bound in ARROW_BOUNDS:
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, bound)
     context = spark.sparkContext
     if getattr(context, "_logloom_shipped", False):
         return
@@ -56,8 +66,8 @@ def range_parts(spark: SparkSession, df: DataFrame, order: list[str], name: str)
 
 
 def next_and_previous(spark: SparkSession, ids: DataFrame, carried: str) -> DataFrame:
-    """Of each row of ``ids`` (``doc_id``, ``carried``): ``next_id`` and the previous row's id and
-    ``carried`` value in ascending ``doc_id`` order, cyclically.
+    """``ids`` (``doc_id``, ``carried``; one row per id) with ``next_id`` and the previous row's id
+    and ``carried`` value in ascending ``doc_id`` order, cyclically.
 
     Windows run inside ranges of ids; only one row per range meets in the window over ranges.
     """
@@ -80,6 +90,7 @@ def next_and_previous(spark: SparkSession, ids: DataFrame, carried: str) -> Data
     )
     return rows.join(edges, "part").select(
         "doc_id",
+        carried,
         F.coalesce("next_id", "next_low").alias("next_id"),
         F.coalesce("previous_id", F.col("previous_high.doc_id")).alias("previous_id"),
         F.coalesce("previous_value", F.col(f"previous_high.{carried}")).alias("previous_value"),

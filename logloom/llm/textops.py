@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once inside a task; a longer single text is handled whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
