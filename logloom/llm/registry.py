@@ -102,7 +102,3 @@ def queries() -> dict[str, Query]:
         "op9_paragraph_sketch": op9_paragraph_sketch,
         "op10_quality_classifier": op10_quality_classifier,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
