@@ -4,9 +4,10 @@ Words are runs of letters, digits, apostrophes and non-ASCII bytes, lower-cased
 ``GRAM``-word hashes are winnowed (the least hash of each ``WINDOW`` consecutive ones) into an inverted
 index (hash -> template, place), whose size depends on the templates alone. A document's
 winnowed hashes are looked up in it: a run of GRAM + WINDOW - 1 words shared with a template always gives a hit.
-Hits of one template whose diagonals (document place - template place) lie within ``BAND`` of each other
+Hits of one template whose diagonals (document place - template place) lie within the band of each other
 and that are no farther apart than the template is long form a candidate region, and the template's
-words are aligned to it in a band of ``BAND`` words around these diagonals, document ends free. A match
+words are aligned to it within the band around these diagonals, document ends free. The band is a third of
+the template's words, at most ``BAND``. A match
 is reported if at least ``LEAST_COVERAGE`` of the template's words are equal in the alignment; of matches
 that overlap by half, the one with more matched words (then higher coverage, then name) stays.
 
@@ -129,7 +130,7 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
     return T.span_hashes(data, starts, ends, _CODES), bounds, (starts, ends, offsets)
 
 
-def align(template: np.ndarray, region: np.ndarray, centre: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: np.ndarray, region: np.ndarray, centre: int, band: int) -> tuple[int, int, int]:
     """(equal words, first, last + 1 in ``region``) of the best alignment whose diagonals stay within
     ``band`` of ``centre``: fewest edits, document words before and behind free."""
     m, width = len(template), 2 * band + 1
@@ -163,12 +164,12 @@ def align(template: np.ndarray, region: np.ndarray, centre: int, band: int = BAN
     return equal[c], start[c], m + centre - band + c
 
 
-def regions(places: np.ndarray, diagonals: np.ndarray, length: int) -> list[tuple[int, int]]:
+def regions(places: np.ndarray, diagonals: np.ndarray, length: int, band: int) -> list[tuple[int, int]]:
     """(low, high) diagonals of groups of hits of one template in one text: near in place, within the band."""
     order = np.lexsort((places, diagonals))
     out: list[list[int]] = []  # low diagonal, high diagonal, last place
     for p, d in zip(places[order].tolist(), diagonals[order].tolist(), strict=True):
-        if out and d - out[-1][0] <= BAND and abs(p - out[-1][2]) <= length + BAND:
+        if out and d - out[-1][0] <= band and abs(p - out[-1][2]) <= length + band:
             out[-1][1], out[-1][2] = d, p
         else:
             out.append([d, d, p])
@@ -198,9 +199,10 @@ def scan_texts(index: Index, texts: pa.Array, least: float) -> list[tuple[int, s
         row, t = int(of[place[a]]), int(template[a])
         own = index.words[t]
         first, last = int(bounds[row]), int(bounds[row + 1])
-        for low_d, high_d in regions(place[a:b], diagonal[a:b], len(own)):
-            lo, hi = max(first, low_d - BAND), min(last, high_d + len(own) + BAND)
-            matched, s, e = align(own, words[lo:hi], (low_d + high_d) // 2 - lo)
+        band = min(BAND, len(own) // 3)
+        for low_d, high_d in regions(place[a:b], diagonal[a:b], len(own), band):
+            lo, hi = max(first, low_d - band), min(last, high_d + len(own) + band)
+            matched, s, e = align(own, words[lo:hi], (low_d + high_d) // 2 - lo, band)
             if e > s and matched >= least * len(own):
                 found.setdefault(row, []).append((matched, matched / len(own), index.names[t], len(own), lo + s, lo + e))
     out = []
