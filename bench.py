@@ -45,6 +45,13 @@ HEADLINE = [
     "access_table",
     "json_logs",
     "stream_ingest",
+    "ingest_job",
+    "ingest_single_pass",
+    "aggregation_service",
+    "app_summary_tables",
+    "daily_summary_loggers_rollup",
+    "hourly_error_trends_loggers_rollup",
+    "logger_activity_summary_rollup",
 ]
 
 
@@ -64,6 +71,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     available = contract.queries()
     names = [n for n in HEADLINE if n in available]
+    contract.write_raw(spark, sf_dir)  # the raw files that the ingest queries read: not timed
     run(available["top_errors_by_logger"](spark, sf_dir))  # warm-up: JVM, codegen, file listing
     times = {}
     for name in names:
@@ -83,6 +91,7 @@ def main() -> None:
             }
         )
     )
+    contract.clean_up(spark)
     spark.stop()
 
 

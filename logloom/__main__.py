@@ -33,6 +33,9 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--quarantine")
     a.add_argument("--prefer", default="both", choices=["both", "apache"])
     a.add_argument("--allow-dash-size", action="store_true")
+    a.add_argument("--format", default="parquet", help="table format, e.g. iceberg where its catalog is configured")
+    a.add_argument("--rebalance", action="store_true", help="regroup rows by date before writing (one shuffle, fuller files)")
+    a.add_argument("--drop-rejects", action="store_true", help="only count rejected lines (default: TABLE_rejects)")
     a.add_argument("--single-pass", metavar="ROOT",
                    help="write both tables in one pass, stored side by side under ROOT (needs --quarantine)")
 
@@ -41,6 +44,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("sink_path")
     a.add_argument("checkpoint")
     a.add_argument("--quarantine")
+    a.add_argument("--drop-rejects", action="store_true", help="do not store rejected lines (default: SINK_PATH_rejects)")
     a.add_argument("--max-files-per-trigger", type=int)
     a.add_argument("--single-pass", action="store_true",
                    help="one query writes logs and rejects under SINK_PATH, partitioned by outcome")
@@ -53,6 +57,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--option", action="append", default=[], help="source option key=value")
     a.add_argument("--trigger", default="30 seconds")
     a.add_argument("--quarantine")
+    a.add_argument("--drop-rejects", action="store_true", help="do not store rejected values (default: SINK_PATH_rejects)")
     a.add_argument("--single-pass", action="store_true",
                    help="one query writes logs and rejects under SINK_PATH, partitioned by outcome")
 
@@ -68,6 +73,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--kind", choices=["app", "service"])
     a.add_argument("--fallback", choices=["app", "service"], default="service",
                    help="tables built (if absent) when neither --script nor --kind is given")
+    a.add_argument("--format", default="parquet")
     a.add_argument("--shared-scan", action="store_true",
                    help="with --kind app: build the daily, hourly and per-logger summaries from one rollup")
 
@@ -76,6 +82,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("database")
     a.add_argument("--kind", choices=["app", "service"], default="service")
     a.add_argument("--days", type=int, default=1)
+    a.add_argument("--as-of", help="last day, yyyy-mm-dd (default: today)")
+    a.add_argument("--format", default="parquet")
 
     a = sub.add_parser("report", help="print a table check")
     a.add_argument("table")
@@ -93,14 +101,16 @@ def main(argv: list[str] | None = None) -> int:
         if args.single_pass:
             if not args.quarantine:
                 raise SystemExit("--single-pass needs --quarantine")
+            if args.format != "parquet" or args.drop_rejects:
+                raise SystemExit("--single-pass stores Parquet, rejects included")
             res = ingest_logs_single_pass(
                 spark, args.raw_prefix, args.table, args.quarantine, args.single_pass, prefer=args.prefer,
-                allow_dash_size=args.allow_dash_size,
+                allow_dash_size=args.allow_dash_size, rebalance=args.rebalance,
             )
         else:
             res = ingest_logs(
                 spark, args.raw_prefix, args.table, prefer=args.prefer, allow_dash_size=args.allow_dash_size,
-                quarantine_table=args.quarantine,
+                quarantine_table=args.quarantine, fmt=args.format, rebalance=args.rebalance, keep_rejects=not args.drop_rejects,
             )
         print(json.dumps({"rows_written": res.rows_written, "rows_quarantined": res.rows_quarantined}))
     elif args.command == "incremental":
@@ -108,7 +118,7 @@ def main(argv: list[str] | None = None) -> int:
 
         incremental_ingest(
             spark, args.raw_prefix, args.sink_path, args.checkpoint, quarantine_path=args.quarantine,
-            max_files_per_trigger=args.max_files_per_trigger, single_pass=args.single_pass,
+            max_files_per_trigger=args.max_files_per_trigger, single_pass=args.single_pass, keep_rejects=not args.drop_rejects,
         )
     elif args.command == "stream":
         from logloom.streaming.ingest import stream_source, streaming_ingest
@@ -117,7 +127,7 @@ def main(argv: list[str] | None = None) -> int:
         values = stream_source(spark, args.source, fmt=args.format, options=options)
         for q in streaming_ingest(
             values, args.sink_path, args.checkpoint, trigger=args.trigger, quarantine_path=args.quarantine,
-            single_pass=args.single_pass,
+            single_pass=args.single_pass, keep_rejects=not args.drop_rejects,
         ):
             q.awaitTermination()
     elif args.command == "generate":
@@ -132,7 +142,7 @@ def main(argv: list[str] | None = None) -> int:
         script = Path(args.script).read_text() if args.script else None
         res = run_aggregation(
             spark, args.source_table, args.database, script=script, kind=args.kind, fallback=args.fallback,
-            shared_scan=args.shared_scan,
+            shared_scan=args.shared_scan, fmt=args.format,
         )
         ok = res.success
         print(json.dumps({
@@ -143,7 +153,7 @@ def main(argv: list[str] | None = None) -> int:
         from logloom.plans.pipelines import refresh_daily_summaries
 
         print(json.dumps({"tables": refresh_daily_summaries(
-            spark, args.source_table, args.database, kind=args.kind, days=args.days
+            spark, args.source_table, args.database, kind=args.kind, days=args.days, as_of=args.as_of, fmt=args.format
         )}))
     elif args.command == "report":
         from logloom.plans.pipelines import table_report

@@ -8,8 +8,10 @@ matching DuckDB statements are in ``logloom.oracle``.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from logloom.sources.events import (
     event_simple_records,
     read_events,
 )
+from logloom.functions.normalize import stamp_batch
 from logloom.sources.files import read_json_logs, read_lake, read_logs, read_outcome, read_table
 from logloom.streaming import ingest as stream_ops
 
@@ -144,22 +147,48 @@ JSON_SUBDIR_GLOB = "json/*.txt"
 STREAM_COLUMNS = ("timestamp", "level", "message", "logger", "thread", "partition_date")
 
 
+# What the queries of this process have left behind, for ``clean_up``; and the raw files by input.
+_FOLDERS: list[str] = []
+_DATABASES: list[str] = []
+_VIEWS: list[str] = []
+_RAW: dict[tuple[str, str], str] = {}
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
-    return shared_dir(spark, "logloom-contract", name)
+    _FOLDERS.append(shared_dir(spark, "logloom-contract", name))
+    return _FOLDERS[-1]
 
 
-def _write_raw(spark: SparkSession, sf_dir: str, json_only: bool = False) -> str:
-    """Raw access lines and JSON lines derived from ``events``, written as text files."""
-    prefix = _scratch(spark, "raw")
-    events = read_events(spark, sf_dir)
-    if not json_only:
+def write_raw(spark: SparkSession, sf_dir: str) -> str:
+    """Raw access lines and JSON lines derived from ``events``, written as text files once per
+    application and input; the queries only read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RAW:
+        prefix = _scratch(spark, "raw")
+        events = read_events(spark, sf_dir)
         event_access_lines(events).write.text(f"{prefix}/access")
-    event_json_lines(events).write.text(f"{prefix}/json")
-    return prefix
+        event_json_lines(events).write.text(f"{prefix}/json")
+        _RAW[key] = prefix
+    return _RAW[key]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Drop the databases and views and delete the folders that earlier queries made. Call it when
+    their results have been consumed: a result may still read them."""
+    for name in _VIEWS:
+        spark.catalog.dropTempView(name)
+    for name in _DATABASES:
+        spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in _FOLDERS:
+        place = path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for made in (_VIEWS, _DATABASES, _FOLDERS, _RAW):
+        made.clear()
 
 
 def _json_parsed(spark: SparkSession, sf_dir: str):
-    prefix = _write_raw(spark, sf_dir, json_only=True)
+    prefix = write_raw(spark, sf_dir)
     return parse_ops.parse_json_logs(read_json_logs(spark, prefix, JSON_SUBDIR_GLOB), ingest_ts=INGEST_TS)
 
 
@@ -181,13 +210,13 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder with both kinds of files -> both parsed and unioned."""
-    prefix = _write_raw(spark, sf_dir)
+    prefix = write_raw(spark, sf_dir)
     good, _ = read_logs(spark, prefix, ingest_ts=INGEST_TS, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB)
     return good
 
 
 def mixed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = _write_raw(spark, sf_dir)
+    prefix = write_raw(spark, sf_dir)
     _, bad = read_logs(spark, prefix, ingest_ts=INGEST_TS, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB)
     return bad
 
@@ -195,13 +224,14 @@ def mixed_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _database(spark: SparkSession) -> str:
     name = "logloom_" + uuid.uuid4().hex[:12]
     tables.create_database(spark, name, location=_scratch(spark, name))
+    _DATABASES.append(name)
     return name
 
 
 def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch ingest job into a new partitioned table (rejects to a second table), then the
     table read back."""
-    prefix = _write_raw(spark, sf_dir)
+    prefix = write_raw(spark, sf_dir)
     db = _database(spark)
     pipelines.ingest_logs(
         spark, prefix, f"{db}.logs", ingest_ts=INGEST_TS, quarantine_table=f"{db}.rejects",
@@ -212,7 +242,7 @@ def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _single_pass(spark: SparkSession, sf_dir: str) -> str:
     """Batch ingest in one pass into a log table and a quarantine table stored side by side."""
-    prefix = _write_raw(spark, sf_dir)
+    prefix = write_raw(spark, sf_dir)
     db = _database(spark)
     pipelines.ingest_logs_single_pass(
         spark, prefix, f"{db}.logs", f"{db}.rejects", _scratch(spark, "lake"), ingest_ts=INGEST_TS,
@@ -237,11 +267,11 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File-stream ingest with an availableNow trigger, run twice (the second run finds
     nothing new), then the sink read back. ``ingestion_timestamp`` (the batch time) is left
     out."""
-    prefix = _write_raw(spark, sf_dir)
+    prefix = write_raw(spark, sf_dir)
     sink, ck = _scratch(spark, "sink"), _scratch(spark, "checkpoint")
     for _ in range(2):
         stream_ops.incremental_ingest(
-            spark, prefix, sink, ck, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB
+            spark, prefix, sink, ck, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB, ingest_ts=INGEST_TS
         )
     cols = [f.name for f in schemas.LOGS_APP.fields if f.name != "ingestion_timestamp"]
     return spark.read.parquet(sink).select(*cols)
@@ -249,11 +279,12 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _incremental_single_pass(spark: SparkSession, sf_dir: str) -> str:
     """File-stream ingest of both outputs in one query (run twice; the second finds nothing)."""
-    prefix = _write_raw(spark, sf_dir)
+    prefix = write_raw(spark, sf_dir)
     sink, ck = _scratch(spark, "single-pass-sink"), _scratch(spark, "single-pass-checkpoint")
     for _ in range(2):
         stream_ops.incremental_ingest(
-            spark, prefix, sink, ck, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB, single_pass=True
+            spark, prefix, sink, ck, access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB, single_pass=True,
+            ingest_ts=INGEST_TS,
         )
     return sink
 
@@ -274,20 +305,20 @@ def incremental_single_pass_rejects(spark: SparkSession, sf_dir: str) -> DataFra
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON values from a file stream -> ``from_json`` -> watermark -> partitioned Parquet
     sink, run to the end of the input; then the sink read back."""
-    prefix = _write_raw(spark, sf_dir, json_only=True)
+    prefix = write_raw(spark, sf_dir)
     sink, ck = _scratch(spark, "stream-sink"), _scratch(spark, "stream-checkpoint")
     values = stream_ops.stream_source(spark, f"{prefix}/{JSON_SUBDIR_GLOB}")
-    for q in stream_ops.streaming_ingest(values, sink, ck, trigger="availableNow"):
+    for q in stream_ops.streaming_ingest(values, sink, ck, trigger="availableNow", ingest_ts=INGEST_TS):
         q.awaitTermination()
     return spark.read.parquet(sink).select(*STREAM_COLUMNS)
 
 
 def _stream_single_pass(spark: SparkSession, sf_dir: str) -> str:
     """The value stream with both outputs written by one query, run to the end of the input."""
-    prefix = _write_raw(spark, sf_dir, json_only=True)
+    prefix = write_raw(spark, sf_dir)
     sink, ck = _scratch(spark, "stream-single-pass"), _scratch(spark, "stream-single-pass-checkpoint")
     values = stream_ops.stream_source(spark, f"{prefix}/{JSON_SUBDIR_GLOB}")
-    for q in stream_ops.streaming_ingest(values, sink, ck, trigger="availableNow", single_pass=True):
+    for q in stream_ops.streaming_ingest(values, sink, ck, trigger="availableNow", single_pass=True, ingest_ts=INGEST_TS):
         q.awaitTermination()
     return sink
 
@@ -307,9 +338,7 @@ def stream_single_pass_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _service_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived logs in the ``LOGS_SERVICE`` shape (fixed ingest time and batch id)."""
-    df = logs(spark, sf_dir).withColumns(
-        {"ingested_at": F.lit(INGEST_TS).cast("timestamp_ntz"), "batch_id": F.lit(BATCH_ID)}
-    )
+    df = stamp_batch(logs(spark, sf_dir), BATCH_ID, INGEST_TS)
     return df.select(*[f.name for f in schemas.LOGS_SERVICE.fields])
 
 
@@ -330,37 +359,166 @@ def _service_source(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return db, source
 
 
+# What is compared of each summary table: the group (as one text) and two counts.
+SERVICE_CONTENTS = {
+    "top_errors_by_count": (("level", "source", "message"), "error_count", None),
+    "daily_log_summary": (("date_partition", "level"), "log_count", "unique_users"),
+    "hourly_error_trends": (("hour", "level"), "error_count", "unique_sources"),
+    "source_activity_summary": (("source",), "total_logs", "debug_count"),
+    "user_activity_summary": (("user_id",), "total_activity", "unique_sessions"),
+    "ip_address_analysis": (("ip_address",), "total_requests", "unique_users"),
+}
+FALLBACK_CONTENTS = {
+    "error_summary": (("level", "source"), "error_count", None),
+    "daily_summary": (("date_partition", "level"), "log_count", None),
+}
+APP_CONTENTS = {
+    "top_errors_by_count": (("level", "logger", "message"), "error_count", None),
+    "daily_log_summary": (("partition_date", "level"), "log_count", "unique_loggers"),
+    "hourly_error_trends": (("hour", "level"), "error_count", "unique_loggers"),
+    "logger_activity_summary": (("logger",), "total_logs", "error_count"),
+    "exception_summary": (("exception_class", "exception_type"), "occurrence_count", None),
+}
+
+
+def _contents(spark: SparkSession, db: str, spec) -> DataFrame:
+    """The rows of all summary tables of ``db`` as (table_name, item, n, m); the tables are those of
+    ``spec`` and no others."""
+    found = {r["table_name"] for r in tables.table_row_counts(spark, db, exclude=(f"{db}.logs",)).collect()}
+    if found != set(spec):
+        raise RuntimeError(f"tables {sorted(found)} instead of {sorted(spec)}")
+    parts = [
+        spark.table(f"{db}.{name}").select(
+            F.lit(name).alias("table_name"),
+            F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]).alias("item"),
+            F.col(n).cast("long").alias("n"),
+            (F.col(m) if m else F.lit(0)).cast("long").alias("m"),
+        )
+        for name, (keys, n, m) in spec.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def aggregation_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary job over a service-log table: all service summaries (full refresh), then the
-    row count of every table but the source."""
+    """Summary job over a service-log table: all service summaries (full refresh); their contents."""
     db, source = _service_source(spark, sf_dir)
-    result = pipelines.run_aggregation(spark, source, db, kind="service")
-    if not result.success:
+    if not pipelines.run_aggregation(spark, source, db, kind="service").success:
         raise RuntimeError("aggregation failed")
-    return tables.table_row_counts(spark, db, exclude=("logs",))
+    return _contents(spark, db, SERVICE_CONTENTS)
 
 
 def aggregation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary job with neither script nor kind: error summary and daily counts, created
-    only if absent (the job runs twice; the second run leaves them as they are)."""
+    """Summary job with neither script nor kind: error summary and daily counts, created only if
+    absent. The job runs twice, and the source doubles in between: the contents are the first run's."""
     db, source = _service_source(spark, sf_dir)
-    for _ in range(2):
-        pipelines.run_aggregation(spark, source, db)
-    return tables.table_row_counts(spark, db, exclude=("logs",))
+    pipelines.run_aggregation(spark, source, db)
+    tables.append(_service_logs(spark, sf_dir), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    pipelines.run_aggregation(spark, source, db)
+    return _contents(spark, db, FALLBACK_CONTENTS)
 
 
 def app_summary_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Application-log table -> the application summaries as tables -> their row counts."""
+    """Application-log table -> the application summaries as tables -> their contents."""
     db = _database(spark)
     source = f"{db}.logs"
     app = logs(spark, sf_dir).select(
         "timestamp", "level", "message", "logger", "exception_class", "exception_message", "partition_date"
     )
     tables.append(app, source, partition_by=[schemas.LOGS_APP_PARTITION])
-    result = pipelines.run_aggregation(spark, source, db, kind="app")
-    if not result.success:
+    if not pipelines.run_aggregation(spark, source, db, kind="app", shared_scan=True).success:
         raise RuntimeError("aggregation failed")
-    return tables.table_row_counts(spark, db, exclude=("logs",))
+    return _contents(spark, db, APP_CONTENTS)
+
+
+def aggregate_then_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full build from the logs before 2024-01-20, the rest appended, the last days refreshed: the
+    stored daily summary equals a full rebuild."""
+    db = _database(spark)
+    source = f"{db}.logs"
+    service = _service_logs(spark, sf_dir)
+    cut = F.col("date_partition") < F.lit("2024-01-20").cast("date")
+    tables.append(service.where(cut), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    pipelines.run_aggregation(spark, source, db, kind="service")
+    tables.append(service.where(~cut), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    pipelines.refresh_daily_summaries(spark, source, db, days=11, as_of="2024-01-30")
+    return spark.table(f"{db}.daily_log_summary").drop("aggregation_timestamp")
+
+
+def script_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aggregation job run by a script of which three of four statements succeed: its verdict at
+    two success rates, and the rows of the table that the script writes."""
+    db, source = _service_source(spark, sf_dir)
+    script = f"""
+    CREATE TABLE {db}.errors USING parquet AS SELECT source, count(*) AS n FROM {source} WHERE level = 'ERROR' GROUP BY source;
+    SELECT * FROM {db}.absent; SELECT count(*) FROM {source}; SELECT level FROM {source} GROUP BY level
+    """
+    verdicts = []
+    for rate in (0.5, 0.9):
+        spark.sql(f"DROP TABLE IF EXISTS {db}.errors")
+        verdicts.append(pipelines.run_aggregation(spark, source, db, script=script, min_success_rate=rate).success)
+    return spark.table(f"{db}.errors").select("source", "n", F.lit(verdicts[0]).alias("passed_half"), F.lit(verdicts[1]).alias("passed_nine_tenths"))
+
+
+def recreated_access_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar-partitioned access table, filled, dropped and created empty, filled again."""
+    table = f"{_database(spark)}.access"
+    for _ in range(2):
+        tables.recreate_table(spark, table, schemas.ACCESS_LOGS, partition_by=schemas.ACCESS_LOGS_PARTITION)
+        tables.append(access_table(spark, sf_dir), table, partition_by=schemas.ACCESS_LOGS_PARTITION)
+    return read_table(spark, table).select(*schemas.ACCESS_LOGS.names)
+
+
+def table_with_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple logs appended to a table created with properties; each row with a property read back."""
+    table = f"{_database(spark)}.simple"
+    tables.create_table(spark, table, schemas.LOGS_SIMPLE, properties={"owner_team": "observability"})
+    tables.append(parse_ops.to_logs_simple(event_simple_records(read_events(spark, sf_dir)), ingest_ts=INGEST_TS), table)
+    owner = spark.sql(f"SHOW TBLPROPERTIES {table} ('owner_team')").first()["value"]
+    return read_table(spark, table).withColumn("owner_team", F.lit(owner))
+
+
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and columns of a freshly written database, with the rows of each table."""
+    db, _ = _service_source(spark, sf_dir)
+    rows = {r["table_name"]: r["row_count"] for r in tables.table_row_counts(spark, db, exclude=()).collect()}
+    listed = [r["tableName"] for r in tables.list_tables(spark, db).collect()]
+    parts = [
+        tables.describe_table(spark, f"{db}.{name}").where("col_name NOT LIKE '#%'").dropDuplicates(["col_name"])
+        .select(F.lit(name).alias("table_name"), "col_name", "data_type", F.lit(rows[name]).cast("long").alias("row_count"))
+        for name in listed
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def table_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table report over a derived table: each level's count beside the total."""
+    _, source = _service_source(spark, sf_dir)
+    report = pipelines.table_report(spark, source)
+    if report["sample"].count() != 10 or report["tables"].count() != 1 or not report["schema"].count():
+        raise RuntimeError("the report is not complete")
+    total = report["count"].first()["total_records"]
+    return report["levels"].withColumn("total_records", F.lit(total).cast("long"))
+
+
+def late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental ingest of JSON files, of which the older half (by file time, 30 days back)
+    arrives after the newer half: all rows are there."""
+    early, late = _scratch(spark, "early"), _scratch(spark, "late")
+    events = read_events(spark, sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for prefix, half in ((early, 0), (late, 1)):
+        event_json_lines(events.where(F.col("event_id") % 2 == half)).write.text(f"{prefix}/json")
+    folder = path(f"{late}/json")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = int(time.time() * 1000) - 30 * 86_400_000
+    sink, ck = _scratch(spark, "late-sink"), _scratch(spark, "late-checkpoint")
+    run = {"access_glob": "none/*.log", "json_glob": "json/*.txt", "ingest_ts": INGEST_TS}
+    stream_ops.incremental_ingest(spark, early, sink, ck, **run)
+    for status in fs.listStatus(folder):
+        fs.setTimes(status.getPath(), old, -1)
+        fs.rename(status.getPath(), path(f"{early}/json/late-{status.getPath().getName()}"))
+    stream_ops.incremental_ingest(spark, early, sink, ck, **run)
+    return spark.read.parquet(sink).select(*[f.name for f in schemas.LOGS_APP.fields if f.name != "ingestion_timestamp"])
 
 
 # Statements of the script check. The third one fails (unknown table); the rest succeed.
@@ -380,6 +538,7 @@ def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = uuid.uuid4().hex[:8]
     names = {"logs": f"logs_{suffix}", "errors": f"errors_{suffix}", "missing": f"missing_{suffix}"}
     logs(spark, sf_dir).createOrReplaceTempView(names["logs"])
+    _VIEWS.extend([names["logs"], names["errors"]])
     results = script_ops.run_statements(spark, SCRIPT.format(**names))
     return script_ops.report_frame(spark, results).select("statement_index", "row_count", "success")
 
@@ -413,6 +572,13 @@ def write_queries() -> dict[str, Query]:
         "aggregation_service": aggregation_service,
         "aggregation_fallback": aggregation_fallback,
         "app_summary_tables": app_summary_tables,
+        "aggregate_then_refresh": aggregate_then_refresh,
+        "script_verdict": script_verdict,
+        "recreated_access_table": recreated_access_table,
+        "table_with_properties": table_with_properties,
+        "catalog_listing": catalog_listing,
+        "table_check": table_check,
+        "late_files": late_files,
         "sql_script": sql_script,
         "daily_refresh": daily_refresh,
         "simple_logs": simple_logs,
@@ -431,4 +597,4 @@ def daily_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipelines.refresh_daily_summaries(spark, source, db, days=10_000, as_of="2024-01-19")
     tables.append(service.where(~cut), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
     pipelines.refresh_daily_summaries(spark, source, db, days=11, as_of="2024-01-30")
-    return spark.table(f"{db}.daily_log_summary")
+    return spark.table(f"{db}.daily_log_summary").drop("aggregation_timestamp")

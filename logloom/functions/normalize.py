@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.timeutil import utc_wall_clock
+from logloom.functions.timeutil import ingest_time, utc_wall_clock
 
 # ---------------------------------------------------------------------------------------------
 # Defaults written into absent fields of a parsed record, and the hour-bucket
@@ -83,6 +85,11 @@ def calendar_columns(ts: Column) -> list[Column]:
     ]
 
 
+def stamp_batch(rows: DataFrame, batch_id: str, ingest_ts: dt.datetime | str | None = None) -> DataFrame:
+    """Rows with the batch they came in: ``ingested_at`` (UTC) and ``batch_id``."""
+    return rows.withColumns({"ingested_at": ingest_time(ingest_ts), "batch_id": F.lit(batch_id)})
+
+
 def exception_label(column: Column) -> Column:
     return F.coalesce(column, F.lit(NO_EXCEPTION_LABEL))
 

@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 
 def utc_wall_clock(instant: Column) -> Column:
-    """A zoned ``timestamp`` (an instant) as ``timestamp_ntz`` in UTC, whatever the session zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    """A zoned ``timestamp`` (an instant) as ``timestamp_ntz`` in UTC, whatever the session zone.
+
+    It goes by the microseconds since the epoch, not by local wall-clock time, which names two
+    instants in the hour when a zone leaves daylight-saving time.
+    """
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    none = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, seconds)
 
 
 def ingest_time(ingest_ts: dt.datetime | str | None = None) -> Column:

@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logloom import schemas
 from logloom.functions import access as A
@@ -82,13 +83,18 @@ def access_records(lines: DataFrame, *, allow_dash_size: bool = False, column: s
 
 
 def json_records(raw: DataFrame, ingest_ts: Column) -> DataFrame:
-    """Rows read with ``PARSED_WITH_CORRUPT`` (file reader or ``from_json``) to parsed records.
+    """Rows of ``parse_json_values`` to parsed records.
 
     A line that is not a JSON object is quarantined. An absent time becomes the ingest time;
-    a time that is present but unreadable stays NULL (the row is kept).
+    a time that is present but unreadable stays NULL (the row is kept), and so does a number
+    that is no number or does not fit an int (``json_int``), which then gets its default.
     """
     corrupt = F.col(schemas.CORRUPT_COLUMN)
-    fields = [F.col(f.name) for f in schemas.PARSED.fields if f.name != "timestamp"]
+    fields = [
+        (json_int(f.name) if f.name in schemas.PARSED_INTS else F.col(f.name)).alias(f.name)
+        for f in schemas.PARSED.fields
+        if f.name != "timestamp"
+    ]
     return raw.select(
         record_time(F.col("timestamp"), ingest_ts).alias("timestamp"),
         *fields,
@@ -98,13 +104,32 @@ def json_records(raw: DataFrame, ingest_ts: Column) -> DataFrame:
 
 
 def parse_json_values(values: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text column to ``PARSED_WITH_CORRUPT`` columns, like the permissive JSON reader."""
-    parsed = F.from_json(
-        F.col(column),
-        schemas.PARSED_WITH_CORRUPT,
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT_COLUMN},
-    )
-    return values.select(parsed.alias("r")).select("r.*")
+    """JSON text column to ``PARSED_WITH_CORRUPT`` columns, all of them text.
+
+    Blank lines (only white space) and NULL values are no records and are skipped, as the JSON
+    file reader does. Every field is read as text, so a field of another JSON type than expected
+    never loses the line. What is not one JSON object keeps its text in the corrupt column: broken
+    JSON, bare values, ``null``, and arrays (one line is one record).
+    """
+    return read_json_text(values, schemas.PARSED_WITH_CORRUPT, column)
+
+
+def read_json_text(values: DataFrame, schema: StructType, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``from_json`` of the non-blank texts of ``column`` with ``schema`` (which has the corrupt
+    column), after the ``keep`` columns."""
+    text = F.col(column)
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT_COLUMN})
+    rows = values.where(text.rlike(r"\S")).select(text.alias("_text"), parsed.alias("r"), *keep)
+    corrupt = F.coalesce(F.col(f"r.{schemas.CORRUPT_COLUMN}"), F.when(F.col("r").isNull() | F.ltrim("_text").startswith("["), F.col("_text")))
+    fields = [f"r.{f.name}" for f in schema.fields if f.name != schemas.CORRUPT_COLUMN]
+    return rows.select(*keep, *fields, corrupt.alias(schemas.CORRUPT_COLUMN))
+
+
+def json_int(column: str) -> Column:
+    """A number read as text to an int: fractions are cut off; NULL when it is no number or does
+    not fit."""
+    text = F.col(column)
+    return F.coalesce(text.try_cast("int"), text.try_cast("decimal(38,6)").try_cast("int"))
 
 
 def to_logs_app(records: DataFrame, ingest_ts: Column, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ to HUGEINT). Orderings repeat the Spark tie-breaks, with explicit NULL placement
 
 from __future__ import annotations
 
+from logloom import contract, schemas
 from logloom.contract import AS_OF, BATCH_ID, INGEST_TS
 from logloom.functions.access import (
     ACCESS_LINE_PATTERN,
@@ -45,42 +46,49 @@ logs AS (
   FROM ev
 )"""
 
-# Application-log records of the JSON lines (every 50th line is not JSON).
+# Application-log records of the JSON lines, by the rules for odd lines (eid % 50): no or null time is
+# the ingest time, an unreadable one NULL (its row in the ingest day), a number that does not fit 0;
+# blank lines are skipped; text, null and arrays are set aside.
 JSON_CTES = LOGS_CTE + f""",
 json_logs AS (
-  SELECT date_trunc('millisecond', "timestamp") AS "timestamp",
+  SELECT CASE WHEN eid % 50 IN (11, 13) THEN TIMESTAMP '{INGEST_TS}' WHEN eid % 50 <> 17
+              THEN date_trunc('millisecond', "timestamp") END AS "timestamp",
          COALESCE(level, 'INFO') AS level,
          COALESCE(message, '') AS message,
          COALESCE(logger, 'unknown') AS logger,
          COALESCE('worker-' || source, 'main') AS thread,
          COALESCE(source || '.py', '') AS source_file,
-         COALESCE(CAST(length(message) AS INTEGER), 0) AS line_number,
+         CASE WHEN eid % 50 = 23 THEN 0 ELSE COALESCE(CAST(length(message) AS INTEGER), 0) END AS line_number,
          exception_class, exception_message,
          TIMESTAMP '{INGEST_TS}' AS ingestion_timestamp,
-         CAST("timestamp" AS DATE) AS partition_date,
+         CASE WHEN eid % 50 IN (11, 13, 17) THEN DATE '{INGEST_TS[:10]}' ELSE CAST("timestamp" AS DATE) END AS partition_date,
          CAST(NULL AS VARCHAR) AS ip_address, CAST(NULL AS VARCHAR) AS http_method,
          CAST(NULL AS VARCHAR) AS http_path, CAST(0 AS INTEGER) AS http_status,
          CAST(0 AS INTEGER) AS response_size, CAST(NULL AS VARCHAR) AS referer,
          CAST(NULL AS VARCHAR) AS user_agent
-  FROM logs WHERE eid % 50 <> 0
+  FROM logs WHERE eid % 50 NOT IN (0, 37, 41, 43)
 ),
 json_bad AS (
-  SELECT 'json' AS format, 'garbage line' AS value, 'corrupt_json' AS reason FROM logs WHERE eid % 50 = 0
+  SELECT 'json' AS format,
+         CASE eid % 50 WHEN 0 THEN 'garbage line' WHEN 41 THEN 'null' ELSE '[{{"level": "ERROR"}}]' END AS value,
+         'corrupt_json' AS reason
+  FROM logs WHERE eid % 50 IN (0, 41, 43)
 ),
 stream_logs AS (
-  SELECT date_trunc('millisecond', "timestamp") AS "timestamp", level, message, logger,
-         'worker-' || source AS thread, CAST("timestamp" AS DATE) AS partition_date
-  FROM logs WHERE eid % 50 <> 0
+  SELECT j."timestamp", j.level, j.message, j.logger, j.thread, j.partition_date FROM json_logs j
 )"""
 
 LINES_CTE = EVENTS_CTE + """,
 lines AS (
   SELECT CASE WHEN eid % 50 = 0 THEN 'garbage line' ELSE
-         '10.0.0.' || CAST(uid % 251 AS VARCHAR) || ' - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "'
+         '10.0.0.' || CAST(uid % 251 AS VARCHAR) || ' - - ['
+         || CASE eid % 50 WHEN 3 THEN '32/Jan/2024:10:00:00 +0000'
+                 WHEN 21 THEN strftime(ts + INTERVAL 330 MINUTE, '%d/%b/%Y:%H:%M:%S') || ' +0530'
+                 ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000' END || '] "'
          || CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END
          || ' /' || event_type || '/' || k || ' HTTP/1.1" '
          || CASE WHEN event_type = 'error' AND eid % 2 = 0 THEN '500' WHEN event_type = 'error' THEN '404' ELSE '200' END
-         || ' ' || CASE WHEN eid % 30 = 1 THEN '-' ELSE CAST(TRY_CAST(k AS INTEGER) * 17 AS VARCHAR) END
+         || ' ' || CASE WHEN eid % 50 = 9 THEN '99999999999' WHEN eid % 30 = 1 THEN '-' ELSE CAST(TRY_CAST(k AS INTEGER) * 17 AS VARCHAR) END
          || ' "-" "ua/' || k || '"' END AS value
   FROM ev
 )"""
@@ -152,11 +160,14 @@ SELECT t AS "timestamp", ip AS remote_ip, NULLIF(usr, '-') AS remote_user, metho
 FROM a1 WHERE t IS NOT NULL AND st IS NOT NULL AND sz IS NOT NULL"""
 
 
-def _counts(parts: dict[str, str]) -> str:
-    """(table_name, row_count) of the given named queries."""
-    return "\nUNION ALL ".join(
-        f"SELECT '{name}' AS table_name, (SELECT count(*) FROM ({sql}) q) AS row_count" for name, sql in parts.items()
-    )
+def _contents(spec: dict, queries: dict[str, str], direct: dict[str, str]) -> str:
+    """(table_name, item, n, m) of the direct queries that the summary tables store."""
+    parts = []
+    for table, (keys, n, m) in spec.items():
+        item = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+        body = direct[queries[table]].split(f"WITH {LOGS_CTE}\n", 1)[1]
+        parts.append(f"SELECT '{table}' AS table_name, {item} AS item, CAST({n} AS BIGINT) AS n, CAST({m or 0} AS BIGINT) AS m FROM ({body}) q")
+    return f"WITH {LOGS_CTE}\n" + "\nUNION ALL ".join(parts)
 
 
 _APP_COLS = (
@@ -268,27 +279,12 @@ def _write_oracles() -> dict[str, str]:
     mixed = f"SELECT {_APP_COLS} FROM access_logs UNION ALL SELECT {_APP_COLS} FROM json_logs"
     no_ingest = _APP_COLS.replace("ingestion_timestamp, ", "")
     L = f"WITH {LOGS_CTE}\n"
-    service = {
-        "top_errors_by_count": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY level, source, message LIMIT 100",
-        "daily_log_summary": "SELECT 1 FROM logs GROUP BY date_partition, level",
-        "hourly_error_trends": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN', 'FATAL') "
-        "GROUP BY strftime(\"timestamp\", '%Y-%m-%d %H'), level",
-        "source_activity_summary": "SELECT 1 FROM logs GROUP BY source",
-        "user_activity_summary": "SELECT 1 FROM logs WHERE user_id IS NOT NULL GROUP BY user_id LIMIT 1000",
-        "ip_address_analysis": "SELECT 1 FROM logs WHERE ip_address IS NOT NULL GROUP BY ip_address LIMIT 500",
-    }
-    app = {
-        "daily_log_summary": "SELECT 1 FROM logs GROUP BY partition_date, level",
-        "exception_summary": "SELECT 1 FROM logs WHERE level = 'ERROR' GROUP BY exception_class, exception_message LIMIT 50",
-        "hourly_error_trends": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN', 'FATAL') "
-        "GROUP BY strftime(\"timestamp\", '%Y-%m-%d %H'), level",
-        "logger_activity_summary": "SELECT 1 FROM logs GROUP BY logger",
-        "top_errors_by_count": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY level, logger, message LIMIT 100",
-    }
-    fallback = {
-        "daily_summary": "SELECT 1 FROM logs GROUP BY date_partition, level",
-        "error_summary": "SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN') GROUP BY level, source",
-    }
+    simple = f"""SELECT date_trunc('second', "timestamp") AS "timestamp",
+  level, source AS service, message, props AS metadata, TIMESTAMP '{INGEST_TS}' AS ingestion_time"""
+    daily_refresh = """SELECT date_partition, level, count(*) AS log_count,
+  count(DISTINCT source) AS unique_sources, count(DISTINCT user_id) AS unique_users
+FROM logs GROUP BY date_partition, level"""
+    columns = ", ".join(f"['{f.name}', '{f.dataType.simpleString()}']" for f in schemas.LOGS_SERVICE.fields)
     return {
         "json_logs": J + f"SELECT {_APP_COLS} FROM json_logs",
         "json_quarantine": J + "SELECT * FROM json_bad",
@@ -307,15 +303,17 @@ def _write_oracles() -> dict[str, str]:
         "service_lake_recent": L + f"""SELECT "timestamp", level, message, source, user_id, session_id, ip_address,
   TIMESTAMP '{INGEST_TS}' AS ingested_at, '{BATCH_ID}' AS batch_id, date_partition
 FROM logs WHERE date_partition >= DATE '{AS_OF}' - 7""",
-        "aggregation_service": L + _counts(service),
-        "aggregation_fallback": L + _counts(fallback),
-        "app_summary_tables": L + _counts(app),
-        "simple_logs": L + f"""SELECT date_trunc('second', "timestamp") AS "timestamp",
-  level, source AS service, message, props AS metadata, TIMESTAMP '{INGEST_TS}' AS ingestion_time
-FROM logs""",
-        "daily_refresh": L + """SELECT date_partition, level, count(*) AS log_count,
-  count(DISTINCT source) AS unique_sources, count(DISTINCT user_id) AS unique_users
-FROM logs GROUP BY date_partition, level""",
+        "aggregate_then_refresh": L + daily_refresh,
+        "script_verdict": L + """SELECT source, count(*) AS n, true AS passed_half, false AS passed_nine_tenths
+FROM logs WHERE level = 'ERROR' GROUP BY source""",
+        "recreated_access_table": _access_table_sql(),
+        "table_with_properties": L + simple + ", 'observability' AS owner_team FROM logs",
+        "catalog_listing": L + f"""SELECT 'logs' AS table_name, c[1] AS col_name, c[2] AS data_type, (SELECT count(*) FROM logs) AS row_count
+FROM (SELECT unnest([{columns}]) AS c)""",
+        "table_check": L + """SELECT level, count(*) AS "count", (SELECT count(*) FROM logs) AS total_records FROM logs GROUP BY level""",
+        "late_files": J + f"SELECT {no_ingest} FROM json_logs",
+        "simple_logs": L + simple + " FROM logs",
+        "daily_refresh": L + daily_refresh,
         "sql_script": L + """SELECT 1 AS statement_index, CAST(0 AS BIGINT) AS row_count, true AS success
 UNION ALL SELECT 2, (SELECT count(*) FROM (SELECT 1 FROM logs WHERE level IN ('ERROR', 'WARN')
                                            GROUP BY level, logger, message) q), true
@@ -326,6 +324,13 @@ UNION ALL SELECT 4, (SELECT count(*) FROM (SELECT 1 FROM logs GROUP BY logger) q
 
 def oracle_sql() -> dict[str, str]:
     sql = _statements()
+    # The summary tables hold what the direct queries return.
+    common = {"top_errors_by_count": "top_errors_by_source", "daily_log_summary": "daily_summary_sources_users", "hourly_error_trends": "hourly_error_trends_sources"}
+    own = {name: name for name in ("source_activity_summary", "user_activity_summary", "ip_address_analysis", "logger_activity_summary", "error_summary")}
+    sql["aggregation_service"] = _contents(contract.SERVICE_CONTENTS, common | own, sql)
+    sql["aggregation_fallback"] = _contents(contract.FALLBACK_CONTENTS, own | {"daily_summary": "daily_level_counts"}, sql)
+    app = {"top_errors_by_count": "top_errors_by_logger", "daily_log_summary": "daily_summary_loggers", "hourly_error_trends": "hourly_error_trends_loggers", "exception_summary": "exception_summary"}
+    sql["app_summary_tables"] = _contents(contract.APP_CONTENTS, app | own, sql)
     # The shared-scan (rollup) forms of Q3, Q5 and Q7 must equal the direct queries.
     for name in ("daily_summary_loggers", "hourly_error_trends_loggers", "logger_activity_summary"):
         sql[f"{name}_rollup"] = sql[name]

@@ -21,6 +21,7 @@ from logloom.sources.generate import generate_service_logs
 # Within each date partition, rows are stored sorted by level, so the level filters of the
 # summary queries skip row groups.
 LAYOUT_SORT = ("level",)
+REJECTS_SUFFIX = "_rejects"
 
 
 @dataclass
@@ -44,6 +45,7 @@ def ingest_logs(
     ingest_ts: dt.datetime | str | None = None,
     fmt: str = "parquet",
     quarantine_table: str | None = None,
+    keep_rejects: bool = True,
     rebalance: bool = False,
     access_glob: str = ACCESS_GLOB,
     json_glob: str = JSON_GLOB,
@@ -52,9 +54,9 @@ def ingest_logs(
     (``LOGS_APP``, partitioned by ``partition_date``), creating database and table if needed.
 
     One job reads, parses and writes the good rows, and counts all lines and the quarantined
-    ones on the way (``observe``: no extra count pass). With ``quarantine_table``, the
-    set-aside lines are appended there by a second pass over the input, which runs only when
-    the first job found any (``ingest_logs_single_pass`` stores both from one pass, with the
+    ones on the way (``observe``: no extra count pass). The set-aside lines are
+    appended to ``quarantine_table`` (default: ``<table>_rejects``; ``keep_rejects=False`` only counts
+    them) by a second pass over the input, which runs only when the first job found any (``ingest_logs_single_pass`` stores both from one pass, with the
     two tables side by side under one folder). ``rebalance`` regroups rows by date before writing (one
     shuffle, fewer and fuller files; see ``tables.append``). Missing input raises; nothing is
     invented.
@@ -71,8 +73,8 @@ def ingest_logs(
     counts = seen.get
     quarantined = int(counts["quarantined"])
     result = IngestResult(int(counts["lines"]) - quarantined, quarantined)
-    if quarantine_table and quarantined:
-        T.append(bad, quarantine_table, fmt=fmt)
+    if keep_rejects and quarantined:
+        T.append(bad, quarantine_table or table + REJECTS_SUFFIX, fmt=fmt)
     return result
 
 
@@ -191,6 +193,18 @@ class AggregationResult:
     table_counts: list[tuple[str, int]] = field(default_factory=list)
 
 
+# Date-grouped summaries that can be refreshed day by day: name -> (query, date column). The
+# full build and the refresh store the same columns (with the stamp), without partitions: such a
+# table holds a few rows per day.
+DAILY_SUMMARIES = {
+    "app": {"daily_log_summary": (Q.daily_summary_loggers, schemas.LOGS_APP_PARTITION)},
+    "service": {
+        "daily_log_summary": (Q.daily_summary_sources_users, schemas.LOGS_SERVICE_PARTITION),
+        "daily_summary": (Q.daily_level_counts, schemas.LOGS_SERVICE_PARTITION),
+    },
+}
+
+
 # Tables built (only if absent) when neither a script nor a summary kind is given.
 FALLBACK_SUMMARIES = {
     "service": {"error_summary": Q.error_summary, "daily_summary": Q.daily_level_counts},
@@ -223,6 +237,7 @@ def run_aggregation(
     from one hourly rollup of the log table (``Q.hourly_logger_rollup``, checkpointed in the
     shared checkpoint folder) instead of a scan each; the results are the same.
     """
+    T.recover_table(spark, source_table)
     ok, rows = verify_source(spark, source_table)
     if not ok:
         return AggregationResult(False)
@@ -248,22 +263,12 @@ def run_aggregation(
         result.tables_written = T.build_tables(
             spark, spark.table(source_table), database, FALLBACK_SUMMARIES[fallback], if_exists="skip", fmt=fmt
         )
-    source_name = source_table.rsplit(".", 1)[-1]
-    counts = T.table_row_counts(spark, database, exclude=(source_name,)).collect()  # one row per table
+    source = source_table if "." in source_table else f"{T.current_database(spark)}.{source_table}"
+    counts = T.table_row_counts(spark, database, exclude=(source,)).collect()  # one row per table
     result.table_counts = [(r["table_name"], int(r["row_count"])) for r in counts]
     return result
 
 
-# Date-grouped summaries that can be refreshed day by day: name -> (query, date column).
-DAILY_SUMMARIES = {
-    "app": {"daily_log_summary": (Q.daily_summary_loggers, schemas.LOGS_APP_PARTITION)},
-    "service": {
-        "daily_log_summary": (Q.daily_summary_sources_users, schemas.LOGS_SERVICE_PARTITION),
-        "daily_summary": (Q.daily_level_counts, schemas.LOGS_SERVICE_PARTITION),
-    },
-}
-
-
 def refresh_daily_summaries(
     spark: SparkSession,
     source_table: str,
@@ -273,22 +278,31 @@ def refresh_daily_summaries(
     days: int = 1,
     as_of: dt.date | str | None = None,
     fmt: str = "parquet",
+    stamp: str | None = "now",
 ) -> list[str]:
     """Recompute the date-grouped summaries for the last ``days`` days (up to ``as_of``) and
-    replace only those date partitions of the summary tables.
+    replace only those days' rows of the summary tables.
 
     The source is read with a partition filter, so a daily run reads one or two days of logs
-    instead of the whole history; older summary partitions are kept as they are. A first
-    run should cover all days (or use ``run_aggregation``), since absent days are not built.
+    instead of the whole history; older summary rows are kept as they are, and a day of the window
+    that has lost its log rows loses its summary rows. The summary table (a few rows per day) is
+    rewritten and swapped in safely (``tables.replace_table``). A first run should cover all days (or
+    use ``run_aggregation``, which stores the same shape), since absent days are not built.
     """
     from logloom.functions.predicates import within_days
 
     T.create_database(spark, database)
     written = []
     for name, (query, date_column) in DAILY_SUMMARIES[kind].items():
-        recent = spark.table(source_table).where(within_days(date_column, days, as_of))
-        T.overwrite_partitions(query(recent), f"{database}.{name}", partition_by=[date_column], fmt=fmt)
-        written.append(f"{database}.{name}")
+        target = f"{database}.{name}"
+        inside = within_days(date_column, days, as_of)
+        rows = query(spark.table(source_table).where(inside), stamp=stamp)
+        T.recover_table(spark, target)
+        if T.table_exists(spark, target):
+            kept = spark.table(target).where(~inside | F.col(date_column).isNull())
+            rows = kept.unionByName(rows, allowMissingColumns=True)
+        T.replace_table(rows, target, fmt=fmt)
+        written.append(target)
     return written
 
 

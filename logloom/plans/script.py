@@ -84,7 +84,7 @@ def run_statements(spark: SparkSession, script: str) -> list[StatementResult]:
             rows = df.count() if df.columns else 0
             results.append(StatementResult(index, _preview(statement), rows, True))
         except Exception as exc:  # recorded, and the script goes on
-            results.append(StatementResult(index, _preview(statement), 0, False, str(exc).splitlines()[0][:500]))
+            results.append(StatementResult(index, _preview(statement), 0, False, str(exc)))
     return results
 
 

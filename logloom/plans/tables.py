@@ -7,6 +7,8 @@ executors write their partitions in parallel and the driver only commits.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -98,7 +100,30 @@ def append(
     writer.saveAsTable(table)
 
 
-STAGED_SUFFIX = "__staged"
+# Marks, inside a table name, a replacement being written and a table moved aside by one.
+STAGED_MARK, OLD_MARK = "__staged_", "__old_"
+
+
+def _siblings(spark: SparkSession, table: str, mark: str) -> list[str]:
+    """Full names of the tables that a replacement of ``table`` has left under ``mark``, oldest first."""
+    database, _, name = table.rpartition(".")
+    found = spark.catalog.listTables(database or None)
+    return sorted((f"{database}." if database else "") + t.name for t in found if not t.isTemporary and t.name.startswith((name + mark).lower()))
+
+
+def _run_name() -> str:
+    return f"{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+
+
+def recover_table(spark: SparkSession, table: str) -> bool:
+    """After a replacement that was cut off between its two renames: give the table that was moved
+    aside its name back. True if that was needed. (Replacements call it first.)"""
+    if table_exists(spark, table):
+        return False
+    aside = _siblings(spark, table, OLD_MARK)
+    if aside:
+        spark.sql(f"ALTER TABLE {_quote(aside[-1])} RENAME TO {_quote(table)}")
+    return bool(aside)
 
 
 def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
@@ -106,12 +131,14 @@ def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_
 
     Iceberg-style catalogs replace atomically (``createOrReplace``). A Parquet table is not
     overwritten in place (Spark would delete the old files before the job runs, so a failed
-    job would leave the table empty): the rows are written to a staged table first, and only
-    when that job has succeeded is the old table dropped and the staged one renamed to its
-    name. A failure while writing leaves the old table as it was, and ``df`` may read
-    ``table`` itself. The rename moves the managed table's folder, which an object store does
-    by copying: cheap for summary tables; for a large table use a format with an atomic
-    replace (``fmt="iceberg"``).
+    job would leave the table empty): the rows are written to a staged table of this run's own
+    name, and only when that job has succeeded is the old table renamed aside, the staged one
+    renamed to its name, and the old one dropped. At every moment one full copy of the table exists:
+    a failure while writing leaves the old table as it was, and one between the renames leaves it
+    aside, from where the next replacement (or ``recover_table``) takes it back. ``df`` may read
+    ``table`` itself, and two runs at once do not share a staged table. A rename moves the
+    managed table's folder, which an object store does by copying: cheap for summary tables; for a
+    large table use a format with an atomic replace (``fmt="iceberg"``).
     """
     if fmt != "parquet":
         writer2 = df.writeTo(table).using(fmt)
@@ -120,14 +147,27 @@ def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_
         writer2.createOrReplace()
         return
     spark = df.sparkSession
-    staged = table + STAGED_SUFFIX
-    spark.sql(f"DROP TABLE IF EXISTS {_quote(staged)}")  # left over from a failed run
-    writer = df.write.mode("overwrite").format(fmt)
+    recover_table(spark, table)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {_quote(table)}")
+        # A rename leaves the partitions' folders registered under the old name in some catalogs, so an
+        # existing partitioned table is not swapped.
+        if table_exists(spark, table):
+            raise ValueError("an existing partitioned Parquet table cannot be swapped; use overwrite_partitions")
+        df.write.format(fmt).partitionBy(*partition_by).saveAsTable(table)
+        return
+    run = _run_name()
+    staged, aside = table + STAGED_MARK + run, table + OLD_MARK + run
+    df.write.format(fmt).saveAsTable(staged)
+    if table_exists(spark, table):
+        spark.sql(f"ALTER TABLE {_quote(table)} RENAME TO {_quote(aside)}")
     spark.sql(f"ALTER TABLE {_quote(staged)} RENAME TO {_quote(table)}")
+    for name in _siblings(spark, table, OLD_MARK):  # this run's, and any that a cut-off run left
+        spark.sql(f"DROP TABLE IF EXISTS {_quote(name)}")
+
+
+def is_working_copy(name: str) -> bool:
+    """Whether a table name is a staged or set-aside copy of ``replace_table``."""
+    return STAGED_MARK in name or OLD_MARK in name
 
 
 def overwrite_partitions(df: DataFrame, table: str, *, partition_by: Sequence[str], fmt: str = "parquet") -> None:
@@ -235,13 +275,15 @@ def use_database(spark: SparkSession, name: str) -> None:
 
 
 def table_row_counts(spark: SparkSession, database: str, exclude: Iterable[str] = ("logs",)) -> DataFrame:
-    """(table_name, row_count) of every table of ``database`` except ``exclude``, as one job.
+    """(table_name, row_count) of every table of ``database`` except ``exclude`` (full names, or
+    names in it) and working copies of replacements, as one job.
 
     The table names come from the catalog; the counts are computed by Spark, one aggregate per
     table combined with ``unionByName`` (Parquet counts read only footers and row groups).
     """
-    skip = set(exclude)
-    names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.name not in skip]
+    skip = {x if "." in x else f"{database}.{x}" for x in exclude}
+    found = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
+    names = [name for name in found if f"{database}.{name}" not in skip and not is_working_copy(name)]
     if not names:
         return spark.createDataFrame([], "table_name string, row_count bigint")
     counts = [

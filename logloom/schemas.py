@@ -46,8 +46,11 @@ PARSED = _schema(
     ("user_agent", StringType()),
 )
 
+# Numeric fields of a JSON record; like all its fields they are read as text, then cast.
+PARSED_INTS = ("line_number", "http_status", "response_size")
+
 CORRUPT_COLUMN = "_corrupt_record"
-PARSED_WITH_CORRUPT = StructType([*PARSED.fields, StructField(CORRUPT_COLUMN, StringType(), True)])
+PARSED_WITH_CORRUPT = StructType([StructField(name, StringType(), True) for name in (*PARSED.names, CORRUPT_COLUMN)])
 
 # The curated application-log table, partitioned by ``partition_date``.
 LOGS_APP = _schema(

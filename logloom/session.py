@@ -51,17 +51,20 @@ def build_session(
     return spark
 
 
-def scale_conf(input_bytes: int, cores: int, *, split_bytes: int = 256 << 20) -> dict[str, str]:
+def scale_conf(input_bytes: int, cores: int, *, split_bytes: int = 256 << 20, max_partitions: int | None = None) -> dict[str, str]:
     """Settings sized for one job's input: ``input_bytes`` to read on ``cores`` cores.
 
     Input splits of ``split_bytes`` (raw text parses at a few hundred MB per core-minute, so a
     split is a task of well under a minute); shuffle partitions for the largest shuffle these
     jobs do (the optional rebalance before a write, or the distinct-count shuffle), at about
     one split each and at least two per core; AQE then merges small shuffle partitions up to
-    the advisory size and splits skewed ones.
+    the advisory size and splits skewed ones. ``max_partitions`` bounds the shuffle partitions
+    (default: no bound).
     """
     splits = max(1, input_bytes // split_bytes)
-    shuffle = min(max(2 * cores, splits), 100_000)
+    shuffle = max(2 * cores, splits)
+    if max_partitions is not None:
+        shuffle = min(shuffle, max_partitions)
     return {
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),

@@ -7,7 +7,7 @@ it runs where the ``events`` partitions are, with the columns pruned to those us
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.sources.files import spread_scan
@@ -29,10 +29,16 @@ from logloom.sources.files import spread_scan
 #   '10.0.0.' || user_id % 251 || ' - - [' || dd/MMM/yyyy:HH:mm:ss || ' +0000] "' || method || ' /'
 #   || event_type || '/' || k || ' HTTP/1.1" ' || status || ' ' || size || ' "-" "ua/' || k || '"'
 #   method POST for signup and purchase, else GET; status 500 for an error with even event_id,
-#   404 for other errors, else 200; size k * 17, or '-' when event_id % 30 = 1;
-#   'garbage line' instead when event_id % 50 = 0.
+#   404 for other errors, else 200; size k * 17, or '-' when event_id % 30 = 1.
+# Every 50th line of either kind is odd, by event_id % 50:
+#   access lines   0: 'garbage line'; 3: the time '32/Jan/2024:10:00:00 +0000'; 9: the size
+#                  99999999999; 21: the time written with offset +0530
+#   JSON lines     0: 'garbage line'; 7: the time written with offset +05:30; 11: no time; 13: a
+#                  null time; 17: the time 'yesterday'; 19: line_number as text; 23: line_number
+#                  99999999999; 29: line_number with .5; 37: three spaces; 41: 'null'; 43: an array
 K_PATTERN = '"k": ([0-9]+)'
 GARBAGE_LINE = "garbage line"
+JSON_ARRAY_LINE = '[{"level": "ERROR"}]'
 ACCESS_LINE_TIME = "dd/MMM/yyyy:HH:mm:ss"
 # ---------------------------------------------------------------------------------------------
 
@@ -41,9 +47,7 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 
 
 def read_events(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
-    """The ``events`` table, read with its declared schema (no schema-inference job); a file
-    with fewer splits than the cluster has cores is spread over the cores before the per-row
-    derivations (see ``spread_scan``)."""
+    """The ``events`` table, read with its declared schema (no schema-inference job)."""
     scan = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     return spread_scan(scan, min_partitions)
 
@@ -71,11 +75,14 @@ LOG_EXPRESSIONS = {
 }
 ACCESS_LINE_EXPRESSION = (
     f"CASE WHEN event_id % 50 = 0 THEN '{GARBAGE_LINE}' ELSE"
-    " '10.0.0.' || CAST(user_id % 251 AS STRING) || ' - - [' || date_format(ts, '" + ACCESS_LINE_TIME + "')"
-    " || ' +0000] \"' || CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END"
+    " '10.0.0.' || CAST(user_id % 251 AS STRING) || ' - - [' || CASE event_id % 50 WHEN 3 THEN '32/Jan/2024:10:00:00 +0000'"
+    f" WHEN 21 THEN date_format(ts + INTERVAL 330 MINUTES, '{ACCESS_LINE_TIME}') || ' +0530'"
+    f" ELSE date_format(ts, '{ACCESS_LINE_TIME}') || ' +0000' END"
+    " || '] \"' || CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END"
     f" || ' /' || event_type || '/' || {_K} || ' HTTP/1.1\" '"
     " || CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN '500' WHEN event_type = 'error' THEN '404' ELSE '200' END"
-    f" || ' ' || CASE WHEN event_id % 30 = 1 THEN '-' ELSE CAST({_K_INT} * 17 AS STRING) END"
+    " || ' ' || CASE WHEN event_id % 50 = 9 THEN '99999999999' WHEN event_id % 30 = 1 THEN '-'"
+    f" ELSE CAST({_K_INT} * 17 AS STRING) END"
     f" || ' \"-\" \"ua/' || {_K} || '\"' END"
 )
 
@@ -119,10 +126,33 @@ def event_app_records(events: DataFrame) -> DataFrame:
 
 def event_json_lines(events: DataFrame) -> DataFrame:
     """One JSON text line per event (``value``), as an application would write it: absent
-    fields are left out of the object, and every 50th event is ``garbage line``."""
+    fields are left out of the object, and some lines are odd (see the fixed values above)."""
     recs = event_app_records(events)
-    fields = [c for c in recs.columns if c != "event_id"]
-    line = F.when(F.col("event_id") % 50 == 0, F.lit(GARBAGE_LINE)).otherwise(F.to_json(F.struct(*fields)))
+    fields = [c for c in recs.columns if c not in ("event_id", "timestamp")]
+    odd = F.col("event_id") % 50
+    shifted = F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")) + F.expr("INTERVAL 330 MINUTES")
+    time = (
+        F.when(odd == 7, F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss.SSS'+05:30'"))
+        .when(odd == 17, F.lit("yesterday"))
+        .when(~odd.isin(11, 13), F.col("timestamp"))
+    )
+    json = F.to_json(F.struct(time.alias("timestamp"), *fields))
+    json = F.when(odd == 13, F.concat(F.lit('{"timestamp":null,'), F.substring(json, 2, 2**31 - 1))).otherwise(json)
+    number = F.regexp_extract(json, '"line_number":([0-9]+)', 1)
+
+    def with_number(text: Column) -> Column:
+        return F.regexp_replace(json, F.lit('"line_number":[0-9]+'), F.concat(F.lit('"line_number":'), text))
+
+    line = (
+        F.when(odd == 0, F.lit(GARBAGE_LINE))
+        .when(odd == 19, with_number(F.concat(F.lit('"'), number, F.lit('"'))))
+        .when(odd == 23, with_number(F.lit("99999999999")))
+        .when(odd == 29, with_number(F.concat(number, F.lit(".5"))))
+        .when(odd == 37, F.lit("   "))
+        .when(odd == 41, F.lit("null"))
+        .when(odd == 43, F.lit(JSON_ARRAY_LINE))
+        .otherwise(json)
+    )
     return recs.select(line.alias("value"))
 
 

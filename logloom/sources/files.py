@@ -23,23 +23,11 @@ def _join(prefix: str, glob: str) -> str:
 
 
 def spread_scan(scan: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows of a fresh file scan over ``min_partitions`` tasks (default: the
-    cluster's default parallelism) when the scan would keep fewer than a quarter of them
-    busy, so the per-row parsing that follows uses the cluster.
-
-    Few splits come from unsplittable input (a handful of large ``.gz`` logs) or a single
-    small file. An input with enough splits to occupy a good part of the cluster is left
-    alone: there the shuffle of raw text would cost more than the extra parallelism gains.
-    Counting the splits of a plain scan plans it without running anything; call this only
-    on a scan, not on a DataFrame with a shuffle in it. Streams and ``min_partitions=0``
-    are returned unchanged.
-    """
-    if scan.isStreaming or min_partitions == 0:
-        return scan
-    target = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() * 4 >= target:
-        return scan
-    return scan.repartition(target)
+    """The scan itself, or with ``min_partitions`` its rows dealt round-robin over so many tasks:
+    for unsplittable input (a handful of large ``.gz`` logs), where the per-row parsing that
+    follows would keep few tasks busy. That shuffles the raw text, so it is only done when asked
+    for; the plan never depends on the size of the input or of the cluster."""
+    return scan.repartition(min_partitions) if min_partitions and not scan.isStreaming else scan
 
 
 def read_access_lines(
@@ -48,8 +36,8 @@ def read_access_lines(
     """Raw text lines (one ``value`` per line) of the files matching ``prefix/glob``.
 
     Not recursive. Files are split into ``spark.sql.files.maxPartitionBytes`` chunks, so one
-    large log file is read by many tasks (uncompressed or splittable codecs); input with too
-    few splits is spread (``spread_scan``).
+    large log file is read by many tasks (uncompressed or splittable codecs);
+    ``min_partitions`` spreads unsplittable input (``spread_scan``).
     """
     return spread_scan(spark.read.text(_join(prefix, glob)), min_partitions)
 

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.operators import parse as P
 from logloom.sources import files
@@ -88,10 +89,29 @@ def test_from_json_matches_file_reader(spark, parsed):
     assert bad.count() == 1
 
 
-def test_type_mismatch_goes_to_quarantine(spark):
-    values = spark.createDataFrame([('{"level": "INFO", "line_number": "abc"}',)], "value string")
-    good, bad = P.parse_json_logs(P.parse_json_values(values), ingest_ts=INGEST)
-    assert good.count() + bad.count() == 1
+def test_mistyped_fields_keep_the_line(spark):
+    lines = [
+        '{"message": "a", "http_status": "404", "line_number": "12"}',
+        '{"message": "b", "line_number": 99999999999, "response_size": 12.5}',
+        '{"message": "c", "line_number": "abc", "level": 7, "logger": {"x": 1}}',
+        '{"message": "d", "timestamp": 5}',
+    ]
+    good, bad = P.parse_json_logs(P.parse_json_values(spark.createDataFrame([(x,) for x in lines], "value string")), ingest_ts=INGEST)
+    got = {r.message: (r.http_status, r.line_number, r.response_size, r.level, r.logger) for r in good.collect()}
+    assert bad.count() == 0
+    assert got == {
+        "a": (404, 12, 0, "INFO", "unknown"),
+        "b": (0, 0, 12, "INFO", "unknown"),
+        "c": (0, 0, 0, "7", '{"x":1}'),
+        "d": (0, 0, 0, "INFO", "unknown"),
+    }
+
+
+def test_blank_lines_are_no_records(spark):
+    lines = ["", "   ", "\t", None, '{"message": "a"}', "null", "[]", '[{"message": "b"}]', "7", '"x"', '{"message": "cut']
+    good, bad = P.parse_json_logs(P.parse_json_values(spark.createDataFrame([(x,) for x in lines], "value string")), ingest_ts=INGEST)
+    assert [r.message for r in good.collect()] == ["a"]
+    assert sorted(r.value for r in bad.collect()) == sorted(lines[5:])
 
 
 def test_read_logs_union_and_prefer(spark, tmp_path):
@@ -110,11 +130,10 @@ def test_read_logs_without_input_raises(spark, tmp_path):
         files.read_logs(spark, str(tmp_path))
 
 
-def test_spread_scan_only_for_few_splits(spark, tmp_path):
+def test_spread_scan_only_when_asked(spark, tmp_path):
     (tmp_path / "one.log").write_text("a\nb\n")
     scan = spark.read.text(str(tmp_path / "one.log"))
+    assert files.spread_scan(scan) is scan and files.spread_scan(scan, 0) is scan
     spread = files.spread_scan(scan, min_partitions=8)
-    assert spread.rdd.getNumPartitions() == 8
-    assert files.spread_scan(scan, min_partitions=4).rdd.getNumPartitions() == 1  # 1 split keeps 1/4 busy
-    assert files.spread_scan(scan, min_partitions=0) is scan
-    assert sorted(r[0] for r in spread.collect()) == ["a", "b"]
+    assert spread.select(F.spark_partition_id()).distinct().count() <= 8 and sorted(r[0] for r in spread.collect()) == ["a", "b"]
+    assert "Exchange" not in files.read_access_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()

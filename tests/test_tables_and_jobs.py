@@ -237,7 +237,8 @@ def test_scale_conf():
     from logloom.session import scale_conf
 
     big = scale_conf(100 << 40, 8000)  # 100 TB on 8000 cores
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert int(scale_conf(100 << 40, 1000, max_partitions=5000)["spark.sql.shuffle.partitions"]) == 5000
     small = scale_conf(10 << 20, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert int(scale_conf(1 << 40, 1000)["spark.sql.shuffle.partitions"]) == 4096
@@ -322,3 +323,44 @@ def test_single_pass_ingest_repairs_unregistered_partitions(spark, tmp_path):
     assert spark.table(f"{db}.logs").count() == 0 and spark.table(f"{db}.rejects").count() == 0
     J.ingest_logs_single_pass(spark, str(raw), f"{db}.logs", f"{db}.rejects", root, ingest_ts="2025-09-01 00:00:00")
     assert spark.table(f"{db}.logs").count() == 2 and spark.table(f"{db}.rejects").count() == 2
+
+
+def test_replace_cut_off_between_the_renames_recovers(spark, monkeypatch):
+    """With the old table renamed aside and the staged one not yet in place, a full copy exists, and
+    the next replacement (or recover_table) brings the old table back before it starts."""
+    db = _db()
+    T.create_database(spark, db)
+    table = f"{db}.numbers"
+    T.replace_table(spark.range(5).toDF("n"), table)
+    run, seen = spark.sql, []
+
+    def failing(text, *args, **kwargs):
+        if "RENAME TO" in text:
+            seen.append(text)
+            if len(seen) == 2:
+                raise RuntimeError("cut off")
+        return run(text, *args, **kwargs)
+
+    monkeypatch.setattr(spark, "sql", failing)
+    with pytest.raises(RuntimeError):
+        T.replace_table(spark.range(2).toDF("n"), table)
+    monkeypatch.setattr(spark, "sql", run)
+    assert not T.table_exists(spark, table)
+    assert T.table_row_counts(spark, db, exclude=()).count() == 0  # working copies are not reported
+    assert T.recover_table(spark, table) and spark.table(table).count() == 5
+    T.replace_table(spark.table(table).where("n > 2"), table)
+    assert sorted(r.n for r in spark.table(table).collect()) == [3, 4]
+
+
+def test_refresh_after_aggregate_drops_emptied_days(spark):
+    db = _db()
+    T.create_database(spark, db)
+    rows = [(dt.datetime(2024, 1, d, 1), "INFO", "m", "s", "u", "x", "i", dt.date(2024, 1, d)) for d in (1, 2, 3)]
+    schema = "timestamp timestamp_ntz, level string, message string, source string, user_id string, session_id string, ip_address string, date_partition date"
+    T.append(spark.createDataFrame(rows, schema), f"{db}.logs", partition_by=["date_partition"])
+    J.run_aggregation(spark, f"{db}.logs", db, kind="service")
+    spark.sql(f"ALTER TABLE {db}.logs DROP PARTITION (date_partition = DATE'2024-01-03')")
+    J.refresh_daily_summaries(spark, f"{db}.logs", db, days=1, as_of="2024-01-03")
+    got = spark.table(f"{db}.daily_log_summary")
+    assert [str(r.date_partition) for r in got.orderBy("date_partition").collect()] == ["2024-01-01", "2024-01-02"]
+    assert "aggregation_timestamp" in got.columns
