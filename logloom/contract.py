@@ -481,7 +481,7 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables and columns of a freshly written database, with the rows of each table."""
     db, _ = _service_source(spark, sf_dir)
     rows = {r["table_name"]: r["row_count"] for r in tables.table_row_counts(spark, db, exclude=()).collect()}
-    listed = [r["tableName"] for r in tables.list_tables(spark, db).collect()]
+    listed = [r["tableName"] for r in tables.list_tables(spark, db).where("not isTemporary").collect()]
     parts = [
         tables.describe_table(spark, f"{db}.{name}").where("col_name NOT LIKE '#%'").dropDuplicates(["col_name"])
         .select(F.lit(name).alias("table_name"), "col_name", "data_type", F.lit(rows[name]).cast("long").alias("row_count"))
@@ -494,7 +494,7 @@ def table_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table report over a derived table: each level's count beside the total."""
     _, source = _service_source(spark, sf_dir)
     report = pipelines.table_report(spark, source)
-    if report["sample"].count() != 10 or report["tables"].count() != 1 or not report["schema"].count():
+    if report["sample"].count() != 10 or report["tables"].where("not isTemporary").count() != 1 or not report["schema"].count():
         raise RuntimeError("the report is not complete")
     total = report["count"].first()["total_records"]
     return report["levels"].withColumn("total_records", F.lit(total).cast("long"))
