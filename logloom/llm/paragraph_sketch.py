@@ -13,7 +13,7 @@ with a larger sketch: ``GROWTH`` times as many sub-sketches, digests dealt to th
 the number of common digests over that of all.
 
 Building and peeling are expressions inside a row (a pair of documents, or one of its sub-sketches); only
-the pairs that failed go to the next level, and only digests and counts are shuffled for it.
+the pairs that failed go to the next level, with their digests, and nothing is shuffled for it.
 
 Defined results: null text counts as empty (an empty sketch; two empty ones are alike, 1.0); repeated
 paragraphs count once; rows sharing a doc_id are one document in the order of documents, represented
@@ -120,35 +120,39 @@ def peel(cells: Column) -> Column:
 
 
 def peeled(pairs: DataFrame, level: int) -> DataFrame:
-    """(id, kind, ok, only_a, only_b) of pairs (id, kind, a, b) with GROWTH**level sub-sketches; the
-    last two are numbers of recovered digests."""
+    """(id, kind, ok, only_a, only_b, a, b) of pairs (id, kind, a, b) with GROWTH**level sub-sketches:
+    the numbers of recovered digests, and the arrays themselves only of pairs that failed."""
     blocks = GROWTH**level
 
     def dealt(found: str, block: Column) -> Column:
         return F.filter(found, lambda d: F.pmod(F.xxhash64(d, F.lit(10 + level)), F.lit(blocks)) == block)
 
     if level:
-        parts = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(dealt("a", i).alias("a"), dealt("b", i).alias("b")))
-        pairs = pairs.select("id", "kind", F.explode(parts).alias("part")).select("id", "kind", "part.a", "part.b")
-    found = pairs.select("id", "kind", peel(subtract(sketch(F.col("a")), sketch(F.col("b")))).alias("r"))
-    found = found.select("id", "kind", "r.ok", F.size("r.only_a").alias("only_a"), F.size("r.only_b").alias("only_b"))
-    if not level:
-        return found
-    return found.groupBy("id", "kind").agg(F.every("ok").alias("ok"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: peel(subtract(sketch(dealt("a", i)), sketch(dealt("b", i)))))
+    else:
+        parts = F.array(peel(subtract(sketch(F.col("a")), sketch(F.col("b")))))
+
+    def total(side: str) -> Column:
+        return F.aggregate("parts", F.lit(0), lambda acc, x: acc + F.size(x[side]))
+
+    ok = F.forall("parts", lambda x: x["ok"])
+    found = pairs.select("id", "kind", "a", "b", parts.alias("parts"))
+    found = found.select("id", "kind", "a", "b", ok.alias("ok"), total("only_a").alias("only_a"), total("only_b").alias("only_b"))
+    return found.withColumns({c: F.when(~F.col("ok"), F.col(c)) for c in ("a", "b")})
 
 
 def differences(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """(id, kind, only_a, only_b) of all pairs: each level tries what the one before could not peel;
-    what is left after the last is compared by the digest arrays."""
+    what is left after the last is compared by the digest arrays. No level shuffles anything."""
     names, done = ["id", "kind", "only_a", "only_b"], None
     left = pairs
     for level in range(LEVELS + 1):
         tried = stored(spark, peeled(left, level), "peeled")
         good = tried.where("ok").select(*names)
         done = good if done is None else done.union(good)
-        if tried.where("not ok").isEmpty():
+        left = tried.where("not ok").select("id", "kind", "a", "b")
+        if left.isEmpty():
             return done
-        left = left.join(tried.where("not ok").select("id", "kind"), ["id", "kind"], "left_semi")
     rest = left.select("id", "kind", F.size(F.array_except("a", "b")).alias("only_a"), F.size(F.array_except("b", "a")).alias("only_b"))
     return done.union(rest)
 
@@ -175,15 +179,16 @@ def edited_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = next_and_previous(spark, ids, "own").select(
         F.col("doc_id").alias("key"), F.col("own.rep").alias("rep"), F.col("previous_id").alias("previous"), F.col("previous_value.n").alias("previous_n")
     )
-    # The texts are shuffled once, by key; both uses below read that exchange.
-    placed = docs.join(order, "key")
-    starts = placed.where(F.xxhash64("text") == F.col("rep")).select(
+    # The texts are shuffled once, by key: both joins of docs read that exchange. (The hashes are
+    # compared by xor, since an equality of columns would become a second key of the shuffle.)
+    placed = docs.join(order, "key").where(F.xxhash64("text").bitwiseXOR(F.col("rep")) == 0)
+    starts = placed.select(
         F.col("previous").alias("key"), F.expr("left(text, cast(previous_n div 2 as int))").alias("start"), digests(F.col("text")).alias("next_digests")
     )
     starts = starts.groupBy("key").agg(F.first("start").alias("start"), F.first("next_digests").alias("next_digests"))
     half = "cast(length(text) div 2 as int)"
     edited = F.expr(f"concat(left(text, length(text) - {half}), left(start, {half}))")
-    return placed.select("key", "text").join(starts, "key").select(
+    return docs.join(starts, "key").select(
         "key", F.when(F.col("key") != NULL_KEY, F.col("key")).alias("doc_id"), "text", edited.alias("edited"), "next_digests"
     )
 
