@@ -4,6 +4,10 @@ Words are runs of letters, digits, apostrophes and non-ASCII bytes, lower-cased
 ``GRAM``-word hashes are winnowed (the least hash of each ``WINDOW`` consecutive ones) into an inverted
 index (hash -> template, place), whose size depends on the templates alone. A document's
 winnowed hashes are looked up in it: a run of GRAM + WINDOW - 1 words shared with a template always gives a hit.
+A match may share no such run, so each template also has key words: its rarest ones, one more than a match
+may miss. Every match has one of them at its place, so every document word is looked up among the key words,
+and no match depends on which grams were winnowed. A hit counts if the words around it that occur in the
+template are as many as a match needs.
 Hits of one template whose diagonals (document place - template place) lie within the band of each other
 and that are no farther apart than the template is long form a candidate region, and the template's
 words are aligned to it within the band around these diagonals, document ends free. The band is a third of
@@ -31,6 +35,11 @@ from logloom.llm import textops as T
 GRAM, WINDOW = 3, 3
 BAND = 8
 LEAST_COVERAGE = 0.8
+#: Words of everyday texts, commonest first: the last choice for a template's key words. ("mit" is German.)
+COMMON = (
+    "the of and to in a is that it for was on as with be by this are at an from or not any no all may if mit work must have copy following "
+    "you use can provided other under more free see public general 0 1 2 3 4 version file without including"
+).split()
 
 # Short standard notices, by SPDX identifier.
 TEMPLATES: dict[str, list[str]] = {
@@ -97,31 +106,89 @@ def gram_hashes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Templates as word hashes, and the inverted index over their winnowed grams."""
+    """Templates as word hashes, the inverted index over their winnowed grams, and that over their key
+    words. ``least`` is the smallest coverage for which the key words suffice."""
 
     names: list[str]
     words: list[np.ndarray]
     hashes: np.ndarray  # sorted
     template: np.ndarray
     place: np.ndarray
+    key_hashes: np.ndarray  # sorted
+    key_template: np.ndarray
+    key_place: np.ndarray
+    vocabulary: np.ndarray  # sorted hashes of all template words
+    member: np.ndarray  # (templates, vocabulary): which words a template holds
+    least: float
 
     @staticmethod
-    def of(templates: dict[str, list[str]]) -> Index:
+    def of(templates: dict[str, list[str]], least: float = LEAST_COVERAGE) -> Index:
         names, words, hashes, numbers, places = [], [], [], [], []
+        keys: list[tuple[int, int, int]] = []
+        common = {h: i for i, h in enumerate(reversed(_word_hashes(pa.array(COMMON))[0].tolist()), 1)}
         for name, texts in templates.items():
             for text in texts:
-                found, _, _ = _word_hashes(pa.array([text]))
+                found, _, (starts, ends, _) = _word_hashes(pa.array([text]))
                 at = winnowed(found, np.zeros(len(found), np.int64))
                 if not len(at):
                     raise ValueError(f"a template of {name} has under {GRAM} words")
                 hashes.append(gram_hashes(found, at))
                 numbers.append(np.full(len(at), len(names)))
                 places.append(at)
+                rare = sorted(range(len(found)), key=lambda i: (common.get(int(found[i]), 0), starts[i] - ends[i], i))
+                keys += [(int(found[i]), len(names), i) for i in rare[: len(found) - needed(len(found), least) + 1]]
                 names.append(name)
                 words.append(found)
         every = np.concatenate(hashes)
         order = np.argsort(every, kind="stable")
-        return Index(names, words, every[order], np.concatenate(numbers)[order], np.concatenate(places)[order])
+        keys.sort()
+        key_hashes = np.array([k[0] for k in keys], np.uint64)
+        vocabulary = np.unique(np.concatenate(words))
+        member = np.stack([np.isin(vocabulary, w) for w in words])
+        return Index(
+            names, words, every[order], np.concatenate(numbers)[order], np.concatenate(places)[order],
+            key_hashes, np.array([k[1] for k in keys]), np.array([k[2] for k in keys]), vocabulary, member, least,
+        )
+
+
+def needed(length: int, least: float) -> int:
+    """Equal words that a match of a template of ``length`` words needs."""
+    return max(1, int(np.ceil(least * length - 1e-9)))
+
+
+def band_of(length: int) -> int:
+    return min(BAND, length // 3)
+
+
+def _looked_up(places: np.ndarray, hashes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document place, index entry) of all entries of the sorted ``index`` that equal a hash."""
+    low, high = np.searchsorted(index, hashes, "left"), np.searchsorted(index, hashes, "right")
+    hit = high > low
+    which, inner = T.runs(high[hit] - low[hit])
+    return places[hit][which], low[hit][which] + inner
+
+
+def _hits(index: Index, words: np.ndarray, of: np.ndarray, bounds: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, template, diagonal) of the hits around which enough words of the template occur."""
+    at = winnowed(words, of)
+    grams, gram_entry = _looked_up(at, gram_hashes(words, at), index.hashes)
+    keys, key_entry = _looked_up(np.arange(len(words)), words, index.key_hashes)
+    place = np.concatenate([grams, keys])
+    template = np.concatenate([index.template[gram_entry], index.key_template[key_entry]])
+    diagonal = place - np.concatenate([index.place[gram_entry], index.key_place[key_entry]])
+    if not len(place):
+        return place, template, diagonal
+    word = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
+    known = index.vocabulary[word] == words
+    enough = np.zeros(len(place), bool)
+    for t in np.unique(template):
+        mine = np.flatnonzero(template == t)
+        length, seen = len(index.words[t]), np.concatenate([[0], np.cumsum(known & index.member[t][word])])
+        band, row = band_of(length), of[place[mine]]
+        first = np.maximum(bounds[row], diagonal[mine] - band)
+        last = np.minimum(bounds[row + 1], diagonal[mine] + length + band)
+        enough[mine] = seen[last] - seen[first] >= needed(length, least)
+    return place[enough], template[enough], diagonal[enough]
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -181,16 +248,11 @@ def scan_texts(index: Index, texts: pa.Array, least: float) -> list[tuple[int, s
     character places in the text."""
     words, bounds, (starts, ends, offsets) = _word_hashes(texts)
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = winnowed(words, of)
-    hashes = gram_hashes(words, at)
-    low, high = np.searchsorted(index.hashes, hashes, "left"), np.searchsorted(index.hashes, hashes, "right")
-    hit = high > low
-    if not hit.any():
+    if least < index.least:
+        raise ValueError(f"the index is for a coverage of {index.least} or more")
+    place, template, diagonal = _hits(index, words, of, bounds, least)
+    if not len(place):
         return []
-    at, low, high = at[hit], low[hit], high[hit]
-    which, inner = T.runs(high - low)
-    entry = low[which] + inner
-    place, template, diagonal = at[which], index.template[entry], at[which] - index.place[entry]
     order = np.lexsort((template, of[place]))
     place, template, diagonal = place[order], template[order], diagonal[order]
     cuts = np.flatnonzero(np.diff(of[place], prepend=-1) | np.diff(template, prepend=-1))
@@ -199,11 +261,11 @@ def scan_texts(index: Index, texts: pa.Array, least: float) -> list[tuple[int, s
         row, t = int(of[place[a]]), int(template[a])
         own = index.words[t]
         first, last = int(bounds[row]), int(bounds[row + 1])
-        band = min(BAND, len(own) // 3)
+        band = band_of(len(own))
         for low_d, high_d in regions(place[a:b], diagonal[a:b], len(own), band):
             lo, hi = max(first, low_d - band), min(last, high_d + len(own) + band)
-            matched, s, e = align(own, words[lo:hi], (low_d + high_d) // 2 - lo, band)
-            if e > s and matched >= least * len(own):
+            matched, s, e = align(own, words[lo:hi], (low_d + high_d) // 2 - lo, band + (high_d - low_d + 1) // 2)
+            if e > s and matched >= needed(len(own), least):
                 found.setdefault(row, []).append((matched, matched / len(own), index.names[t], len(own), lo + s, lo + e))
     out = []
     for row, matches in sorted(found.items()):
@@ -221,7 +283,7 @@ def scan_texts(index: Index, texts: pa.Array, least: float) -> list[tuple[int, s
 
 def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, least: float = LEAST_COVERAGE) -> DataFrame:
     """A row per match: doc_id, license, matched_words, template_words, coverage, start, end."""
-    index = Index.of(TEMPLATES if templates is None else templates)
+    index = Index.of(TEMPLATES if templates is None else templates, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -138,3 +138,15 @@ def test_index_is_of_the_templates():
     assert sorted(set(index.template.tolist())) == [0, 1] and (np.diff(index.hashes.astype(np.float64)) >= 0).all()
     assert L.scan_texts(index, pa.array(["x one two three four five y"]), 0.8)[0][:4] == (0, "a", 5, 5)
 
+
+
+def test_one_word_edits_of_every_template():
+    """A word altered, left out or put in, at every place: found with the words that brute force finds."""
+    for name, texts in L.TEMPLATES.items():
+        for text in texts:
+            template = brute_words(text)
+            index = L.Index.of({name: [text]})
+            edited = [template[:i] + put + template[i + cut :] for i in range(len(template)) for put, cut in ((["altered"], 1), ([], 1), (["inserted"], 0))]
+            edited = [e for e in edited if edit_matches(template, e) >= 0.8 * len(template)]
+            got = L.scan_texts(index, pa.array(["lorem ipsum " + " ".join(e) + " dolor" for e in edited]), 0.8)
+            assert [g[:3] for g in got] == [(i, name, edit_matches(template, e)) for i, e in enumerate(edited)], text
