@@ -14,6 +14,9 @@ words are aligned to it within the band around these diagonals, document ends fr
 the template's words, at most ``BAND``. A match
 is reported if at least ``LEAST_COVERAGE`` of the template's words are equal in the alignment; of matches
 that overlap by half, the one with more matched words (then higher coverage, then name) stays.
+The words that tell licenses apart (``NAMES``, and the numbers of a template) must all be equal in the alignment,
+and the matched words may hold no other name and no longer version number; else nothing is reported, so
+a license without a template gets no other license's name.
 
 The scan is map only: no shuffle, one text's candidates at a time.
 
@@ -41,7 +44,59 @@ COMMON = (
     "you use can provided other under more free see public general 0 1 2 3 4 version file without including"
 ).split()
 
-# Short standard notices, by SPDX identifier.
+#: Names and versions: a license is reported only if those of its template and of the matched words are the same.
+#: (Numbers of a template count too, and a number that goes on from another one, as in 2.1.)
+NAMES = frozenset(
+    "mit apache gpl lgpl agpl gnu lesser affero mozilla mpl bsd isc cc cc0 sa nc nd sharealike noncommercial noderivatives noderivs attribution "
+    "boost eclipse epl unlicense zlib artistic wtfpl beerware cddl eupl either later".split()
+)
+#: A name as well, but only as the first of these two words ("GNU Library General Public License").
+NAME_BEFORE = ["library", "general"]
+
+_GNU_HEADER = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {license}General Public License as published by the "
+    "Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
+_GNU_ONLY = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {license}General Public License as published by the "
+    "Free Software Foundation, version {version} of the License."
+)
+
+
+def _gnu(name: str, versions: list[str], what: str, license: str) -> dict[str, list[str]]:
+    """Notices of one GNU license by SPDX identifier: the standard header, and one-line notes."""
+    found = {}
+    for version in versions:
+        full, short = (version, version.removesuffix(".0"))
+        line = f"licensed under the GNU {license}General Public License, version {short}"
+        found[f"{name}-{full}-only"] = [_GNU_ONLY.format(what=what, license=license, version=short), f"This work is {line}."]
+        found[f"{name}-{full}-or-later"] = [_GNU_HEADER.format(what=what, license=license, version=short), f"This work is {line} or later."]
+    return found
+
+
+def _creative(name: str, parts: str) -> dict[str, list[str]]:
+    """Notices of one Creative Commons license in its versions."""
+    found = {}
+    for version, kind in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        found[f"CC-{name}-{version}"] = [
+            f"Licensed under CC {name} {version}.",
+            f"This work is licensed under a Creative Commons {parts} {version} {kind} License.",
+        ]
+    return found
+
+
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = (
+    f"{_BSD}: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_CLAUSE_3 = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission"
+)
+
+# Short and standard notices, by SPDX identifier.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
@@ -50,18 +105,30 @@ TEMPLATES: dict[str, list[str]] = {
         "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software",
     ],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3."],
-    "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0-only": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0-only": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "Licensed under the Apache License, Version 2.0.",
+    ],
+    **_gnu("GPL", ["2.0", "3.0"], "program", ""),
+    **_gnu("LGPL", ["2.1", "3.0"], "library", "Lesser "),
+    **_gnu("LGPL", ["2.0"], "library", "Library "),
+    **_gnu("AGPL", ["3.0"], "program", "Affero "),
+    # The first lines of both BSD licenses are the same, so by themselves they are not evidence of either.
+    "BSD-2-Clause OR BSD-3-Clause": [_BSD],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD_2],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", f"{_BSD_2} {_BSD_CLAUSE_3}"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
+    **_creative("BY", "Attribution"),
+    **_creative("BY-SA", "Attribution-ShareAlike"),
+    **_creative("BY-NC", "Attribution-NonCommercial"),
+    **_creative("BY-ND", "Attribution-NoDerivatives"),
+    **_creative("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    **_creative("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
     "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0 Universal."],
 }
 
@@ -69,6 +136,8 @@ _CODES = T.fold_table(lower=True)
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
 _STEP = np.uint64(0x9FB21C651E98DF25)
+#: Cost of an edit of a name or version: more than all other edits of a template.
+_NEVER = 1 << 20
 
 
 def winnowed(words: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -119,16 +188,21 @@ class Index:
     key_place: np.ndarray
     vocabulary: np.ndarray  # sorted hashes of all template words
     member: np.ndarray  # (templates, vocabulary): which words a template holds
+    distinct: list[np.ndarray]  # per template: which of its words are names or numbers
+    names_hashed: np.ndarray  # sorted hashes of NAMES
     least: float
 
     @staticmethod
     def of(templates: dict[str, list[str]], least: float = LEAST_COVERAGE) -> Index:
         names, words, hashes, numbers, places = [], [], [], [], []
         keys: list[tuple[int, int, int]] = []
+        distinct: list[np.ndarray] = []
+        named = np.sort(_word_hashes(pa.array(sorted(NAMES)))[0])
         common = {h: i for i, h in enumerate(reversed(_word_hashes(pa.array(COMMON))[0].tolist()), 1)}
         for name, texts in templates.items():
             for text in texts:
                 found, _, (starts, ends, _) = _word_hashes(pa.array([text]))
+                distinct.append(_named(found, named) | _numbers(T.string_buffers(pa.array([text]))[0], starts, ends))
                 at = winnowed(found, np.zeros(len(found), np.int64))
                 if not len(at):
                     raise ValueError(f"a template of {name} has under {GRAM} words")
@@ -147,7 +221,7 @@ class Index:
         member = np.stack([np.isin(vocabulary, w) for w in words])
         return Index(
             names, words, every[order], np.concatenate(numbers)[order], np.concatenate(places)[order],
-            key_hashes, np.array([k[1] for k in keys]), np.array([k[2] for k in keys]), vocabulary, member, least,
+            key_hashes, np.array([k[1] for k in keys]), np.array([k[2] for k in keys]), vocabulary, member, distinct, named, least,
         )
 
 
@@ -156,6 +230,31 @@ def needed(length: int, least: float) -> int:
     return max(1, int(np.ceil(least * length - 1e-9)))
 
 
+def _named(words: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which words tell licenses apart by name."""
+    first, second = _word_hashes(pa.array(NAME_BEFORE))[0]
+    found = np.isin(words, names)
+    found[:-1] |= (words[:-1] == first) & (words[1:] == second)
+    return found
+
+
+def _numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words are numbers of at most two digits."""
+    first, last = data[starts], data[np.maximum(ends, 1) - 1]
+    return (ends - starts <= 2) & (first >= 48) & (first <= 57) & (last >= 48) & (last <= 57)
+
+
+def _others(index: Index, words: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words lo to hi: which no other license may hold (names, and numbers that go on from
+    another one, but for .0), and which of them are such numbers."""
+    names = _named(words[lo : hi + 1], index.names_hashed)[: hi - lo]
+    numbers = _numbers(data, starts[lo:hi], ends[lo:hi])
+    goes_on = np.zeros(hi - lo, bool)
+    goes_on[1:] = numbers[1:] & numbers[:-1] & (starts[lo + 1 : hi] == ends[lo : hi - 1] + 1) & (data[ends[lo : hi - 1]] == 46)
+    goes_on &= ~((ends[lo:hi] - starts[lo:hi] == 1) & (data[starts[lo:hi]] == 48))
+    return names | goes_on, goes_on
+
+
 def band_of(length: int) -> int:
     return min(BAND, length // 3)
 
@@ -197,10 +296,15 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
     return T.span_hashes(data, starts, ends, _CODES), bounds, (starts, ends, offsets)
 
 
-def align(template: np.ndarray, region: np.ndarray, centre: int, band: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, region: np.ndarray, centre: int, band: int, distinct: np.ndarray | None = None, other: np.ndarray | None = None) -> tuple[int, int, int]:
     """(equal words, first, last + 1 in ``region``) of the best alignment whose diagonals stay within
-    ``band`` of ``centre``: fewest edits, document words before and behind free."""
+    ``band`` of ``centre``: fewest edits, document words before and behind free. Words of the template in
+    ``distinct`` must be equal, and those of the region in ``other`` may not be left over; no equal words
+    if that cannot be."""
     m, width = len(template), 2 * band + 1
+    lose = [1] * m if distinct is None else np.where(distinct, _NEVER, 1).tolist()
+    extra = [1] * len(region) if other is None else np.where(other, _NEVER, 1).tolist()
+    template, region = template.tolist(), region.tolist()
     far = 1 << 30
     # Row i, column c: i template words and i + centre - band + c region words used.
     cost = [far] * width
@@ -218,15 +322,15 @@ def align(template: np.ndarray, region: np.ndarray, centre: int, band: int) -> t
             best = (far, 0, 0)
             if j >= 1 and cost[c] < far:  # template word on region word
                 hit = int(template[i - 1] == region[j - 1])
-                best = min(best, (cost[c] + 1 - hit, -equal[c] - hit, start[c]))
+                best = min(best, (cost[c] + (0 if hit else max(lose[i - 1], extra[j - 1])), -equal[c] - hit, start[c]))
             if c + 1 < width and cost[c + 1] < far:  # template word missing in the region
-                best = min(best, (cost[c + 1] + 1, -equal[c + 1], start[c + 1]))
+                best = min(best, (cost[c + 1] + lose[i - 1], -equal[c + 1], start[c + 1]))
             if c >= 1 and new_cost[c - 1] < far:  # region word more
-                best = min(best, (new_cost[c - 1] + 1, -new_equal[c - 1], new_start[c - 1]))
+                best = min(best, (new_cost[c - 1] + extra[j - 1], -new_equal[c - 1], new_start[c - 1]))
             new_cost[c], new_equal[c], new_start[c] = best[0], -best[1], best[2]
         cost, equal, start = new_cost, new_equal, new_start
     c = min(range(width), key=lambda c: (cost[c], -equal[c], c))
-    if cost[c] >= far:
+    if cost[c] >= _NEVER:
         return 0, 0, 0
     return equal[c], start[c], m + centre - band + c
 
@@ -247,6 +351,7 @@ def scan_texts(index: Index, texts: pa.Array, least: float) -> list[tuple[int, s
     """(row, license, matched words, template words, coverage, start, end) of all matches; start and end are
     character places in the text."""
     words, bounds, (starts, ends, offsets) = _word_hashes(texts)
+    data, _ = T.string_buffers(texts)
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     if least < index.least:
         raise ValueError(f"the index is for a coverage of {index.least} or more")
@@ -264,7 +369,11 @@ def scan_texts(index: Index, texts: pa.Array, least: float) -> list[tuple[int, s
         band = band_of(len(own))
         for low_d, high_d in regions(place[a:b], diagonal[a:b], len(own), band):
             lo, hi = max(first, low_d - band), min(last, high_d + len(own) + band)
-            matched, s, e = align(own, words[lo:hi], (low_d + high_d) // 2 - lo, band + (high_d - low_d + 1) // 2)
+            end = min(last, hi + 1)  # a number may go on behind
+            other, goes_on = _others(index, words, data, starts, ends, lo, end)
+            matched, s, e = align(own, words[lo:hi], (low_d + high_d) // 2 - lo, band + (high_d - low_d + 1) // 2, index.distinct[t], other[: hi - lo])
+            if e > s and lo + e < end and goes_on[e]:
+                continue
             if e > s and matched >= needed(len(own), least):
                 found.setdefault(row, []).append((matched, matched / len(own), index.names[t], len(own), lo + s, lo + e))
     out = []

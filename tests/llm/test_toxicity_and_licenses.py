@@ -141,12 +141,44 @@ def test_index_is_of_the_templates():
 
 
 def test_one_word_edits_of_every_template():
-    """A word altered, left out or put in, at every place: found with the words that brute force finds."""
+    """A word altered, left out or put in, at every place: found with the words that brute force finds,
+    and not at all without a word of the license's name or version."""
     for name, texts in L.TEMPLATES.items():
         for text in texts:
             template = brute_words(text)
             index = L.Index.of({name: [text]})
-            edited = [template[:i] + put + template[i + cut :] for i in range(len(template)) for put, cut in ((["altered"], 1), ([], 1), (["inserted"], 0))]
-            edited = [e for e in edited if edit_matches(template, e) >= 0.8 * len(template)]
+            edits = [(put, cut, i) for i in range(len(template)) for put, cut in ((["altered"], 1), ([], 1), (["inserted"], 0))]
+            edited = [template[:i] + put + template[i + cut :] for put, cut, i in edits]
             got = L.scan_texts(index, pa.array(["lorem ipsum " + " ".join(e) + " dolor" for e in edited]), 0.8)
-            assert [g[:3] for g in got] == [(i, name, edit_matches(template, e)) for i, e in enumerate(edited)], text
+            least = [edit_matches(template, e) >= 0.8 * len(template) and not (cut and index.distinct[0][i]) for e, (_, cut, i) in zip(edited, edits, strict=True)]
+            assert [g[:3] for g in got] == [(k, name, edit_matches(template, edited[k])) for k in range(len(edits)) if least[k]], text
+
+
+def test_licenses_keep_their_own_names():
+    gpl = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, {}"
+    later = "either version {} of the License, or (at your option) any later version."
+    given = {
+        gpl.format("program", "", later.format(3)): ["GPL-3.0-or-later"],
+        gpl.format("library", "", later.format(2)): ["GPL-2.0-or-later"],
+        gpl.format("library", "Lesser ", later.format("2.1")): ["LGPL-2.1-or-later"],
+        gpl.format("library", "Library ", later.format(2)): ["LGPL-2.0-or-later"],
+        gpl.format("program", "Affero ", later.format(3)): ["AGPL-3.0-or-later"],
+        gpl.format("program", "", "version 2 of the License."): ["GPL-2.0-only"],
+        gpl.format("program", "", later.format(4)): [],
+        L._BSD + ":": ["BSD-2-Clause OR BSD-3-Clause"],
+        L._BSD_2 + " THIS SOFTWARE IS PROVIDED": ["BSD-2-Clause"],
+        L._BSD_2 + " 3. " + L._BSD_CLAUSE_3.replace("the copyright holder", "ACME") + ". THIS SOFTWARE IS PROVIDED": ["BSD-3-Clause"],
+        "Released under the BSD License.": [],
+        "Released under the Artistic License.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Licensed under the Apache License, Version 2.0": ["Apache-2.0"],
+        "This work is licensed under the GNU General Public License, version 3.1": [],
+        "This work is licensed under the GNU General Public License, version 3.0": ["GPL-3.0-only"],
+        "This work is licensed under the GNU General Public License, version 3 or later.": ["GPL-3.0-or-later"],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"],
+        "Licensed under CC BY-SA 3.0.": ["CC-BY-SA-3.0"],
+        "Licensed under CC BY-SA 5.0.": [],
+        "Licensed under CC BY-NC-XX-SA 4.0 and more": ["CC-BY-NC-SA-4.0"],
+    }
+    got = L.scan_texts(L.Index.of(L.TEMPLATES), pa.array(list(given)), 0.8)
+    assert {t: [g[1] for g in got if g[0] == i] for i, t in enumerate(given)} == given
