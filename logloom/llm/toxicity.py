@@ -1,10 +1,12 @@
 """Toxicity scores from two class-conditional Kneser-Ney models that share their backoff counts.
 
 Words are runs of letters, digits, apostrophes and non-ASCII bytes, lower-cased A-Z. The closed vocabulary
-holds the words whose share of the training tokens is at least ``RELATIVE_FREQUENCY`` (so at most
-1 / RELATIVE_FREQUENCY words, whatever the corpus) and that occur at least ``LEAST_COUNT`` times; a rarer word
-counts as its first ``STEM_BYTES`` bytes if these are frequent enough, else as one unknown word. Word pairs
-below the same limits are pruned.
+holds the words of at least ``LEAST_COUNT`` training documents, whatever the corpus, and so grows with it; a
+rarer word counts as its first ``STEM_BYTES`` bytes if these are in enough documents, else as one unknown word.
+Word pairs of fewer than ``LEAST_COUNT`` documents are pruned.
+
+The words and the ``HEAD_PAIRS`` most frequent pairs are arrays (40 bytes a word, 32 a pair). The other kept
+pairs stay a Spark table, joined to (text, pair) rows; where there are none, scoring is one pass.
 
 Counts n are numbers of training documents (a long or repetitive one counts once). Both classes share one
 Kneser-Ney pair model of the pooled counts (discount D, continuation shares s(v): different words before
@@ -28,9 +30,10 @@ surplus of one language in a class does not either.
 
 A text's evidence is its summed log ratio per word; a logistic curve over the length-normalised evidence
 (per word, and per square root of words) is fitted on a fold that the counts have not seen (a sample of
-at most ``MAX_CALIBRATION_ROWS``). The counts use all other labelled training rows and grow with them.
+at most ``MAX_CALIBRATION_ROWS``). The counts use all other labelled training rows, those of that fold outside
+the sample included, and grow with them.
 
-Training reads folds 1 to 4 only (fold 0 is held out). Texts alone are scored, in one pass.
+Training reads folds 1 to 4 only (fold 0 is held out). Texts alone are scored.
 
 Defined results: null and empty texts have no evidence and get the curve's value at zero; null labels train
 nothing; several labels of one doc_id count as toxic if any is; without labels of both classes every score
@@ -44,14 +47,18 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import textops as T
 from logloom.llm.shared import TEST_FOLD, fold, stored
 
-RELATIVE_FREQUENCY = 2e-6
 LEAST_COUNT = 3
+HEAD_PAIRS = 500_000
+#: Steps per unit of the table's log ratios: sums of whole numbers do not depend on their order.
+STEPS = 1 << 32
+#: Bits of the map of the table's pairs (16 MB, whatever the table's size; saturated it lets more through).
+MAP_BITS = 27
 DISCOUNT = 0.75
 SHARED_COUNTS = 2.0
 LEAST_GAIN = 12.0
@@ -151,7 +158,9 @@ def _counted(rows: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities by word id and of the kept pairs, and the curve's weights."""
+    """Log probabilities by word id and of the kept pairs, and the curve's weights. ``tail`` (code, d0, d1,
+    d2) holds the kept pairs that are not in ``pairs``: by how many ``STEPS`` their three numbers differ from
+    those that a pruned pair would get."""
 
     vocabulary: np.ndarray  # sorted word hashes
     backoff: np.ndarray  # log l(u), by id
@@ -159,10 +168,13 @@ class Model:
     pairs: np.ndarray  # sorted (u << 32 | v)
     pair: np.ndarray  # (shared, ordinary tilt, toxic tilt) of the kept pairs
     curve: np.ndarray  # weight of evidence per word, per root of words, constant
+    tail: DataFrame | None = None
+    tail_map: np.ndarray | None = None  # bits of the hashed codes in ``tail``
 
-    def likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ordinary and toxic log-likelihood and number of words of each text."""
-        sums, count = [], []
+    def likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Ordinary and toxic log-likelihood and number of words of each text, by ``pairs`` alone, and its
+        pairs that may be in ``tail``."""
+        sums, count, others = [], [], []
         for words, stems, bounds, _, _ in _words(texts):
             pairs = _pairs(words, stems, bounds, self.vocabulary)
             at = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
@@ -175,13 +187,14 @@ class Model:
                     value = np.where(kept, self.pair[k][at], value)
                 total = np.concatenate([[0.0], np.cumsum(value)])
                 found.append(total[bounds[1:]] - total[bounds[:-1]])
+            if self.tail_map is not None:
+                place = _places(pairs)
+                open_ = ~kept & ((self.tail_map[place >> 6] >> (place & 63)) & 1).astype(bool)
+                others += [pairs[a:b][open_[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             sums.append(np.stack([found[0] + found[1], found[0] + found[2]]))
             count.append(np.diff(bounds))
         both = np.concatenate([*sums, np.zeros((2, 0))], 1)
-        return both[0], both[1], np.concatenate([*count, np.zeros(0, np.int64)])
-
-    def scores(self, ordinary: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return _curve(toxic - ordinary, n, self.curve)
+        return both[0], both[1], np.concatenate([*count, np.zeros(0, np.int64)]), others
 
 
 def _inputs(evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -231,19 +244,19 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, column: str = "toxic", relative: float = RELATIVE_FREQUENCY) -> Model:
-    """Both models and the curve. The driver receives the frequent words and pairs only, at most
-    1 / ``relative`` of each."""
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, column: str = "toxic", head: int = HEAD_PAIRS) -> Model:
+    """Both models and the curve. The driver receives the words of ``LEAST_COUNT`` documents or more and
+    the ``head`` most frequent pairs."""
     rows = labelled(docs, labels, column)
-    counted = rows.where(F.col("fold") != CALIBRATION_FOLD)
+    sampled = _sampled(rows)
+    counted = rows.where(~sampled)
     words = stored(spark, _counted(counted, None), "toxic_words")
     total = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     n0, n1 = total["n0"] or 0, total["n1"] or 0
     nothing = Model(np.zeros(0, np.int64), np.zeros(2), np.zeros((3, 2)), np.zeros(0, np.int64), np.zeros((3, 0)), np.array([0.0, 0.0, -30.0]))
     if not n0 or not n1:
         return nothing
-    least = max(LEAST_COUNT, relative * (n0 + n1))
-    frequent = words.where(F.col("n0") + F.col("n1") >= least).toArrow()
+    frequent = words.where(F.col("n0") + F.col("n1") >= LEAST_COUNT).toArrow()
     order = np.argsort(frequent["key"].to_numpy())
     vocabulary = frequent["key"].to_numpy()[order]
     counts = np.stack([frequent["n0"].to_numpy(), frequent["n1"].to_numpy()]).astype(float)[:, order]
@@ -255,12 +268,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, column: st
         classes[row["label"]] = row["count"]
 
     pairs = stored(spark, _counted(counted, vocabulary).select(F.shiftright("key", 32).alias("u"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("v"), "n0", "n1"), "toxic_pairs")
-    n, kept = F.col("n0") + F.col("n1"), F.col("n0") + F.col("n1") >= least
+    n, kept = F.col("n0") + F.col("n1"), F.col("n0") + F.col("n1") >= LEAST_COUNT
     by_v = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("before")).toArrow()
     by_u = pairs.groupBy("u").agg(F.sum(n).alias("n"), F.sum(F.when(kept, n - DISCOUNT).otherwise(0.0)).alias("mass")).toArrow()
-    top = pairs.where(kept).toArrow()
-    model = _model(vocabulary, counts, parent, classes / classes.sum(), by_v, by_u, top, nothing.curve)
-    found = _evidence(_calibration(rows), model).toArrow().to_pandas().sort_values(["doc_id", "evidence", "n"], kind="stable")
+    least = _head_count(pairs.select(n.alias("n")).where(kept), head)
+    top = pairs.where(n >= least).toArrow()
+    given = _words_model(counts, parent, classes / classes.sum(), by_v, by_u)
+    model = _model(vocabulary, given, top, nothing.curve)
+    if least > LEAST_COUNT:
+        tail = _tail(spark, pairs.where(kept & (n < least)), given)
+        model = replace(model, tail=tail, tail_map=_map_of(tail))
+    found = _likelihoods(rows.where(sampled), model, "label").select("doc_id", "label", (F.col("toxic") - F.col("ordinary")).alias("evidence"), "n")
+    found = found.toArrow().to_pandas().sort_values(["doc_id", "evidence", "n"], kind="stable")
     label = found["label"].to_numpy(float)
     if not len(label) or label.min() == label.max():
         return nothing
@@ -277,11 +296,41 @@ def _shares(counts: np.ndarray, below: np.ndarray, allowed: np.ndarray) -> np.nd
     return np.where(allowed & (gain >= LEAST_GAIN), own, below)
 
 
-def _model(
-    vocabulary: np.ndarray, counts: np.ndarray, parent: np.ndarray, classes: np.ndarray, by_v: pa.Table, by_u: pa.Table, top: pa.Table, curve: np.ndarray
-) -> Model:
-    """The formulas of the module text over the frequent words and pairs."""
-    size = len(vocabulary) + 2
+def _head_count(pairs: DataFrame, head: int) -> int:
+    """The least count (``LEAST_COUNT`` or more) that at most ``head`` pairs reach. The driver receives a
+    row per different count."""
+    sizes = sorted(((r["n"], r["count"]) for r in pairs.groupBy("n").count().collect()), reverse=True)
+    least, seen = (sizes[0][0] + 1 if sizes else LEAST_COUNT), 0
+    for n, count in sizes:
+        seen += count
+        if seen > head:
+            return least
+        least = n
+    return LEAST_COUNT
+
+
+@dataclass(frozen=True)
+class Words:
+    """What a pair's numbers are made of, by word id."""
+
+    share: np.ndarray  # class shares (2, words)
+    n: np.ndarray  # pairs that begin with the word
+    left: np.ndarray  # l(u)
+    continuation: np.ndarray  # s(v)
+    word: np.ndarray  # (shared, ordinary tilt, toxic tilt)
+
+    def pairs(self, u: np.ndarray, v: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(shared, ordinary tilt, toxic tilt) of kept pairs."""
+        own = _shares(counts, self.share[:, v], (u != UNKNOWN) & (v != UNKNOWN))
+        same = (own == self.share[:, v]).all(0)
+        shared = np.log(np.maximum(counts.sum(0) - DISCOUNT, 0) / self.n[u] + self.left[u] * self.continuation[v])
+        tilt = np.where(same, self.word[1:, v], np.log(own) - np.log(self.share[:, u]))
+        return np.concatenate([shared[None], tilt])
+
+
+def _words_model(counts: np.ndarray, parent: np.ndarray, classes: np.ndarray, by_v: pa.Table, by_u: pa.Table) -> Words:
+    """The formulas of the module text over the frequent words."""
+    size = counts.shape[1] + 2
 
     def column(rows: pa.Table, key: str, name: str) -> np.ndarray:
         out = np.zeros(size)
@@ -300,47 +349,103 @@ def _model(
     below = share[:, np.where(stems, 0, parent + 2)]
     share[:, 2:][:, ~stems] = _shares(counts, below, allowed)[:, ~stems]
     word = np.concatenate([np.log(continuation)[None], np.log(share) - np.log(prior)])
+    return Words(share, n_u, left, continuation, word)
+
+
+def _model(vocabulary: np.ndarray, given: Words, top: pa.Table, curve: np.ndarray) -> Model:
     u, v = top["u"].to_numpy(), top["v"].to_numpy()
-    pair_counts = np.stack([top["n0"].to_numpy(), top["n1"].to_numpy()]).astype(float)
-    own = _shares(pair_counts, share[:, v], (u != UNKNOWN) & (v != UNKNOWN))
-    same = (own == share[:, v]).all(0)
-    shared = np.log(np.maximum(pair_counts.sum(0) - DISCOUNT, 0) / n_u[u] + left[u] * continuation[v])
-    tilt = np.where(same, word[1:, v], np.log(own) - np.log(share[:, u]))
+    values = given.pairs(u, v, np.stack([top["n0"].to_numpy(), top["n1"].to_numpy()]).astype(float))
     order = np.argsort(u << 32 | v)
-    return Model(vocabulary, np.log(left), word, (u << 32 | v)[order], np.concatenate([shared[None], tilt])[:, order], curve)
+    return Model(vocabulary, np.log(given.left), given.word, (u << 32 | v)[order], values[:, order], curve)
 
 
-def _calibration(rows: DataFrame) -> DataFrame:
-    """At most about MAX_CALIBRATION_ROWS rows of the calibration fold, by hash of doc_id."""
-    own = rows.where(F.col("fold") == CALIBRATION_FOLD)
-    n = own.count()
-    bound = int(2**31 * min(1.0, MAX_CALIBRATION_ROWS / max(n, 1)))
-    return own.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2**31)) < bound)
+def _tail(spark: SparkSession, pairs: DataFrame, given: Words) -> DataFrame:
+    """``Model.tail`` of these kept pairs."""
+    shared = spark.sparkContext.broadcast(given)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            u, v, n0, n1 = (batch.column(c).to_numpy() for c in ("u", "v", "n0", "n1"))
+            pruned = words.word[:, v] + np.stack([np.log(words.left[u]), np.zeros(len(u)), np.zeros(len(u))])
+            steps = np.rint((words.pairs(u, v, np.stack([n0, n1]).astype(float)) - pruned) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u << 32 | v), *[pa.array(d) for d in steps]], ["code", "d0", "d1", "d2"])
 
-def _evidence(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    found = pairs.select("u", "v", "n0", "n1").mapInArrow(run, "code long, d0 long, d1 long, d2 long")
+    return stored(spark, found, "toxic_tail")
+
+
+def _places(codes: np.ndarray) -> np.ndarray:
+    return (T.mix(codes.astype(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def _map_of(tail: DataFrame) -> np.ndarray:
+    """The bit map of the codes of ``tail``: each batch is summed up before it leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ordinary, toxic, n = shared.value.likelihoods(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(toxic - ordinary), pa.array(n)], ["doc_id", "label", "evidence", "n"])
+            place = np.unique(_places(batch.column("code").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(np.int64(1) << (place & 63))], ["w", "b"])
 
-    return rows.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, label int, evidence double, n long")
+    found = tail.select("code").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << MAP_BITS - 6, np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    return bits
+
+
+def _sampled(rows: DataFrame) -> Column:
+    """Whether a row is of the curve's sample: at most about MAX_CALIBRATION_ROWS rows of the
+    calibration fold, by hash of doc_id."""
+    own = F.col("fold") == CALIBRATION_FOLD
+    n = rows.where(own).count()
+    bound = int(2**31 * min(1.0, MAX_CALIBRATION_ROWS / max(n, 1)))
+    return own & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2**31)) < bound)
+
+
+def _likelihoods(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
+    """doc_id, ``carry``, ordinary and toxic log-likelihood and number of words (n) of every row: map only
+    if all kept pairs are in the model's arrays, else a join of the other pairs with the model's table."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(replace(model, tail=None))
+    tail = model.tail is not None
+    names = ["doc_id", *carry, "ordinary", "toxic", "n", *(["others", "times"] if tail else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordinary, toxic, n, others = shared.value.likelihoods(batch.column("text"))
+            columns = [*(batch.column(c) for c in ("doc_id", *carry)), pa.array(ordinary), pa.array(toxic), pa.array(n)]
+            if tail:
+                found = [np.unique(o, return_counts=True) for o in others]
+                at = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
+                columns += [pa.ListArray.from_arrays(at, pa.array(np.concatenate([*(f[k] for f in found), np.zeros(0, np.int64)]))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("int").alias(c) for c in carry])
+    schema = ", ".join(["doc_id long", *[f"{c} int" for c in carry], "ordinary double, toxic double, n long"])
+    if not tail:
+        return rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema + ", others array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id())
+    found = stored(spark, found, "toxic_rows")  # fixes the row numbers
+    pairs = found.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("code"), "o.times")
+    gained = pairs.join(model.tail, "code").groupBy("row").agg(*[F.sum(F.col(d) * F.col("times")).alias(d) for d in ("d0", "d1", "d2")])
+    found = found.drop("others", "times").join(gained, "row", "left").fillna(0, ["d0", "d1", "d2"])
+    return found.select(
+        "doc_id", *carry, *[(F.col(name) + (F.col("d0") + F.col(d)) / F.lit(float(STEPS))).alias(name) for name, d in (("ordinary", "d1"), ("toxic", "d2"))], "n"
+    )
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, and both log-likelihoods per word (0 without words) of every row (map only)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, score, and both log-likelihoods per word (0 without words) of every row."""
+    curve = model.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ordinary, toxic, n = shared.value.likelihoods(batch.column("text"))
-            scores, per = shared.value.scores(ordinary, toxic, n), np.maximum(n, 1)
+            ordinary, toxic, n = (batch.column(c).to_numpy() for c in ("ordinary", "toxic", "n"))
+            scores, per = _curve(toxic - ordinary, n, curve), np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(toxic / per), pa.array(ordinary / per)], SCORED)
 
     schema = "doc_id long, score double, toxic_likelihood double, ordinary_likelihood double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return _likelihoods(docs, model).mapInArrow(run, schema)
 
 
 SCORED = ["doc_id", "score", "toxic_likelihood", "ordinary_likelihood"]

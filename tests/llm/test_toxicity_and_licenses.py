@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from logloom.llm import license_scan as L
 from logloom.llm import toxicity as X
@@ -71,6 +72,31 @@ def test_toxicity_edges(spark, edges, nothing):
     assert X.score_documents(nothing, X.train(spark, nothing, labels)).count() == 0
 
 
+def test_pairs_outside_the_arrays_score_alike(spark):
+    rows = corpus(400)
+    docs = spark.createDataFrame([*(r[:2] for r in rows), (None, rows[0][1]), (1, rows[2][1]), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    whole, split = X.train(spark, docs, labels), X.train(spark, docs, labels, head=50)
+    assert whole.tail is None and len(split.pairs) <= 50
+    assert split.tail.count() + len(split.pairs) == len(whole.pairs) > 1000
+    a, b = (sorted((r.doc_id or -1, r.toxic_likelihood, r.ordinary_likelihood, r.score) for r in X.score_documents(docs, m).collect()) for m in (whole, split))
+    assert len(a) == len(rows) + 3 and np.allclose(a, b, atol=1e-6)
+
+
+def test_least_count_does_not_grow_with_the_corpus(spark):
+    """A word of three training documents stays a word beside two million other counts."""
+    rare = [i for i in range(2, 400) if i % 5 != 0]
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(7000))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    fold_of = {r.doc_id: r.f for r in docs.select("doc_id", fold().alias("f")).collect()}
+    chosen = [i for i in rare if fold_of[i] in (2, 3, 4)][:3]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(chosen), F.concat("text", F.lit(" zyxwrareword"))).otherwise(F.col("text")))
+    model = X.train(spark, docs, labels)
+    words, _, _, _, _ = next(X._words(pa.array(["zyxwrareword"])))
+    assert words[0] in model.vocabulary
+
+
 def brute_words(text: str) -> list[str]:
     out, word = [], b""
     for b in text.encode() + b" ":
