@@ -88,6 +88,25 @@ def test_components_of_the_documents(spark):
     check(spark, rows, 5, 80)
 
 
+def test_pairs_of_few_equal_half_bands_are_linked(spark):
+    """Pairs at the threshold that share a table key, but fewer than LEAST_SHARED half-bands."""
+    r, texts = random.Random(4), []
+    for _ in range(20_000):
+        words = [f"w{r.randrange(10**9)}" for _ in range(50)]
+        texts += [" ".join(words[:45]), " ".join(words[:40] + words[45:])]  # 40 of 50
+    found = []
+    for i in range(0, len(texts), 4000):
+        data, offsets = N.T.string_buffers(pa.array(texts[i : i + 4000]))
+        bands = N._half_bands(*N._distinct(data, offsets, 1))
+        same = bands[::2] == bands[1::2]
+        few = same[:, : N.HALVES].any(1) & same[:, N.HALVES :].any(1) & (same.sum(1) < N.LEAST_SHARED)
+        found += [i + 2 * int(k) for k in np.flatnonzero(few)]
+    assert found
+    rows = [(k + j, texts[k + j]) for k in found for j in (0, 1)]
+    got = N.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=1, percent=80).collect()
+    assert {x.doc_id: x.component_id for x in got} == {k + j: k for k in found for j in (0, 1)}
+
+
 def test_near_duplicate_edges(spark, edges, nothing):
     kept = N.drop_near_duplicates(spark, edges)
     assert kept.schema == edges.schema
