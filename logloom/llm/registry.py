@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat_format, license_scan, mixing, near_dedup, paragraph_sketch, quality_classifier, quality_rules, sentencepieces, token_files, toxicity
+from logloom.llm import chat_format, license_scan, mixing, near_dedup, paragraph_sketch, quality_classifier, quality_rules, sentencepieces, source_divergence, token_files, toxicity, warc_archive
 from logloom.llm.shared import TEST_FOLD, fold, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(), "score", predicted)
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc_archive.write_archive(spark, pages)
+    found = warc_archive.read_captures(warc_archive.lookup(spark, archive, pages.select("url").distinct()))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align_documents(spark, docs, *files)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -101,4 +118,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_paragraph_sketch": op9_paragraph_sketch,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_warc_archive": op11_warc_archive,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_token_alignment": op13_token_alignment,
     }
