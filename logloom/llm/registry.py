@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat_format, license_scan, mixing, near_dedup, paragraph_sketch, quality_classifier, quality_rules, sentencepieces, source_divergence, token_files, toxicity, warc_archive
+from logloom.llm import chat_format, license_scan, mixing, near_dedup, paragraph_sketch, quality_classifier, quality_rules, sentencepieces, source_divergence, token_alignment, token_files, toxicity, warc_archive
 from logloom.llm.shared import TEST_FOLD, fold, ship, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
