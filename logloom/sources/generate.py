@@ -16,8 +16,11 @@ from logloom.functions.timeutil import ingest_time
 
 # The synthetic service logs: levels, and a vocabulary of this library's own (any other can be passed).
 LEVELS = ["INFO", "WARN", "ERROR", "DEBUG"]
-SOURCES = ["billing", "catalogue", "gateway", "scheduler"]
-MESSAGES = ["request served", "retry scheduled", "queue drained", "lease lost", "config reloaded", "upstream timed out"]
+SOURCES = ["billing", "catalogue", "gateway", "mailer", "scheduler"]
+MESSAGES = [
+    "request served", "retry scheduled", "queue drained", "lease lost", "config reloaded", "upstream timed out",
+    "index rebuilt", "token refused", "snapshot stored", "worker drained",
+]
 WINDOW_MINUTES = 1440  # timestamps fall in the 24 hours before `now`
 USER_RANGE = (1000, 9999)
 ADDRESS_PREFIX = "192.168."
