@@ -29,12 +29,26 @@ SIMPLE_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # ---------------------------------------------------------------------------------------------
 
 
-def iso_time(text: Column) -> Column:
-    """ISO-8601 text (milliseconds, ``Z`` or a numeric offset) to UTC ``timestamp_ntz``.
+# A date, or a date and time, with nothing behind it: no zone is named.
+ZONELESS = r"^\s*[+-]?[0-9]{4,6}(-[0-9]{1,2}){0,2}([T ][0-9:.]*)?\s*$"
 
-    Text without an offset is read in the session time zone. NULL when unparsable.
-    """
-    return utc_wall_clock(text.try_cast("timestamp"))
+
+def iso_time(text: Column, zone: str | None = "UTC") -> Column:
+    """ISO-8601 text (milliseconds, ``Z``, a numeric offset or a zone name) to UTC ``timestamp_ntz``; NULL
+    when unparsable. Text that names no zone is wall-clock time in ``zone`` (default UTC), whatever the
+    session time zone; ``zone=None`` reads it in the session time zone."""
+    instant = utc_wall_clock(text.try_cast("timestamp"))
+    if zone is None:
+        return instant
+    wall = text.try_cast("timestamp_ntz")
+    if zone != "UTC":
+        wall = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+    return F.when(F.rlike(text, F.lit(ZONELESS)), wall).otherwise(instant)
+
+
+def iso_instant(text: Column, zone: str | None = "UTC") -> Column:
+    """``iso_time`` as a zoned ``timestamp`` (which a watermark needs)."""
+    return F.concat(iso_time(text, zone).cast("string"), F.lit("+00:00")).cast("timestamp")
 
 
 def record_time(text: Column, ingest_ts: Column) -> Column:

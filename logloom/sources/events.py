@@ -35,7 +35,7 @@ from logloom.sources.files import spread_scan
 #                  99999999999; 21: the time written with offset +0530
 #   JSON lines     0: 'garbage line'; 7: the time written with offset +05:30; 11: no time; 13: a
 #                  null time; 17: the time 'yesterday'; 19: line_number as text; 23: line_number
-#                  99999999999; 29: line_number with .5; 37: three spaces; 41: 'null'; 43: an array
+#                  99999999999; 29: line_number with .5; 31: the time without its Z; 37: three spaces; 41: 'null'; 43: an array
 K_PATTERN = '"k": ([0-9]+)'
 GARBAGE_LINE = "garbage line"
 JSON_ARRAY_LINE = '[{"level": "ERROR"}]'
@@ -134,6 +134,7 @@ def event_json_lines(events: DataFrame) -> DataFrame:
     time = (
         F.when(odd == 7, F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss.SSS'+05:30'"))
         .when(odd == 17, F.lit("yesterday"))
+        .when(odd == 31, F.rtrim(F.col("timestamp"), F.lit("Z")))
         .when(~odd.isin(11, 13), F.col("timestamp"))
     )
     json = F.to_json(F.struct(time.alias("timestamp"), *fields))

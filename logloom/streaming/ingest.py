@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from logloom import schemas
-from logloom.functions.normalize import day_of
+from logloom.functions.normalize import day_of, iso_instant
 from logloom.functions.timeutil import ingest_time, utc_wall_clock
 from logloom.operators import parse as parse_ops
 from logloom.sources.files import ACCESS_GLOB, JSON_GLOB, tagged_records
@@ -78,7 +78,7 @@ def stream_records(
     schema = StructType([*text, StructField(schemas.CORRUPT_COLUMN, StringType(), True)])
     now = F.current_timestamp() if ingest_ts is None else F.concat(F.lit(str(ingest_ts)), F.lit("+00:00")).cast("timestamp")
     parsed = parse_ops.read_json_text(values, schema, keep=("value",)).withColumn(
-        "timestamp", F.when(F.col("timestamp").isNull(), now).otherwise(F.col("timestamp").try_cast("timestamp"))
+        "timestamp", F.when(F.col("timestamp").isNull(), now).otherwise(iso_instant(F.col("timestamp")))
     )
     if watermark:
         parsed = parsed.withWatermark("timestamp", watermark)
