@@ -2,11 +2,12 @@
 
     python -m logloom ingest RAW_PREFIX analytics.logs [--quarantine analytics.rejects] [--prefer both|apache]
     python -m logloom ingest RAW_PREFIX analytics.logs --quarantine analytics.rejects --single-pass ROOT
+    python -m logloom files RAW_PREFIX analytics.logs LEDGER_PATH [--archive PATH] [--max-files 1000]
     python -m logloom incremental RAW_PREFIX SINK_PATH CHECKPOINT [--quarantine PATH | --single-pass]
     python -m logloom stream SOURCE_PATH SINK_PATH CHECKPOINT [--format text|kafka] [--option k=v ...] [--trigger "30 seconds"] [--quarantine PATH | --single-pass]
     python -m logloom generate analytics.service_logs [--rows 1000]
     python -m logloom aggregate analytics.logs analytics [--script FILE | --kind app|service [--shared-scan] | --fallback app|service]
-    python -m logloom refresh analytics.logs analytics [--kind app|service] [--days 1]
+    python -m logloom refresh analytics.logs analytics [--kind app|service] [--days 1 | --all-days] [--rollup]
     python -m logloom report analytics.logs
 
 Exit status is 0 on success and 1 on failure. Cluster settings come from spark-submit.
@@ -39,6 +40,17 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--single-pass", metavar="ROOT",
                    help="write both tables in one pass, stored side by side under ROOT (needs --quarantine)")
 
+    a.add_argument("--batch-id", help="repeatable: rows of an earlier run of this batch are replaced")
+
+    a = sub.add_parser("files", help="ingest the files that the ledger does not know, in repeatable batches")
+    a.add_argument("raw_prefix")
+    a.add_argument("table")
+    a.add_argument("ledger")
+    a.add_argument("--quarantine")
+    a.add_argument("--archive", help="move the files of finished batches here")
+    a.add_argument("--max-files", type=int, default=1000)
+    a.add_argument("--allow-dash-size", action="store_true")
+
     a = sub.add_parser("incremental", help="ingest only raw files not seen by an earlier run")
     a.add_argument("raw_prefix")
     a.add_argument("sink_path")
@@ -75,13 +87,15 @@ def _parser() -> argparse.ArgumentParser:
                    help="tables built (if absent) when neither --script nor --kind is given")
     a.add_argument("--format", default="parquet")
     a.add_argument("--shared-scan", action="store_true",
-                   help="with --kind app: build the daily, hourly and per-logger summaries from one rollup")
+                   help="with --kind: build the daily, hourly and per-logger or per-source summaries from the stored rollup")
 
     a = sub.add_parser("refresh", help="recompute the date-grouped summaries of the last days")
     a.add_argument("source_table")
     a.add_argument("database")
     a.add_argument("--kind", choices=["app", "service"], default="service")
     a.add_argument("--days", type=int, default=1)
+    a.add_argument("--all-days", action="store_true", help="with --rollup: build it from the whole table")
+    a.add_argument("--rollup", action="store_true", help="daily, hourly and per-member summaries from the stored rollup")
     a.add_argument("--as-of", help="last day, yyyy-mm-dd (default: today)")
     a.add_argument("--format", default="parquet")
 
@@ -101,8 +115,8 @@ def main(argv: list[str] | None = None) -> int:
         if args.single_pass:
             if not args.quarantine:
                 raise SystemExit("--single-pass needs --quarantine")
-            if args.format != "parquet" or args.drop_rejects:
-                raise SystemExit("--single-pass stores Parquet, rejects included")
+            if args.format != "parquet" or args.drop_rejects or args.batch_id:
+                raise SystemExit("--single-pass stores Parquet, rejects included, without batch ids")
             res = ingest_logs_single_pass(
                 spark, args.raw_prefix, args.table, args.quarantine, args.single_pass, prefer=args.prefer,
                 allow_dash_size=args.allow_dash_size, rebalance=args.rebalance,
@@ -111,8 +125,18 @@ def main(argv: list[str] | None = None) -> int:
             res = ingest_logs(
                 spark, args.raw_prefix, args.table, prefer=args.prefer, allow_dash_size=args.allow_dash_size,
                 quarantine_table=args.quarantine, fmt=args.format, rebalance=args.rebalance, keep_rejects=not args.drop_rejects,
+                batch_id=args.batch_id,
             )
         print(json.dumps({"rows_written": res.rows_written, "rows_quarantined": res.rows_quarantined}))
+    elif args.command == "files":
+        from logloom.plans.batches import ingest_new_files
+
+        done = ingest_new_files(
+            spark, args.raw_prefix, args.table, args.ledger, max_files=args.max_files, rejects=args.quarantine,
+            archive=args.archive, allow_dash_size=args.allow_dash_size,
+        )
+        print(json.dumps({"batches": len(done), "files": sum(d.files for d in done), "rows_written": sum(d.rows for d in done),
+                          "rows_quarantined": sum(d.rejects for d in done)}))
     elif args.command == "incremental":
         from logloom.streaming.ingest import incremental_ingest
 
@@ -151,10 +175,15 @@ def main(argv: list[str] | None = None) -> int:
         }))
     elif args.command == "refresh":
         from logloom.plans.pipelines import refresh_daily_summaries
+        from logloom.plans.rollups import refresh_summaries
 
-        print(json.dumps({"tables": refresh_daily_summaries(
-            spark, args.source_table, args.database, kind=args.kind, days=args.days, as_of=args.as_of, fmt=args.format
-        )}))
+        if args.rollup:
+            days = None if args.all_days else args.days
+            print(json.dumps({"tables": refresh_summaries(spark, args.source_table, args.database, kind=args.kind, days=days, as_of=args.as_of)}))
+        else:
+            print(json.dumps({"tables": refresh_daily_summaries(
+                spark, args.source_table, args.database, kind=args.kind, days=args.days, as_of=args.as_of, fmt=args.format
+            )}))
     elif args.command == "report":
         from logloom.plans.pipelines import table_report
 

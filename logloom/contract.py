@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from logloom import schemas
 from logloom.operators import parse as parse_ops
 from logloom.operators import summaries as Q
-from logloom.plans import pipelines, tables
+from logloom.plans import batches, pipelines, rollups, tables
 from logloom.plans import script as script_ops
 from logloom.session import shared_dir
 from logloom.sources.events import (
@@ -359,32 +359,32 @@ def _service_source(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return db, source
 
 
-# What is compared of each summary table: the group (as one text) and two counts.
+# What is compared of each summary table: the group (as one text), two counts, and the first and latest time.
 SERVICE_CONTENTS = {
-    "top_errors_by_count": (("level", "source", "message"), "error_count", None),
-    "daily_log_summary": (("date_partition", "level"), "log_count", "unique_users"),
-    "hourly_error_trends": (("hour", "level"), "error_count", "unique_sources"),
-    "source_activity_summary": (("source",), "total_logs", "debug_count"),
-    "user_activity_summary": (("user_id",), "total_activity", "unique_sessions"),
-    "ip_address_analysis": (("ip_address",), "total_requests", "unique_users"),
+    "top_errors_by_count": (("level", "source", "message"), "error_count", None, "first_occurrence", "latest_occurrence"),
+    "daily_log_summary": (("date_partition", "level"), "log_count", "unique_users", None, None),
+    "hourly_error_trends": (("hour", "level"), "error_count", "unique_sources", None, None),
+    "source_activity_summary": (("source",), "total_logs", "debug_count", "first_log", "latest_log"),
+    "user_activity_summary": (("user_id",), "total_activity", "unique_sessions", "first_activity", "latest_activity"),
+    "ip_address_analysis": (("ip_address",), "total_requests", "unique_users", "first_request", "latest_request"),
 }
 FALLBACK_CONTENTS = {
-    "error_summary": (("level", "source"), "error_count", None),
-    "daily_summary": (("date_partition", "level"), "log_count", None),
+    "error_summary": (("level", "source"), "error_count", None, None, "latest_occurrence"),
+    "daily_summary": (("date_partition", "level"), "log_count", None, None, None),
 }
 APP_CONTENTS = {
-    "top_errors_by_count": (("level", "logger", "message"), "error_count", None),
-    "daily_log_summary": (("partition_date", "level"), "log_count", "unique_loggers"),
-    "hourly_error_trends": (("hour", "level"), "error_count", "unique_loggers"),
-    "logger_activity_summary": (("logger",), "total_logs", "error_count"),
-    "exception_summary": (("exception_class", "exception_type"), "occurrence_count", None),
+    "top_errors_by_count": (("level", "logger", "message"), "error_count", None, "first_occurrence", "latest_occurrence"),
+    "daily_log_summary": (("partition_date", "level"), "log_count", "unique_loggers", None, None),
+    "hourly_error_trends": (("hour", "level"), "error_count", "unique_loggers", None, None),
+    "logger_activity_summary": (("logger",), "total_logs", "error_count", "first_log", "latest_log"),
+    "exception_summary": (("exception_class", "exception_type"), "occurrence_count", None, None, "latest_occurrence"),
 }
 
 
 def _contents(spark: SparkSession, db: str, spec) -> DataFrame:
-    """The rows of all summary tables of ``db`` as (table_name, item, n, m); the tables are those of
-    ``spec`` and no others."""
-    found = {r["table_name"] for r in tables.table_row_counts(spark, db, exclude=(f"{db}.logs",)).collect()}
+    """The rows of all summary tables of ``db`` as (table_name, item, n, m, first, latest); the tables are those
+    of ``spec`` and no others."""
+    found = {r["table_name"] for r in tables.table_row_counts(spark, db, exclude=(f"{db}.logs", *rollups.WORKING_TABLES)).collect()}
     if found != set(spec):
         raise RuntimeError(f"tables {sorted(found)} instead of {sorted(spec)}")
     parts = [
@@ -393,8 +393,10 @@ def _contents(spark: SparkSession, db: str, spec) -> DataFrame:
             F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]).alias("item"),
             F.col(n).cast("long").alias("n"),
             (F.col(m) if m else F.lit(0)).cast("long").alias("m"),
+            (F.col(first) if first else F.lit(None)).cast("timestamp_ntz").alias("first"),
+            (F.col(latest) if latest else F.lit(None)).cast("timestamp_ntz").alias("latest"),
         )
-        for name, (keys, n, m) in spec.items()
+        for name, (keys, n, m, first, latest) in spec.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -407,6 +409,14 @@ def aggregation_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contents(spark, db, SERVICE_CONTENTS)
 
 
+def service_shared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service summaries with the daily, hourly and per-source tables from one rollup; their contents."""
+    db, source = _service_source(spark, sf_dir)
+    if not pipelines.run_aggregation(spark, source, db, kind="service", shared_scan=True).success:
+        raise RuntimeError("aggregation failed")
+    return _contents(spark, db, SERVICE_CONTENTS)
+
+
 def aggregation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary job with neither script nor kind: error summary and daily counts, created only if
     absent. The job runs twice, and the source doubles in between: the contents are the first run's."""
@@ -521,6 +531,99 @@ def late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select(*[f.name for f in schemas.LOGS_APP.fields if f.name != "ingestion_timestamp"])
 
 
+def repeated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch ingest run twice with one batch id, after a first, different attempt of that batch (the JSON
+    lines alone): the table equals one run."""
+    prefix = write_raw(spark, sf_dir)
+    db = _database(spark)
+    for access in ("none/*.log", ACCESS_SUBDIR_GLOB, ACCESS_SUBDIR_GLOB):
+        pipelines.ingest_logs(
+            spark, prefix, f"{db}.logs", ingest_ts=INGEST_TS, batch_id="batch-7", access_glob=access, json_glob=JSON_SUBDIR_GLOB
+        )
+    return read_table(spark, f"{db}.logs").select(*[f.name for f in schemas.LOGS_APP.fields])
+
+
+def repeated_batch_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejects of a batch that was ingested twice."""
+    prefix = write_raw(spark, sf_dir)
+    db = _database(spark)
+    for _ in range(2):
+        pipelines.ingest_logs(
+            spark, prefix, f"{db}.logs", ingest_ts=INGEST_TS, batch_id="batch-7", access_glob=ACCESS_SUBDIR_GLOB, json_glob=JSON_SUBDIR_GLOB
+        )
+    return read_table(spark, f"{db}.logs_rejects").select(*[f.name for f in schemas.QUARANTINE.fields])
+
+
+def ledger_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files arriving in two steps, ingested by the ledger in batches of two files; a batch is run once
+    more, as after a cut-off run. All rows are there once."""
+    raw, ledger = _scratch(spark, "ledger-raw"), _scratch(spark, "ledger")
+    events = read_events(spark, sf_dir)
+    db = _database(spark)
+    run = {"access_glob": "none/*.log", "json_glob": "json/*/*.txt", "ingest_ts": INGEST_TS, "max_files": 2}
+    for half in (0, 1):
+        event_json_lines(events.where(F.col("event_id") % 2 == half)).repartition(3).write.text(f"{raw}/json/part{half}")
+        done = batches.ingest_new_files(spark, raw, f"{db}.logs", ledger, **run)
+    batches.run_batch(spark, done[-1].batch, f"{db}.logs", ledger, ingest_ts=INGEST_TS)
+    return spark.table(f"{db}.logs").select(*[f.name for f in schemas.LOGS_APP.fields])
+
+
+def latest_rows_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of a stored table, found by its partitions."""
+    _, source = _service_source(spark, sf_dir)
+    columns = tuple(c for c in LOG_COLUMNS if c != "logger")
+    return Q.latest_rows_of_table(spark, source, date_column=schemas.LOGS_SERVICE_PARTITION, columns=columns)
+
+
+def hourly_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application logs (JSON lines, some without a time): summaries built through the rollup from the days
+    before 2024-01-20, the rest appended, the last days refreshed. The stored hourly summary equals a full
+    rebuild."""
+    db = _database(spark)
+    source = f"{db}.logs"
+    app = json_logs(spark, sf_dir)
+    cut = F.col("partition_date") < F.lit("2024-01-20").cast("date")
+    tables.append(app.where(cut), source, partition_by=[schemas.LOGS_APP_PARTITION])
+    rollups.refresh_summaries(spark, source, db, kind="app", days=None)
+    tables.append(app.where(~cut), source, partition_by=[schemas.LOGS_APP_PARTITION])
+    rollups.refresh_summaries(spark, source, db, kind="app", days=12, as_of="2024-01-31")
+    return spark.table(f"{db}.hourly_error_trends").drop("aggregation_timestamp")
+
+
+def _service_rollup(spark: SparkSession, sf_dir: str) -> str:
+    """Service summaries through the rollup, in two steps as ``hourly_refresh``."""
+    db = _database(spark)
+    source = f"{db}.logs"
+    service = _service_logs(spark, sf_dir)
+    cut = F.col("date_partition") < F.lit("2024-01-20").cast("date")
+    tables.append(service.where(cut), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    rollups.refresh_summaries(spark, source, db, days=None)
+    tables.append(service.where(~cut), source, partition_by=[schemas.LOGS_SERVICE_PARTITION])
+    rollups.refresh_summaries(spark, source, db, days=11, as_of="2024-01-30")
+    return db
+
+
+def users_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refreshed daily summary, its distinct users from the days' bitmaps."""
+    return spark.table(f"{_service_rollup(spark, sf_dir)}.daily_log_summary").drop("aggregation_timestamp")
+
+
+def window_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct users per level over a week, merged from the days' bitmaps."""
+    return rollups.window_users(spark, _service_rollup(spark, sf_dir), as_of=AS_OF)
+
+
+def replaced_partitioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date-partitioned table replaced twice by the pointer change, at last from itself."""
+    table = f"{_database(spark)}.service"
+    rows = _service_logs(spark, sf_dir)
+    by = [schemas.LOGS_SERVICE_PARTITION]
+    tables.replace_table(rows.where("level = 'ERROR'"), table, partition_by=by)
+    tables.replace_table(rows, table, partition_by=by)
+    tables.replace_table(spark.table(table).where("level <> 'DEBUG'"), table, partition_by=by)
+    return spark.table(table).select(*schemas.LOGS_SERVICE.names)
+
+
 # Statements of the script check. The third one fails (unknown table); the rest succeed.
 SCRIPT = """
 -- error rows of the derived logs
@@ -570,6 +673,7 @@ def write_queries() -> dict[str, Query]:
         "stream_single_pass_rejects": stream_single_pass_rejects,
         "service_lake_recent": service_lake_recent,
         "aggregation_service": aggregation_service,
+        "service_shared_scan": service_shared_scan,
         "aggregation_fallback": aggregation_fallback,
         "app_summary_tables": app_summary_tables,
         "aggregate_then_refresh": aggregate_then_refresh,
@@ -579,6 +683,14 @@ def write_queries() -> dict[str, Query]:
         "catalog_listing": catalog_listing,
         "table_check": table_check,
         "late_files": late_files,
+        "repeated_batch": repeated_batch,
+        "repeated_batch_rejects": repeated_batch_rejects,
+        "ledger_ingest": ledger_ingest,
+        "latest_rows_stored": latest_rows_stored,
+        "hourly_refresh": hourly_refresh,
+        "users_refresh": users_refresh,
+        "window_users": window_users,
+        "replaced_partitioned_table": replaced_partitioned_table,
         "sql_script": sql_script,
         "daily_refresh": daily_refresh,
         "simple_logs": simple_logs,

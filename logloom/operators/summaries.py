@@ -16,7 +16,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import aggregates as G
@@ -141,17 +141,25 @@ def source_activity_summary(logs: DataFrame, *, levels: Sequence[str] = ("ERROR"
 
 def exception_summary(logs: DataFrame, *, limit: int = 50, level: str = P.ERROR, stamp: Stamp = None) -> DataFrame:
     """Q9: ERROR rows per raw (exception_class, exception_message): count, latest, sorted
-    distinct loggers. Grouping is on the raw columns; the NULL labels are applied after."""
-    out = (
-        logs.where(P.level_is(level))
-        .groupBy("exception_class", "exception_message")
-        .agg(
-            G.row_count("occurrence_count"),
-            G.latest("timestamp", "latest_occurrence"),
-            G.distinct_values("logger", "affected_loggers"),
-        )
-        .orderBy(_desc("occurrence_count"), _asc("exception_class"), _asc("exception_message"))
+    distinct loggers. Grouping is on the raw columns; the NULL labels are applied after.
+
+    The counts of all groups come first; loggers are gathered for the ``limit`` groups that are left only
+    (their keys, at most ``limit`` rows, are broadcast), so no other group holds a set of loggers.
+    """
+    keys = ["exception_class", "exception_message"]
+    errors = logs.where(P.level_is(level))
+    top = (
+        errors.groupBy(*keys)
+        .agg(G.row_count("occurrence_count"), G.latest("timestamp", "latest_occurrence"))
+        .orderBy(_desc("occurrence_count"), *map(_asc, keys))
         .limit(limit)
+    )
+    named = top.withColumn("_group", F.struct(*keys))
+    loggers = errors.select(F.struct(*keys).alias("_of"), "logger").join(F.broadcast(named.select("_group")), F.expr("_of <=> _group"), "left_semi")
+    loggers = loggers.groupBy("_of").agg(G.distinct_values("logger", "affected_loggers"))
+    out = (
+        named.join(loggers, F.expr("_group <=> _of"))
+        .orderBy(_desc("occurrence_count"), *map(_asc, keys))
         .select(
             exception_label(F.col("exception_class")).alias("exception_class"),
             message_label(F.col("exception_message")).alias("exception_type"),
@@ -163,42 +171,42 @@ def exception_summary(logs: DataFrame, *, limit: int = 50, level: str = P.ERROR,
     return _stamped(out, stamp)
 
 
+def _top_with_distinct(logs: DataFrame, key: str, total: str, measures: Sequence[Column], distinct: dict[str, str], limit: int, approximate: bool) -> DataFrame:
+    """The ``limit`` groups of most rows, with measures and distinct counts (alias -> column).
+
+    Counting distinct values of two columns in one aggregation expands every row three-fold and ships all
+    (group, value) pairs. Here the plain measures choose the groups first; only rows of these (their
+    keys, at most ``limit`` rows, are broadcast) give (group, column, value) rows, which collapse to distinct ones
+    inside tasks before they are shuffled by all three: a hot group is spread by its values. Approximate
+    counts have a fixed state per group and go along with the measures.
+    """
+    known = logs.where(P.present(key))
+    order = (_desc(total), _asc(key))
+    if approximate:
+        counts = [G.distinct_count(column, alias, True) for alias, column in distinct.items()]
+        return known.groupBy(key).agg(G.row_count(total), *counts, *measures).orderBy(*order).limit(limit)
+    top = known.groupBy(key).agg(G.row_count(total), *measures).orderBy(*order).limit(limit)
+    rows = known.select(key, *distinct.values()).join(F.broadcast(top.select(key)), key, "left_semi")
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("value")) for i, c in enumerate(distinct.values())])
+    pairs = rows.select(key, F.inline(kinds)).where("value IS NOT NULL").groupBy(key, "kind", "value").agg(F.lit(1).alias("one"))
+    counts = pairs.groupBy(key).agg(*[F.count_if(F.col("kind") == i).alias(alias) for i, alias in enumerate(distinct)])
+    zero = [F.coalesce(alias, F.lit(0)).alias(alias) for alias in distinct]
+    columns = [c for c in top.columns if c not in (key, total)]
+    return top.join(counts, key, "left").select(key, total, *zero, *columns).orderBy(*order)
+
+
 def user_activity_summary(logs: DataFrame, *, limit: int = 1000, approximate: bool = False, stamp: Stamp = None) -> DataFrame:
     """Q10: per known user: rows, distinct sessions and addresses, errors, latest, first."""
-    out = (
-        logs.where(P.present("user_id"))
-        .groupBy("user_id")
-        .agg(
-            G.row_count("total_activity"),
-            G.distinct_count("session_id", "unique_sessions", approximate),
-            G.distinct_count("ip_address", "unique_ip_addresses", approximate),
-            G.level_count("ERROR", "error_count"),
-            G.latest("timestamp", "latest_activity"),
-            G.earliest("timestamp", "first_activity"),
-        )
-        .orderBy(_desc("total_activity"), _asc("user_id"))
-        .limit(limit)
-    )
-    return _stamped(out, stamp)
+    measures = [G.level_count("ERROR", "error_count"), G.latest("timestamp", "latest_activity"), G.earliest("timestamp", "first_activity")]
+    distinct = {"unique_sessions": "session_id", "unique_ip_addresses": "ip_address"}
+    return _stamped(_top_with_distinct(logs, "user_id", "total_activity", measures, distinct, limit, approximate), stamp)
 
 
 def ip_address_analysis(logs: DataFrame, *, limit: int = 500, approximate: bool = False, stamp: Stamp = None) -> DataFrame:
     """Q11: per known address: rows, distinct users and sessions, errors, latest, first."""
-    out = (
-        logs.where(P.present("ip_address"))
-        .groupBy("ip_address")
-        .agg(
-            G.row_count("total_requests"),
-            G.distinct_count("user_id", "unique_users", approximate),
-            G.distinct_count("session_id", "unique_sessions", approximate),
-            G.level_count("ERROR", "error_count"),
-            G.latest("timestamp", "latest_request"),
-            G.earliest("timestamp", "first_request"),
-        )
-        .orderBy(_desc("total_requests"), _asc("ip_address"))
-        .limit(limit)
-    )
-    return _stamped(out, stamp)
+    measures = [G.level_count("ERROR", "error_count"), G.latest("timestamp", "latest_request"), G.earliest("timestamp", "first_request")]
+    distinct = {"unique_users": "user_id", "unique_sessions": "session_id"}
+    return _stamped(_top_with_distinct(logs, "ip_address", "total_requests", measures, distinct, limit, approximate), stamp)
 
 
 def error_summary(logs: DataFrame, *, levels: Sequence[str] = P.ERROR_WARN, stamp: Stamp = None) -> DataFrame:
@@ -239,6 +247,28 @@ def latest_rows(logs: DataFrame, *, n: int = 10, columns: Sequence[str] | None =
     return logs.select(*cols).orderBy(_desc("timestamp"), *[_asc(c) for c in rest]).limit(n)
 
 
+def latest_rows_of_table(spark: SparkSession, table: str, *, date_column: str, n: int = 10, columns: Sequence[str] | None = None) -> DataFrame:
+    """Q16 on a table partitioned by the day of ``timestamp`` (rows without a time stand in the day of
+    their ingestion): the same rows as ``latest_rows``, from the newest partitions only.
+
+    The partitions are walked newest first by their names (catalog metadata, no data): a row of a later
+    day is newer than any of an earlier one, so the walk stops when the days so far hold ``n`` rows with a
+    time; each step looks at one column of one more day, and at ``n`` rows of it at most. Rows without a time come last:
+    they matter, and all partitions are read, only where the whole table has fewer than ``n`` others.
+    """
+    logs = spark.table(table)
+    names = spark.sql(f"SHOW PARTITIONS {table}").collect()
+    prefix = date_column + "="
+    days = sorted({part.removeprefix(prefix) for r in names for part in r["partition"].split("/") if part.startswith(prefix)}, reverse=True)
+    found = 0
+    for day in days:
+        timed = logs.where((F.col(date_column) == F.lit(day).cast("date")) & F.col("timestamp").isNotNull())
+        found += timed.select("timestamp").limit(n - found).count()
+        if found >= n:
+            return latest_rows(logs.where(F.col(date_column) >= F.lit(day).cast("date")), n=n, columns=columns)
+    return latest_rows(logs, n=n, columns=columns)
+
+
 def sample_rows(logs: DataFrame, *, n: int = 10, columns: Sequence[str] | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
     """Q17: n rows. Without ``order_by`` any n rows (cheapest: stops after the first tasks);
     with it, the first n in that order, which makes the sample repeatable."""
@@ -302,39 +332,44 @@ def _rows_sum(alias: str) -> Column:
     return F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias(alias)
 
 
+def hourly_rollup(logs: DataFrame, day: str, member: str) -> DataFrame:
+    """Rows per (day, hour, level, member): ``rows``, ``first``, ``latest``. ``member`` is the logger or
+    source column; rows without a time have a NULL hour in their day."""
+    return logs.groupBy(day, F.date_trunc("hour", F.col("timestamp")).alias("hour_start"), "level", member).agg(
+        G.row_count("rows"), G.earliest("timestamp", "first"), G.latest("timestamp", "latest")
+    )
+
+
 def hourly_logger_rollup(logs: DataFrame) -> DataFrame:
-    """Rows of ``LOGS_APP`` per (partition_date, hour, level, logger): ``rows``, ``first``,
-    ``latest``."""
-    return logs.groupBy(
-        "partition_date", F.date_trunc("hour", F.col("timestamp")).alias("hour_start"), "level", "logger"
-    ).agg(G.row_count("rows"), G.earliest("timestamp", "first"), G.latest("timestamp", "latest"))
+    """``hourly_rollup`` of ``LOGS_APP`` by logger."""
+    return hourly_rollup(logs, "partition_date", "logger")
 
 
-def daily_summary_loggers_from_rollup(rollup: DataFrame, *, stamp: Stamp = None) -> DataFrame:
-    """Q3 from ``hourly_logger_rollup``."""
+def daily_members_from_rollup(rollup: DataFrame, day: str, member: str, alias: str, *, stamp: Stamp = None) -> DataFrame:
+    """Rows and distinct members per (day, level), as Q3 and Q4 have them."""
     out = (
-        rollup.groupBy("partition_date", "level")
-        .agg(_rows_sum("log_count"), F.count_distinct(F.col("logger")).alias("unique_loggers"))
-        .orderBy(_desc("partition_date"), _asc("level"))
+        rollup.groupBy(day, "level")
+        .agg(_rows_sum("log_count"), F.count_distinct(F.col(member)).alias(alias))
+        .orderBy(_desc(day), _asc("level"))
     )
     return _stamped(out, stamp)
 
 
-def hourly_error_trends_loggers_from_rollup(rollup: DataFrame, *, levels: Sequence[str] = P.ERROR_WARN_FATAL, stamp: Stamp = None) -> DataFrame:
-    """Q5 from ``hourly_logger_rollup``."""
+def hourly_members_from_rollup(rollup: DataFrame, member: str, alias: str, *, levels: Sequence[str] = P.ERROR_WARN_FATAL, stamp: Stamp = None) -> DataFrame:
+    """Error-ish rows and distinct members per hour and level, as Q5 and Q6 have them."""
     out = (
         rollup.where(P.level_in(levels))
         .groupBy(F.col("hour_start").alias("_hour"), "level")
-        .agg(_rows_sum("error_count"), F.count_distinct(F.col("logger")).alias("unique_loggers"))
+        .agg(_rows_sum("error_count"), F.count_distinct(F.col(member)).alias(alias))
         .orderBy(_desc("_hour"), _asc("level"))
-        .select(hour_bucket(F.col("_hour")).alias("hour"), "level", "error_count", "unique_loggers")
+        .select(hour_bucket(F.col("_hour")).alias("hour"), "level", "error_count", alias)
     )
     return _stamped(out, stamp)
 
 
-def logger_activity_summary_from_rollup(rollup: DataFrame, *, levels: Sequence[str] = ("ERROR", "WARN", "INFO"), stamp: Stamp = None) -> DataFrame:
-    """Q7 from ``hourly_logger_rollup``: a level's count is the sum of its rollup rows (0 when
-    there are none, as ``count_if`` gives)."""
+def activity_from_rollup(rollup: DataFrame, member: str, levels: Sequence[str], *, stamp: Stamp = None) -> DataFrame:
+    """Per member, rows in total and per level, latest and first, as Q7 and Q8 have them: a level's count is
+    the sum of its rollup rows (0 when there are none, as ``count_if`` gives)."""
     counts = [
         F.coalesce(F.sum(F.when(F.col("level") == F.lit(level), F.col("rows"))), F.lit(0).cast("bigint")).alias(
             f"{level.lower()}_count"
@@ -342,13 +377,28 @@ def logger_activity_summary_from_rollup(rollup: DataFrame, *, levels: Sequence[s
         for level in levels
     ]
     out = (
-        rollup.groupBy("logger")
+        rollup.groupBy(member)
         .agg(_rows_sum("total_logs"), *counts, F.max("latest").alias("latest_log"), F.min("first").alias("first_log"))
-        .orderBy(_desc("total_logs"), _asc("logger"))
+        .orderBy(_desc("total_logs"), _asc(member))
     )
     return _stamped(out, stamp)
 
 
+def daily_summary_loggers_from_rollup(rollup: DataFrame, *, stamp: Stamp = None) -> DataFrame:
+    """Q3 from ``hourly_logger_rollup``."""
+    return daily_members_from_rollup(rollup, "partition_date", "logger", "unique_loggers", stamp=stamp)
+
+
+def hourly_error_trends_loggers_from_rollup(rollup: DataFrame, *, levels: Sequence[str] = P.ERROR_WARN_FATAL, stamp: Stamp = None) -> DataFrame:
+    """Q5 from ``hourly_logger_rollup``."""
+    return hourly_members_from_rollup(rollup, "logger", "unique_loggers", levels=levels, stamp=stamp)
+
+
+def logger_activity_summary_from_rollup(rollup: DataFrame, *, levels: Sequence[str] = ("ERROR", "WARN", "INFO"), stamp: Stamp = None) -> DataFrame:
+    """Q7 from ``hourly_logger_rollup``."""
+    return activity_from_rollup(rollup, "logger", levels, stamp=stamp)
+
+
 # Application summaries built from the rollup (same table names as in APP_SUMMARIES).
 APP_ROLLUP_SUMMARIES = {
     "daily_log_summary": daily_summary_loggers_from_rollup,

@@ -139,6 +139,7 @@ MIXED_CTES = JSON_CTES + "," + ACCESS_CTES.removeprefix(EVENTS_CTE + ",")
 ACCESS_CTES_DASH = _access_ctes(ACCESS_LINE_PATTERN_DASH_SIZE)
 
 _LOG_COLS = '"timestamp", level, message, logger, source, user_id, session_id, ip_address'
+_SERVICE_ROW_COLS = _LOG_COLS.replace("logger, ", "")
 _LOG_ORDER_REST = ", ".join(f"{c} ASC NULLS FIRST" for c in _LOG_COLS.split(", ")[1:])
 
 
@@ -161,12 +162,13 @@ FROM a1 WHERE t IS NOT NULL AND st IS NOT NULL AND sz IS NOT NULL"""
 
 
 def _contents(spec: dict, queries: dict[str, str], direct: dict[str, str]) -> str:
-    """(table_name, item, n, m) of the direct queries that the summary tables store."""
+    """(table_name, item, n, m, first, latest) of the direct queries that the summary tables store."""
     parts = []
-    for table, (keys, n, m) in spec.items():
+    for table, (keys, n, m, first, latest) in spec.items():
         item = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
         body = direct[queries[table]].split(f"WITH {LOGS_CTE}\n", 1)[1]
-        parts.append(f"SELECT '{table}' AS table_name, {item} AS item, CAST({n} AS BIGINT) AS n, CAST({m or 0} AS BIGINT) AS m FROM ({body}) q")
+        times = ", ".join(f'CAST({t or "NULL"} AS TIMESTAMP) AS "{alias}"' for t, alias in ((first, "first"), (latest, "latest")))
+        parts.append(f"SELECT '{table}' AS table_name, {item} AS item, CAST({n} AS BIGINT) AS n, CAST({m or 0} AS BIGINT) AS m, {times} FROM ({body}) q")
     return f"WITH {LOGS_CTE}\n" + "\nUNION ALL ".join(parts)
 
 
@@ -312,6 +314,19 @@ FROM logs WHERE level = 'ERROR' GROUP BY source""",
 FROM (SELECT unnest([{columns}]) AS c)""",
         "table_check": L + """SELECT level, count(*) AS "count", (SELECT count(*) FROM logs) AS total_records FROM logs GROUP BY level""",
         "late_files": J + f"SELECT {no_ingest} FROM json_logs",
+        "repeated_batch": M + mixed,
+        "repeated_batch_rejects": M + "SELECT * FROM access_bad UNION ALL SELECT * FROM json_bad",
+        "ledger_ingest": J + f"SELECT {_APP_COLS} FROM json_logs",
+        "latest_rows_stored": L + f"""SELECT {_SERVICE_ROW_COLS} FROM logs
+ORDER BY "timestamp" DESC NULLS LAST, {", ".join(f"{c} ASC NULLS FIRST" for c in _SERVICE_ROW_COLS.split(", ")[1:])} LIMIT 10""",
+        "hourly_refresh": J + """SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H:00:00') AS hour, level,
+  count(*) AS error_count, count(DISTINCT logger) AS unique_loggers
+FROM json_logs WHERE level IN ('ERROR', 'WARN', 'FATAL') GROUP BY ALL""",
+        "users_refresh": L + daily_refresh,
+        "window_users": L + f"""SELECT level, count(DISTINCT user_id) AS unique_users
+FROM logs WHERE date_partition >= DATE '{AS_OF}' - 7 AND user_id IS NOT NULL GROUP BY level""",
+        "replaced_partitioned_table": L + f"""SELECT "timestamp", level, message, source, user_id, session_id, ip_address,
+  TIMESTAMP '{INGEST_TS}' AS ingested_at, '{BATCH_ID}' AS batch_id, date_partition FROM logs WHERE level <> 'DEBUG'""",
         "simple_logs": L + simple + " FROM logs",
         "daily_refresh": L + daily_refresh,
         "sql_script": L + """SELECT 1 AS statement_index, CAST(0 AS BIGINT) AS row_count, true AS success
@@ -328,6 +343,7 @@ def oracle_sql() -> dict[str, str]:
     common = {"top_errors_by_count": "top_errors_by_source", "daily_log_summary": "daily_summary_sources_users", "hourly_error_trends": "hourly_error_trends_sources"}
     own = {name: name for name in ("source_activity_summary", "user_activity_summary", "ip_address_analysis", "logger_activity_summary", "error_summary")}
     sql["aggregation_service"] = _contents(contract.SERVICE_CONTENTS, common | own, sql)
+    sql["service_shared_scan"] = sql["aggregation_service"]
     sql["aggregation_fallback"] = _contents(contract.FALLBACK_CONTENTS, own | {"daily_summary": "daily_level_counts"}, sql)
     app = {"top_errors_by_count": "top_errors_by_logger", "daily_log_summary": "daily_summary_loggers", "hourly_error_trends": "hourly_error_trends_loggers", "exception_summary": "exception_summary"}
     sql["app_summary_tables"] = _contents(contract.APP_CONTENTS, app | own, sql)

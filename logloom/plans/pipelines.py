@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from logloom import schemas
 from logloom.operators import parse as parse_ops
 from logloom.operators import summaries as Q
+from logloom.plans import rollups
 from logloom.plans import script as S
 from logloom.plans import tables as T
-from logloom.session import checkpoint_base
 from logloom.sources.files import ACCESS_GLOB, JSON_GLOB, read_logs, read_records
 from logloom.sources.generate import generate_service_logs
 
@@ -47,12 +47,17 @@ def ingest_logs(
     quarantine_table: str | None = None,
     keep_rejects: bool = True,
     rebalance: bool = False,
+    batch_id: str | None = None,
     access_glob: str = ACCESS_GLOB,
     json_glob: str = JSON_GLOB,
 ) -> IngestResult:
     """Parse the access and JSON logs under ``raw_prefix`` and append them to ``table``
     (``LOGS_APP``, partitioned by ``partition_date``), creating database and table if needed.
 
+    With ``batch_id`` the run can be repeated: both tables are also partitioned by ``ingest_batch``, and rows
+    and rejects of an earlier, whole or half-finished run of the same batch are replaced
+    (``tables.append_batch``). Without it every run appends.
+
     One job reads, parses and writes the good rows, and counts all lines and the quarantined
     ones on the way (``observe``: no extra count pass). The set-aside lines are
     appended to ``quarantine_table`` (default: ``<table>_rejects``; ``keep_rejects=False`` only counts
@@ -63,18 +68,26 @@ def ingest_logs(
     """
     if "." in table:
         T.create_database(spark, table.rsplit(".", 1)[0])
-    T.create_table(spark, table, schemas.LOGS_APP, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt)
+    if batch_id is None:
+        T.create_table(spark, table, schemas.LOGS_APP, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt)
     seen = Observation("ingest")
     good, bad = read_logs(
         spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts, observation=seen,
         access_glob=access_glob, json_glob=json_glob,
     )
-    T.append(good, table, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt, sort_within=LAYOUT_SORT, rebalance=rebalance)
+    rejects = quarantine_table or table + REJECTS_SUFFIX
+    if batch_id is not None:
+        T.append_batch(good, table, batch_id, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt, sort_within=LAYOUT_SORT)
+    else:
+        T.append(good, table, partition_by=[schemas.LOGS_APP_PARTITION], fmt=fmt, sort_within=LAYOUT_SORT, rebalance=rebalance)
     counts = seen.get
     quarantined = int(counts["quarantined"])
     result = IngestResult(int(counts["lines"]) - quarantined, quarantined)
-    if keep_rejects and quarantined:
-        T.append(bad, quarantine_table or table + REJECTS_SUFFIX, fmt=fmt)
+    if keep_rejects and batch_id is not None:
+        # Also without rejects: those of an earlier attempt go.
+        T.append_batch(bad, rejects, batch_id, fmt=fmt)
+    elif keep_rejects and quarantined:
+        T.append(bad, rejects, fmt=fmt)
     return result
 
 
@@ -114,9 +127,9 @@ def ingest_logs_single_pass(
     the columns of both shapes and an ``outcome`` column, written to ``root`` partitioned by
     ``outcome`` and ``partition_date``. Each table reads only its own columns from its files.
     The one job commits both outputs together (a failed job commits neither, so no input is
-    read twice and nothing is half-written); the new date folders are then registered in both
-    tables (``recover_partitions``), and a run stopped before that has its folders registered
-    by the next run. Parquet only.
+    read twice and nothing is half-written); the date folders it wrote, gathered on the way, are then
+    registered in both tables without listing them. A mark file stands under ``root`` meanwhile: a run that
+    finds the mark of another, stopped before it could register, lists all folders once. Parquet only.
     """
     for name, schema, folder in (
         (table, schemas.LOGS_APP, OUTCOME_LOGS),
@@ -130,6 +143,8 @@ def ingest_logs_single_pass(
                 raise ValueError(f"{name} is not stored at {location}")
         else:
             T.create_table(spark, name, schema, partition_by=[schemas.LOGS_APP_PARTITION], location=location)
+    stopped = T.pending_marks(spark, root)
+    mark = T.mark_pending(spark, root)
     seen = Observation("ingest")
     records, ingest = read_records(
         spark, raw_prefix, prefer=prefer, allow_dash_size=allow_dash_size, ingest_ts=ingest_ts,
@@ -139,10 +154,20 @@ def ingest_logs_single_pass(
     parts = (OUTCOME, schemas.LOGS_APP_PARTITION)
     if rebalance:
         rows = rows.hint("rebalance", *parts)
+    # The days of both sides, gathered while they are written: only these are registered.
+    written = Observation("days")
+    day = F.col(schemas.LOGS_APP_PARTITION).cast("string")
+    rows = rows.observe(written, *[F.collect_set(F.when(F.col(OUTCOME) == side, day)).alias(side) for side in (OUTCOME_LOGS, OUTCOME_REJECTS)])
     rows = rows.sortWithinPartitions(*parts, *LAYOUT_SORT)
     rows.write.mode("append").option("compression", "snappy").partitionBy(*parts).parquet(root)
-    for name in (table, quarantine_table):
-        T.recover_partitions(spark, name)
+    days = written.get
+    for name, side in ((table, OUTCOME_LOGS), (quarantine_table, OUTCOME_REJECTS)):
+        if stopped:
+            T.recover_partitions(spark, name)
+        else:
+            T.add_partitions(spark, name, schemas.LOGS_APP_PARTITION, days[side])
+    for done in (*stopped, mark):
+        T.clear_mark(spark, done)
     counts = seen.get
     quarantined = int(counts["quarantined"])
     return IngestResult(int(counts["lines"]) - quarantined, quarantined)
@@ -205,6 +230,8 @@ DAILY_SUMMARIES = {
 }
 
 
+SUMMARIES = {"app": Q.APP_SUMMARIES, "service": Q.SERVICE_SUMMARIES}
+
 # Tables built (only if absent) when neither a script nor a summary kind is given.
 FALLBACK_SUMMARIES = {
     "service": {"error_summary": Q.error_summary, "daily_summary": Q.daily_level_counts},
@@ -233,9 +260,9 @@ def run_aggregation(
     with full refresh, or, with neither, create the two ``fallback`` tables only if absent
     (``"service"``: error summary and daily counts; ``"app"``: top errors and daily summary). Ends with the row count of every table but the source.
 
-    ``shared_scan=True`` (``kind="app"``): the daily, hourly and per-logger summaries are built
-    from one hourly rollup of the log table (``Q.hourly_logger_rollup``, checkpointed in the
-    shared checkpoint folder) instead of a scan each; the results are the same.
+    ``shared_scan=True``: the daily, hourly and per-logger (per-source) summaries are built from the stored
+    rollup (``plans.rollups``), which reads the log table once for all of them; the results are the same, and
+    ``rollups.refresh_summaries`` can go on from there day by day.
     """
     T.recover_table(spark, source_table)
     ok, rows = verify_source(spark, source_table)
@@ -248,23 +275,20 @@ def run_aggregation(
     if script is not None:
         result.statements = S.run_statements(spark, script)
         result.success = S.script_passed(result.statements, min_success_rate=min_success_rate, empty_ok=empty_script_ok)
-    elif kind == "app" and shared_scan:
+    elif kind is not None and shared_scan:
         logs = spark.table(source_table)
-        checkpoint_base(spark)
-        rollup = Q.hourly_logger_rollup(logs).checkpoint()  # one scan; lineage cut in the shared folder
-        direct = {k: v for k, v in Q.APP_SUMMARIES.items() if k not in Q.APP_ROLLUP_SUMMARIES}
-        result.tables_written = T.build_tables(spark, logs, database, direct, fmt=fmt) + T.build_tables(
-            spark, rollup, database, Q.APP_ROLLUP_SUMMARIES, fmt=fmt
-        )
+        rollups.refresh_rollup(spark, source_table, database, kind=kind)
+        shared = rollups.rollup_summaries(spark, database, kind)
+        direct = {k: v for k, v in SUMMARIES[kind].items() if k not in shared}
+        result.tables_written = T.build_tables(spark, logs, database, direct | shared, fmt=fmt)
     elif kind is not None:
-        summaries = {"app": Q.APP_SUMMARIES, "service": Q.SERVICE_SUMMARIES}[kind]
-        result.tables_written = T.build_tables(spark, spark.table(source_table), database, summaries, fmt=fmt)
+        result.tables_written = T.build_tables(spark, spark.table(source_table), database, SUMMARIES[kind], fmt=fmt)
     else:
         result.tables_written = T.build_tables(
             spark, spark.table(source_table), database, FALLBACK_SUMMARIES[fallback], if_exists="skip", fmt=fmt
         )
     source = source_table if "." in source_table else f"{T.current_database(spark)}.{source_table}"
-    counts = T.table_row_counts(spark, database, exclude=(source,)).collect()  # one row per table
+    counts = T.table_row_counts(spark, database, exclude=(source, *rollups.WORKING_TABLES)).collect()  # one row per table
     result.table_counts = [(r["table_name"], int(r["row_count"])) for r in counts]
     return result
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -126,19 +128,88 @@ def recover_table(spark: SparkSession, table: str) -> bool:
     return bool(aside)
 
 
-def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
+# Folders of a replaced table, beside its first folder: <table>__v_<run>. Versions stay readable for
+# so long after the last write into them, so that queries planned on them can end.
+VERSION_MARK = "__v_"
+KEEP_SECONDS = 3600
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path, fs = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def _shape(spark: SparkSession, table: str) -> tuple[list[tuple[str, str]], list[str], bool]:
+    """Columns with types, partition columns, and whether the catalog tracks single partitions."""
+    columns = spark.catalog.listColumns(table)
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {_quote(table)}").where("col_name = 'Partition Provider'").collect()
+    return [(c.name, c.dataType) for c in columns], [c.name for c in columns if c.isPartition], bool(rows)
+
+
+def _untracked(spark: SparkSession, write: Callable[[], None]) -> None:
+    """Runs ``write`` so that a partitioned table it creates finds its partitions by listing its folder,
+    not by catalog entries with a location each: one pointer then names all of it."""
+    key = "spark.sql.hive.manageFilesourcePartitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        write()
+    finally:
+        spark.conf.set(key, before)
+
+
+def _save_new(df: DataFrame, table: str, fmt: str, partition_by: Sequence[str]) -> None:
+    writer = df.write.format(fmt)
+    if partition_by:
+        _untracked(df.sparkSession, lambda: writer.partitionBy(*partition_by).saveAsTable(table))
+    else:
+        writer.saveAsTable(table)
+
+
+def versions(spark: SparkSession, table: str) -> list[str]:
+    """Folders that hold or held the table: the current one first, then the others, newest first."""
+    current = table_location(spark, table)
+    parent, fs = _file_system(spark, current.rstrip("/").rsplit("/", 1)[0])
+    name = table.rpartition(".")[2].lower()
+    found = [s for s in fs.listStatus(parent) if s.isDirectory() and (s.getPath().getName() == name or s.getPath().getName().startswith(name + VERSION_MARK))]
+    here = spark._jvm.org.apache.hadoop.fs.Path(current).toUri().getPath()
+    others = sorted(((s.getModificationTime(), s.getPath().toString()) for s in found if s.getPath().toUri().getPath() != here), reverse=True)
+    return [current, *[path for _, path in others]]
+
+
+def drop_old_versions(spark: SparkSession, table: str, *, keep_seconds: float = KEEP_SECONDS, keep: Sequence[str] = ()) -> None:
+    """Delete the folders that ``table`` no longer uses and nobody wrote into for ``keep_seconds``: earlier
+    versions, and what a killed writer left. ``keep``: folders to leave as well."""
+    stay = {spark._jvm.org.apache.hadoop.fs.Path(k).toUri().getPath() for k in keep}
+    before = (time.time() - keep_seconds) * 1000
+    for folder in versions(spark, table)[1:]:
+        path, fs = _file_system(spark, folder)
+        if path.toUri().getPath() not in stay and fs.getFileStatus(path).getModificationTime() <= before:
+            fs.delete(path, True)
+
+
+def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_by: Sequence[str] = (), keep_seconds: float = KEEP_SECONDS) -> None:
     """Create or replace a table from a DataFrame (full refresh).
 
     Iceberg-style catalogs replace atomically (``createOrReplace``). A Parquet table is not
-    overwritten in place (Spark would delete the old files before the job runs, so a failed
-    job would leave the table empty): the rows are written to a staged table of this run's own
-    name, and only when that job has succeeded is the old table renamed aside, the staged one
-    renamed to its name, and the old one dropped. At every moment one full copy of the table exists:
-    a failure while writing leaves the old table as it was, and one between the renames leaves it
-    aside, from where the next replacement (or ``recover_table``) takes it back. ``df`` may read
-    ``table`` itself, and two runs at once do not share a staged table. A rename moves the
-    managed table's folder, which an object store does by copying: cheap for summary tables; for a
-    large table use a format with an atomic replace (``fmt="iceberg"``).
+    overwritten in place (Spark would delete the old files before the job runs). The rows are written to
+    a new version folder beside the table's, and when that job has succeeded one catalog change
+    (``ALTER TABLE ... SET LOCATION``) points the table to it. Nothing is moved or copied, the table exists at
+    every moment, and its readers see the old rows or the new ones. A failed write deletes its folder and leaves
+    the table as it was. Queries planned before keep reading the version they were planned on: it stays
+    until a replacement finds that it was superseded earlier than the last one and is older than
+    ``keep_seconds`` (``drop_old_versions``; that also takes what a killed writer left). ``df`` may read
+    ``table`` itself; of two replacements at once the later one stays.
+
+    Partitioned tables made here list their folder (the catalog holds no entry per partition), so they are
+    replaced the same way. A table whose columns or partitioning change, or whose partitions are tracked one
+    by one, is swapped by renames instead: the rows go to a staged table, the old one is renamed aside, the
+    staged one gets its name, the old one is dropped (``recover_table`` undoes a cut-off swap).
     """
     if fmt != "parquet":
         writer2 = df.writeTo(table).using(fmt)
@@ -148,18 +219,33 @@ def replace_table(df: DataFrame, table: str, *, fmt: str = "parquet", partition_
         return
     spark = df.sparkSession
     recover_table(spark, table)
-    if partition_by:
-        # A rename leaves the partitions' folders registered under the old name in some catalogs, so an
-        # existing partitioned table is not swapped.
-        if table_exists(spark, table):
-            raise ValueError("an existing partitioned Parquet table cannot be swapped; use overwrite_partitions")
-        df.write.format(fmt).partitionBy(*partition_by).saveAsTable(table)
+    if not table_exists(spark, table):
+        _save_new(df, table, fmt, partition_by)
         return
+    columns, parts, tracked = _shape(spark, table)
+    ordered = [f for f in df.schema.fields if f.name not in partition_by] + [df.schema[p] for p in partition_by]
+    same = columns == [(f.name, f.dataType.simpleString()) for f in ordered] and parts == list(partition_by)
     run = _run_name()
+    if same and not tracked:
+        before = table_location(spark, table)
+        folder = f"{before.rstrip('/').rsplit('/', 1)[0]}/{table.rpartition('.')[2].lower()}{VERSION_MARK}{run}"
+        try:
+            df.write.format(fmt).partitionBy(*partition_by).save(folder)
+        except BaseException:
+            _delete(spark, folder)
+            raise
+        spark.sql(f"ALTER TABLE {_quote(table)} SET LOCATION '{folder}'")
+        drop_old_versions(spark, table, keep_seconds=keep_seconds, keep=[before])
+        return
     staged, aside = table + STAGED_MARK + run, table + OLD_MARK + run
-    df.write.format(fmt).saveAsTable(staged)
-    if table_exists(spark, table):
-        spark.sql(f"ALTER TABLE {_quote(table)} RENAME TO {_quote(aside)}")
+    try:
+        _save_new(df, staged, fmt, partition_by)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {_quote(staged)}")
+        database = spark.sql(f"DESCRIBE DATABASE {_quote(table.rpartition('.')[0] or current_database(spark))}").where("info_name = 'Location'").first()
+        _delete(spark, f"{database['info_value'].rstrip('/')}/{staged.rpartition('.')[2].lower()}")
+        raise
+    spark.sql(f"ALTER TABLE {_quote(table)} RENAME TO {_quote(aside)}")
     spark.sql(f"ALTER TABLE {_quote(staged)} RENAME TO {_quote(table)}")
     for name in _siblings(spark, table, OLD_MARK):  # this run's, and any that a cut-off run left
         spark.sql(f"DROP TABLE IF EXISTS {_quote(name)}")
@@ -191,6 +277,68 @@ def overwrite_partitions(df: DataFrame, table: str, *, partition_by: Sequence[st
             spark.conf.set(key, previous)
 
 
+BATCH = "ingest_batch"
+
+
+def append_batch(df: DataFrame, table: str, batch_id: str, *, partition_by: Sequence[str] = (), fmt: str = "parquet", sort_within: Sequence[str] = ()) -> None:
+    """Append the rows of one batch, once: the table is also partitioned by ``ingest_batch``, and a batch that
+    was appended before, whole or half, is replaced by what is given now.
+
+    The write is a dynamic partition overwrite of the batch's own partitions, so no other batch is read or
+    touched; partitions that an earlier attempt of the batch wrote and this one has no rows for are dropped
+    after it. Formats with row-level commits replace the batch's partitions by ``overwritePartitions``.
+    """
+    spark = df.sparkSession
+    parts = [*partition_by, BATCH]
+    df = df.withColumn(BATCH, F.lit(batch_id))
+    if sort_within:
+        df = df.sortWithinPartitions(*partition_by, *sort_within)
+    if fmt != "parquet":
+        if table_exists(spark, table):
+            df.writeTo(table).overwritePartitions()
+        else:
+            df.writeTo(table).using(fmt).partitionedBy(*[F.col(p) for p in parts]).create()
+        return
+    seen = Observation("batch")
+    key = F.concat_ws("/", *[F.concat(F.lit(f"{p}="), F.col(p).cast("string")) for p in parts])
+    overwrite_partitions(df.observe(seen, F.collect_set(key).alias("written")), table, partition_by=parts, fmt=fmt)
+    written = set(seen.get["written"])
+    for row in spark.sql(f"SHOW PARTITIONS {_quote(table)} PARTITION ({BATCH} = '{batch_id}')").collect():
+        if row["partition"] not in written:
+            spec = ", ".join("{} = '{}'".format(*x.split("=", 1)) for x in row["partition"].split("/"))
+            spark.sql(f"ALTER TABLE {_quote(table)} DROP IF EXISTS PARTITION ({spec})")
+
+
+def add_partitions(spark: SparkSession, table: str, column: str, values: Iterable[str]) -> None:
+    """Register the partitions ``column=value`` of ``values``, whose folders stand under the table's: no listing."""
+    specs = " ".join(f"PARTITION (`{column}` = '{v}')" for v in sorted(values))
+    if specs:
+        spark.sql(f"ALTER TABLE {_quote(table)} ADD IF NOT EXISTS {specs}")
+
+
+PENDING_MARK = "_unregistered_"
+
+
+def mark_pending(spark: SparkSession, root: str) -> str:
+    """Leaves a mark (a file that scans skip) under ``root``: files are being written whose partitions are
+    not registered yet. Returns its path, for ``clear_mark``."""
+    name = f"{root.rstrip('/')}/{PENDING_MARK}{_run_name()}"
+    path, fs = _file_system(spark, name)
+    fs.create(path, True).close()
+    return name
+
+
+def pending_marks(spark: SparkSession, root: str) -> list[str]:
+    path, fs = _file_system(spark, root)
+    if not fs.exists(path):
+        return []
+    return [s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith(PENDING_MARK)]
+
+
+def clear_mark(spark: SparkSession, mark: str) -> None:
+    _delete(spark, mark)
+
+
 def table_exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 
@@ -223,23 +371,24 @@ def build_tables(
     if_exists: str = "replace",
     fmt: str = "parquet",
     stamp: str | None = "now",
+    at_once: int = 4,
 ) -> list[str]:
     """Write one summary table per entry of ``summaries`` (name -> query function).
 
     ``if_exists="replace"`` refreshes every table; ``"skip"`` leaves existing tables untouched
     (create-if-absent). Returns the names written. Each table is one job that reads only the
-    columns its query needs.
+    columns its query needs; up to ``at_once`` jobs are submitted at a time, so that the tail of one
+    leaves no executor idle.
     """
     if if_exists not in ("replace", "skip"):
         raise ValueError("if_exists must be 'replace' or 'skip'")
-    written = []
-    for name, query in summaries.items():
-        full = f"{database}.{name}"
-        if if_exists == "skip" and table_exists(spark, full):
-            continue
-        replace_table(query(logs, stamp=stamp), full, fmt=fmt)
-        written.append(full)
-    return written
+    todo = {f"{database}.{name}": query for name, query in summaries.items()}
+    if if_exists == "skip":
+        todo = {full: query for full, query in todo.items() if not table_exists(spark, full)}
+    build = inheritable_thread_target(spark)(lambda full: replace_table(todo[full](logs, stamp=stamp), full, fmt=fmt))
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(build, todo))
+    return list(todo)
 
 
 def overwrite_path(df: DataFrame, path: str, *, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:

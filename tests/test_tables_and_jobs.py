@@ -326,8 +326,9 @@ def test_single_pass_ingest_repairs_unregistered_partitions(spark, tmp_path):
 
 
 def test_replace_cut_off_between_the_renames_recovers(spark, monkeypatch):
-    """With the old table renamed aside and the staged one not yet in place, a full copy exists, and
-    the next replacement (or recover_table) brings the old table back before it starts."""
+    """A replacement that changes the columns goes by renames. With the old table renamed aside and the staged
+    one not yet in place, a full copy exists, and the next replacement (or recover_table) brings the old
+    table back before it starts."""
     db = _db()
     T.create_database(spark, db)
     table = f"{db}.numbers"
@@ -343,7 +344,7 @@ def test_replace_cut_off_between_the_renames_recovers(spark, monkeypatch):
 
     monkeypatch.setattr(spark, "sql", failing)
     with pytest.raises(RuntimeError):
-        T.replace_table(spark.range(2).toDF("n"), table)
+        T.replace_table(spark.range(2).selectExpr("id AS n", "'x' AS more"), table)
     monkeypatch.setattr(spark, "sql", run)
     assert not T.table_exists(spark, table)
     assert T.table_row_counts(spark, db, exclude=()).count() == 0  # working copies are not reported
