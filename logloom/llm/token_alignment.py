@@ -48,10 +48,11 @@ from logloom.llm.textops import runs
 SLOTS = 1 << 12
 BUCKETS = 32
 HELD_LINKS = 1 << 22
-#: A worker forgets its units when it knows so many, or so many links of them.
-CACHE_UNITS, CACHE_LINKS = 400_000, 4_000_000
-#: Entries of the postings per count sent to a slice.
-ENTRIES_PER_COUNT = 32
+#: A worker remembers the first units it meets, so many or so many links of them; later ones are worked out
+#: for each batch of texts anew (frequent units come early).
+CACHE_UNITS, CACHE_LINKS = 600_000, 6_000_000
+#: Entries of the postings for one task, and at least so many per count sent to a slice.
+TASK_ENTRIES, ENTRIES_PER_COUNT = 1 << 22, 32
 #: A bitmap with at least one document in so many is held as bits, else as numbers.
 SPARSE = 16
 WEIGHT_BITS = 14
@@ -128,13 +129,22 @@ class Lexicon:
         self.numbers = np.zeros((4, 1024), np.int64)  # tokens of A, tokens of B, groups, links
         self.links = np.zeros(1 << 14, np.int64)  # bucket and pair number of every link, unit by unit
         self.start = np.zeros(1025, np.int64)
+        self.fixed = -1  # units remembered, once there are enough
 
     def room(self) -> None:
-        if len(self.text) > CACHE_UNITS or self.start[len(self.text)] > CACHE_LINKS:
-            self.clear()
+        """Called between batches of texts: beyond the remembered units all are forgotten."""
+        if self.fixed < 0 and (len(self.text) > CACHE_UNITS or self.start[len(self.text)] > CACHE_LINKS):
+            self.fixed = len(self.text)
+        if 0 <= self.fixed < len(self.text):
+            for unit in self.passing:
+                del self.place[unit]
+            del self.text[self.fixed :]
+        self.passing: list[str] = []
 
     def learn(self, units: list[str]) -> None:
         """Adds new units: plain ones by one call over their concatenation."""
+        if self.fixed >= 0:
+            self.passing += units
         plain = [u for u in units if not u[0] == " " and not u[-1].isspace() and _MARK not in u]
         for i in range(0, len(plain), 8192):
             part = plain[i : i + 8192]
@@ -460,7 +470,7 @@ def align_documents(spark: SparkSession, docs: DataFrame, byte_file: str, piece_
     counts = pair_counts(postings).withColumn("best", F.col("n") == F.max("n").over(order))
     counts = stored(spark, counts, "alignment_counts")
     entries = postings.agg(F.sum("n_entries")).first()[0] or 0
-    slices = 1 + entries // (ENTRIES_PER_COUNT * max(1, counts.count()))
+    slices = 1 + min(entries // (BUCKETS * TASK_ENTRIES), entries // (ENTRIES_PER_COUNT * max(1, counts.count())))
     scores = return_scores(postings, counts, slices, max(partitions(spark), BUCKETS * slices))
     own = linked.where(F.col("slot").isNotNull()).select("container", "slot", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")]

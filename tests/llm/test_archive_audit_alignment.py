@@ -243,7 +243,9 @@ ODD = [" ", "  ", "\n", "\n\n", " \n", "\t", "a", "é", "汉", "<|endoftext|>",
 
 def test_alignment_equals_brute_force_on_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(token_alignment, "HELD_LINKS", 300)
+    monkeypatch.setattr(token_alignment, "TASK_ENTRIES", 20)
     monkeypatch.setattr(token_alignment, "ENTRIES_PER_COUNT", 1)
+    monkeypatch.setattr(token_alignment, "CACHE_UNITS", 50)
     rng = random.Random(9)
     documents = [(i, "".join(rng.choice(ODD) for _ in range(rng.randint(0, 14)))) for i in range(600)]
     documents += [(1, "word " * 40_000), (1, "word " * 40_000), (None, "words words"), (None, None), (2, "a\nb"), (3, "汉" * 5000)]
