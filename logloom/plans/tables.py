@@ -339,6 +339,72 @@ def clear_mark(spark: SparkSession, mark: str) -> None:
     _delete(spark, mark)
 
 
+COMPACTED = "_compacted_"
+
+
+def file_sizes(spark: SparkSession, table: str, partition_by: Sequence[str]) -> DataFrame:
+    """(partition columns, path, size) of the table's files, from their metadata (no data pages are read)."""
+    meta = F.col("_metadata")
+    return spark.table(table).select(*partition_by, meta["file_path"].alias("path"), meta["file_size"].alias("size")).distinct()
+
+
+def compact_table(spark: SparkSession, table: str, *, partition_by: Sequence[str], target_bytes: int = 256 << 20, min_files: int = 4, sort_within: Sequence[str] = (), keep_seconds: float = KEEP_SECONDS) -> int:
+    """Rewrite the partitions that hold many small files as few files of about ``target_bytes``; the number
+    of partitions rewritten.
+
+    A partition is rewritten if it has at least ``min_files`` files and twice as many as its bytes need. Its files
+    are dealt to bins, each bin is one task and one output file, so a large day is spread over its bins. The
+    new files stand in a hidden folder inside the table's, and one catalog change per partition (``PARTITION ...
+    SET LOCATION``) puts them in the old ones' place: readers see the old files or the new ones, and a
+    failed run changes nothing. Old folders stay readable for ``keep_seconds``; the first run after that
+    deletes them. The driver sees one row per partition.
+    """
+    need = F.ceil(F.col("bytes") / target_bytes).cast("int")
+    sizes = file_sizes(spark, table, partition_by).groupBy(*partition_by).agg(F.count("path").alias("files"), F.sum("size").alias("bytes"))
+    found = sizes.where((F.col("files") >= min_files) & (F.col("files") >= 2 * need)).select(*partition_by, need.alias("_bins")).collect()
+    location = table_location(spark, table).rstrip("/")
+    _drop_replaced(spark, table, location, keep_seconds)
+    if not found:
+        return 0
+    bins = spark.createDataFrame(found, sizes.select(*partition_by, need.alias("_bins")).schema)
+    # A file's rows stay together; partitions are days, so the list of them is small.
+    bin_of = F.pmod(F.xxhash64("_file"), F.col("_bins"))
+    rows = spark.table(table).withColumn("_file", F.col("_metadata.file_path")).join(F.broadcast(bins), [*partition_by])
+    rows = rows.repartition(sum(r["_bins"] for r in found), *partition_by, bin_of).sortWithinPartitions(*partition_by, *sort_within)
+    folder = f"{location}/{COMPACTED}{_run_name()}"
+    try:
+        rows.drop("_file", "_bins").write.option("compression", "snappy").partitionBy(*partition_by).parquet(folder)
+    except BaseException:
+        _delete(spark, folder)
+        raise
+    for r in found:
+        spec = ", ".join(f"`{p}` = '{r[p]}'" for p in partition_by)
+        spark.sql(f"ALTER TABLE {_quote(table)} PARTITION ({spec}) SET LOCATION '{folder}/{'/'.join(f'{p}={r[p]}' for p in partition_by)}'")
+    spark.catalog.refreshTable(table)
+    return len(found)
+
+
+def _drop_replaced(spark: SparkSession, table: str, location: str, keep_seconds: float) -> None:
+    """Delete partition folders that the catalog no longer points to and nobody wrote into for ``keep_seconds``."""
+    uri = lambda place: spark._jvm.org.apache.hadoop.fs.Path(place).toUri().getPath().rstrip("/")
+    used = set()
+    for r in spark.sql(f"SHOW PARTITIONS {_quote(table)}").collect():
+        spec = ", ".join("`{}` = '{}'".format(*x.split("=", 1)) for x in r["partition"].split("/"))
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {_quote(table)} PARTITION ({spec})").where("col_name = 'Location'").collect()
+        used |= {uri(x["data_type"]) for x in rows}
+    root, fs = _file_system(spark, location)
+    before, todo = (time.time() - keep_seconds) * 1000, [root]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            name, place = s.getPath().getName(), uri(s.getPath().toString())
+            if not s.isDirectory() or not ("=" in name or name.startswith(COMPACTED)) or place in used:
+                continue
+            if any(u.startswith(place + "/") for u in used):
+                todo.append(s.getPath())
+            elif s.getModificationTime() <= before:
+                fs.delete(s.getPath(), True)
+
+
 def table_exists(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table)
 

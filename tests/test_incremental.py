@@ -288,3 +288,42 @@ def test_loggers_are_gathered_for_the_top_groups_only(spark):
     assert len(top) == 5 and top[0]["exception_class"] == "No Exception" and top[0]["affected_loggers"] == [f"l{i}" for i in range(7)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("collect_set") < plan.index("LeftSemi")  # printed root first: the set stands above the semi join
+
+
+# Compaction
+
+
+def test_small_files_become_few(spark, db):
+    table = f"{db}.t"
+    rows = spark.range(6000).select(F.col("id"), F.expr("date_add(DATE'2024-01-01', cast(id % 3 as int))").alias("d"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    T.append(rows.repartition(20), table, partition_by=["d"])
+    T.append(rows.where("id = 0").withColumn("d", F.lit("2024-02-01").cast("date")), table, partition_by=["d"])  # one file: stays
+
+    def state():
+        sizes = T.file_sizes(spark, table, ["d"]).groupBy("d").count().collect()
+        return {str(r["d"]): r["count"] for r in sizes}, spark.table(table).agg(F.count("id"), F.sum("id"), F.sum(F.xxhash64("id", "d", "x") % 1000)).first()
+
+    before, content = state()
+    assert set(before.values()) == {20, 1}
+    reader = spark.table(table)
+    reader.count()
+    assert T.compact_table(spark, table, partition_by=["d"], target_bytes=100_000, min_files=4) == 3
+    after, same = state()
+    need = 6000 * 70 // 3 // 100_000 + 2
+    assert same == content and all(n <= need for n in after.values()) and after["2024-02-01"] == 1
+    assert reader.count() == 6001  # planned before: its files are still there
+    T.append(rows.where("id < 3"), table, partition_by=["d"])  # goes on in the new places
+    assert spark.table(table).count() == 6004
+    assert T.compact_table(spark, table, partition_by=["d"], target_bytes=100_000, keep_seconds=0) == 0
+    folders = [p.name for p in (folder_of(spark, db) / "t").iterdir() if p.is_dir()]
+    assert len([f for f in folders if f.startswith(T.COMPACTED)]) == 1 and "d=2024-02-01" in folders and "d=2024-01-01" not in folders
+    assert spark.table(table).count() == 6004
+
+
+def test_failed_compaction_changes_nothing(spark, db, monkeypatch):
+    table = f"{db}.t"
+    T.append(spark.range(100).withColumn("d", F.lit(1)).repartition(10), table, partition_by=["d"])
+    monkeypatch.setattr(T, "_run_name", lambda: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError):
+        T.compact_table(spark, table, partition_by=["d"])
+    assert spark.table(table).count() == 100 and T.file_sizes(spark, table, ["d"]).count() == 10
