@@ -51,7 +51,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_likelihood", "ordinary_likelihood")
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "log_ratio_per_word")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,38 @@
 """Toxicity scores from two class-conditional Kneser-Ney models that share their backoff counts.
 
-Words are runs of letters, digits, apostrophes and non-ASCII bytes, lower-cased A-Z. The closed vocabulary
-holds the words of at least ``LEAST_COUNT`` training documents, whatever the corpus, and so grows with it; a
-rarer word counts as its first ``STEM_BYTES`` bytes if these are in enough documents, else as one unknown word.
-Word pairs of fewer than ``LEAST_COUNT`` documents are pruned.
+Words are runs of letters, digits, apostrophes and non-ASCII bytes, lower-cased A-Z, coded by 32 bits. Counts n are
+numbers of training documents (a long or repetitive one counts once), n_c those of class c (toxic or ordinary).
+Words of at least ``LEAST_COUNT`` documents are known, whatever the corpus. An unknown word is an event of its stem (its
+first ``STEM_BYTES`` bytes, if in enough documents), or the one event of all others.
 
-The words and the ``HEAD_PAIRS`` most frequent pairs are arrays (40 bytes a word, 32 a pair). The other kept
-pairs stay a Spark table, joined to (text, pair) rows; where there are none, scoring is one pass.
+An expression's class share starts from the share it backs off to, with K pseudo-counts (pair to word, word to
+stem, stem to the class's share of all documents):
 
-Counts n are numbers of training documents (a long or repetitive one counts once). Both classes share one
-Kneser-Ney pair model of the pooled counts (discount D, continuation shares s(v): different words before
-v, of all such pairs; l(u): the mass that discounts and pruned pairs leave):
+    c(x) = (n_c(x) + K * c(below x)) / (n(x) + K)
 
-    P(v|u) = max(n(u, v) - D, 0) / n(u) + l(u) * s(v)
+and is that lower share itself unless it raises the likelihood of the expression's counts by half the logarithm of
+the number of training documents (what one more parameter has to pay by the Bayesian information criterion: 4 nats for
+2,500 documents, 7.5 for 3 million). Pairs of at least ``LEAST_COUNT`` documents are known if they have such a share of
+their own; the others are pruned from both models, their mass goes to the backoff. So each class has smoothed counts n(x) c(x) that add up to the shared ones.
+Each class's models are interpolated Kneser-Ney on these (discount D; s(e): shared continuation share, the
+different words before e among all such pairs), and normalised for each class and each word before:
 
-and class c (toxic or ordinary) tilts it by its discounted share of the counts, which backs off from pairs
-to words to the class's share c of all documents (a word's share backs off to that of its stem, in the
-same way), with K pseudo-counts that all classes share:
+    P_c(e)   = (n(e) - D) c(e) / N_c + G_c / N_c * s(e)           N_c = sum n(e) c(e), G_c = sum D c(e)
+    P_c(v|u) = (n(u,v) - D) c(u,v) / N_c(u) + l_c(u) P_c(v)       for known pairs; l_c(u) P_c(v) for others
 
-    c(u, v) = (n_c(u, v) (1 - D / n(u, v)) + (D + K) * c(v)) / (n(u, v) + K)
-    c(v)    = (n_c(v) (1 - D / n(v)) + (D + K) * c) / (n(v) + K)
-    P_c(v|u) = P(v|u) * c(u, v) / c(u)   for kept pairs, and   l(u) * s(v) * c(v) / c   for others
+with N_c(u) the smoothed counts of u's known pairs and c(u) times its other ones, and l_c(u) what is left to 1.
 
-An expression keeps its own class shares only if they improve the likelihood of its counts by at least
-``LEAST_GAIN`` (natural log) over the shares it would back off to, and a word only if it follows at least
-``LEAST_CONTEXTS`` different words (so copies of one text do not teach its words); all others take the
-backed-off shares. Thus rare and uninformative expressions do not tell the classes apart, and a chance
-surplus of one language in a class does not either.
+A text's evidence is log P_toxic - log P_ordinary, summed over its words (and its end, which always backs off).
+This sum falls apart into one weight per stem, per known word (beyond its stem's) and per known pair (beyond its
+words'), in steps of 1 / ``STEPS`` nat; only weights that differ from zero are kept. A logistic curve over the
+length-normalised evidence (per word, and per square root of words) is fitted on a fold that the counts have not
+seen (a sample of at most ``MAX_CALIBRATION_ROWS``). The counts use all other labelled training rows.
 
-A text's evidence is its summed log ratio per word; a logistic curve over the length-normalised evidence
-(per word, and per square root of words) is fitted on a fold that the counts have not seen (a sample of
-at most ``MAX_CALIBRATION_ROWS``). The counts use all other labelled training rows, those of that fold outside
-the sample included, and grow with them.
+Plan. Counting is one pass with partial sums by expression; the models are joins and sums of the counted table. To
+score, a pass over the texts collects postings (expression, documents) of containers of ``SLOTS`` documents, where a
+bit map of bounded size drops most expressions without a weight; postings meet the weights in tasks by bucket and
+slice of containers, and their sums are added up per document. No vocabulary or table of pairs goes to the driver or
+to all workers.
 
 Training reads folds 1 to 4 only (fold 0 is held out). Texts alone are scored.
 
@@ -47,154 +48,214 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import textops as T
-from logloom.llm.shared import TEST_FOLD, fold, stored
+from logloom.llm.shared import TEST_FOLD, fold, partitions, stored
 
 LEAST_COUNT = 3
-HEAD_PAIRS = 500_000
-#: Steps per unit of the table's log ratios: sums of whole numbers do not depend on their order.
-STEPS = 1 << 32
-#: Bits of the map of the table's pairs (16 MB, whatever the table's size; saturated it lets more through).
-MAP_BITS = 27
 DISCOUNT = 0.75
-SHARED_COUNTS = 2.0
-LEAST_GAIN = 12.0
-LEAST_CONTEXTS = 4
+SHARED_COUNTS = 10.0
 STEM_BYTES = 4
+STEPS = 16
 CALIBRATION_FOLD = 1
 MAX_CALIBRATION_ROWS = 20_000
 #: Labels (16 bytes each) up to which they are broadcast to the texts; beyond it both are shuffled.
 BROADCAST_LABELS = 1_000_000
-UNKNOWN, START = 0, 1  # ids; vocabulary words follow
+#: Documents of a container, links held before it is closed, buckets of its postings, entries for one task.
+SLOTS, HELD, BUCKETS, TASK_ENTRIES = 1 << 12, 1 << 22, 16, 1 << 22
+#: Bits of the map of weighted expressions: so many for each, between these bounds (128 KB and 128 MB).
+MAP_BITS_EACH, LEAST_MAP_BITS, MOST_MAP_BITS = 16, 20, 30
+#: What stands before a word code: nothing (a word), a stem's mark, the start of a text, another word.
+WORD, STEM, START, FIRST_CODE = 0, 1, 2, 3
 
 _CODES = T.fold_table(lower=True)
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
 
 
+def _code(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.int64) % ((1 << 31) - FIRST_CODE) + FIRST_CODE
+
+
 def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """Per chunk of rows: hashes of words and of their stems (0 for words that are no longer), the
-    bounds of each text's words, first row, last row."""
+    """Per chunk of rows: codes of words and of their stems (0 for words that are no longer), the bounds
+    of each text's words, first row, last row."""
     data, offsets = T.string_buffers(texts)
     for i, j in T.chunks(offsets):
         part = data[offsets[i] : offsets[j]]
         starts, ends, bounds = T.word_spans(part, offsets[i : j + 1] - offsets[i], _SEPARATORS)
         cut = np.minimum(ends, starts + STEM_BYTES)
         both = T.span_hashes(part, np.concatenate([starts, starts]), np.concatenate([ends, cut]), _CODES)
-        words, stems = both[: len(starts)], np.where(ends > cut, T.mix(both[len(starts) :]), 0)
-        yield words.view(np.int64), stems.astype(np.uint64).view(np.int64), bounds, i, j
+        yield _code(both[: len(starts)]), np.where(ends > cut, _code(both[len(starts) :]), 0), bounds, i, j
 
 
-def _ids(words: np.ndarray, stems: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """The id of each word: its place among the sorted vocabulary hashes plus 2, or its stem's, or
-    UNKNOWN."""
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
+def _expressions(words: np.ndarray, stems: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(expression, stem of a word or 0, text) of all words, stems and pairs; the first word of a text
+    stands behind START."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[bounds[:-1][np.diff(bounds) > 0]] = START
+    long = stems != 0
+    none = np.zeros(len(words) + int(long.sum()), np.int64)
+    return np.concatenate([words, before << 32 | words, STEM << 32 | stems[long]]), np.concatenate([stems, none]), np.concatenate([text, text, text[long]])
 
-    def find(hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        return np.where(vocabulary[at] == hashes, at + 2, UNKNOWN)
 
-    found = find(words)
-    rare = np.flatnonzero(found == UNKNOWN)
-    found[rare] = find(stems[rare])
-    return found
+def _counted(rows: DataFrame) -> DataFrame:
+    """(code, stem, n0, n1): documents of each class that hold an expression (and a word's stem). Each
+    batch is summed before it leaves the task, each task again before the shuffle."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+            found = []
+            for words, stems, bounds, i, _ in _words(batch.column("text")):
+                code, stem, text = _expressions(words, stems, bounds)
+                order = np.lexsort((text, code))
+                code, stem, text = code[order], stem[order], text[order] + i
+                new = np.ones(len(code), bool)
+                new[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
+                found.append(np.stack([code[new], stem[new], toxic[text[new]]]))
+            code, stem, label = np.concatenate([*found, np.zeros((3, 0), np.int64)], 1)
+            distinct, first, inverse, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            n1 = np.bincount(inverse, label, len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct, stem[first], n - n1, n1)], ["code", "stem", "n0", "n1"])
+
+    parts = rows.select("text", F.col("label").cast("int")).mapInArrow(count, "code long, stem long, n0 long, n1 long")
+    return parts.groupBy("code").agg(F.max("stem").alias("stem"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _share(n0: Column, n1: Column, below: Column, least_gain: float) -> Column:
+    """The toxic share of counts, smoothed towards ``below``; ``below`` itself where that loses less than
+    ``least_gain``."""
+    n = n0 + n1
+    gain = F.when(n1 > 0, n1 * F.log(n1 / n / below)).otherwise(0.0) + F.when(n0 > 0, n0 * F.log(n0 / n / (1 - below))).otherwise(0.0)
+    return F.when(gain >= least_gain, (n1 + SHARED_COUNTS * below) / (n + SHARED_COUNTS)).otherwise(below)
 
-def _pairs(words: np.ndarray, stems: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """For each word, (id before it << 32 | its id); the first of a text stands behind START."""
-    ids = _ids(words, stems, vocabulary)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    first = bounds[:-1][np.diff(bounds) > 0]
-    before[first] = START
-    return before << 32 | ids
 
+@dataclass(frozen=True)
+class Tables:
+    """The models: ``events`` (event, kind, n, c, p0, p1, base: log ratio of the event it stands on),
+    ``pairs`` (u, v, n, c, p0, p1: P_c(v|u)), ``contexts`` (u, l0, l1), the log ratio of the event of all other words
+    and that of the START context's backoff."""
+
+    events: DataFrame
+    pairs: DataFrame
+    contexts: DataFrame
+    other: float
+    start: float
+
+
+def tables(spark: SparkSession, raw: DataFrame, n_docs: int, n_toxic: int) -> Tables:
+    """The formulas of the module text over counted expressions ``raw`` (code, stem, n0, n1) of ``n_docs``
+    documents, ``n_toxic`` of them toxic."""
+    toxic_share, least_gain = n_toxic / n_docs, 0.5 * float(np.log(n_docs))
+    n, context = F.col("n0") + F.col("n1"), F.shiftright("code", 32)
+    raw = raw.select(context.alias("u"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("v"), "stem", "n0", "n1", n.alias("n"))
+    prior = F.lit(toxic_share)
+    stems = raw.where((F.col("u") == STEM) & (F.col("n") >= LEAST_COUNT)).select(F.col("v").alias("stem"), _share(F.col("n0"), F.col("n1"), prior, least_gain).alias("stem_c"))
+    before = raw.where(F.col("u") >= START).groupBy("v").agg(F.count("u").alias("before"))
+    words = raw.where(F.col("u") == WORD).drop("u").join(stems, "stem", "left").join(before, "v", "left")
+    below = F.coalesce("stem_c", prior)
+    known = F.col("n") >= LEAST_COUNT
+    words = words.select(
+        F.when(known, "word").when(F.col("stem_c").isNotNull(), "stem").otherwise("other").alias("kind"),
+        F.when(known, F.col("v")).when(F.col("stem_c").isNotNull(), F.col("stem")).otherwise(0).alias("event"),
+        F.when(F.col("stem_c").isNotNull(), F.col("stem")).otherwise(0).alias("on"),
+        F.when(known, _share(F.col("n0"), F.col("n1"), below, least_gain)).otherwise(below).alias("c"), "n", F.coalesce("before", F.lit(0)).alias("before"),
+    )
+    # Stems and the event of all others are events even if no unknown word was met: of count 1.
+    extra = stems.select(F.lit("stem").alias("kind"), F.col("stem").alias("event"), F.lit(0).alias("on"), F.col("stem_c").alias("c"), F.lit(1).alias("n"), F.lit(1).alias("before"))
+    last = spark.range(1).select(F.lit("other").alias("kind"), F.lit(0).alias("event"), F.lit(0).alias("on"), prior.alias("c"), F.lit(1).alias("n"), F.lit(1).alias("before"))
+    events = words.unionByName(extra).unionByName(last).groupBy("kind", "event").agg(F.max("on").alias("on"), F.max("c").alias("c"), F.sum("n").alias("n"), F.sum("before").alias("before"))
+    events = stored(spark, events, "toxic_events")
+    one, zero = F.col("c"), 1 - F.col("c")
+    sums = events.agg(F.sum(F.col("n") * one), F.sum(F.col("n") * zero), F.sum(DISCOUNT * one), F.sum(DISCOUNT * zero), F.sum("before")).first()
+    m1, m0, g1, g0, all_before = map(float, sums)
+    own, cont = F.col("n") - DISCOUNT, F.col("before") / all_before
+    events = events.withColumns({"p1": own * one / m1 + g1 / m1 * cont, "p0": own * zero / m0 + g0 / m0 * cont})
+    events = events.withColumn("ratio", F.log("p1") - F.log("p0"))
+    other = events.where("kind = 'other'").first()["ratio"]
+    base = events.where("kind = 'stem'").select(F.col("event").alias("on"), F.col("ratio").alias("base"))
+    on = F.when(F.col("kind") == "word", F.col("on")).otherwise(-1)
+    events = events.withColumn("on", on).join(base, "on", "left")
+    events = stored(spark, events.withColumn("base", F.when(F.col("kind") == "other", 0.0).otherwise(F.coalesce("base", F.lit(other)))), "toxic_events")
+
+    of_v = events.where("kind = 'word'").select(F.col("event").alias("v"), F.col("c").alias("c_v"), "p0", "p1")
+    pairs = raw.where((F.col("u") >= START) & (F.col("n") >= LEAST_COUNT)).select("u", "v", "n0", "n1", "n").join(of_v, "v")
+    pairs = pairs.select("u", "v", "n", _share(F.col("n0"), F.col("n1"), F.col("c_v"), least_gain).alias("c"), "c_v", "p0", "p1")
+    pairs = stored(spark, pairs.where(F.col("c") != F.col("c_v")).drop("c_v"), "toxic_pairs")
+    kept = F.col("n") - DISCOUNT
+    sums = {"a": F.col("n"), "a1": F.col("n") * one, "a0": F.col("n") * zero, "b1": kept * one, "b0": kept * zero}
+    by_u = pairs.groupBy("u").agg(*[F.sum(x).alias(k) for k, x in sums.items()])
+    every = raw.where(F.col("u") >= START).groupBy("u").agg(F.sum("n").alias("every"))
+    of_u = events.where("kind = 'word'").select(F.col("event").alias("u"), F.col("c").alias("c_u"))
+    contexts = by_u.join(every, "u").join(of_u, "u", "left").withColumns({"rest": F.col("every") - F.col("a"), "c_u": F.coalesce("c_u", prior)})
+    contexts = contexts.withColumns({"m1": F.col("a1") + F.col("rest") * F.col("c_u"), "m0": F.col("a0") + F.col("rest") * (1 - F.col("c_u"))})
+    contexts = contexts.select("u", "m0", "m1", (1 - F.col("b0") / F.col("m0")).alias("l0"), (1 - F.col("b1") / F.col("m1")).alias("l1"))
+    contexts = stored(spark, contexts, "toxic_contexts")
+    pairs = pairs.join(contexts, "u").withColumns({"q1": F.col("p1"), "q0": F.col("p0")})
+    pairs = pairs.withColumns({"p1": kept * one / F.col("m1") + F.col("l1") * F.col("q1"), "p0": kept * zero / F.col("m0") + F.col("l0") * F.col("q0")})
+    start = contexts.where(F.col("u") == START).first()
+    return Tables(events, pairs, contexts, other, float(np.log(start["l1"] / start["l0"])) if start else 0.0)
+
+
+def weights(found: Tables) -> DataFrame:
+    """(code, weight) of all expressions whose weight is not zero, in steps of 1 / STEPS nat."""
+    left = found.contexts.select(F.col("u").alias("event"), (F.log("l1") - F.log("l0")).alias("left"))
+    single = found.events.where("kind <> 'other'").join(left, "event", "left")
+    own = F.col("ratio") - F.col("base") + F.when(F.col("kind") == "word", F.coalesce("left", F.lit(0.0))).otherwise(0.0)
+    code = F.when(F.col("kind") == "word", F.col("event")).otherwise(F.col("event").bitwiseOR(F.lit(STEM << 32)))
+    single = single.select(code.alias("code"), own.alias("w"))
+    # What a pair adds to its words' weights.
+    own = F.log(F.col("p1") / (F.col("l1") * F.col("q1"))) - F.log(F.col("p0") / (F.col("l0") * F.col("q0")))
+    pairs = found.pairs.select(F.shiftleft("u", 32).bitwiseOR(F.col("v")).alias("code"), own.alias("w"))
+    every = single.unionByName(pairs).select("code", F.round(F.col("w") * STEPS).cast("long").alias("weight"))
+    return every.where("weight <> 0")
 
-def _per_label(keys: list[np.ndarray], under: list[np.ndarray], labels: list[np.ndarray]) -> pa.RecordBatch:
-    none = np.zeros(0, np.int64)
-    key, label = np.concatenate([*keys, none]), np.concatenate([*labels, none])
-    distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    n1 = np.bincount(inverse, label, len(distinct)).astype(np.int64)
-    n = np.bincount(inverse, minlength=len(distinct))
-    parent = np.concatenate([*under, none])[first]
-    return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(parent), pa.array(n - n1), pa.array(n1)], ["key", "under", "n0", "n1"])
 
+@dataclass(frozen=True)
+class Model:
+    """Weights of expressions (None without labels of both classes), a word's and a text's own share of the
+    evidence, the map of the weighted expressions, and the curve."""
 
-def _counted(rows: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """(key, under, n0, n1): documents of each class that hold a word or stem (hash; ``under`` is the
-    word's stem), or with a vocabulary a pair of ids. Each batch is summed before it leaves the task,
-    each task again before the shuffle."""
-    shared = None if vocabulary is None else rows.sparkSession.sparkContext.broadcast(vocabulary)
+    weights: DataFrame | None
+    other: float
+    start: float
+    bits: np.ndarray
+    curve: np.ndarray
+
+
+def _places(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each code in the map."""
+    hashed = T.mix(codes.astype(np.uint64))
+    return (hashed >> np.uint64(64 - bits)).astype(np.int64), (hashed & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-            keys, under, labels = [], [], []
 
-            def add(key: np.ndarray, parent: np.ndarray, text: np.ndarray) -> None:
-                order = np.lexsort((key, text))
-                key, parent, text = key[order], parent[order], text[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-                keys.append(key[new]), under.append(parent[new]), labels.append(toxic[text[new]])
+def _map_of(found: DataFrame) -> np.ndarray:
+    """The bit map of the codes of ``found``: each batch is summed up before it leaves the task."""
+    bits = int(np.clip(np.ceil(np.log2(max(found.count(), 1) * MAP_BITS_EACH)), LEAST_MAP_BITS, MOST_MAP_BITS))
 
-            for words, stems, bounds, i, j in _words(batch.column("text")):
-                text = np.repeat(np.arange(i, j), np.diff(bounds))
-                if shared is None:
-                    add(words, stems, text)
-                    long = stems != 0
-                    add(stems[long], np.zeros(int(long.sum()), np.int64), text[long])
-                else:
-                    add(_pairs(words, stems, bounds, shared.value), np.zeros(len(words), np.int64), text)
-            yield _per_label(keys, under, labels)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(np.concatenate(_places(batch.column("code").to_numpy(), bits)))
+            word, first = np.unique(place >> 6, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.int64(1) << (place & 63), first) if len(place) else place)], ["w", "b"])
 
-    parts = rows.select("text", F.col("label").cast("int")).mapInArrow(count, "key long, under long, n0 long, n1 long")
-    return parts.groupBy("key").agg(F.max("under").alias("under"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = found.select("code").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return out
 
 
-@dataclass(frozen=True)
-class Model:
-    """Log probabilities by word id and of the kept pairs, and the curve's weights. ``tail`` (code, d0, d1,
-    d2) holds the kept pairs that are not in ``pairs``: by how many ``STEPS`` their three numbers differ from
-    those that a pruned pair would get."""
-
-    vocabulary: np.ndarray  # sorted word hashes
-    backoff: np.ndarray  # log l(u), by id
-    word: np.ndarray  # (shared, ordinary tilt, toxic tilt) by id
-    pairs: np.ndarray  # sorted (u << 32 | v)
-    pair: np.ndarray  # (shared, ordinary tilt, toxic tilt) of the kept pairs
-    curve: np.ndarray  # weight of evidence per word, per root of words, constant
-    tail: DataFrame | None = None
-    tail_map: np.ndarray | None = None  # bits of the hashed codes in ``tail``
-
-    def likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Ordinary and toxic log-likelihood and number of words of each text, by ``pairs`` alone, and its
-        pairs that may be in ``tail``."""
-        sums, count, others = [], [], []
-        for words, stems, bounds, _, _ in _words(texts):
-            pairs = _pairs(words, stems, bounds, self.vocabulary)
-            at = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
-            kept = self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
-            v = pairs & 0xFFFFFFFF
-            found = []
-            for k in range(3):
-                value = self.word[k][v] + (self.backoff[pairs >> 32] if k == 0 else 0.0)
-                if len(self.pairs):
-                    value = np.where(kept, self.pair[k][at], value)
-                total = np.concatenate([[0.0], np.cumsum(value)])
-                found.append(total[bounds[1:]] - total[bounds[:-1]])
-            if self.tail_map is not None:
-                place = _places(pairs)
-                open_ = ~kept & ((self.tail_map[place >> 6] >> (place & 63)) & 1).astype(bool)
-                others += [pairs[a:b][open_[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            sums.append(np.stack([found[0] + found[1], found[0] + found[2]]))
-            count.append(np.diff(bounds))
-        both = np.concatenate([*sums, np.zeros((2, 0))], 1)
-        return both[0], both[1], np.concatenate([*count, np.zeros(0, np.int64)]), others
+def _in_map(codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    found = np.ones(len(codes), bool)
+    for place in _places(codes, len(bits).bit_length() + 5):
+        found &= ((bits[place >> 6] >> (place & 63)) & 1).astype(bool)
+    return found
 
 
 def _inputs(evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -244,208 +305,152 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, column: str = "toxic", head: int = HEAD_PAIRS) -> Model:
-    """Both models and the curve. The driver receives the words of ``LEAST_COUNT`` documents or more and
-    the ``head`` most frequent pairs."""
+def _sampled(rows: DataFrame) -> Column:
+    """Whether a row is of the curve's sample: at most about MAX_CALIBRATION_ROWS rows of the
+    calibration fold, by hash of doc_id."""
+    own = F.col("fold") == CALIBRATION_FOLD
+    n = rows.where(own).count()
+    bound = int(2**31 * min(1.0, MAX_CALIBRATION_ROWS / max(n, 1)))
+    return own & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2**31)) < bound)
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, column: str = "toxic") -> Model:
+    """Both models and the curve."""
+    nothing = Model(None, 0.0, 0.0, np.zeros(1, np.int64), np.array([0.0, 0.0, -30.0]))
     rows = labelled(docs, labels, column)
     sampled = _sampled(rows)
     counted = rows.where(~sampled)
-    words = stored(spark, _counted(counted, None), "toxic_words")
-    total = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    n0, n1 = total["n0"] or 0, total["n1"] or 0
-    nothing = Model(np.zeros(0, np.int64), np.zeros(2), np.zeros((3, 2)), np.zeros(0, np.int64), np.zeros((3, 0)), np.array([0.0, 0.0, -30.0]))
-    if not n0 or not n1:
+    classes = {r["label"]: r["count"] for r in counted.groupBy("label").count().collect()}  # two rows
+    if len(classes) < 2:
         return nothing
-    frequent = words.where(F.col("n0") + F.col("n1") >= LEAST_COUNT).toArrow()
-    order = np.argsort(frequent["key"].to_numpy())
-    vocabulary = frequent["key"].to_numpy()[order]
-    counts = np.stack([frequent["n0"].to_numpy(), frequent["n1"].to_numpy()]).astype(float)[:, order]
-    under = frequent["under"].to_numpy()[order]
-    parent = np.searchsorted(vocabulary, under)
-    parent = np.where((under != 0) & (vocabulary[np.minimum(parent, len(vocabulary) - 1)] == under), parent, -1)
-    classes = np.zeros(2)
-    for row in counted.groupBy("label").count().collect():  # two rows
-        classes[row["label"]] = row["count"]
-
-    pairs = stored(spark, _counted(counted, vocabulary).select(F.shiftright("key", 32).alias("u"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("v"), "n0", "n1"), "toxic_pairs")
-    n, kept = F.col("n0") + F.col("n1"), F.col("n0") + F.col("n1") >= LEAST_COUNT
-    by_v = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("before")).toArrow()
-    by_u = pairs.groupBy("u").agg(F.sum(n).alias("n"), F.sum(F.when(kept, n - DISCOUNT).otherwise(0.0)).alias("mass")).toArrow()
-    least = _head_count(pairs.select(n.alias("n")).where(kept), head)
-    top = pairs.where(n >= least).toArrow()
-    given = _words_model(counts, parent, classes / classes.sum(), by_v, by_u)
-    model = _model(vocabulary, given, top, nothing.curve)
-    if least > LEAST_COUNT:
-        tail = _tail(spark, pairs.where(kept & (n < least)), given)
-        model = replace(model, tail=tail, tail_map=_map_of(tail))
-    found = _likelihoods(rows.where(sampled), model, "label").select("doc_id", "label", (F.col("toxic") - F.col("ordinary")).alias("evidence"), "n")
-    found = found.toArrow().to_pandas().sort_values(["doc_id", "evidence", "n"], kind="stable")
-    label = found["label"].to_numpy(float)
+    raw = stored(spark, _counted(counted), "toxic_counts")
+    found = tables(spark, raw, classes[0] + classes[1], classes[1])
+    given = stored(spark, weights(found), "toxic_weights")
+    model = replace(nothing, weights=given, other=found.other, start=found.start, bits=_map_of(given))
+    seen = evidence(rows.where(sampled), model, "label").toArrow().to_pandas().sort_values(["doc_id", "evidence", "n"], kind="stable")
+    label = seen["label"].to_numpy(float)
     if not len(label) or label.min() == label.max():
         return nothing
-    curve = fit_curve(found["evidence"].to_numpy(float), found["n"].to_numpy(float), label)
-    return replace(model, curve=curve)
+    return replace(model, curve=fit_curve(seen["evidence"].to_numpy(float), seen["n"].to_numpy(float), label))
 
 
-def _shares(counts: np.ndarray, below: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """Discounted class shares (2, expressions) of counts, backing off to ``below``; where the counts
-    gain too little over it, or are not allowed, ``below`` itself."""
-    n = np.maximum(counts.sum(0), 1)
-    gain = (counts * np.log(np.maximum(counts / n, 1e-300) / below)).sum(0)
-    own = (counts * (1 - DISCOUNT / n) + (DISCOUNT + SHARED_COUNTS) * below) / (n + SHARED_COUNTS)
-    return np.where(allowed & (gain >= LEAST_GAIN), own, below)
+ROW = pa.schema([
+    ("container", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("carried", pa.int32()), ("n", pa.int64()),
+    ("bucket", pa.int32()), ("n_entries", pa.int64()), ("codes", pa.binary()), ("sizes", pa.binary()), ("slots", pa.binary()), ("times", pa.binary()),
+])
+FIELDS = "container long, slot int, doc_id long, carried int, n long, bucket int, n_entries long, codes binary, sizes binary, slots binary, times binary"
 
 
-def _head_count(pairs: DataFrame, head: int) -> int:
-    """The least count (``LEAST_COUNT`` or more) that at most ``head`` pairs reach. The driver receives a
-    row per different count."""
-    sizes = sorted(((r["n"], r["count"]) for r in pairs.groupBy("n").count().collect()), reverse=True)
-    least, seen = (sizes[0][0] + 1 if sizes else LEAST_COUNT), 0
-    for n, count in sizes:
-        seen += count
-        if seen > head:
-            return least
-        least = n
-    return LEAST_COUNT
-
-
-@dataclass(frozen=True)
-class Words:
-    """What a pair's numbers are made of, by word id."""
-
-    share: np.ndarray  # class shares (2, words)
-    n: np.ndarray  # pairs that begin with the word
-    left: np.ndarray  # l(u)
-    continuation: np.ndarray  # s(v)
-    word: np.ndarray  # (shared, ordinary tilt, toxic tilt)
-
-    def pairs(self, u: np.ndarray, v: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(shared, ordinary tilt, toxic tilt) of kept pairs."""
-        own = _shares(counts, self.share[:, v], (u != UNKNOWN) & (v != UNKNOWN))
-        same = (own == self.share[:, v]).all(0)
-        shared = np.log(np.maximum(counts.sum(0) - DISCOUNT, 0) / self.n[u] + self.left[u] * self.continuation[v])
-        tilt = np.where(same, self.word[1:, v], np.log(own) - np.log(self.share[:, u]))
-        return np.concatenate([shared[None], tilt])
-
-
-def _words_model(counts: np.ndarray, parent: np.ndarray, classes: np.ndarray, by_v: pa.Table, by_u: pa.Table) -> Words:
-    """The formulas of the module text over the frequent words."""
-    size = counts.shape[1] + 2
-
-    def column(rows: pa.Table, key: str, name: str) -> np.ndarray:
-        out = np.zeros(size)
-        out[rows[key].to_numpy()] = rows[name].to_numpy()
-        return out
-
-    before = column(by_v, "v", "before")
-    continuation = np.maximum(before, 1e-9) / np.maximum(before, 1e-9).sum()
-    n_u = np.maximum(column(by_u, "u", "n"), 1)
-    left = np.clip(1 - column(by_u, "u", "mass") / n_u, 1e-9, 1)
-    prior = np.repeat(classes[:, None], size, 1)
-    share = prior.copy()
-    allowed = before[2:] >= LEAST_CONTEXTS
-    stems = parent < 0
-    share[:, 2:][:, stems] = _shares(counts, prior[:, 2:], allowed)[:, stems]
-    below = share[:, np.where(stems, 0, parent + 2)]
-    share[:, 2:][:, ~stems] = _shares(counts, below, allowed)[:, ~stems]
-    word = np.concatenate([np.log(continuation)[None], np.log(share) - np.log(prior)])
-    return Words(share, n_u, left, continuation, word)
-
-
-def _model(vocabulary: np.ndarray, given: Words, top: pa.Table, curve: np.ndarray) -> Model:
-    u, v = top["u"].to_numpy(), top["v"].to_numpy()
-    values = given.pairs(u, v, np.stack([top["n0"].to_numpy(), top["n1"].to_numpy()]).astype(float))
-    order = np.argsort(u << 32 | v)
-    return Model(vocabulary, np.log(given.left), given.word, (u << 32 | v)[order], values[:, order], curve)
-
-
-def _tail(spark: SparkSession, pairs: DataFrame, given: Words) -> DataFrame:
-    """``Model.tail`` of these kept pairs."""
-    shared = spark.sparkContext.broadcast(given)
+def _postings(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """A row per document (``slot`` set) and the postings of each container by bucket (``bucket`` set)."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        for batch in batches:
-            u, v, n0, n1 = (batch.column(c).to_numpy() for c in ("u", "v", "n0", "n1"))
-            pruned = words.word[:, v] + np.stack([np.log(words.left[u]), np.zeros(len(u)), np.zeros(len(u))])
-            steps = np.rint((words.pairs(u, v, np.stack([n0, n1]).astype(float)) - pruned) * STEPS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u << 32 | v), *[pa.array(d) for d in steps]], ["code", "d0", "d1", "d2"])
-
-    found = pairs.select("u", "v", "n0", "n1").mapInArrow(run, "code long, d0 long, d1 long, d2 long")
-    return stored(spark, found, "toxic_tail")
-
-
-def _places(codes: np.ndarray) -> np.ndarray:
-    return (T.mix(codes.astype(np.uint64)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-
+        container, slots, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            code, slot = np.concatenate([*held, np.zeros((2, 0), np.int64)], 1)
+            code = code % BUCKETS << 59 | code // BUCKETS  # buckets one behind the other
+            key, times = _pairs_of(code, slot)
+            bounds = np.searchsorted(key[0] >> 59, np.arange(BUCKETS + 1))
+            out = []
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if a < b:
+                    own = (key[0, a:b] & (1 << 59) - 1) * BUCKETS + k
+                    first = np.flatnonzero(np.diff(own, prepend=-1))
+                    out.append({
+                        "container": container, "bucket": k, "n_entries": b - a, "codes": own[first].tobytes(), "sizes": np.diff(first, append=b - a).astype("<u2").tobytes(),
+                        "slots": key[1, a:b].astype("<u2").tobytes(), "times": times[a:b].astype("<u4").tobytes(),
+                    })
+            return pa.RecordBatch.from_pylist(out, ROW)
 
-def _map_of(tail: DataFrame) -> np.ndarray:
-    """The bit map of the codes of ``tail``: each batch is summed up before it leaves the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.unique(_places(batch.column("code").to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(np.int64(1) << (place & 63))], ["w", "b"])
-
-    found = tail.select("code").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << MAP_BITS - 6, np.int64)
-    bits[found["w"].to_numpy()] = found["b"].to_numpy()
-    return bits
-
-
-def _sampled(rows: DataFrame) -> Column:
-    """Whether a row is of the curve's sample: at most about MAX_CALIBRATION_ROWS rows of the
-    calibration fold, by hash of doc_id."""
-    own = F.col("fold") == CALIBRATION_FOLD
-    n = rows.where(own).count()
-    bound = int(2**31 * min(1.0, MAX_CALIBRATION_ROWS / max(n, 1)))
-    return own & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2**31)) < bound)
-
-
-def _likelihoods(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
-    """doc_id, ``carry``, ordinary and toxic log-likelihood and number of words (n) of every row: map only
-    if all kept pairs are in the model's arrays, else a join of the other pairs with the model's table."""
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                if slots + len(part) > SLOTS or size > HELD:
+                    yield close()
+                    container, slots, size, held = container + 1, 0, 0, []
+                n = np.zeros(len(part), np.int64)
+                for words, stems, bounds, a, b in _words(part.column("text")):
+                    n[a:b] = np.diff(bounds)
+                    code, _, text = _expressions(words, stems, bounds)
+                    hit = _in_map(code, shared.value)
+                    held.append(np.stack([code[hit], text[hit] + a + slots]))
+                    size += int(hit.sum())
+                columns = [pa.array([container] * len(part), pa.int64()), pa.array(np.arange(slots, slots + len(part)), pa.int32()), part.column("doc_id"), part.column("carried"), pa.array(n)]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(part), f.type) for f in list(ROW)[5:]]], schema=ROW)
+                slots += len(part)
+        if slots:
+            yield close()
+
+    return rows.mapInArrow(run, FIELDS)
+
+
+def _pairs_of(code: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (code, slot) in order, and how often each occurs."""
+    order = np.lexsort((slot, code))
+    code, slot = code[order], slot[order]
+    first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(slot, prepend=-1) != 0))
+    return np.stack([code[first], slot[first]]), np.diff(first, append=len(code))
+
+
+def evidence(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
+    """doc_id, ``carry`` (an int column), evidence and number of words (n) of every row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(replace(model, tail=None))
-    tail = model.tail is not None
-    names = ["doc_id", *carry, "ordinary", "toxic", "n", *(["others", "times"] if tail else [])]
+    carried = F.col(carry).cast("int") if carry else F.lit(None).cast("int")
+    found = _postings(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried")), model.bits)
+    found = stored(spark, found, "toxic_postings")
+    slices = 1 + (found.agg(F.sum("n_entries")).first()[0] or 0) // (BUCKETS * TASK_ENTRIES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, table = None, [], None
         for batch in batches:
-            ordinary, toxic, n, others = shared.value.likelihoods(batch.column("text"))
-            columns = [*(batch.column(c) for c in ("doc_id", *carry)), pa.array(ordinary), pa.array(toxic), pa.array(n)]
-            if tail:
-                found = [np.unique(o, return_counts=True) for o in others]
-                at = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
-                columns += [pa.ListArray.from_arrays(at, pa.array(np.concatenate([*(f[k] for f in found), np.zeros(0, np.int64)]))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("int").alias(c) for c in carry])
-    schema = ", ".join(["doc_id long", *[f"{c} int" for c in carry], "ordinary double, toxic double, n long"])
-    if not tail:
-        return rows.mapInArrow(run, schema)
-    found = rows.mapInArrow(run, schema + ", others array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id())
-    found = stored(spark, found, "toxic_rows")  # fixes the row numbers
-    pairs = found.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("code"), "o.times")
-    gained = pairs.join(model.tail, "code").groupBy("row").agg(*[F.sum(F.col(d) * F.col("times")).alias(d) for d in ("d0", "d1", "d2")])
-    found = found.drop("others", "times").join(gained, "row", "left").fillna(0, ["d0", "d1", "d2"])
-    return found.select(
-        "doc_id", *carry, *[(F.col(name) + (F.col("d0") + F.col(d)) / F.lit(float(STEPS))).alias(name) for name, d in (("ordinary", "d1"), ("toxic", "d2"))], "n"
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "is_posting")), strict=True))
+            i = 0
+            while i < len(rows):
+                if rows[i][:2] != at:
+                    at, known, table = rows[i][:2], [], None
+                if not rows[i][2]:
+                    j = i
+                    while j < len(rows) and not rows[j][2] and rows[j][:2] == at:
+                        j += 1
+                    known.append([batch.column(c).slice(i, j - i).to_numpy() for c in ("code", "weight")])
+                    i = j
+                    continue
+                if table is None:
+                    code, weight = (np.concatenate(c) for c in zip(*known, strict=True)) if known else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
+                    order = np.argsort(code)
+                    table = code[order], weight[order]
+                row = batch.slice(i, 1).to_pylist()[0]
+                code = np.frombuffer(row["codes"], np.int64)
+                place = np.minimum(np.searchsorted(table[0], code), len(table[0]) - 1)
+                weight = np.where(table[0][place] == code, table[1][place], 0)
+                total = np.zeros(SLOTS, np.int64)
+                np.add.at(total, np.frombuffer(row["slots"], "<u2"), np.repeat(weight, np.frombuffer(row["sizes"], "<u2")) * np.frombuffer(row["times"], "<u4"))
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row["container"])), pa.array(some, pa.int32()), pa.array(total[some])], ["container", "slot", "steps"])
+                i += 1
+
+    own = found.where(F.col("slot").isNotNull()).select("container", "slot", "doc_id", "carried", "n")
+    sent = found.where(F.col("bucket").isNotNull()).select(
+        "bucket", F.pmod(F.xxhash64("container"), F.lit(slices)).cast("int").alias("slice"), F.lit(True).alias("is_posting"), "container", "codes", "sizes", "slots", "times"
     )
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    given = model.weights if model.weights is not None else spark.createDataFrame([], "code long, weight long")
+    given = given.select(F.pmod("code", F.lit(BUCKETS)).cast("int").alias("bucket"), every, F.lit(False).alias("is_posting"), "code", "weight")
+    both = given.unionByName(sent, allowMissingColumns=True).repartition(max(partitions(spark), BUCKETS * slices), "bucket", "slice")
+    sums = both.sortWithinPartitions("bucket", "slice", "is_posting").mapInArrow(add, "container long, slot int, steps long")
+    sums = sums.groupBy("container", "slot").agg(F.sum("steps").alias("steps"))
+    total = F.coalesce("steps", F.lit(0)) / F.lit(float(STEPS)) + F.col("n") * F.lit(model.other) + F.when(F.col("n") > 0, F.lit(model.start)).otherwise(0.0)
+    found = own.join(sums, ["container", "slot"], "left").withColumn("evidence", total)
+    return found.select("doc_id", *([F.col("carried").alias(carry)] if carry else []), "evidence", "n")
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, and both log-likelihoods per word (0 without words) of every row."""
-    curve = model.curve
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ordinary, toxic, n = (batch.column(c).to_numpy() for c in ("ordinary", "toxic", "n"))
-            scores, per = _curve(toxic - ordinary, n, curve), np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(toxic / per), pa.array(ordinary / per)], SCORED)
-
-    schema = "doc_id long, score double, toxic_likelihood double, ordinary_likelihood double"
-    return _likelihoods(docs, model).mapInArrow(run, schema)
-
-
-SCORED = ["doc_id", "score", "toxic_likelihood", "ordinary_likelihood"]
+    """doc_id, score, and the log-likelihood ratio per word (0 without words) of every row."""
+    a, b, constant = map(float, model.curve)
+    n = F.greatest("n", F.lit(1))
+    z = F.col("evidence") / n * a + F.col("evidence") / F.sqrt(n) * b + constant
+    score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    return evidence(docs, model).select("doc_id", score.alias("score"), (F.col("evidence") / n).alias("log_ratio_per_word"))

@@ -28,73 +28,148 @@ def corpus(n: int) -> list[tuple[int, str, int]]:
     return rows
 
 
-def test_toxicity_on_held_out_rows(spark):
-    rows = corpus(1500)
+def given(spark, rows):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    return docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = given(spark, corpus(1500))
     model = X.train(spark, docs, labels)
     found = X.score_documents(docs, model).join(labels, "doc_id").where(fold() == 0).toArrow().to_pandas()
     assert len(found) > 200
     predicted = found.score >= 0.5
     assert (predicted & (found.toxic == 0)).sum() <= 1
     assert (predicted & (found.toxic == 1)).sum() >= 0.9 * found.toxic.sum()
-    assert ((found.toxic_likelihood > found.ordinary_likelihood) == predicted)[found.toxic == 1].mean() > 0.8
-
-
-def test_shares_back_off():
-    below = np.array([[0.9], [0.1]]).repeat(4, 1)
-    counts = np.array([[0.0, 9, 0, 4], [0, 1, 40, 4]])
-    share = X._shares(counts, below, np.array([True, True, True, False]))
-    assert np.allclose(share.sum(0), 1)
-    assert np.allclose(share[:, [0, 1, 3]], below[:, [0, 1, 3]]) and share[1, 2] > 0.9
-
-
-def test_pair_model_sums_to_one(spark):
-    """P(v|u) over the vocabulary, kept pairs and backoff together."""
-    rows = corpus(300)
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    model = X.train(spark, docs, labels)
-    size = model.word.shape[1]
-    u = int(model.pairs[0] >> 32)
-    shared = model.backoff[u] + model.word[0]
-    for code, value in zip(model.pairs, model.pair[0], strict=True):
-        if code >> 32 == u:
-            shared[code & 0xFFFFFFFF] = value
-    assert size > 10 and abs(np.exp(shared).sum() - 1) < 1e-6
+    # The models alone, without the curve: toxic texts stand above nearly all ordinary ones.
+    usual = found.log_ratio_per_word[found.toxic == 0].quantile(0.95)
+    assert (found.log_ratio_per_word[found.toxic == 1] > usual).mean() > 0.9
+
+
+def brute_model(rows: list[tuple]) -> dict:
+    """The module's formulas over Python dictionaries; rows: (text, label)."""
+    words_of = [brute_words(t) for t, _ in rows]
+    n, c, before = {}, {}, {}
+
+    def count(seen: set, label: int) -> None:
+        for x in seen:
+            n.setdefault(x, [0, 0])[label] += 1
+
+    for words, (_, label) in zip(words_of, rows, strict=True):
+        pairs = {("pair", u, v) for u, v in zip(["<start>", *words], words, strict=False)}
+        count({("word", w) for w in words} | {("stem", w[: X.STEM_BYTES]) for w in words if len(w) > X.STEM_BYTES} | pairs, label)
+        for _, u, v in pairs:
+            before.setdefault(v, set()).add(u)
+    prior, gain = sum(label for _, label in rows) / len(rows), 0.5 * np.log(len(rows))
+
+    def share(x: tuple, below: float) -> float:
+        n0, n1 = n[x]
+        won = sum(k * np.log(k / (n0 + n1) / b) for k, b in ((n1, below), (n0, 1 - below)) if k)
+        return (n1 + X.SHARED_COUNTS * below) / (n0 + n1 + X.SHARED_COUNTS) if won >= gain else below
+
+    stems = {x[1]: share(x, prior) for x in n if x[0] == "stem" and sum(n[x]) >= X.LEAST_COUNT}
+    known = {x[1] for x in n if x[0] == "word" and sum(n[x]) >= X.LEAST_COUNT}
+
+    def stem(w: str) -> str | None:
+        return w[: X.STEM_BYTES] if len(w) > X.STEM_BYTES and w[: X.STEM_BYTES] in stems else None
+
+    def event(w: str) -> tuple:
+        return ("word", w) if w in known else ("stem", stem(w)) if stem(w) else ("other",)
+
+    events = {("stem", z): [1, 1, s] for z, s in stems.items()} | {("other",): [1, 1, prior]}
+    for x in [x for x in n if x[0] == "word"]:
+        e = events.setdefault(event(x[1]), [0, 0, None])
+        e[0] += sum(n[x])
+        e[1] += len(before[x[1]])
+        if event(x[1]) == x:
+            e[2] = share(x, stems.get(stem(x[1]), prior))
+    c = {e: v[2] for e, v in events.items()}
+    single, pair, left = {}, {}, {}
+    for k in (0, 1):
+        of = (lambda s: s) if k else (lambda s: 1 - s)
+        total, g, cont = sum(v[0] * of(v[2]) for v in events.values()), sum(X.DISCOUNT * of(v[2]) for v in events.values()), sum(v[1] for v in events.values())
+        for e, v in events.items():
+            single[e, k] = (v[0] - X.DISCOUNT) * of(v[2]) / total + g / total * v[1] / cont
+        for u in {x[1] for x in n if x[0] == "pair"}:
+            mine = [x for x in n if x[0] == "pair" and x[1] == u]
+            good = {x[2]: share(x, c["word", x[2]]) for x in mine if sum(n[x]) >= X.LEAST_COUNT}
+            good = {v: of(s) for v, s in good.items() if s != c["word", v]}
+            if not good:
+                continue
+            size = {v: sum(n["pair", u, v]) for v in good}
+            m = sum(size[v] * good[v] for v in good) + sum(sum(n[x]) for x in mine if x[2] not in good) * of(c.get(("word", u), prior))
+            left[u, k] = 1 - sum((size[v] - X.DISCOUNT) * good[v] for v in good) / m
+            for v in good:
+                pair[u, v, k] = (size[v] - X.DISCOUNT) * good[v] / m + left[u, k] * single[("word", v), k]
+    return {"single": single, "pair": pair, "left": left, "event": event}
+
+
+def brute_evidence(model: dict, text: str) -> float:
+    total, u, sign = 0.0, "<start>", (-1, 1)
+    for w in brute_words(text):
+        for k in (0, 1):
+            p = model["pair"].get((u, w, k)) or model["left"].get((u, k), 1.0) * model["single"][model["event"](w), k]
+            total += sign[k] * np.log(p)
+        u = w
+    if u != "<start>":
+        total += sum(sign[k] * np.log(model["left"].get((u, k), 1.0)) for k in (0, 1))
+    return total
+
+
+def test_class_models_equal_brute_force(spark, monkeypatch):
+    """Every evidence is the difference of both models' log-likelihoods, worked out from the definition."""
+    monkeypatch.setattr(X, "STEPS", 1 << 20)
+    monkeypatch.setattr(X, "TASK_ENTRIES", 50)
+    monkeypatch.setattr(X, "SLOTS", 512)
+    rows = corpus(260)
+    docs, labels = given(spark, rows)
+    counted = X.labelled(docs, labels, "toxic")
+    taken = [(r.text, r.label) for r in counted.collect()]
+    found = X.tables(spark, X.stored(spark, X._counted(counted), "test_counts"), len(taken), sum(label for _, label in taken))
+    brute = brute_model(taken)
+    weights = X.weights(found)
+    model = X.Model(weights, found.other, found.start, X._map_of(weights), np.zeros(3))
+    got = {r.doc_id: r.evidence for r in X.evidence(docs, model).collect()}
+    assert max(abs(got[i] - brute_evidence(brute, text)) for i, text, _ in rows) < 1e-3
+    assert max(map(abs, got.values())) > 5
+
+
+def test_class_models_sum_to_one(spark):
+    """P_c(e) over all events, and P_c(v|u) over them for every word before, for each class."""
+    docs, labels = given(spark, corpus(400))
+    counted = X.labelled(docs, labels, "toxic")
+    size = {r.label: r["count"] for r in counted.groupBy("label").count().collect()}
+    found = X.tables(spark, X.stored(spark, X._counted(counted), "test_counts"), size[0] + size[1], size[1])
+    events, pairs = found.events.toArrow().to_pandas(), found.pairs.toArrow().to_pandas()
+    own = (events.c[events.kind == "word"] != size[1] / (size[0] + size[1])).mean()
+    assert len(events) > 40 and 0.02 < own < 1
+    for k in ("0", "1"):
+        assert abs(events["p" + k].sum() - 1) < 1e-9
+        for _, mine in pairs.groupby("u"):
+            left = mine["l" + k].iloc[0]
+            assert abs(mine["p" + k].sum() + left * (1 - mine["q" + k].sum()) - 1) < 1e-9
+    assert pairs.u.nunique() > 3
 
 
 def test_toxicity_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 1), (5, 0), (6, 0), (7, 1)], "doc_id long, toxic int")
-    for given in (labels, labels.limit(0), labels.where("toxic = 0")):
-        scored = X.score_documents(edges, X.train(spark, edges, given)).collect()
-        assert len(scored) == edges.count() and all(0 <= r.score <= 1 and np.isfinite(r.toxic_likelihood) for r in scored)
+    for some in (labels, labels.limit(0), labels.where("toxic = 0")):
+        scored = X.score_documents(edges, X.train(spark, edges, some)).collect()
+        assert len(scored) == edges.count() and all(0 <= r.score <= 1 and np.isfinite(r.log_ratio_per_word) for r in scored)
     assert X.score_documents(nothing, X.train(spark, nothing, labels)).count() == 0
 
 
-def test_pairs_outside_the_arrays_score_alike(spark):
-    rows = corpus(400)
-    docs = spark.createDataFrame([*(r[:2] for r in rows), (None, rows[0][1]), (1, rows[2][1]), (3, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    whole, split = X.train(spark, docs, labels), X.train(spark, docs, labels, head=50)
-    assert whole.tail is None and len(split.pairs) <= 50
-    assert split.tail.count() + len(split.pairs) == len(whole.pairs) > 1000
-    a, b = (sorted((r.doc_id or -1, r.toxic_likelihood, r.ordinary_likelihood, r.score) for r in X.score_documents(docs, m).collect()) for m in (whole, split))
-    assert len(a) == len(rows) + 3 and np.allclose(a, b, atol=1e-6)
-
-
-def test_least_count_does_not_grow_with_the_corpus(spark):
-    """A word of three training documents stays a word beside two million other counts."""
-    rare = [i for i in range(2, 400) if i % 5 != 0]
+def test_rare_words_stay_known_beside_many_others(spark):
+    """A word of four toxic training documents has a weight of its own beside two million other counts."""
     texts = [(i, " ".join(f"w{i}x{k}" for k in range(7000))) for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in texts], "doc_id long, toxic int")
     fold_of = {r.doc_id: r.f for r in docs.select("doc_id", fold().alias("f")).collect()}
-    chosen = [i for i in rare if fold_of[i] in (2, 3, 4)][:3]
+    chosen = [i for i in range(0, 400, 10) if fold_of[i] in (2, 3, 4)][:4]
     docs = docs.withColumn("text", F.when(F.col("doc_id").isin(chosen), F.concat("text", F.lit(" zyxwrareword"))).otherwise(F.col("text")))
     model = X.train(spark, docs, labels)
-    words, _, _, _, _ = next(X._words(pa.array(["zyxwrareword"])))
-    assert words[0] in model.vocabulary
+    _, stems, _, _, _ = next(X._words(pa.array(["zyxwrareword"])))
+    assert model.weights.where(F.col("code") == int(stems[0] | X.STEM << 32)).first()["weight"] > X.STEPS // 2
 
 
 def brute_words(text: str) -> list[str]:
