@@ -44,13 +44,14 @@ def _quality_rules() -> str:
     pairs = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS stat, {k} AS v FROM r WHERE NOT base_failed" for k, _ in _JUDGED)
     widths = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _JUDGED)
 
-    def quartiles(name: str, keys: str) -> str:
+    def percentiles(name: str, keys: str) -> str:
         over = f"PARTITION BY {keys}stat"
         return f"""{name}_c AS (SELECT {keys}stat, bucket, count(*) AS n FROM b GROUP BY ALL),
 {name}_s AS (SELECT *, sum(n) OVER ({over} ORDER BY bucket) AS seen, sum(n) OVER ({over}) AS total FROM {name}_c),
-{name} AS (SELECT {keys}stat, max(total) AS total, min(bucket) FILTER (seen >= ceil(total / 4)) AS q1,
-  min(bucket) FILTER (seen >= ceil(3 * total / 4)) AS q3 FROM {name}_s GROUP BY ALL)"""
+{name} AS (SELECT {keys}stat, max(total) AS total, min(bucket) FILTER (seen >= ceil(total * 10 / 100)) AS p10,
+  min(bucket) FILTER (seen >= ceil(total * 50 / 100)) AS p50, min(bucket) FILTER (seen >= ceil(total * 90 / 100)) AS p90 FROM {name}_s GROUP BY ALL)"""
 
+    picked = ", ".join(f"CASE WHEN g.total >= {rules.MIN_ROWS} THEN g.{p} WHEN l.total >= {rules.MIN_ROWS} THEN l.{p} ELSE a.{p} END AS {p}" for p in ("p10", "p50", "p90"))
     broken = " ".join(f"WHEN {k} < {k}_lo OR {k} > {k}_hi THEN '{k}'" for k, _ in _JUDGED)
     wide = ", ".join(f"max(low) FILTER (stat = '{k}') AS {k}_lo, max(high) FILTER (stat = '{k}') AS {k}_hi" for k, _ in _JUDGED)
     return f"""
@@ -67,15 +68,13 @@ s AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_r
 r AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed, {rates} FROM s),
 v AS ({pairs}),
 b AS (SELECT lang, source, stat, (v >> greatest(length(bin(v)) - {rules.SKETCH_BITS}, 0)::INTEGER) << greatest(length(bin(v)) - {rules.SKETCH_BITS}, 0)::INTEGER AS bucket FROM v),
-{quartiles("g", "lang, source, ")},
-{quartiles("l", "lang, ")},
-{quartiles("a", "")},
-q AS (SELECT g.lang, g.source, g.stat,
-  CASE WHEN g.total >= {rules.MIN_ROWS} THEN g.q1 WHEN l.total >= {rules.MIN_ROWS} THEN l.q1 ELSE a.q1 END AS q1,
-  CASE WHEN g.total >= {rules.MIN_ROWS} THEN g.q3 WHEN l.total >= {rules.MIN_ROWS} THEN l.q3 ELSE a.q3 END AS q3
+{percentiles("g", "lang, source, ")},
+{percentiles("l", "lang, ")},
+{percentiles("a", "")},
+q AS (SELECT g.lang, g.source, g.stat, {picked}
   FROM g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.stat = g.stat JOIN a ON a.stat = g.stat),
-f AS (SELECT lang, source, stat, q1 - greatest({rules.FENCE} * (q3 - q1), CASE stat {widths} END) AS low,
-  q3 + greatest({rules.FENCE} * (q3 - q1), CASE stat {widths} END) AS high FROM q),
+f AS (SELECT lang, source, stat, p10 - greatest({rules.FENCE} * (p50 - p10), CASE stat {widths} END) AS low,
+  p90 + greatest({rules.FENCE} * (p90 - p50), CASE stat {widths} END) AS high FROM q),
 x AS (SELECT lang, source, {wide} FROM f GROUP BY ALL),
 j AS (SELECT r.*, CASE WHEN base_failed THEN 'base' {broken} END AS failed_rule
   FROM r LEFT JOIN x ON x.lang IS NOT DISTINCT FROM r.lang AND x.source IS NOT DISTINCT FROM r.source)

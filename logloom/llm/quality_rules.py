@@ -2,8 +2,10 @@
 
 Each document gets integer statistics. A fixed base rule drops texts of few words or mostly
 repeated ones. Beyond it, limits are not fixed numbers: per language and source, and per
-statistic, a mergeable quantile sketch of the base-passing documents gives the quartiles, and a
-document outside the far-out fences (``fence`` quartile ranges beyond the quartiles) is rejected.
+statistic, a mergeable quantile sketch of the base-passing documents gives the 10th, 50th and 90th percentile,
+and a document more than ``fence`` times their distance from the median beyond the outer ones is rejected (rates of
+repeats have long tails: clean texts reach twenty times the 90th percentile). Where nine of ten documents have the
+same value there is no distance to measure; a least tolerance then takes its place.
 
 The sketch is a log-linear histogram of integers: a value keeps its top ``SKETCH_BITS`` bits, so a
 quantile is right to one part in 2**(SKETCH_BITS - 1), counts of equal buckets add up (merge in any
@@ -31,11 +33,11 @@ SEPARATOR_CLASS = r"[\x20\x09-\x0D]+"
 WORD_BYTE = r"[^\x20\x09-\x0D]"
 
 SKETCH_BITS = 6
-#: Statistics judged, with the least width (same units) of the band between quartile and fence: a
-#: uniform group must not reject its ordinary variation. All are per 10,000.
-JUDGED = {"symbol_rate": 300, "repeat_rate": 3500, "dup_line_rate": 4000, "upper_rate": 2500, "word_rate": 30000}
-FENCE = 3.0
-MIN_ROWS = 200
+#: Statistics judged, with the least tolerance (same units) beyond the outer percentiles, for groups without any
+#: spread. All are per 10,000.
+JUDGED = {"symbol_rate": 100, "repeat_rate": 500, "dup_line_rate": 3500, "upper_rate": 200, "word_rate": 3000}
+FENCE = 20.0
+MIN_ROWS = 1000
 BROADCAST_GROUPS = 10_000
 
 
@@ -154,13 +156,13 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "stat", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and statistic: rows, first and third quartile (the bucket that holds the rank
-    ceil(rows / 4) or ceil(3 * rows / 4)). A group's buckets are few, whatever its rows."""
+def percentiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and statistic: rows, and the 10th, 50th and 90th percentile (the bucket that holds the rank
+    ceil(rows * q / 100)). A group's buckets are few, whatever its rows."""
     entries = sketch.groupBy(*keys, "stat").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("rows"))
 
-    def at(quarter: int) -> Column:
-        rank = F.ceil(F.col("rows") * quarter / 4)
+    def at(q: int) -> Column:
+        rank = F.ceil(F.col("rows") * q / 100)
         return F.aggregate(
             "b",
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("value")),
@@ -171,28 +173,32 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
             lambda acc: acc["value"],
         )
 
-    return entries.select(*keys, "stat", "rows", at(1).alias("q1"), at(3).alias("q3"))
+    return entries.select(*keys, "stat", "rows", *[at(q).alias(f"p{q}") for q in (10, 50, 90)])
 
 
 def thresholds(judged: DataFrame, *, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per (lang, source): ``limits``, a map of statistic to its (low, high) fences."""
+    """One row per (lang, source): ``limits``, a map of statistic to its (low, high) fences, and ``decided``,
+    the statistics whose upper fence comes from the measured distance rather than the least tolerance."""
+    names = ["p10", "p50", "p90"]
     by_group = sketches(judged, ["lang", "source"])
     by_lang = merged(by_group, ["lang"])
     of_all = merged(by_lang, [])
-    width = F.element_at(F.create_map(*[F.lit(x) for pair in JUDGED.items() for x in pair]), F.col("stat"))
-    group = quartiles(by_group, ["lang", "source"])
-    lang = quartiles(by_lang, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("stat").alias("l_stat"), *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q3")])
-    everything = quartiles(of_all, []).select(F.col("stat").alias("a_stat"), F.col("q1").alias("a_q1"), F.col("q3").alias("a_q3"))
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in JUDGED.items() for x in pair]), F.col("stat")).cast("double")
+    group = percentiles(by_group, ["lang", "source"])
+    lang = percentiles(by_lang, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("stat").alias("l_stat"), *[F.col(c).alias(f"l_{c}") for c in ("rows", *names)])
+    everything = percentiles(of_all, []).select(F.col("stat").alias("a_stat"), *[F.col(c).alias(f"a_{c}") for c in names])
     # All three sides hold at most (groups x statistics) rows; the joins are on equal keys.
     rows = group.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("stat") == F.col("l_stat"))).join(everything, F.col("stat") == F.col("a_stat"))
 
     def pick(name: str) -> Column:
         return F.when(F.col("rows") >= min_rows, F.col(name)).when(F.col("l_rows") >= min_rows, F.col(f"l_{name}")).otherwise(F.col(f"a_{name}"))
 
-    rows = rows.select("lang", "source", "stat", pick("q1").alias("q1"), pick("q3").alias("q3"), width.alias("width"))
-    band = F.greatest(F.lit(fence) * (F.col("q3") - F.col("q1")), F.col("width").cast("double"))
+    rows = rows.select("lang", "source", "stat", *[pick(c).alias(c) for c in names], least.alias("least"))
+    above, below = F.lit(fence) * (F.col("p90") - F.col("p50")), F.lit(fence) * (F.col("p50") - F.col("p10"))
+    limits = F.struct((F.col("p10") - F.greatest(below, "least")).alias("low"), (F.col("p90") + F.greatest(above, "least")).alias("high"))
     return rows.groupBy("lang", "source").agg(
-        F.map_from_entries(F.collect_list(F.struct("stat", F.struct((F.col("q1") - band).alias("low"), (F.col("q3") + band).alias("high"))))).alias("limits")
+        F.map_from_entries(F.collect_list(F.struct("stat", limits))).alias("limits"),
+        F.sort_array(F.collect_list(F.when(above > F.col("least"), F.col("stat")))).alias("decided"),
     )
 
 
