@@ -8,11 +8,14 @@ A target is either an exponent (share ** exponent of the tokens, so values under
 category) or explicit shares (unnamed categories split what is left by their tokens). Targets of
 categories without tokens are dropped and the others rescaled.
 
+A probability cannot exceed 1, so at a large sample size the raked weights of lifted cells cannot be reached. The
+weights are therefore raked again with the bound tokens / sample tokens on every cell (what a bounded cell
+cannot take, the others of its categories take), at the largest size, up to ``budget_share``, at which all
+marginals still come out: the sample then meets its targets in expectation, whatever the budget.
+
 Cells and marginals stay in Spark whatever their number (documents collapse to cells by partial sums
 before any shuffle; the windows over a category hold cells, not documents); every few cycles they are
-written to the shared folder, and only the largest deviation (one number) reaches the driver. The scale of the
-probabilities is found the same way: cells whose probability would exceed 1 are kept whole and the
-others rescaled, until no further cell saturates.
+written to the shared folder, and only the largest deviation and the size (one number each) reach the driver.
 
 Defined results: null text has no tokens; null source, language or topic is a category of its own;
 a cell without tokens has probability 0 and its documents stay (they weigh nothing); repeated rows are
@@ -32,6 +35,8 @@ TARGETS: dict[str, float | dict[str, float]] = {"source": 0.7, "lang": 0.8, "top
 BUDGET_SHARE = 0.9
 TOLERANCE = 1e-6
 CYCLES_PER_ROUND, MAX_ROUNDS = 4, 25
+#: Bounded raking: deviation allowed, factor of the next smaller size, and what a round must at least gain.
+BOUND_TOLERANCE, SMALLER, LEAST_PROGRESS, MAX_BOUND_ROUNDS = 1e-3, 0.97, 0.7, 80
 BROADCAST_CELLS = 20_000
 SEED = 2024
 
@@ -116,25 +121,46 @@ def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, float | dict[
     return weights.select(*keys, "tokens", "weight")
 
 
-def probabilities(spark: SparkSession, weights: DataFrame, budget_share: float) -> DataFrame:
-    """``weights`` with ``probability``: min(1, scale * lift), where a cell's lift is its weight over
-    its tokens and the scale makes the expected tokens ``budget_share`` of all."""
+def bounded(spark: SparkSession, weights: DataFrame, budget_share: float, names: tuple[str, ...] = DIMENSIONS) -> tuple[DataFrame, float]:
+    """``weights`` raked again to their own marginals with no cell above its tokens at the returned
+    sample size (a share of all tokens, at most ``budget_share``)."""
+    total = weights.agg(F.sum("tokens").cast("double").alias("t"), F.sum("weight").alias("w")).first()
+    if not total["t"] or not total["w"]:
+        return weights, 0.0
+
+    def of(name: str, column: str) -> Column:
+        return F.sum(column).over(Window.partitionBy(f"c_{name}"))
+
+    rows = weights.withColumn("weight", F.col("weight") / total["w"])
+    rows = stored(spark, rows.withColumns({f"share_{name}": of(name, "weight") for name in names}), "raked")
+    # No category can give more tokens than it has.
+    sizes = [rows.groupBy(f"c_{name}").agg((F.sum("tokens") / total["t"]).alias("have"), F.sum("weight").alias("want")).where("want > 0").agg(F.min(F.col("have") / F.col("want"))).first()[0] for name in names]
+    size, before = min([budget_share, *[x for x in sizes if x is not None]]), None
+    for _ in range(MAX_BOUND_ROUNDS):
+        cap = F.col("tokens") / F.lit(total["t"] * size)
+        for _ in range(CYCLES_PER_ROUND):
+            for name in names:
+                rows = rows.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"share_{name}"), of(name, "weight")), F.lit(0.0)))
+                rows = rows.withColumn("weight", F.least("weight", cap))
+        rows = stored(spark, rows, "raked")
+        off = rows.withColumns({f"off_{name}": F.abs(F.try_divide(of(name, "weight"), F.col(f"share_{name}")) - 1) for name in names})
+        worst = off.agg(F.max(F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"off_{name}") for name in names]))).first()[0]
+        if worst <= BOUND_TOLERANCE:
+            break
+        if before is not None and worst > LEAST_PROGRESS * before:
+            size, worst = size * SMALLER, None
+        before = worst
+    return rows.select(*weights.columns), size
+
+
+def probabilities(weights: DataFrame, size: float) -> DataFrame:
+    """``weights`` with ``lift`` (weight over tokens) and ``probability``: what makes the expected tokens of
+    each cell its weight's part of a sample of ``size`` of all tokens."""
+    total = weights.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w")).first()
     lifted = weights.withColumn("lift", F.col("weight") / F.col("tokens"))
-    total = lifted.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w")).first()
-    if not total["t"]:
+    if not total["t"] or not total["w"]:
         return lifted.withColumn("probability", F.lit(0.0))
-    budget = budget_share * total["t"]
-    scale, whole = budget / total["w"], -1
-    while True:
-        full = F.col("lift") * scale >= 1
-        got = lifted.agg(
-            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("whole"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open"),
-        ).first()
-        if got["whole"] == whole or not got["open"]:
-            break
-        whole = got["whole"]
-        scale = max(scale, (budget - whole) / got["open"])
+    scale = size * total["t"] / total["w"]
     return lifted.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("lift") * scale), 9))
 
 
@@ -144,8 +170,8 @@ def cell_probabilities(
     """(c_*, tokens, weight, lift, probability) of the cells of ``rows`` (from ``measured``)."""
     keys = [f"c_{name}" for name in DIMENSIONS]
     cells = stored(spark, rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
-    weights = rake(spark, cells, TARGETS if targets is None else targets)
-    return stored(spark, probabilities(spark, weights, budget_share), "probabilities")
+    weights, size = bounded(spark, rake(spark, cells, TARGETS if targets is None else targets), budget_share)
+    return stored(spark, probabilities(weights, size), "probabilities")
 
 
 def drawn(rows: DataFrame, cells: DataFrame) -> DataFrame:

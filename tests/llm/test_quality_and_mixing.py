@@ -37,15 +37,50 @@ def test_statistics_equal_brute_force(spark, edges, edge_rows):
     assert got == {r[-1]: brute_statistics(r[1]) for r in rows}
 
 
-def test_sketch_buckets_and_quartiles(spark):
+def test_sketch_buckets_and_percentiles(spark):
     values = [0, 1, 5, 63, 64, 65, 127, 128, 129, 9999, 123456]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(Q.bucket(F.col("v"))).collect()]
     assert got == [(v >> max(v.bit_length() - 6, 0)) << max(v.bit_length() - 6, 0) for v in values]
     rows = [(k, "s", v) for k, n in (("a", 1), ("b", 7), ("c", 400)) for v in np.random.default_rng(n).integers(0, 60, n).tolist()]
     sketch = spark.createDataFrame(rows, "lang string, stat string, bucket long").groupBy("lang", "stat", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    for r in Q.quartiles(sketch, ["lang"]).collect():
+    for r in Q.percentiles(sketch, ["lang"]).collect():
         own = sorted(v for k, _, v in rows if k == r.lang)
-        assert (r.q1, r.q3) == (own[-(-len(own) // 4) - 1], own[-(-3 * len(own) // 4) - 1])
+        assert (r.p10, r.p50, r.p90) == tuple(own[-(-q * len(own) // 100) - 1] for q in (10, 50, 90))
+
+
+def prose(i: int, extra: str = "", n: int = 120) -> str:
+    return " ".join(f"word{(i * 7919 + k * 104729) % 100003}{'x' * ((i + k) % 5)}" for k in range(n)) + extra
+
+
+def test_sources_need_different_limits(spark):
+    """A source of formulas, in which symbols are ordinary, and one of prose: the same share of symbols is
+    an outlier in one of them only, and far more is one in both."""
+    rows = []
+    for i in range(1200):
+        rows.append((i, "en", "prose", prose(i)))
+        rows.append((10_000 + i, "en", "formulas", prose(i, " $x$ " * (i % 40))))
+    rows += [(50_000, "en", "prose", prose(1, " $x$ " * 30)), (50_001, "en", "formulas", prose(1, " $x$ " * 30))]
+    rows += [(50_002, "en", "prose", prose(2, "$" * 20_000)), (50_003, "en", "formulas", prose(2, "$" * 20_000))]
+    measured = Q.measure(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
+    limits = Q.limits_of(spark, measured)
+    judged = {r.row.doc_id: r.failed_rule for r in Q.verdicts(measured, limits).collect()}
+    assert [judged.pop(i) for i in (50_000, 50_001, 50_002, 50_003)] == ["symbol_rate", None, "symbol_rate", "symbol_rate"]
+    assert not any(judged.values())
+    assert "symbol_rate" in {r.source: r.decided for r in limits.collect()}["formulas"]
+
+
+def test_most_limits_come_from_the_sketch(spark):
+    """On the test documents: three of five limits, and no good document past the base rule is rejected."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "source", "text")
+    measured = Q.stored(spark, Q.measure(docs).withColumn("row", F.struct("row.doc_id")), "test_measured")
+    limits = Q.limits_of(spark, measured)
+    decided = [len(r.decided) for r in limits.collect()]
+    assert sum(decided) >= 0.55 * len(Q.JUDGED) * len(decided)
+    judged = Q.verdicts(measured, limits).select(F.col("row.doc_id").alias("doc_id"), "base_failed", "kept")
+    found = judged.where("not base_failed").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("kept").alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
+    n = {r.quality: (r.n, r.k) for r in found.collect()}
+    assert n[1][0] == n[1][1] and n[0][1] <= 0.02 * n[0][0]
 
 
 def test_rules_equal_sql(spark):
@@ -152,6 +187,27 @@ def test_sample_follows_the_targets(spark):
     assert kept.schema == docs.schema and kept.select("doc_id").distinct().count() == kept.count()
 
 
+def test_production_sample_meets_its_targets(spark):
+    """At the production budget: every source, language and topic has its target share of the expected
+    sample, and of the drawn one within a hundredth."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", "lang", "text")
+    rows = M.stored(spark, M.measured(docs).drop("row"), "test_rows")
+    cells = M.cell_probabilities(spark, rows)
+    found = cells.toArrow().to_pandas()
+    assert found.probability.max() <= 1
+    size = (found.tokens * found.probability).sum() / found.tokens.sum()
+    assert 0.6 < size <= M.BUDGET_SHARE
+    kept = M.drawn(rows, cells).where("kept").groupBy("c_source", "c_lang", "c_topic").agg(F.sum("n_tokens").alias("t")).toArrow().to_pandas()
+    for name, exponent in M.TARGETS.items():
+        key = f"c_{name}"
+        have = found.groupby(key).tokens.sum()
+        want = have**exponent / (have**exponent).sum()
+        expected = (found.tokens * found.probability).groupby(found[key]).sum()
+        assert np.allclose(expected / expected.sum(), want, rtol=5e-3)
+        drawn = kept.groupby(key).t.sum()
+        assert np.abs(drawn / drawn.sum() - want).max() < 0.01
+
+
 def test_mixing_edges(spark, edges, nothing):
     kept = M.sample_documents(spark, edges, budget_share=1.0)
     assert kept.schema == edges.schema and kept.where("text is null or trim(text) = ''").count() == edges.where("text is null or trim(text) = ''").count()
