@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,11 +71,45 @@ def test_piece_documents(spark, edges, nothing, edge_rows, library):
 def test_units_equal_whole_texts():
     from tokenizers import Tokenizer
 
-    texts = [*odd_texts(1500), "a<|endoftext|>b c", "x\ny z. w, v.. u."]
+    texts = [*odd_texts(1500), "a<|endoftext|>b c", "x\ny z. w, v.. u.", "a\u2003b c", "é\u0085 x", "a b\u3000", " a", "a ", "a\n", "a it's. b? x;", "b 3. z., é. a!\nc: d", "q .. ,a .b", "\na", "汉 字\n汉", "a " + "long" * 90 + " b"]
     t = K.Tokenizer(BPE)
     want = [e.ids for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # unknown units, then remembered ones
-        assert [np.frombuffer(x, t.type).tolist() for x in t.encode(texts)] == want
+        ids, counts = t.encode(pa.array(texts, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_units_beyond_the_memory(monkeypatch):
+    monkeypatch.setattr(K, "CACHE_UNITS", 40)
+    t = K.Tokenizer(BPE)
+    for k in range(3):
+        texts = [f"w{i} x{i + k} once{i}" for i in range(100)]
+        ids, counts = t.encode(pa.array(texts, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in t.library.encode_batch(texts, add_special_tokens=False)]
+        assert len(t.place) == t.n == 40
+    assert [len(x) for x in t.encode(pa.array([], pa.large_string()))] == [0, 0]
+
+
+def test_repeated_passages_fold_into_rules():
+    r = np.random.default_rng(5)
+    passage = r.integers(0, 900, 64)
+    ids = np.concatenate([np.concatenate([passage, r.integers(900, 1000, 3)]) for _ in range(300)])
+    symbols, rules, lengths = K.re_pair(ids.astype("<u2"), 1000)
+    assert lengths.max() >= 64 and len(symbols) < 300 * 6  # the passage is one symbol
+    for n in (4, 5, 1000, 4097):
+        symbols, rules, _ = K.re_pair(np.zeros(n, "<u2"), 10)
+        assert len(symbols) <= max(n if n < 2 * K.LEAST_COUNT else 0, 2 * K.LEAST_COUNT)
+    count = Counter(zip(symbols.tolist(), symbols[1:].tolist(), strict=False))
+    assert max(count.values()) < 2 * K.LEAST_COUNT
+
+
+def test_no_frequent_pair_is_left():
+    r = np.random.default_rng(6)
+    ids = (r.zipf(1.3, 30_000) % 700).astype("<u2")
+    symbols, _, _ = K.re_pair(ids, 700)
+    a, b = symbols[:-1].tolist(), symbols[1:].tolist()
+    count = Counter(p for p in zip(a, b, strict=True) if p[0] != p[1])
+    assert max(count.values()) < K.LEAST_COUNT
 
 
 def test_re_pair_round_trip_and_random_access():
