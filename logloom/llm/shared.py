@@ -17,6 +17,9 @@ ARROW_BOUNDS = [
     ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),
 ]
 
+#: Folders written by ``stored`` in this process, for ``clean_up``.
+_STORED: list[str] = []
+
 TEST_FOLD = 0
 FOLDS = 5
 
@@ -44,10 +47,20 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written once below the shared checkpoint folder and read back: cuts the lineage,
     survives lost executors, and is computed once however often it is used."""
     path = shared_dir(spark, "llm", name)
+    _STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written in this process. Call it when the results have been consumed: a
+    DataFrame that was returned may still read these folders."""
+    for folder in _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _STORED.clear()
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32(doc_id as text) mod 5; fold 0 is held out from every training."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

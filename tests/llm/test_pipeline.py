@@ -53,3 +53,15 @@ def test_stages_on_edges(spark, edges, nothing, tmp_path):
             out = stage(spark, table, str(tmp_path))
             assert out.count() <= table.count()
             assert name == "sentencepiece" or out.schema == table.schema
+
+
+def test_stored_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from logloom.llm import shared
+
+    shared.stored(spark, spark.range(3), "test_stored")
+    folders = [Path(f.removeprefix("file:")) for f in shared._STORED]
+    assert folders[-1].exists()
+    shared.clean_up(spark)
+    assert not any(f.exists() for f in folders) and not shared._STORED
