@@ -64,12 +64,12 @@ def plan_batch(spark: SparkSession, prefix: str, globs: dict[str, str], ledger:
     """Note the oldest ``max_files`` unknown files as the next batch; its id, or None if there are none."""
     known = _ledger(spark, f"{ledger}/planned", PLANNED).select("path")
     new = list_files(spark, prefix, globs).join(known, "path", "left_anti").orderBy("modified", "path").limit(max_files)
+    if new.isEmpty():
+        return None
     batch = T._run_name()
     rows = new.select(F.lit(batch).alias("batch"), "kind", "path", "length", "modified", ingest_time(None).alias("planned_at"))
-    seen = Observation("files")
-    # One file, written or not: a batch is planned as a whole.
-    rows.coalesce(1).observe(seen, F.count(F.lit(1)).alias("files")).write.mode("append").parquet(f"{ledger}/planned")
-    return batch if seen.get["files"] else None
+    rows.coalesce(1).write.mode("append").parquet(f"{ledger}/planned")  # one file: planned as a whole, or not
+    return batch
 
 
 def open_batches(spark: SparkSession, ledger: str) -> list[str]:
