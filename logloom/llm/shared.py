@@ -61,6 +61,13 @@ def clean_up(spark: SparkSession) -> None:
     _STORED.clear()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps: it does so when the driver's garbage
+    collector finds them unused, which an idle driver heap can put off for a whole job (see
+    ``spark.cleaner.periodicGC.interval``). For jobs of many shuffles, between their steps."""
+    spark._jvm.System.gc()
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32(doc_id as text) mod 5; fold 0 is held out from every training."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
