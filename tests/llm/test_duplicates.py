@@ -161,6 +161,53 @@ def test_component_steps(spark):
     assert got == {i: root(i) for e in links if e[0] != e[1] for i in e}
 
 
+def test_only_what_the_result_reads_is_left(spark, capsys):
+    """Tables that no step reads any more are gone, and the texts are not shuffled for a few ids."""
+    from pathlib import Path
+
+    from logloom.llm import shared
+
+    r = random.Random(5)
+    words = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(words[: 120 - i % 7])) for i in range(60)] + [(100 + i, f"own{i} text{i} of{i}") for i in range(20)]
+    before, bound = set(shared._STORED), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = N.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+        kept.explain()
+        assert "SortMergeJoin" not in capsys.readouterr().out
+        left = [Path(f.removeprefix("file:")) for f in shared._STORED if f not in before]
+        assert [f.parent.name for f in left] == ["dropped"] and left[0].exists()
+        want = brute_components(rows, 5, 80)
+        assert sorted(x.doc_id for x in kept.collect()) == sorted(i for (i, _), c in zip(rows, want, strict=True) if i == c)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_shuffle_files_of_a_stored_table_are_deleted(spark):
+    """The shuffle of a write is gone when it has ended, and the session's setting is as before."""
+    import time
+
+    from logloom.llm import shared
+
+    rows = spark.range(200_000).select((N.F.col("id") % 1000).alias("k"), "id")
+    setting = spark.conf.get(shared.CLEAR_SHUFFLES, None)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark._jvm.System.gc()
+
+    def files() -> set:
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().endswith(".data")}
+
+    before = files()
+    table = shared.stored(spark, rows.groupBy("k").agg(N.F.collect_list("id").alias("ids")), "test_cleared")
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.5)
+    assert not files() - before
+    assert table.count() == 1000 and spark.conf.get(shared.CLEAR_SHUFFLES, None) == setting
+
+
 def paragraphs(text: str) -> set:
     return {p for p in text.split("\n") if p}
 
